@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
+from palisade.llm.media import media_columns
+from palisade.llm.pii import KINDS, find_pii
 from palisade.llm.sharding import ring_shards
 from palisade.llm.url_filter import judge_pages
 
@@ -21,5 +24,48 @@ def op5_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_link_graph": op3_link_graph, "op5_ring": op5_ring}
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [_count_of("base", kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media_columns(table(spark, sf_dir, "documents"))
+    clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string"))), ",")
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("shots="), F.size("clips").cast("string"), F.lit(";ms="), clips).alias("feature"),
+    )
+
+
+QUERIES = {
+    "op3_link_graph": op3_link_graph,
+    "op4_weak_supervision": op4_weak_supervision,
+    "op5_ring": op5_ring,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_motion_jpeg": op9_motion_jpeg,
+}
 ORACLES: dict[str, str] = {}
