@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
 from palisade.llm.media import media_columns
+from palisade.llm.neighbours import search
 from palisade.llm.pii import KINDS, find_pii
+from palisade.llm.quality_cnn import fit, held_out, score_quality
 from palisade.llm.sharding import ring_shards
 from palisade.llm.url_filter import judge_pages
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"))
 
@@ -62,6 +75,8 @@ def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kmeans_tree": op1_kmeans_tree,
+    "op2_byte_cnn": op2_byte_cnn,
     "op3_link_graph": op3_link_graph,
     "op4_weak_supervision": op4_weak_supervision,
     "op5_ring": op5_ring,
