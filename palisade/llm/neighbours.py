@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settled
+from palisade.llm.common import literal_rows, settled
 
 #: Vectors that the tree is fitted on, at most; children of a node; sample vectors below which a node is a leaf.
 FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 48
 #: Sample queries of the calibration, recall they must reach, and by how much their visits are widened.
-TRIALS, RECALL, MARGIN = 256, 0.97, 1.25
-#: Index rows that meet the queries of their leaf in one task; leaves with more are split.
+TRIALS, RECALL, MARGIN = 256, 0.95, 1.1
+#: Index rows of a block: neighbouring leaves share one, a leaf with more rows is split over several.
 BLOCK_ROWS = 4_096
 
 
@@ -154,6 +154,26 @@ def visits(query: np.ndarray, tree: Tree, sizes: np.ndarray, share: float, k: in
     return out
 
 
+def blocks_of(tree: Tree, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per leaf: its first block, and over how many blocks its rows are dealt. Leaves come in the tree's order."""
+    start, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, held, todo = 0, 0, [0]
+    while todo:
+        node = todo.pop()
+        if tree.count[node]:
+            todo += range(tree.first[node] + tree.count[node] - 1, tree.first[node] - 1, -1)
+            continue
+        parts[node] = max(1, -(-sizes[node] // BLOCK_ROWS))
+        if held and held + sizes[node] > BLOCK_ROWS:
+            block, held = block + 1, 0
+        start[node] = block
+        if parts[node] > 1:
+            block, held = block + int(parts[node]), 0
+        else:
+            held += int(sizes[node])
+    return start, parts
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, no null or non-finite component, not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -197,44 +217,47 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
     sizes = np.zeros(len(tree.count), np.int64)
     for leaf, n in counted.items():
         sizes[leaf] = n
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS)).astype(np.int32)
+    start, blocks = blocks_of(tree, sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids, leaf, block, take = part.column(0).to_pylist(), [], [], []
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                take, block, wanted = [], [], []
                 for row, query in enumerate(unit(_matrix(part.column(1)))):
+                    lists: dict[int, list[int]] = {}
                     for node in visits(query, tree, sizes, share, k):
                         for turn in range(blocks[node]):
-                            take.append(row)
-                            leaf.append(node)
-                            block.append(turn)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in take], pa.int64()), part.column(1).take(pa.array(take, pa.int64())), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], ["id", "v", "leaf", "block"])
+                            lists.setdefault(int(start[node]) + turn, []).append(node)
+                    take += [row] * len(lists)
+                    block += lists
+                    wanted += lists.values()
+                rows_of = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_of), part.column(1).take(rows_of), pa.array(block, pa.int32()), pa.array(wanted, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
 
     asked = placed.where("q").select("id", "v").dropDuplicates(["id"])
-    asked = asked.mapInArrow(walk, "id long, v array<double>, leaf int, block int")
-    per_leaf = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("leaf") + 1) if blocks.max() > 1 else F.lit(1)
-    block = F.pmod(F.xxhash64("id"), per_leaf).cast("int")
-    stored = placed.select("id", "v", "leaf", block.alias("block"))
+    asked = asked.mapInArrow(walk, "id long, v array<double>, block int, leaves array<int>")
+    places = literal_rows(spark, [{"leaf": int(n), "start": int(start[n]), "parts": int(blocks[n])} for n in tree.leaves], "leaf int, start int, parts int")
+    stored = placed.select("id", "v", "leaf").join(F.broadcast(places), "leaf")
+    stored = stored.select("id", "v", "leaf", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
 
     def compare(queries: pa.Table, index: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and index.num_rows:
             order = np.argsort(np.array(index.column("id")), kind="stable")
             ids, own = np.array(index.column("id"))[order], _matrix(index.column("v"))[order]
-            norms = np.linalg.norm(own, axis=1)
-            asked_ids, asked_rows = np.array(queries.column("id")), _matrix(queries.column("v"))
+            norms, leaf = np.linalg.norm(own, axis=1), np.array(index.column("leaf"))[order]
+            asked_ids, asked_rows, wanted = np.array(queries.column("id")), _matrix(queries.column("v")), queries.column("leaves").to_pylist()
             for i, query in enumerate(asked_rows):
                 cosines = (own @ query) / (norms * np.linalg.norm(query))
-                cosines[ids == asked_ids[i]] = -np.inf
+                cosines[(ids == asked_ids[i]) | ~np.isin(leaf, wanted[i])] = -np.inf
                 near = _closest(cosines, ids, k) if len(cosines) > k else range(len(cosines))
                 out += [(int(asked_ids[i]), int(ids[j]), float(cosines[j])) for j in near if cosines[j] > -np.inf]
         names = ("query_id", "id", "score")
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=names)
 
-    found = asked.groupBy("leaf", "block").cogroup(stored.groupBy("leaf", "block")).applyInArrow(compare, "query_id long, id long, score double")
+    found = asked.groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(compare, "query_id long, id long, score double")
     best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
