@@ -9,6 +9,7 @@ from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
 from palisade.llm.media import media_columns
 from palisade.llm.neighbours import search
+from palisade.llm.packing import pack
 from palisade.llm.pii import KINDS, find_pii
 from palisade.llm.quality_cnn import fit, held_out, score_quality
 from palisade.llm.sharding import ring_shards
@@ -51,6 +52,12 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op7_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +87,7 @@ QUERIES = {
     "op3_link_graph": op3_link_graph,
     "op4_weak_supervision": op4_weak_supervision,
     "op5_ring": op5_ring,
+    "op7_grouping_genetic": op7_grouping_genetic,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_motion_jpeg": op9_motion_jpeg,
 }
