@@ -9,6 +9,7 @@ from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
 from palisade.llm.media import media_columns
 from palisade.llm.neighbours import search
+from palisade.llm.ngram_join import similar_documents
 from palisade.llm.packing import pack
 from palisade.llm.pii import KINDS, find_pii
 from palisade.llm.quality_cnn import fit, held_out, score_quality
@@ -81,6 +82,10 @@ def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op2_byte_cnn": op2_byte_cnn,
@@ -90,5 +95,6 @@ QUERIES = {
     "op7_grouping_genetic": op7_grouping_genetic,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_motion_jpeg": op9_motion_jpeg,
+    "op10_prefix_tree": op10_prefix_tree,
 }
 ORACLES: dict[str, str] = {}
