@@ -13,6 +13,7 @@ from palisade.llm.ngram_join import similar_documents
 from palisade.llm.packing import pack
 from palisade.llm.pii import KINDS, find_pii
 from palisade.llm.quality_cnn import fit, held_out, score_quality
+from palisade.llm.repeats import repeated_passages
 from palisade.llm.sharding import ring_shards
 from palisade.llm.url_filter import judge_pages
 
@@ -53,6 +54,10 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op6_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("h")
+
+
 def op7_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op3_link_graph": op3_link_graph,
     "op4_weak_supervision": op4_weak_supervision,
     "op5_ring": op5_ring,
+    "op6_sparse_suffix": op6_sparse_suffix,
     "op7_grouping_genetic": op7_grouping_genetic,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_motion_jpeg": op9_motion_jpeg,
