@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import table
+from palisade.llm.common import settled, table
 from palisade.llm.ngram_join import keep_one
 from palisade.llm.packing import pack
 from palisade.llm.pii import find_pii
@@ -66,10 +66,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage keeps is written once to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The network, the span classifier and the genetic search have no SQL form; tests hold each stage against brute force.

@@ -68,10 +68,10 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _digest(values: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
-    n = np.uint64(len(values))
-    a = mixed(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).sum(dtype=np.uint64) + n
-    b = np.bitwise_xor.reduce(mixed(values + np.uint64(0x632BE59BD9B4E019))) + n * np.uint64(0xD6E8FEB86659FD93) if len(values) else n
-    return int(_signed(mixed(np.array([a], np.uint64)))[0]), int(_signed(mixed(np.array([b], np.uint64)))[0])
+    own = np.append(values, np.uint64(len(values)))
+    a = mixed(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).sum(dtype=np.uint64, keepdims=True)
+    b = np.bitwise_xor.reduce(mixed(own + np.uint64(0x632BE59BD9B4E019)), keepdims=True)
+    return int(_signed(mixed(a))[0]), int(_signed(mixed(b))[0])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
