@@ -1,6 +1,515 @@
-"""All queries of the moderation engine and their DuckDB oracles."""
+"""All queries of the moderation engine over the driver's tables, and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.functions import fixed_values as fixed
+from palisade.functions import text as T
+from palisade.operators import audit, matching, payloads, scoring, state, typo, web
+from palisade.operators.decision import decide
+from palisade.plans import oracles as O
+from palisade.plans.moderate import check, check_frames, moderate
+from palisade.plans.salted import DONATIONS_SQL, MESSAGES, dealt, dealt_sql, donations
+from palisade.sources.events import request_fields
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with its oracle."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return register
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def plain(x: Column) -> Column:
+    """One variant: the lower-cased text; none where it is empty."""
+    return F.filter(F.array(F.lower(F.coalesce(x, F.lit("")))), lambda v: v != "")
+
+
+# ---- scalar functions over whole documents ----
+
+
+def _over_documents(name: str, columns: dict[str, Column], oracle: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+    QUERIES[name] = run
+    if oracle:
+        ORACLES[name] = f"SELECT doc_id, {oracle} FROM documents"
+
+
+_text = F.col("text")
+_over_documents("sanitize_truncate", {"line": F.md5(T.sanitize(_text)), "short": T.truncate(_text)}, r"md5(trim(regexp_replace(text, '[\r\n\t]+', ' ', 'g'))) AS line, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS short")
+_over_documents("text_squeeze", {"squeezed": F.md5(T.squeeze(_text))}, "md5(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS squeezed")
+_over_documents("text_wordify", {"words": F.md5(T.wordify(_text))}, "md5(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS words")
+_over_documents("text_tokens", {"n_tokens": F.size(T.tokens(_text)), "n_distinct": F.size(T.all_tokens(F.array(_text)))}, "len(regexp_extract_all(text, '[a-z0-9]+'))::INTEGER AS n_tokens, len(list_distinct(regexp_extract_all(text, '[a-z0-9]+')))::INTEGER AS n_distinct")
+for _name, _fold in (("i", fixed.LEET_I), ("l", fixed.LEET_L), ("conservative", fixed.LEET_KEEP_468)):
+    _over_documents(f"leet_fold_{_name}", {"folded": F.md5(T.fold_leet(_text, _fold))}, f"md5(translate(text, '{_fold[0]}', '{_fold[1]}')) AS folded")
+_over_documents("strip_diacritics", {"plain": F.md5(T.strip_marks(_text))}, "md5(strip_accents(text)) AS plain")
+_over_documents("collapse_repeats", {"collapsed": F.md5(T.collapse_punctuation(T.collapse_repeats(_text)))}, None)
+_over_documents("strip_ornaments", {"plain": F.md5(T.strip_ornaments(_text))}, r"md5(regexp_replace(text, '[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]', '', 'g')) AS plain")
+_over_documents("strip_invisible", {"plain": F.md5(T.strip_invisible(F.concat(_text, F.lit("​x﻿"))))}, r"md5(regexp_replace(concat(text, '​x﻿'), '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}]', '', 'g')) AS plain")
+_over_documents("squeeze_space", {"squeezed": F.md5(T.squeeze_space(_text))}, r"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS squeezed")
+_over_documents("truncate_field", {"field": F.md5(T.as_string(_text))}, "md5(left(text, 4096)) AS field")
+_over_documents("normalize_variants", {"first": F.md5(F.get(T.normalize_text(_text), F.lit(0))), "n": F.size(T.normalize_text(_text))}, None)
+_over_documents("tighten", {"tight": F.md5(T.tighten(F.lower(_text)))}, None)
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, coalesce(array_to_string(list_transform(range(1, length(message) + 1), lambda i: CASE WHEN message[i] IN ('@','$','!','|') THEN translate(message[i], '@$!|', 'asii') WHEN message[i] IN ('0','1','3','4','5','6','7','8') AND i > 1 AND i < length(message) AND regexp_matches(message[i-1], '[a-zA-Z]') AND regexp_matches(message[i+1], '[a-zA-Z]') THEN translate(message[i], '01345678', 'oieasgtb') ELSE message[i] END), ''), '') AS smart FROM donations")
+def leet_fold_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return donations(spark, sf_dir).select("donation_id", T.fold_leet_smart(F.coalesce("message", F.lit(""))).alias("smart"))
+
+
+_gap = r"'\b([a-z]{2,8})\s+(\d{2,4})\b'"
+
+
+@query(f"WITH {DONATIONS_SQL}, g AS (SELECT donation_id, coalesce(message, '') AS m, regexp_extract(coalesce(message, ''), {_gap}, 1) AS a, regexp_extract(coalesce(message, ''), {_gap}, 2) AS b FROM donations) SELECT donation_id, CASE WHEN a <> '' AND (a || b IN ({', '.join(repr(x) for x in fixed.BRANDS)}) OR (a IN ({', '.join(repr(x) for x in fixed.STEMS)}) AND NOT regexp_matches(b, '^[1-9]0+$'))) THEN regexp_replace(m, {_gap}, a || b) ELSE m END AS closed FROM g")
+def gap_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return donations(spark, sf_dir).select("donation_id", T.close_gaps(F.coalesce("message", F.lit(""))).alias("closed"))
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, platform, coalesce(donator, '') AS donator, coalesce(message, '') AS message, amount, '' AS currency FROM donations")
+def coerce_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a JSON body; the currency comes as a number, which is no string."""
+    body = F.to_json(F.struct("platform", "donator", "message", "amount", F.lit(5).alias("currency")))
+    fields = request_fields(F.col("body"))
+    return donations(spark, sf_dir).select("donation_id", body.alias("body")).select("donation_id", *[fields[n].alias(n) for n in ("platform", "donator", "message", "amount", "currency")])
+
+
+# ---- rules, phrases, brands ----
+
+
+def _rule_query(kind: str, rules: tuple) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = donations(spark, sf_dir).select("donation_id", F.explode(matching.rule_hits(plain(F.col("message")), rules)).alias("h"))
+        return hits.select("donation_id", "h.id", "h.value", "h.weight")
+
+    QUERIES[f"rule_hits_{kind}"] = run
+    ORACLES[f"rule_hits_{kind}"] = f"{O.MESSAGE_TEXTS}, {O.HITS_SQL} SELECT donation_id, id, value, weight::INTEGER AS weight FROM donations JOIN hits ON lower(message) = t WHERE kind = '{kind}'"
+
+
+for _kind, _rules in O.KINDS.items():
+    _rule_query(_kind, _rules)
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.HITS_SQL} SELECT id, count(*) AS hits, sum(weight)::BIGINT AS weight FROM donations JOIN hits ON lower(message) = t GROUP BY id")
+def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = tuple(r for rules in O.KINDS.values() for r in rules)
+    hits = donations(spark, sf_dir).select(F.explode(matching.rule_hits(plain(F.col("message")), every)).alias("h"))
+    return hits.groupBy("h.id").agg(F.count("*").alias("hits"), F.sum("h.weight").alias("weight"))
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.PHRASES_SQL} SELECT donation_id, kind, phrase FROM donations JOIN said ON lower(message) = t")
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), matching.phrase_hits(plain(F.col("message")), p).alias("found")) for k, p in O.PHRASES.items()])
+    return donations(spark, sf_dir).select("donation_id", F.explode(lists).alias("l")).select("donation_id", "l.kind", F.explode("l.found").alias("phrase"))
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN forms ON lower(message) = t JOIN brands ON list_contains(tokens, brand)")
+def brand_token_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As an equi join of exploded tokens with the brand table."""
+    terms = spark.range(1).select(F.explode(F.array(*map(F.lit, fixed.BRANDS))).alias("term"))
+    texts = donations(spark, sf_dir).select("donation_id", T.all_tokens(plain(F.col("message"))).alias("tokens"))
+    return matching.join_tokens(texts, terms, "donation_id").withColumnRenamed("term", "brand")
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v"))
+    return own.select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN named ON lower(message) = t")
+def brand_substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir).select("donation_id", F.explode(matching.brand_hits(F.col("tokens"), F.col("squeezed"))).alias("brand"))
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN near_named ON lower(message) = t")
+def near_brand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = _forms(spark, sf_dir).withColumn("exact", matching.brand_hits(F.col("tokens"), F.col("squeezed")))
+    return forms.select("donation_id", F.explode(matching.near_brand_hits(F.col("tokens"), F.col("squeezed"), F.col("exact"))).alias("brand"))
+
+
+# ---- typos ----
+
+_tokens_sql = f"{O.MESSAGE_TEXTS}, tokens AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[a-z]{{4,}}')) AS token FROM texts)"
+
+
+def _message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all(F.lower("message"), F.lit("[a-z]{4,}"), F.lit(0))
+    return donations(spark, sf_dir).select(F.explode(found).alias("token")).distinct()
+
+
+def _words(spark: SparkSession, words: tuple[str, ...]) -> DataFrame:
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, words))).alias("ord", "word"))
+
+
+def _best_sql(words: tuple[str, ...], first: bool) -> str:
+    most = "CASE WHEN length(token) < 5 THEN 0 WHEN length(token) < 7 THEN 1 ELSE 2 END"
+    lcp = "len(list_filter(range(1, least(length(token), length(word)) + 1), lambda i: left(token, i) = left(word, i)))"
+    return f"""words(ord, word) AS (VALUES {O.values(list(enumerate(words)))}), near AS (SELECT token, word AS match, levenshtein(token, word)::INTEGER AS distance, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, word), {lcp} DESC, length(word) DESC, ord) AS n
+  FROM tokens, words WHERE {most} > 0 AND abs(length(token) - length(word)) <= {most} AND levenshtein(token, word) <= {most}{" AND left(token, 1) = left(word, 1)" if first else ""})"""
+
+
+@query(f"{_tokens_sql}, {_best_sql(tuple(fixed.SENSITIVE), False)} SELECT token, match, distance FROM near WHERE n = 1")
+def fuzzy_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typo.fuzzy_join(_message_tokens(spark, sf_dir), _words(spark, tuple(fixed.SENSITIVE)), False)
+
+
+@query(f"{_tokens_sql}, {_best_sql(typo.EVERYDAY, True)} SELECT token, match, distance FROM near WHERE n = 1")
+def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typo.fuzzy_join(_message_tokens(spark, sf_dir), _words(spark, typo.EVERYDAY), True)
+
+
+_near_two = _best_sql(tuple(fixed.SENSITIVE), False).replace("words(", "terms(").replace("near AS", "near_term AS").replace("tokens, words", "tokens, terms") + ", " + _best_sql(typo.EVERYDAY, True)
+
+
+@query(f"""{_tokens_sql}, {_near_two} SELECT tokens.token, CASE WHEN tokens.token IN (SELECT word FROM terms) THEN 'sensitive-exact' WHEN tokens.token IN (SELECT word FROM words) THEN 'exact' WHEN s.match IS NOT NULL THEN 'sensitive-fuzzy' WHEN d.match IS NOT NULL THEN 'fuzzy' ELSE 'unknown' END AS kind
+  FROM tokens LEFT JOIN near_term s ON s.token = tokens.token AND s.n = 1 LEFT JOIN near d ON d.token = tokens.token AND d.n = 1""")
+def typo_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typo.match_tokens(_message_tokens(spark, sf_dir), "token").select("token", "kind")
+
+
+@query()
+def typo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typo.score_texts(donations(spark, sf_dir), "donation_id", "message")
+
+
+@query()
+def canonicalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return donations(spark, sf_dir).select("donation_id", F.get(typo.canonical_texts(F.array(F.lower(F.coalesce("message", F.lit(""))))), F.lit(0)).alias("canonical"))
+
+
+# ---- decisions ----
+
+
+def _decided(spark: SparkSession, sf_dir: str, gambling: Column | None = None) -> DataFrame:
+    return decide(donations(spark, sf_dir), plain(F.col("donator")), plain(F.col("message")), gambling)
+
+
+_stub = "CASE WHEN contains(coalesce(message, ''), 'gacor') THEN 0.92 ELSE 0.05 END"
+
+
+@query(f"{O.decided_sql()} SELECT donation_id, score, action, stage FROM decided")
+def decide_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("donation_id", "score", "action", "stage")
+
+
+@query(f"{O.decided_sql()} SELECT action, stage, count(*) AS n, sum(score)::BIGINT AS score FROM decided GROUP BY action, stage")
+def decide_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).groupBy("action", "stage").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query(f"{O.decided_sql()} SELECT donation_id, reason FROM decided")
+def decide_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("donation_id", "reason")
+
+
+@query(f"{O.decided_sql(_stub)} SELECT donation_id, score, action, stage, reason FROM decided")
+def decide_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir, scoring.stub_score(F.col("message"))).select("donation_id", "score", "action", "stage", "reason")
+
+
+@query(f"WITH {DONATIONS_SQL}, s AS (SELECT donation_id, {_stub}::DOUBLE AS g FROM donations) SELECT donation_id, CASE WHEN g > 0.5 THEN 'block' ELSE 'allow' END AS action, 'classifier' AS stage, 'score=' || printf('%.4f', g) AS reason FROM s")
+def decide_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = scoring.stub_score(F.col("message"))
+    return donations(spark, sf_dir).select("donation_id", scoring.label_verdict((g > 0.5).cast("int"), g).alias("v")).select("donation_id", "v.*")
+
+
+@query(f"WITH {DONATIONS_SQL}, s AS (SELECT {_stub} > 0.5 AS hit, platform FROM donations) SELECT platform, count(*) AS total, count(*) FILTER (hit) AS label_1 FROM s GROUP BY platform")
+def batch_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = (scoring.stub_score(F.col("message")) > 0.5)
+    return donations(spark, sf_dir).groupBy("platform").agg(F.count("*").alias("total"), F.count_if(label).alias("label_1"))
+
+
+@query("WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 9) AS gambling, (b > a)::INTEGER AS label FROM e")
+def softmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.select("vec_id", F.round(scoring.softmax(a, b), 9).alias("gambling"), scoring.label_of(a, b).alias("label"))
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, trim(regexp_replace(regexp_replace(lower(trim(concat_ws(' ', nullif(donator, ''), nullif(message, '')))), '[|/\\\\\\[\\]{{}}<>*_~`]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM donations")
+def classifier_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = F.array(F.lower(T.js_trim(F.concat_ws(" ", F.nullif("donator", F.lit("")), F.nullif("message", F.lit(""))))))
+    return donations(spark, sf_dir).select("donation_id", scoring.classifier_text(F.col("donator"), F.col("message"), readings).alias("text"))
+
+
+@query()
+def decide_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan with normalisation, folds and typo matching."""
+    return moderate(donations(spark, sf_dir)).select("donation_id", "score", "action", "stage", "reason")
+
+
+@query()
+def decide_full_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check(donations(spark, sf_dir), method="both").select("donation_id", "score", "action", "stage", "reason", "response", "marker")
+
+
+# ---- responses, audit, feedback ----
+
+_marker_sql = "CASE WHEN action = 'block' THEN '[block:' || stage || ' score=' || score || ']' WHEN score >= 3 THEN '[allow:near score=' || score || ']' ELSE '[allow]' END"
+
+
+@query(f"""{O.decided_sql()} SELECT donation_id, CASE WHEN action = 'block' THEN '{{"action":"block","replaceDonator":"***","replaceMessage":"***"}}' ELSE '{{"action":"allow"}}' END AS response FROM decided""")
+def verdict_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("donation_id", audit.verdict_response(F.col("action"), "***", "***").alias("response"))
+
+
+@query(f"{O.decided_sql()} SELECT donation_id, CASE WHEN reason = 'empty input' THEN '[allow]' ELSE {_marker_sql} END AS marker, action || ':' || stage AS summary FROM decided")
+def audit_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _decided(spark, sf_dir)
+    return made.select("donation_id", audit.marker(F.col("action"), F.col("stage"), F.col("reason")).alias("marker"), audit.summary(F.col("action"), F.col("stage")).alias("summary"))
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, '[' || strftime(ts, '%H:%M:%S') || '] [killed] ' || trim(coalesce(donator, '')) || ': ' || trim(coalesce(message, '')) AS line FROM donations")
+def audit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = audit.marker(F.lit("allow"), F.lit("x"), F.lit(""), F.lit(True))
+    return donations(spark, sf_dir).select("donation_id", audit.audit_line(F.col("ts"), tag, F.col("donator"), F.col("message")).alias("line"))
+
+
+@query(f"{O.decided_sql()} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines, count(*) FILTER (action = 'block') AS blocked FROM decided WHERE platform <> 'validate' GROUP BY day")
+def daily_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _decided(spark, sf_dir).where(F.col("platform") != audit.VALIDATE)
+    return kept.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("lines"), F.count_if(F.col("action") == "block").alias("blocked"))
+
+
+_decisions, _verdicts = ("block", "allow", "maybe"), ("correct", "false-positive", None, "wrong")
+_feedback_sql = f"""WITH {DONATIONS_SQL}, f AS (SELECT donation_id, ts, coalesce(donator, '') AS donator, coalesce(message, '') AS message, {dealt_sql(_decisions, 'donation_id')} AS decision, {dealt_sql(_verdicts, 'donation_id')} AS verdict FROM donations),
+v AS (SELECT *, CASE WHEN NOT coalesce(decision IN ('block', 'allow') AND verdict IN ('correct', 'false-positive'), false) THEN 'Invalid decision or verdict' WHEN message = '' THEN 'Message is required' END AS error FROM f)"""
+
+
+@query(f"{_feedback_sql} SELECT donation_id, error, CASE WHEN error IS NULL THEN '[' || strftime(ts, '%H:%M:%S') || '] [' || decision || '] [' || verdict || '] ' || trim(donator) || ' :: ' || trim(message) END AS line FROM v")
+def feedback_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.plans.moderate import feedback
+
+    rows = donations(spark, sf_dir).withColumns({"decision": dealt(_decisions, F.col("donation_id")), "verdict": dealt(_verdicts, F.col("donation_id"))})
+    return feedback(rows).select("donation_id", "error", "line")
+
+
+# ---- frames ----
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the platforms' shapes, one donation each, with an unknown field."""
+    donor, message, amount = F.coalesce("donator", F.lit("")), F.coalesce("message", F.lit("")), F.floor(F.abs("amount"))
+    saweria = F.to_json(F.struct(F.lit("donation").alias("type"), F.array(F.struct(donor.alias("donator"), message.alias("message"), amount.alias("amount"), F.lit("IDR").alias("currency"), F.lit("x").alias("tts"), F.lit(7).alias("extra"))).alias("data")))
+    bagibagi = F.concat(F.to_json(F.struct(F.lit(1).alias("type"), F.lit("Donation").alias("target"), F.array(F.struct(F.lit("").alias("preferedName"), donor.alias("username"), message.alias("message"), amount.alias("amount"))).alias("arguments"))), F.lit(payloads.RECORD_END))
+    inner = F.to_json(F.struct(donor.alias("fullname"), message.alias("note"), F.concat(amount.cast("string"), F.lit(" rupiah")).alias("amount"), F.lit("tts").alias("tts")))
+    sociabuzz = F.to_json(F.struct(F.lit(15).alias("action"), F.array(F.struct(inner.alias("data"))).alias("messages")))
+    tako = F.to_json(F.struct(F.struct(F.struct(donor.alias("name"), F.lit(1).alias("id")).alias("sender"), message.alias("message"), amount.alias("amount"), F.lit("IDR").alias("currency")).alias("result")))
+    raw = F.when(F.col("platform") == "saweria", saweria).when(F.col("platform") == "bagibagi", bagibagi).when(F.col("platform") == "sociabuzz", sociabuzz).otherwise(tako)
+    return donations(spark, sf_dir).select("donation_id", "platform", "donator", "message", raw.alias("raw"))
+
+
+def _parse_query(platform: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = _frames(spark, sf_dir).where(F.col("platform") == platform)
+        return own.select("donation_id", F.explode(payloads.PARSERS[platform](F.col("raw"))).alias("d")).select("donation_id", "d.*")
+
+    QUERIES[f"parse_{platform}"] = run
+    needs = " AND coalesce(message, '') <> ''" if platform == "tako" else ""
+    ORACLES[f"parse_{platform}"] = f"WITH {DONATIONS_SQL} SELECT donation_id, coalesce(donator, '') AS donator, coalesce(message, '') AS message, floor(abs(amount))::DOUBLE AS amount, 'IDR' AS currency FROM donations WHERE platform = '{platform}'{needs}"
+
+
+for _platform in payloads.PARSERS:
+    _parse_query(_platform)
+
+
+@query(f"""WITH {DONATIONS_SQL} SELECT donation_id, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'D' END AS donator, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'M' END AS message, platform FROM donations
+  WHERE NOT (platform = 'tako' AND coalesce(message, '') = '')""")
+def rewrite_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame rewritten and parsed again."""
+    own = _frames(spark, sf_dir).where(~((F.col("platform") == "tako") & (F.coalesce("message", F.lit("")) == "")))
+    changed = own.select("donation_id", "platform", payloads.rewrite_frames(F.col("platform"), F.col("raw"), F.lit("D"), F.lit("M")).alias("raw"))
+    again = changed.select("donation_id", "platform", F.explode(payloads.parse_frame(F.col("platform"), F.col("raw"))).alias("d"))
+    return again.select("donation_id", "d.donator", "d.message", "platform")
+
+
+_turns = "SELECT conv_id, turn, text, lower(text) LIKE '%the%' AS bad FROM conversations"
+
+
+@query(f"WITH t AS ({_turns}) SELECT conv_id, bool_or(bad) AS blocked, count(*) AS donations, coalesce(min(turn) FILTER (bad), max(turn)) AS last_checked FROM t GROUP BY conv_id")
+def frame_any_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a frame: the first blocked turn ends the checks."""
+    bad = F.contains(F.lower("text"), F.lit("the"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy("conv_id").agg(F.bool_or(bad).alias("blocked"), F.count("*").alias("donations"), F.coalesce(F.min(F.when(bad, F.col("turn"))), F.max("turn")).alias("last_checked"))
+
+
+@query()
+def check_frames_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_frames(_frames(spark, sf_dir), "donation_id").select("donation_id", "platform", "first_block", "delivered", "checked")
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, event_type = 'click' AS signal FROM donations")
+def tako_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_type") == "click", F.lit('{"event":"messages"}\x1e')).when(F.col("event_type") == "view", F.lit("no json")).otherwise(F.lit('{"event":"ping"}'))
+    return donations(spark, sf_dir).select("donation_id", payloads.tako_signal(raw).alias("signal"))
+
+
+# ---- platforms, URLs, HTML ----
+
+_names = ("saweria", "tako", "bagibagi", "sociabuzz", "nimo", "", None)
+_registry_sql = O.values([(p["platform"], p["name"], p["asset_origin"], p["backend_origin"], p["backend_path_prefix"]) for p in fixed.PLATFORMS])
+_known_sql = f"registry(platform, name, asset_origin, backend_origin, prefix) AS (VALUES {_registry_sql})"
+
+
+@query(f"""WITH {_known_sql}, p AS (SELECT page_id, {dealt_sql(_names, 'page_id')} AS wanted FROM pages) SELECT page_id, wanted, name, asset_origin, CASE WHEN coalesce(wanted, '') = '' THEN 'Missing platform' WHEN name IS NULL THEN 'Unknown platform "' || wanted || '". Available: saweria, tako, bagibagi, sociabuzz' END AS platform_error FROM p LEFT JOIN registry ON wanted = platform""")
+def platform_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = pages(spark, sf_dir).select("page_id", dealt(_names, F.col("page_id")).alias("wanted"))
+    return web.with_platform(wanted, "wanted").select("page_id", "wanted", "name", "asset_origin", "platform_error")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+_cookies = ("moderation_platform=tako; a=b", "x=y", None, "moderation_platform=nobody")
+_referers = ("http://h/overlay?platform=bagibagi&streamKey=1", "http://h/x", None)
+
+
+@query(f"""WITH p AS (SELECT page_id, {dealt_sql(_cookies, 'page_id')} AS c, {dealt_sql(_referers, 'page_id')} AS r FROM pages), w AS (SELECT page_id, coalesce(nullif(regexp_extract(c, 'moderation_platform=(\\w+)', 1), ''), nullif(regexp_extract(r, '[?&]platform=([^&#]*)', 1), ''), 'saweria') AS x FROM p)
+  SELECT page_id, CASE WHEN x IN ('saweria', 'tako', 'bagibagi', 'sociabuzz') THEN x ELSE 'saweria' END AS platform FROM w""")
+def platform_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", web.resolve_platform(dealt(_cookies, F.col("page_id")), dealt(_referers, F.col("page_id"))).alias("platform"))
+
+
+_kinds = ("alert", "mediashare", None)
+
+
+@query(f"""WITH p AS (SELECT page_id, {dealt_sql(_names, 'page_id')} AS p, coalesce({dealt_sql(_kinds, 'page_id')}, 'alert') AS k FROM pages) SELECT page_id, CASE p WHEN 'saweria' THEN 'https://saweria.co/widgets/' || k || '?streamKey=k' || page_id WHEN 'tako' THEN 'https://tako.id/overlay/' || k || '?overlay_key=k' || page_id WHEN 'bagibagi' THEN 'https://bagibagi.co/alertbox/k' || page_id
+  WHEN 'sociabuzz' THEN 'https://sociabuzz.com' || CASE WHEN k = 'mediashare' THEN '/pro/tribe/mediashare/v2/k' ELSE '/pro/tribe/alert1/v3/k' END || page_id || '?v=1' END AS url FROM p""")
+def overlay_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("k"), F.col("page_id").cast("string"))
+    return pages(spark, sf_dir).select("page_id", web.overlay_url(dealt(_names, F.col("page_id")), key, dealt(_kinds, F.col("page_id")), F.lit("v=1")).alias("url"))
+
+
+_paths = ("/widgets/alert?streamKey=@", "/widgets/mediashare", "/overlay/alert?overlay_key=@", "/alertbox/@", "/pro/tribe/alert1/v3/@?v=1", "/pro/tribe/mediashare/v2/@", "/other")
+_targets = ("/overlay?platform=saweria&overlayType=alert&streamKey=@", None, "/overlay?platform=tako&overlayType=alert&streamKey=@", "/overlay?platform=bagibagi&streamKey=@", "/overlay?v=1&platform=sociabuzz&overlayType=alert&streamKey=@", "/overlay?platform=sociabuzz&overlayType=mediashare&streamKey=@", None)
+
+
+@query(f"SELECT page_id, replace({dealt_sql(_targets, 'page_id')}, '@', 'k' || page_id) AS url, CASE WHEN page_id % 7 = 1 THEN 'Missing streamKey' END AS error FROM pages")
+def overlay_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.replace(dealt(_paths, F.col("page_id")), F.lit("@"), F.concat(F.lit("k"), F.col("page_id").cast("string")))
+    return pages(spark, sf_dir).select("page_id", web.overlay_alias(path).alias("a")).select("page_id", "a.*")
+
+
+_pasted = ("https://saweria.co/widgets/alert?streamKey=@&x=1", "http://tako.id/overlay/mediashare?overlay_key=@", "https://bagibagi.co/alertbox/@?x", "https://sociabuzz.com/pro/tribe/alert1/v3/@?a=b", "https://sociabuzz.com/pro/tribe/mediashare/v2/@", "https://example.com/@")
+_pasted_out = ("platform=saweria&overlayType=alert&streamKey=@", "platform=tako&overlayType=mediashare&streamKey=@", "platform=bagibagi&streamKey=@", "platform=sociabuzz&overlayType=alert&streamKey=@&a=b", "platform=sociabuzz&overlayType=mediashare&streamKey=@", None)
+
+
+@query(f"SELECT page_id, replace({dealt_sql(_pasted_out, 'page_id')}, '@', 'k' || page_id) AS query FROM pages")
+def paste_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.replace(dealt(_pasted, F.col("page_id")), F.lit("@"), F.concat(F.lit("k"), F.col("page_id").cast("string")))
+    return pages(spark, sf_dir).select("page_id", web.paste_url(url).alias("query"))
+
+
+@query("SELECT page_id, 'https://tako.id/api/items' || CASE WHEN page_id % 2 = 0 THEN '?id=' || page_id ELSE '' END AS url FROM pages")
+def backend_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("?streamKey=s&id="), F.col("page_id").cast("string"), F.lit("&overlayType=alert"))).otherwise("?streamKey=s&overlayType=alert")
+    url = F.concat(F.lit("/backend/tako/api/items"), tail)
+    return pages(spark, sf_dir).select("page_id", web.backend_target(url, F.lit("tako"), F.lit("https://tako.id/api")).alias("url"))
+
+
+_calls = ("https://tako.id/api/x?y=1", "/api/z", "https://other.example/a")
+_calls_out = ("http://localhost:3000/backend/tako/api/x?y=1&streamKey=@&overlayType=alert", "http://localhost:3000/backend/tako/api/z?streamKey=@&overlayType=alert", "https://other.example/a")
+
+
+@query(f"SELECT page_id, replace({dealt_sql(_calls_out, 'page_id')}, '@', 'k' || page_id) AS url FROM pages")
+def client_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("k"), F.col("page_id").cast("string"))
+    return pages(spark, sf_dir).select("page_id", web.client_rewrite(dealt(_calls, F.col("page_id")), F.lit("tako"), F.lit("https://tako.id/api"), F.lit("/api"), key, F.lit("alert")).alias("url"))
+
+
+_junk = '<script src="/cdn-cgi/x.js" a>q</script><link href="/builds/meta/1"><a href="https://tako.id/p" crossorigin="anonymous" integrity="sha"><script type="ab12-module"></script><script type="0f-text/javascript"></script>'
+
+
+@query(f"""SELECT page_id, md5(replace(html || '<a href="/p"><script type="module"></script><script ></script>', 'https://tako.id/', '/')) AS html FROM pages""")
+def strip_cdn_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.md5(web.strip_artefacts(F.concat("html", F.lit(_junk)), F.lit("https://tako.id"))).alias("html"))
+
+
+@query("""SELECT page_id, md5(CASE WHEN page_id % 2 = 0 THEN CASE WHEN contains(html, '</head>') THEN left(html, strpos(html, '</head>') - 1) || '<b>' || page_id || '</b>' || substr(html, strpos(html, '</head>')) ELSE html END
+  ELSE regexp_replace(html, '(<head[^>]*>)', '\\1<b>' || page_id || '</b>') END) AS html FROM pages""")
+def inject_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.concat(F.lit("<b>"), F.col("page_id").cast("string"), F.lit("</b>"))
+    return pages(spark, sf_dir).select("page_id", F.md5(web.inject_head(F.col("html"), block, F.col("page_id") % 2 == 1)).alias("html"))
+
+
+_files = ("/a/b.json", "/x.js?v=1", "/s.css", "/i.png", "/doc.html#t", "/none")
+
+
+@query(f"SELECT page_id, {dealt_sql(('application/json', 'application/javascript', 'text/css', None, 'text/html', None), 'page_id')} AS mime FROM pages")
+def mime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", web.mime_of(dealt(_files, F.col("page_id"))).alias("mime"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'authorization=t' || page_id ELSE '' END AS headers FROM pages")
+def forward_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), F.col("page_id").cast("string"))).otherwise("")
+    headers = F.create_map(F.lit("authorization"), value, F.lit("cookie"), F.lit("c"))
+    allowed = F.array(*[F.lit(h) for h in fixed.PLATFORMS[1]["forward_headers"]])
+    kept = F.transform(F.map_entries(web.forward_headers(headers, allowed)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return pages(spark, sf_dir).select("page_id", F.array_join(kept, ",").alias("headers"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) LIKE '%.com' AS same FROM pages")
+def referer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.when(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1).endswith(".com"), F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1)).otherwise("elsewhere")
+    return pages(spark, sf_dir).select("page_id", web.referer_matches(F.col("url"), host).alias("same"))
+
+
+# ---- state ----
+
+_window, _most = 6 * 3_600_000, 2
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+  w(user_id, event_id, t, i, until, n) AS (SELECT user_id, event_id, t, i, t + {_window}, 1 FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.i, CASE WHEN w.until <= o.t THEN o.t + {_window} ELSE w.until END, CASE WHEN w.until <= o.t THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
+  SELECT user_id, event_id, n::INTEGER AS count, n > {_most} AS limited, CASE WHEN n > {_most} THEN greatest(1, ceil((until - t) / 1000.0))::INTEGER END AS retry_after FROM w""")
+def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return state.rate_limit(hits, "user_id", "t", "event_id", _window, _most).select("user_id", "event_id", "count", "limited", "retry_after")
+
+
+@query("""WITH e AS (SELECT *, sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)
+  SELECT event_id, user_id, s > coalesce(lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS inspected FROM e WHERE event_type = 'view'""")
+def signal_arm_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return state.arm_fire(events, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "view").select("event_id", "user_id", "inspected")
+
+
+@query("""SELECT event_id, coalesce(last_value(CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM events""")
+def kill_switch_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return state.flag_as_of(events, ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup", ["user_id"]).select("event_id", "active")
+
+
+@query(f"SELECT code::INTEGER AS code, letters FROM (VALUES {O.values(sorted((code, letters) for code, letters in fixed.TWO_READINGS))}) AS v(code, letters)")
+def homoglyph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(letter, glyph) pairs gathered by code point; those with several letters, in order."""
+    pairs = [(letters[i], code, i) for i in (0, 1) for code, letters in fixed.TWO_READINGS]
+    rows = F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(code).alias("code"), F.lit(i).alias("i")) for letter, code, i in pairs])
+    found = spark.range(1).select(F.inline(rows)).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("i", "letter"))), lambda x: x["letter"]), "").alias("letters"))
+    return found.where(F.length("letters") > 1).orderBy("code")
+
+
+@query(f"SELECT code::INTEGER AS code, reads FROM (VALUES {O.values([(i, ''.join(p)) for i, p in enumerate([('aFb', '|aTb'), ('xIy', '|xLy'), ('plain',)])])}) AS v(code, reads)")
+def homoglyph_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).alias("code"), F.lit(t).alias("t")) for i, t in enumerate(["aŦb", "xƖy", "plain"])])
+    return spark.range(1).select(F.inline(rows)).select("code", F.array_join(T.branches(F.col("t")), "|").alias("reads"))
