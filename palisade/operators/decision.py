@@ -7,30 +7,18 @@ from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
 from palisade.functions import text as T
-from palisade.operators.matching import brand_hits, listed, near_brand_hits, phrase_hits, previewed, rule_hits, weight_sum
+from palisade.operators.evidence import DONOR_LISTS, MESSAGE_LISTS, evidence
+from palisade.operators.matching import listed, previewed, weight_sum
 
 
 def inspect(df: DataFrame, prefix: str, found: Column, message: bool) -> DataFrame:
-    """Adds the evidence of one field: <prefix>_variants, _tokens, _squeezed, then its hit lists.
+    """Adds the evidence of one field: <prefix>_variants and its hit lists.
 
-    The message field runs every list; the donor field brands, hard and suspicious rules only. Variants, tokens and
-    hits are separate projections, so that no list is computed more than once.
+    The message field runs every list; the donor field brands, hard and suspicious rules only.
     """
-    c = lambda name: F.col(f"{prefix}_{name}")
-    df = df.withColumn(f"{prefix}_variants", found)
-    df = df.withColumns({f"{prefix}_tokens": T.all_tokens(c("variants")), f"{prefix}_squeezed": T.all_squeezed(c("variants"))})
-    lists = {"high": brand_hits(c("tokens"), c("squeezed")), "hard": rule_hits(c("variants"), fixed.HARD_RULES), "suspicious": rule_hits(c("variants"), fixed.SUSPICIOUS_RULES)}
-    if message:
-        lists |= {
-            "promo": rule_hits(c("variants"), fixed.PROMO_RULES),
-            "weak": rule_hits(c("variants"), fixed.WEAK_RULES),
-            "anti": phrase_hits(c("variants"), fixed.ANTI_PHRASES),
-            "gaming": phrase_hits(c("variants"), fixed.GAMING_PHRASES),
-            "general": phrase_hits(c("variants"), fixed.GENERAL_PHRASES),
-            "strong": phrase_hits(c("variants"), fixed.STRONG_GAMING_PHRASES),
-        }
-    df = df.withColumns({f"{prefix}_{name}": hits for name, hits in lists.items()})
-    return df.withColumn(f"{prefix}_near", near_brand_hits(c("tokens"), c("squeezed"), c("high")))
+    lists = MESSAGE_LISTS if message else DONOR_LISTS
+    df = df.withColumn(f"{prefix}_variants", found).withColumn(f"_{prefix}", evidence(F.col(f"{prefix}_variants"), message))
+    return df.withColumns({f"{prefix}_{name}": F.col(f"_{prefix}.{name}") for name in lists}).drop(f"_{prefix}")
 
 
 def some(name: str) -> Column:
@@ -105,7 +93,7 @@ def reason(gambling: Column) -> Column:
     return F.when(T.is_blank(F.col("donator")) & T.is_blank(F.col("message")), F.lit("empty input")).otherwise(text)
 
 
-EVIDENCE = [f"{p}_{n}" for p, names in (("donor", "variants tokens squeezed high hard suspicious near"), ("msg", "variants tokens squeezed high hard suspicious promo weak anti gaming general strong near")) for n in names.split()]
+EVIDENCE = [f"{p}_{n}" for p, names in (("donor", DONOR_LISTS), ("msg", MESSAGE_LISTS)) for n in ("variants", *names)]
 
 
 def decide(df: DataFrame, donor_variants: Column, message_variants: Column, gambling: Column | None = None) -> DataFrame:
@@ -114,5 +102,5 @@ def decide(df: DataFrame, donor_variants: Column, message_variants: Column, gamb
     df = inspect(inspect(df, "donor", donor_variants, False), "msg", message_variants, True)
     blank = T.is_blank(F.col("donator")) & T.is_blank(F.col("message"))
     df = df.withColumn("score", F.when(blank, 0).otherwise(rule_score() + classifier_boost(gambling)).cast("int"))
-    df = df.withColumn("_decision", decision(gambling)).withColumn("reason", reason(gambling))
-    return df.withColumn("action", F.col("_decision.action")).withColumn("stage", F.col("_decision.stage")).drop("_decision")
+    df = df.withColumns({"_decision": decision(gambling), "reason": reason(gambling)})
+    return df.withColumns({"action": F.col("_decision.action"), "stage": F.col("_decision.stage")}).drop("_decision")

@@ -9,7 +9,8 @@ from palisade.functions import text as T
 from palisade.operators import audit, scoring
 from palisade.operators.decision import EVIDENCE, decide
 from palisade.operators.payloads import block_frames, parse_frame
-from palisade.operators.typo import EVERYDAY, canonical_texts
+from palisade.operators.preparing import variants
+from palisade.operators.typo import EVERYDAY
 
 METHODS = ("algorithm", "classifier", "both")
 DONOR_REPLACEMENT, MESSAGE_REPLACEMENT = "***", "***"
@@ -26,20 +27,15 @@ def moderate(df: DataFrame, method: str = "algorithm", scorer: scoring.Scorer |
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     columns = df.columns
     df = df.withColumns({"donator": T.as_string(F.col("donator")), "message": T.as_string(F.col("message"))})
-    # Readings are arrays of their own projection: the expressions below refer to them, not to their making.
+    # Readings are arrays of their own projection: the steps below refer to them, not to their making.
     df = df.withColumns({"_donor_bases": T.normalize_text(F.col("donator")), "_msg_bases": T.normalize_text(F.col("message"))})
-    canonical: dict[str, Column | None] = {"_donor_bases": None, "_msg_bases": None}
-    if words is not None:
-        for name in canonical:
-            df = df.withColumn(f"{name}_c", canonical_texts(F.col(name), words, fuzzy))
-            canonical[name] = F.col(f"{name}_c")
     gambling = None
     if method != "algorithm":
         joined = F.concat_ws(" ", F.nullif("donator", F.lit("")), F.nullif("message", F.lit("")))
         text = scoring.classifier_text(F.col("donator"), F.col("message"), T.normalize_text(joined))
         df = df.withColumn("_text", text).withColumn("_gambling", (scorer or scoring.stub_score)(F.col("_text")))
         gambling = F.col("_gambling")
-    made = decide(df, T.variants(F.col("_donor_bases"), canonical["_donor_bases"]), T.variants(F.col("_msg_bases"), canonical["_msg_bases"]), gambling if method == "both" else None)
+    made = decide(df, variants(F.col("_donor_bases"), words, fuzzy), variants(F.col("_msg_bases"), words, fuzzy), gambling if method == "both" else None)
     if method == "classifier":
         own = scoring.label_verdict((gambling > 0.5).cast("int"), gambling)
         nothing = F.struct(F.lit("allow").alias("action"), F.lit("classifier").alias("stage"), F.lit("empty-input").alias("reason"))
