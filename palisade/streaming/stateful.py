@@ -12,8 +12,12 @@ from palisade.functions import fixed_values as fixed
 from palisade.plans.moderate import moderate
 
 
-def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX) -> DataFrame:
-    """hits (key string, ts_ms long) plus count, limited, retry_after. State leaves when a key pauses for two windows."""
+def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX, evict: bool = True) -> DataFrame:
+    """hits (key string, ts_ms long) plus count, limited, retry_after.
+
+    With evict, a timer drops the state of keys that pause for two windows; the timer keeps the query busy, so a
+    run over what is there (availableNow) leaves it out.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,10 +34,11 @@ def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, mo
                 rows.append((key[0], now, count, limited, max(1, -(-(until - now) // 1000)) if limited else None))
             yield pd.DataFrame(rows, columns=["key", "ts_ms", "count", "limited", "retry_after"]).astype({"retry_after": "Int32"})
         state.update((until, count))
-        state.setTimeoutDuration(2 * window_ms)
+        if evict:
+            state.setTimeoutDuration(2 * window_ms)
 
     out = "key string, ts_ms long, count int, limited boolean, retry_after int"
-    return hits.groupBy("key").applyInPandasWithState(step, out, "until long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(step, out, "until long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
 def arm_fire_stream(events: DataFrame) -> DataFrame:
