@@ -8,8 +8,11 @@ with them and best-fits the displaced ones; after each epoch an island's elite m
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,39 @@ PROBLEM, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4_096, 2, 2, 4, 6
 WORD_CACHE = 900_000
 
 
+def _merge_encoding(path: str):
+    """The file's merges as a tiktoken encoding, or None where they are not plain byte-level BPE in id order."""
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        return None
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    # Byte-level files write a byte as itself where it is printable, the others as letters from U+0100 on.
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letter[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    if made != sorted(made) or len(made) + 256 != len(ranks):
+        return None
+    return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordTokenizer:
     """Ids of texts as packed little-endian unsigned 32-bit numbers.
 
     A blank before a non-blank always begins a new pre-token, so a text's ids are those of its blank-separated words
-    one after the other; words are tokenised by the library once and remembered.
+    one after the other; words are tokenised once and remembered. Where the file is a plain byte-level BPE whose ids are
+    in the order of its merges, the merges run in tiktoken over that file's vocabulary, which gives the same ids
+    in a quarter of the time; any other file, and texts with added tokens, go through the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -41,6 +72,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        self.merges = _merge_encoding(path)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if self.merges is None:
+            return self._packed(words)
+        encode = self.merges.encode_ordinary
+        return [array("I", encode(w)).tobytes() for w in words]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,13 +101,13 @@ class WordTokenizer:
         fresh = list(new)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            memory.update(zip(part, self._packed([" " + w for w in part]), strict=True))
+            memory.update(zip(part, self._words([" " + w for w in part]), strict=True))
         out = []
         for text, parts in zip(texts, split, strict=True):
             if parts is None:
                 out += self._packed([text])
             else:
-                out.append((self._packed([parts[0]])[0] if parts[0] else b"") + b"".join([memory[w] for w in parts[1]]))
+                out.append((self._words([parts[0]])[0] if parts[0] else b"") + b"".join([memory[w] for w in parts[1]]))
         return out
 
 
