@@ -44,30 +44,29 @@ def plain(x: Column) -> Column:
 # ---- scalar functions over whole documents ----
 
 
-def _over_documents(name: str, columns: dict[str, Column], oracle: str | None) -> None:
+def _over_documents(name: str, columns: Callable[[Column], dict[str, Column]], oracle: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns(F.col("text")).items()])
 
     QUERIES[name] = run
     if oracle:
         ORACLES[name] = f"SELECT doc_id, {oracle} FROM documents"
 
 
-_text = F.col("text")
-_over_documents("sanitize_truncate", {"line": F.md5(T.sanitize(_text)), "short": T.truncate(_text)}, r"md5(trim(regexp_replace(text, '[\r\n\t]+', ' ', 'g'))) AS line, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS short")
-_over_documents("text_squeeze", {"squeezed": F.md5(T.squeeze(_text))}, "md5(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS squeezed")
-_over_documents("text_wordify", {"words": F.md5(T.wordify(_text))}, "md5(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS words")
-_over_documents("text_tokens", {"n_tokens": F.size(T.tokens(_text)), "n_distinct": F.size(T.all_tokens(F.array(_text)))}, "len(regexp_extract_all(text, '[a-z0-9]+'))::INTEGER AS n_tokens, len(list_distinct(regexp_extract_all(text, '[a-z0-9]+')))::INTEGER AS n_distinct")
+_over_documents("sanitize_truncate", lambda text: {"line": F.md5(T.sanitize(text)), "short": T.truncate(text)}, r"md5(trim(regexp_replace(text, '[\r\n\t]+', ' ', 'g'))) AS line, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS short")
+_over_documents("text_squeeze", lambda text: {"squeezed": F.md5(T.squeeze(text))}, "md5(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS squeezed")
+_over_documents("text_wordify", lambda text: {"words": F.md5(T.wordify(text))}, "md5(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS words")
+_over_documents("text_tokens", lambda text: {"n_tokens": F.size(T.tokens(text)), "n_distinct": F.size(T.all_tokens(F.array(text)))}, "len(regexp_extract_all(text, '[a-z0-9]+'))::INTEGER AS n_tokens, len(list_distinct(regexp_extract_all(text, '[a-z0-9]+')))::INTEGER AS n_distinct")
 for _name, _fold in (("i", fixed.LEET_I), ("l", fixed.LEET_L), ("conservative", fixed.LEET_KEEP_468)):
-    _over_documents(f"leet_fold_{_name}", {"folded": F.md5(T.fold_leet(_text, _fold))}, f"md5(translate(text, '{_fold[0]}', '{_fold[1]}')) AS folded")
-_over_documents("strip_diacritics", {"plain": F.md5(T.strip_marks(_text))}, "md5(strip_accents(text)) AS plain")
-_over_documents("collapse_repeats", {"collapsed": F.md5(T.collapse_punctuation(T.collapse_repeats(_text)))}, None)
-_over_documents("strip_ornaments", {"plain": F.md5(T.strip_ornaments(_text))}, r"md5(regexp_replace(text, '[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]', '', 'g')) AS plain")
-_over_documents("strip_invisible", {"plain": F.md5(T.strip_invisible(F.concat(_text, F.lit("​x﻿"))))}, r"md5(regexp_replace(concat(text, '​x﻿'), '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}]', '', 'g')) AS plain")
-_over_documents("squeeze_space", {"squeezed": F.md5(T.squeeze_space(_text))}, r"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS squeezed")
-_over_documents("truncate_field", {"field": F.md5(T.as_string(_text))}, "md5(left(text, 4096)) AS field")
-_over_documents("normalize_variants", {"first": F.md5(F.get(T.normalize_text(_text), F.lit(0))), "n": F.size(T.normalize_text(_text))}, None)
-_over_documents("tighten", {"tight": F.md5(T.tighten(F.lower(_text)))}, None)
+    _over_documents(f"leet_fold_{_name}", lambda text, fold=_fold: {"folded": F.md5(T.fold_leet(text, fold))}, f"md5(translate(text, '{_fold[0]}', '{_fold[1]}')) AS folded")
+_over_documents("strip_diacritics", lambda text: {"plain": F.md5(T.strip_marks(text))}, "md5(strip_accents(text)) AS plain")
+_over_documents("collapse_repeats", lambda text: {"collapsed": F.md5(T.collapse_punctuation(T.collapse_repeats(text)))}, None)
+_over_documents("strip_ornaments", lambda text: {"plain": F.md5(T.strip_ornaments(text))}, r"md5(regexp_replace(text, '[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]', '', 'g')) AS plain")
+_over_documents("strip_invisible", lambda text: {"plain": F.md5(T.strip_invisible(F.concat(text, F.lit("​x﻿"))))}, r"md5(regexp_replace(concat(text, '​x﻿'), '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}]', '', 'g')) AS plain")
+_over_documents("squeeze_space", lambda text: {"squeezed": F.md5(T.squeeze_space(text))}, r"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS squeezed")
+_over_documents("truncate_field", lambda text: {"field": F.md5(T.as_string(text))}, "md5(left(text, 4096)) AS field")
+_over_documents("normalize_variants", lambda text: {"first": F.md5(F.get(T.normalize_text(text), F.lit(0))), "n": F.size(T.normalize_text(text))}, None)
+_over_documents("tighten", lambda text: {"tight": F.md5(T.tighten(F.lower(text)))}, None)
 
 
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, coalesce(array_to_string(list_transform(range(1, length(message) + 1), lambda i: CASE WHEN message[i] IN ('@','$','!','|') THEN translate(message[i], '@$!|', 'asii') WHEN message[i] IN ('0','1','3','4','5','6','7','8') AND i > 1 AND i < length(message) AND regexp_matches(message[i-1], '[a-zA-Z]') AND regexp_matches(message[i+1], '[a-zA-Z]') THEN translate(message[i], '01345678', 'oieasgtb') ELSE message[i] END), ''), '') AS smart FROM donations")
