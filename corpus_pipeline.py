@@ -25,11 +25,18 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     return sized.select(*columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: their own names may be those of an operator's results."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the byte network scores at least LEAST_QUALITY; it learns from labelled rows that are not held out."""
     net = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(docs.select("*", F.col("text").alias("__text")), net, "__text", tuple(docs.columns))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    plain = _numbered(docs)
+    names, text = plain.columns, f"c{docs.columns.index('text')}"
+    scored = score_quality(plain.withColumn("scored_text", plain[text]), net, "scored_text", tuple(names))
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +51,10 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; every row stays."""
-    others = tuple(c for c in docs.columns if c != "text")
-    masked = find_pii(docs, "text", others, mask=True)
-    return _sized(masked.withColumnRenamed("masked", "text"), docs.columns)
+    plain = _numbered(docs)
+    text = f"c{docs.columns.index('text')}"
+    masked = find_pii(plain, text, tuple(c for c in plain.columns if c != text), mask=True).withColumnRenamed("masked", text)
+    return _sized(masked.select(*plain.columns).toDF(*docs.columns), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
