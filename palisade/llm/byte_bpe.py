@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Remembered pieces per worker; beyond it the memory is cleared (results do not depend on it).
-PIECE_CACHE = 300_000
+PIECE_CACHE = 700_000
 PAIR_CACHE = 1_000_000
 
 
@@ -43,6 +43,8 @@ class ByteBpe:
         self.merged: dict[tuple[int, int], int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
+        #: Ids of pieces seen by this worker, over all its tasks.
+        self.memory: dict[str, list[int]] = {}
         self.trie = ahocorasick.Automaton()
         reachable = []
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
@@ -182,12 +184,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, column: str = "text",
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, memory = loaded(path, pattern), {}
+        coder = loaded(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(len(keep)).to_pylist()]
-                found = list(coded(coder, texts, memory))
+                found = list(coded(coder, texts, coder.memory))
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [pa.array(found, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
