@@ -181,6 +181,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # A gram in two places: the least and the greatest print of its places differ. Hot grams are pre-aggregated.
     place = F.xxhash64("h", "at")
     twice = suffixes.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
+    # Written first, so that the join meets two plain shuffles, and one hot gram can be split over tasks.
+    twice = settled(twice)
     wanted = suffixes.join(twice, "gram", "left_semi").groupBy("h").agg(F.collect_set("at").alias("wanted")).join(texts, "h")
     wanted = settled(wanted.select(F.col("h").alias("_h"), "first_id", "wanted"))
     small = (wanted.agg(F.sum(F.size("wanted") + 8)).first()[0] or 0) <= 4 * BROADCAST_IDS
