@@ -27,7 +27,7 @@ from palisade.llm.common import settled
 #: Pieces of one packing problem, about; islands; epochs between migrations; population and generations.
 PROBLEM, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4_096, 2, 2, 4, 6
 #: Remembered words per worker; beyond it the memory is cleared (results do not depend on it).
-WORD_CACHE = 500_000
+WORD_CACHE = 400_000
 
 
 def _merge_encoding(path: str):
@@ -111,16 +111,6 @@ class WordTokenizer:
         return out
 
 
-_coders: dict[str, WordTokenizer] = {}
-
-
-def _coder(path: str) -> WordTokenizer:
-    """One tokenizer per worker and file, with its memory, over all tasks."""
-    if path not in _coders:
-        _coders[path] = WordTokenizer(path)
-    return _coders[path]
-
-
 def _joined(head: str, words: list[str]) -> tuple[str, list[str]]:
     """Words that begin with white space, or are empty, appended to what stands before them."""
     out = [[head]]
@@ -146,7 +136,7 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, keep: tuple[st
     """The pieces of all documents: kept columns, a row number of their own, piece, start, length, ids_crc32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row, end = _coder(path), TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
+        coder, row, end = WordTokenizer(path), TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
