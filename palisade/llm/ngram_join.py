@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palisade.llm.common import byte_slices, settled
 from palisade.llm.components import components
@@ -268,6 +269,14 @@ def similar_documents(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     part; where no row of a component has an id it is null. Repeated rows and ids stay and link. An empty
     table gives an empty result. Names of other columns do not matter.
     """
+    return _similar(docs, percent, width).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """What similar_documents gives, the digest h1, h2 of the row's set, and `lead`.
+
+    lead is true for the rows of one id and one set per component: the smallest id (null comes last), then the smallest digest.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settled(_sets(docs, width, percent, _frequent(docs, width, percent)))
     members = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
@@ -299,23 +308,55 @@ def similar_documents(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
     linked = joined.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     whole = components(joined.where("h1 <> root").select(F.col("h1").alias("a"), F.col("root").alias("b")))
     whole = whole.select(F.col("node").alias("h1"), F.col("component").alias("root"))
-    least = whole.join(members, "h1").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    known = members.join(linked, ["h1", "h2"], "left").join(whole.join(least, "root").select("h1", "least_id"), "h1", "left")
-    known = known.select("h1", "h2", F.coalesce("least_id", "first_id").alias("_component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("_links"))
+    front = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h1", "h2")
+    least = whole.join(members, "h1").groupBy("root").agg(F.min("first_id").alias("least_id"), F.min(front).alias("front"))
+    known = members.join(linked, ["h1", "h2"], "left").join(whole.join(least, "root").select("h1", "least_id", "front"), "h1", "left")
+    in_front = F.col("front").isNull() | ((F.col("h1") == F.col("front.h1")) & (F.col("h2") == F.col("front.h2")))
+    known = known.select("h1", "h2", F.coalesce("least_id", "first_id").alias("_component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("_links"), in_front.alias("_front"))
     out = sets.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.when(empty, 0).otherwise(F.col("_links")).cast("long").alias("n_links"))
+    lead = empty | (F.col("_front") & F.col("doc_id").eqNullSafe(F.col("_component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.when(empty, 0).otherwise(F.col("_links")).cast("long").alias("n_links"), "h1", "h2", lead.alias("lead"))
+
+
+def _with_digests(docs: DataFrame, width: int) -> DataFrame:
+    """docs with its columns named c0, c1, ... and n, h1, h2 of each row's set."""
+    text, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, flat, offsets in byte_slices(batch.column(text)):
+                sets = shingles(flat, offsets, width)
+                digests = [_digest(own) for own in sets]
+                columns = [column.slice(first, last - first) for column in batch.columns]
+                columns += [pa.array([len(own) for own in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "n", "h1", "h2"])
+
+    plain = docs.toDF(*names)
+    schema = StructType([*plain.schema.fields, *[StructField(name, LongType()) for name in ("n", "h1", "h2")]])
+    return plain.mapInArrow(work, schema)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (an arbitrary one of repeated rows)."""
-    found = settled(similar_documents(docs, percent, width))
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = by_ids(docs, gone, "left_anti")
-    # Rows of one id that link with each other: only these are compared as rows, the rest is not shuffled.
-    repeated = found.where("n_links > 0").groupBy("doc_id").count().where("count > 1")
-    repeated = settled(repeated.select("doc_id"))
-    if not repeated.count():
+    """docs with one row of each component: one with the smallest id (null comes last; an arbitrary one of equal id and set).
+
+    Rows without words all stay. Rows are told apart by id and set, so those that share an id, or have none, are decided each
+    for itself. Only rows of such ids are digested again; the rest is dropped by id.
+    """
+    found = settled(_similar(docs, percent, width).select("doc_id", "h1", "h2", (F.col("n_links") > 0).alias("linked"), "lead"))
+    stays = ~F.col("linked") | F.col("lead")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("count"), F.bool_or("linked").alias("linked"), F.bool_or(stays).alias("stays"))
+    # Ids of which no row stays, and ids of several rows that need a look at each.
+    ids = settled(ids.where("linked and (count > 1 or not stays)").select("doc_id", F.col("stays").alias("mixed")))
+    kept = by_ids(docs, ids, "left_anti")
+    mixed = ids.where("mixed")
+    if mixed.isEmpty():
         return kept
-    once = by_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"])
-    return by_ids(kept, repeated, "left_anti").unionByName(once)
+    doc_id = f"c{docs.columns.index('doc_id')}"
+    rows = _with_digests(by_ids(docs, mixed, "left_semi"), width)
+    # Rows of one id and set link with each other. Leaving one of them before the join also leaves no hot key.
+    once = rows.where("n > 0").dropDuplicates([doc_id, "h1", "h2"])
+    gone = found.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    once = once.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_anti")
+    back = once.unionByName(rows.where("n = 0")).drop("n", "h1", "h2").toDF(*docs.columns)
+    return kept.unionByName(back)

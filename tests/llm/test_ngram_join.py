@@ -89,3 +89,27 @@ def test_keep_one_and_empty_table(spark):
     assert [k[1] for k in kept] == [None, 2, 7, 9]
     assert ngram_join.similar_documents(frame.limit(0)).count() == 0
     assert ngram_join.keep_one(frame.limit(0)).count() == 0
+
+
+def test_keep_one_decides_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    copied, other = family(rng, 2, 0), [f"{i} lone text that is like none of the others {i}" for i in range(4)]
+    rows = [(5, copied[0]), (None, copied[1]), (None, other[0]), (None, other[1]), (None, None), (None, None), (6, other[2]), (6, copied[0]), (8, other[3]), (8, other[3]), (8, "")]
+    # Groups under null ids, under one id, and under ids that others share.
+    for i, ids in enumerate([(None, None), (None, None, None), (11, 11), (11, None, 12), (12, 11), (13, None)]):
+        texts = family(rng, 1, 0, 10_000 + i)
+        rows += [(doc, texts[0] + " end" * (place % 2)) for place, doc in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "'s' as h1", "doc_id", "array(1, null) as n")
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    sets, groups = [plain_set(t) for _, t in rows], []
+    for at, own in enumerate(sets):
+        near = [g for g in groups if own and any(100 * len(own & sets[i]) >= 80 * len(own | sets[i]) for i in g)]
+        groups = [g for g in groups if g not in near] + [[at, *(i for g in near for i in g)]]
+    assert len(got) == len(groups)
+    for group in groups:
+        members = [rows[i] for i in group]
+        least = min((doc for doc, _ in members if doc is not None), default=None)
+        alike = [g for g in got if g in members]
+        assert alike and all(doc == least for doc, _ in alike), members
