@@ -39,9 +39,12 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-HINT = re.compile(r"[@0-9]|[(\[]at[)\]]")
+_AT = r"[(\[](?:at|AT)[)\]]"
+AT = re.compile(_AT)
+# What every base or loose span holds: a digit, an @, a written-out at, or (IPv6 of letters only) a group between colons.
+HINT = re.compile(rf"[@0-9]|{_AT}|:[A-Fa-f]{{1,4}}:")
 
-LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[](?:dot|DOT)[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,5}")
+LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?" + _AT + r" ?[A-Za-z0-9-]{1,63}(?: ?[(\[](?:dot|DOT)[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,5}")
 LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])")
 LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}(?:([ ./-])[0-9]{4,6})(?:\1[0-9]{3,5}){1,3}(?![0-9A-Za-z])")
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z.+(-])\(?0[0-9]{1,4}\)?[ ./-]?[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![0-9A-Za-z-]|\.[0-9])")
@@ -98,7 +101,7 @@ def loose_spans(text: str) -> list[Span]:
     """Candidates of the looser patterns."""
     found = []
     for kind, pattern in ((0, LOOSE_EMAIL), (1, LOOSE_IP), (2, LOOSE_CARD), (3, LOOSE_PHONE)):
-        if kind or "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text:
+        if kind or AT.search(text):
             found += [Span(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found
 

@@ -37,6 +37,29 @@ def test_known_spans_and_masking():
     assert pii.masked(text, base) == "mail <EMAIL>, host <IP> card <CARD> tel <PHONE>."
 
 
+def plain_loose(text):
+    return [(m.start(), m.end(), kind) for kind, pattern in enumerate((pii.LOOSE_EMAIL, pii.LOOSE_IP, pii.LOOSE_CARD, pii.LOOSE_PHONE)) for m in pattern.finditer(text)]
+
+
+PIECES = ["john", "ab", " ", ".", "(at)", "[at]", "(AT)", "[AT]", "(at]", "(dot)", "[DOT]", "com", ":", "fe:", "ab:CD:ef:aa:bb:cc:dd:ee", "12", "@", "é"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_candidates_leave_no_text_out(text):
+    assert [tuple(s) for s in pii.loose_spans(text)] == plain_loose(text)
+    base, free = pii.candidates(text)
+    assert [tuple(s) for s in base] == plain_spans(text)
+    for start, end, _ in plain_loose(text):
+        assert any(start < s.end and s.start < end for s in [*base, *free])
+
+
+def test_candidates_without_digits():
+    for text, kind in [("write john (AT) example (DOT) com now", 0), ("john [AT] example.com", 0), ("john (at] example.com", 0), ("host ab:cd:ef:aa:bb:cc:dd:FE up", 1)]:
+        base, free = pii.candidates(text)
+        assert not base and [s.kind for s in free] == [kind], text
+
+
 def test_votes_train_a_classifier_that_adds_spans():
     seen = pii.Counter()
     sure = ["mail a@b.com ", "tel +1 389 555 5010 ", "card 4111 1111 1111 1111 ", "server 10.1.2.3 "]
