@@ -100,12 +100,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -
     return score
 
 
-def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 1.0, least: float = 1e-6) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, method for every page.
 
     Null urls and urls without `://` have an empty host and path, fit no rule and are allowed. Null
     html has no links. Hosts without any score are allowed; ties (distrust equal to threshold * trust)
-    are allowed. Repeated pages keep their rows. An empty table gives an empty result. Only page_id,
+    are allowed. There is no least distrust: the seeds of a kind add up to 1, so any fixed floor would depend on the
+    number of hosts. Repeated pages keep their rows. An empty table gives an empty result. Only page_id,
     url and html are read, so other columns may have any name.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -123,7 +124,7 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
     scores = propagate(host_edges(parsed), seeds, damping, rounds)
     trust = F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0))
     distrust = F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0))
-    blocked = scores.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust")).where((F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > least))
+    blocked = scores.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust")).where(F.col("distrust") > threshold * F.col("trust"))
     blocked = settled(blocked.join(votes.select("host"), "host", "left_semi").select("host"))
     if blocked.count() <= BROADCAST_HOSTS:
         joined = judged.join(F.broadcast(blocked.withColumn("_blocked", F.lit(True))), "host", "left")

@@ -52,3 +52,14 @@ def test_links_of_pages_and_verdicts(spark, monkeypatch):
         monkeypatch.setattr(U, "BROADCAST_HOSTS", limit)
         got = {r.page_id: r.verdict for r in U.judge_pages(frame).collect()}
         assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+
+
+def test_copies_of_a_host_graph_leave_every_verdict(spark):
+    pages = [("http://bad{}.com/en/1", ""), ("http://bad{}.com/plain", ""), ("http://near{}.io/x", '<a href="http://bad{}.com/z">q</a>'), ("http://far{}.io/x", '<a href="//near{}.io/">n</a><a href="//good{}.net/">g</a>'), ("http://good{}.net/de/1", '<a href="//fine{}.io/">f</a>'), ("http://fine{}.io/x", "")]
+    for copies in (1, 160_000):
+        numbers, parts = spark.range(copies).withColumn("at", F.col("id").cast("string")), []
+        for place, (url, html) in enumerate(pages):
+            parts.append(F.struct(F.lit(place).cast("long").alias("page_id"), F.replace(F.lit(url), F.lit("{}"), F.col("at")).alias("url"), F.replace(F.lit(html), F.lit("{}"), F.col("at")).alias("html")))
+        frame = numbers.select(F.inline(F.array(*parts)))
+        got = {(r.page_id, r.verdict): r["count"] for r in U.judge_pages(frame).groupBy("page_id", "verdict").count().collect()}
+        assert got == {(0, "block"): copies, (1, "block"): copies, (2, "block"): copies, (3, "block"): copies, (4, "allow"): copies, (5, "allow"): copies}
