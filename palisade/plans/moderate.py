@@ -16,12 +16,13 @@ METHODS = ("algorithm", "classifier", "both")
 DONOR_REPLACEMENT, MESSAGE_REPLACEMENT = "***", "***"
 
 
-def moderate(df: DataFrame, method: str = "algorithm", scorer: scoring.Scorer | None = None, killed: Column | None = None, words: tuple[str, ...] | None = EVERYDAY, fuzzy: bool = False, evidence: bool = False) -> DataFrame:
+def moderate(df: DataFrame, method: str = "algorithm", scorer: scoring.Scorer | None = None, killed: Column | None = None, words: tuple[str, ...] | None = EVERYDAY, fuzzy: bool = True, evidence: bool = False) -> DataFrame:
     """df (donator, message strings) plus score, action, stage, reason, and the evidence columns if wanted.
 
     method: rules only, classifier only, or both (its probability joins the score). scorer turns the classifier's
     text into a probability; null, where it fails, falls back to the rules. words is the dictionary of the
-    typo step; None leaves the step out. killed rows are allowed without a decision.
+    typo step; None leaves the step out. fuzzy also takes the nearest word of the dictionary, not only equal ones. killed
+    rows are allowed without a decision.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")

@@ -90,3 +90,14 @@ def test_check_and_frames(spark):
     out = {r.id: r for r in check_frames(frames, "id").collect()}
     assert out[1].first_block == 1 and out[1].checked == 2 and '"keep":1' in out[1].delivered and '"tts":null' in out[1].delivered and "zeus" not in out[1].delivered
     assert out[2].delivered == '{"type":"other"}' and out[3].delivered == "junk" and out[3].first_block is None
+
+
+def test_near_dictionary_words_decide_by_default(spark):
+    rows = [("servar thailand", "review"), ("pazti menang", "review"), ("servar thailand pazti menang", "block"), ("halo bang", "allow")]
+    frame = spark.createDataFrame([("saweria", "user", m) for m, _ in rows], "platform string, donator string, message string")
+    for made in (moderate(frame), check(frame)):
+        assert {r.message: r.action for r in made.collect()} == dict(rows)
+    assert {r.action for r in moderate(frame, fuzzy=False).collect()} == {"allow"}
+    raw = '{"type":"donation","data":[{"donator":"a","message":"halo"},{"donator":"b","message":"servar thailand pazti menang"}]}'
+    frames = spark.createDataFrame([(1, "saweria", raw)], "id int, platform string, raw string")
+    assert check_frames(frames, "id").first().first_block == 1
