@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """The frame, written once to the cluster's shared checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    is a folder of our own set. The files outlive any executor, so later stages never recompute.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of
+    its own, and a cluster an error: executors would not see a local folder. The files outlive any executor, so
+    later stages never recompute.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="palisade-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -68,3 +72,30 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         own = offsets[first : last + 1]
         yield first, last, flat[own[0] : own[-1]], own - own[0]
         first = last
+
+
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of rows of about `limit` bytes: (first row, last row + 1, texts); null becomes empty."""
+    for first, last, _, _ in byte_slices(column, limit):
+        yield first, last, [t or "" for t in column.slice(first, last - first).to_pylist()]
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work; when a task ends, memory that it has freed goes back to the system.
+
+    Python workers are reused from task to task and stage to stage, and allocators keep what was freed.
+    """
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return done
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system (where the C library is glibc; else only Arrow's)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
