@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from palisade.llm.common import settled
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component): the smallest node that a, b edges of longs reach. Nodes without edges do not appear.
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node, component): the smallest node that a, b edges (longs or binaries) reach. Nodes without edges do not appear.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest of them; rounds of
-    the logarithm of the longest path suffice. Minima are pre-aggregated, so a hub costs no single task.
+    the logarithm of the longest path suffice, and more than `most` raise an error. Minima are pre-aggregated, so a
+    hub costs no single task.
     """
     links = edges.select("a", "b").where("a <> b")
     links = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -30,5 +31,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled after {most} rounds")
     tips = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tips.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

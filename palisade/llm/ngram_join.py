@@ -8,27 +8,32 @@
 3. A block's sets are stored in a trie in one global order (frequent first). Probes walk it together and share
    the overlap of each path; a subtree is left when the lengths that remain cannot bring any probe to the
    threshold. Overlaps at the leaves are exact.
-Blocks and prefix groups that grow large are split in tiles of bounded size that each see every pair once.
+Blocks and prefix groups that grow large are split in tiles of bounded size that each see every pair once. A class
+is known by a 128-bit digest of its set.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from palisade.llm.common import byte_slices, settled
+from palisade.llm.common import byte_slices, frugal, settled
 from palisade.llm.components import components
 from palisade.llm.shingles import mixed, shingles
 
 #: Shingles that are ordered last because they are frequent, at most, and documents that make one frequent.
 FREQUENT, FREQUENT_FROM = 200_000, 24
-#: Classes of one tile: of a prefix shingle, and of a block that is joined; probes that walk a trie together.
-GROUP_TILE, BLOCK_TILE, PROBES = 4_096, 2_048, 256
+#: Classes of one tile of a prefix shingle; shingles of one tile of a block that is joined; cells of the table of probes
+#: that walk a trie together.
+GROUP_TILE, BLOCK_TILE, PROBE_CELLS = 4_096, 600_000, 1 << 25
+#: Runs of classes that a worker remembers, so as not to look at the same one again.
+SEEN_RUNS = 100_000
 #: Lists of up to so many ids (8 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bits of a sketch, least and most.
@@ -67,12 +72,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _digest(values: np.ndarray) -> tuple[int, int]:
+def _digest(values: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     own = np.append(values, np.uint64(len(values)))
     a = mixed(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).sum(dtype=np.uint64, keepdims=True)
     b = np.bitwise_xor.reduce(mixed(own + np.uint64(0x632BE59BD9B4E019)), keepdims=True)
-    return int(_signed(mixed(a))[0]), int(_signed(mixed(b))[0])
+    return mixed(a).tobytes() + mixed(b).tobytes()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -81,27 +86,32 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(flat))
 
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """The upper half of each hash: enough to count by."""
+    return (values >> np.uint64(32)).astype(np.uint32)
+
+
 def _prefix_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The shingles at the front of the hash order of every text, somewhat beyond the prefix."""
+    """The shingles at the front of the hash order of every text, somewhat beyond the prefix, by their upper halves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, flat, offsets in byte_slices(batch.column(0)):
                 fronts = [s[: 1 + int(1.25 * prefix_length(len(s), percent))] for s in shingles(flat, offsets, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(fronts)))], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(_short(np.concatenate(fronts)).view(np.int32))], ["token"])
 
-    return docs.select("text").mapInArrow(work, "token long")
+    return docs.select("text").mapInArrow(frugal(work), "token int")
 
 
 def _frequent(docs: DataFrame, width: int, percent: int) -> np.ndarray:
-    """The most frequent shingles (at most FREQUENT), sorted. They only shape the order; no result depends on them."""
+    """Upper halves of the most frequent shingles (at most FREQUENT), sorted. They only shape the order; no result depends on them."""
     counted = _prefix_tokens(docs, width, percent).groupBy("token").count().where(F.col("count") >= FREQUENT_FROM)
     rows = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toArrow()
-    return np.sort(np.array(rows.column(0), np.int64).view(np.uint64))
+    return np.sort(np.array(rows.column(0), np.int32).view(np.uint32))
 
 
 def _sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2, sketch, prefix of every row."""
+    """doc_id, n, h, sketch, prefix of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,15 +119,14 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> Da
                 sets = shingles(flat, offsets, width)
                 prefixes = []
                 for own in sets:
-                    common = np.isin(own, frequent, assume_unique=True) if len(frequent) and len(own) else np.zeros(len(own), bool)
+                    common = np.isin(_short(own), frequent) if len(frequent) and len(own) else np.zeros(len(own), bool)
                     want = prefix_length(len(own), percent) if len(own) else 0
                     rare = own[~common][:want]
                     prefixes.append(rare if len(rare) == want else np.concatenate([rare, own[common][: want - len(rare)]]))
-                digests = [_digest(own) for own in sets]
-                columns = [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary()), _lists(prefixes)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "sketch", "prefix"])
+                columns = [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(own) for own in sets], pa.binary()), pa.array([sketch_of(s) for s in sets], pa.binary()), _lists(prefixes)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "sketch", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(work), "doc_id long, n long, h binary, sketch binary, prefix array<long>")
 
 
 def _tiled(rows: DataFrame, size: Column, tile: int, key: str) -> DataFrame:
@@ -130,18 +139,19 @@ def _tiled(rows: DataFrame, size: Column, tile: int, key: str) -> DataFrame:
 
 def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning edges of the classes that meet in a prefix shingle and pass the lossless bounds."""
-    tokens = classes.select(F.explode("prefix").alias("token"), F.col("h1").alias("cid"))
-    tokens = tokens.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-    met = _tiled(tokens, F.col("c"), GROUP_TILE, "cid").select("token", "i", "j", "cid")
-    met = met.join(classes.select(F.col("h1").alias("cid"), "n", "sketch"), "cid")
+    tokens = classes.select(F.explode("prefix").alias("token"), "h")
+    # Counted by pre-aggregation: a shingle of many classes is no single task's, and its rows are split where they are joined.
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    met = _tiled(tokens.join(shared, "token"), F.col("c"), GROUP_TILE, "h").select("token", "i", "j", "h")
+    met = met.join(classes.select("h", "n", "sketch"), "h")
     run = F.xxhash64("token", "i", "j")
-    met = met.select(run.alias("run"), "cid", "n", "sketch").repartition("run").sortWithinPartitions("run", "cid")
+    met = met.select(run.alias("run"), "h", "n", "sketch").repartition("run").sortWithinPartitions("run", "h")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[tuple[int, ...]] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            edges: list[tuple[int, int]] = []
+            edges: list[tuple[bytes, bytes]] = []
             for row in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 if held and held[0][0] != row[0]:
                     edges += _survivors(held, percent, seen)
@@ -150,24 +160,25 @@ def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             yield _edge_batch(edges)
         yield _edge_batch(_survivors(held, percent, seen))
 
-    return met.mapInArrow(work, "a long, b long").distinct()
+    return met.mapInArrow(frugal(work), "a binary, b binary").distinct()
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+def _edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
 
 
-def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[int, int]]:
+def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[bytes, bytes]]:
     """Edges that span the components of one run's may-link graph: each found member looks at the rest only."""
     if len(run) < 2:
         return []
-    if len(run) < 64:
-        ids = tuple(r[1] for r in run)
-        if ids in seen:
-            return []
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.add(ids)
+    mark = hashlib.blake2b(b"".join(r[1] for r in run), digest_size=16).digest()
+    if mark in seen:
+        return []
+    if len(seen) > SEEN_RUNS:
+        seen.clear()
+    seen.add(mark)
+    if len(run) >= 64:
+        return _many_survivors(run, percent)
     rest = [(r[1], (r[2], 8 * len(r[3]), int.from_bytes(r[3], "little"))) for r in run]
     edges = []
     while len(rest) > 1:
@@ -185,6 +196,41 @@ def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[int, int
     return edges
 
 
+def _many_survivors(run: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """What _survivors does, with one vectorised look at all that is left per member.
+
+    Sizes that may link are less than a factor of two apart, and so are the sketches' widths: each is held as it is
+    and folded once.
+    """
+    n = np.array([r[2] for r in run])
+    bits = np.array([len(r[3]) for r in run])
+    own, folded = {}, {}
+    for wide in set(bits.tolist()):
+        rows = np.frombuffer(b"".join(r[3] for r in run if len(r[3]) == wide), np.uint8).reshape(-1, wide)
+        place = np.flatnonzero(bits == wide)
+        own[wide] = dict(zip(place.tolist(), rows, strict=True))
+        folded[wide] = dict(zip(place.tolist(), rows[:, : wide // 2] ^ rows[:, wide // 2 :], strict=True))
+    rest, edges = np.arange(len(run)), []
+    while len(rest) > 1:
+        root, queue, rest = int(rest[0]), [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            fits = 100 * np.minimum(n[at], n[rest]) >= percent * np.maximum(n[at], n[rest])
+            linked = np.zeros(len(rest), bool)
+            wide = int(bits[at])
+            for theirs, mine, table in ((wide, own[wide][at], own), (2 * wide, own[wide][at], folded), (wide // 2, folded[wide][at], own)):
+                who = np.flatnonzero(fits & (bits[rest] == theirs))
+                if len(who):
+                    others = np.stack([table[theirs][i] for i in rest[who].tolist()])
+                    apart = np.bitwise_count(others ^ mine).sum(1, dtype=np.int64)
+                    linked[who] = (100 + percent) * apart <= (100 - percent) * (n[at] + n[rest[who]])
+            found = rest[linked].tolist()
+            queue += found
+            edges += [(run[root][1], run[other][1]) for other in found if run[other][1] != run[root][1]]
+            rest = rest[~linked]
+    return edges
+
+
 class Trie:
     """Sets in one order (frequent first) as a compressed trie: sorted sequences and what neighbours share."""
 
@@ -233,16 +279,16 @@ class Trie:
 def join_sets(sets: list[np.ndarray], weights: np.ndarray, percent: int, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the weights of a set's links, first set of its component) for distinct sets.
 
-    With parts of two kinds only pairs across the parts count.
+    With parts only pairs across the parts count, also where all sets here are of one part.
     """
     trie, links, root = Trie(sets), np.zeros(len(sets), np.int64), np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    across = parts is not None and len(set(parts.tolist())) > 1
-    for begin in range(0, len(sets), PROBES):
-        probes = list(range(begin, min(len(sets), begin + PROBES)))
+    turn = min(256, max(8, PROBE_CELLS // max(1, trie.width)))
+    for begin in range(0, len(sets), turn):
+        probes = list(range(begin, min(len(sets), begin + turn)))
         for leaf, overlap in trie.overlaps(probes, percent):
             linked = 100 * overlap >= percent * (sizes[probes] + sizes[leaf] - overlap)
-            if across:
+            if parts is not None:
                 linked &= parts[probes] != parts[leaf]
             who = begin + np.flatnonzero(linked)
             who = who[who != leaf]
@@ -273,68 +319,67 @@ def similar_documents(docs: DataFrame, percent: int = 80, width: int = 5) -> Dat
 
 
 def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """What similar_documents gives, the digest h1, h2 of the row's set, and `lead`.
+    """What similar_documents gives, the digest h of the row's set, and `lead`.
 
     lead is true for the rows of one id and one set per component: the smallest id (null comes last), then the smallest digest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settled(_sets(docs, width, percent, _frequent(docs, width, percent)))
-    members = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
-    classes = sets.where("n > 0").select("h1", "h2", "n", "sketch", "prefix").dropDuplicates(["h1", "h2"])
+    members = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.first("n").alias("n"))
+    classes = sets.where("n > 0").select("h", "n", "sketch", "prefix").dropDuplicates(["h"])
     edges = settled(_candidate_edges(classes, percent))
-    blocks = settled(components(edges).select(F.col("node").alias("h1"), F.col("component").alias("block")).join(members, "h1"))
-    sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("size")), "block")
-    tiles = _tiled(sized, F.col("size"), BLOCK_TILE, "h1").select("block", "i", "j", "part", "h1", "h2", "members")
+    blocks = settled(components(edges).select(F.col("node").alias("h"), F.col("component").alias("block")).join(members, "h"))
+    sized = blocks.join(blocks.groupBy("block").agg(F.sum("n").alias("size")), "block")
+    tiles = _tiled(sized, F.col("size"), BLOCK_TILE, "h").select("block", "i", "j", "part", "h", "members")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, flat, offsets in byte_slices(batch.column(0)):
                 own = shingles(flat, offsets, width)
-                digests = [_digest(s) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), _lists(own)], ["h1", "h2", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in own], pa.binary()), _lists(own)], ["h", "tokens"])
 
     chosen = by_ids(docs, blocks.select(F.col("first_id").alias("doc_id")), "left_semi").select("text")
-    tokens = chosen.mapInArrow(full_sets, "h1 long, h2 long, tokens array<long>").dropDuplicates(["h1", "h2"])
+    tokens = chosen.mapInArrow(frugal(full_sets), "h binary, tokens array<long>").dropDuplicates(["h"])
 
-    def verify(rows: pa.Table) -> pa.Table:
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
+        # A tile of one part holds its inner pairs, a tile of two only those across.
+        parts = np.array(rows.column("part")) if key[1].as_py() != key[2].as_py() else None
         lists = rows.column("tokens").combine_chunks()
         flat, at = np.array(lists.values, np.int64).view(np.uint64), np.array(lists.offsets)
-        links, root = join_sets([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], np.array(rows.column("members")), percent, np.array(rows.column("part")))
-        h1 = np.array(rows.column("h1"))
-        return pa.table({"h1": h1, "h2": rows.column("h2"), "links": links, "root": h1[root]})
+        links, root = join_sets([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], np.array(rows.column("members")), percent, parts)
+        return pa.table({"h": rows.column("h"), "links": links, "root": rows.column("h").take(pa.array(root))})
 
-    joined = tiles.join(tokens, ["h1", "h2"]).groupBy("block", "i", "j").applyInArrow(verify, "h1 long, h2 long, links long, root long")
+    joined = tiles.join(tokens, "h").groupBy("block", "i", "j").applyInArrow(verify, "h binary, links long, root binary")
     joined = settled(joined)
-    linked = joined.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    whole = components(joined.where("h1 <> root").select(F.col("h1").alias("a"), F.col("root").alias("b")))
-    whole = whole.select(F.col("node").alias("h1"), F.col("component").alias("root"))
-    front = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h1", "h2")
-    least = whole.join(members, "h1").groupBy("root").agg(F.min("first_id").alias("least_id"), F.min(front).alias("front"))
-    known = members.join(linked, ["h1", "h2"], "left").join(whole.join(least, "root").select("h1", "least_id", "front"), "h1", "left")
-    in_front = F.col("front").isNull() | ((F.col("h1") == F.col("front.h1")) & (F.col("h2") == F.col("front.h2")))
-    known = known.select("h1", "h2", F.coalesce("least_id", "first_id").alias("_component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("_links"), in_front.alias("_front"))
-    out = sets.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
+    linked = joined.groupBy("h").agg(F.sum("links").alias("links"))
+    whole = components(joined.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")))
+    whole = whole.select(F.col("node").alias("h"), F.col("component").alias("root"))
+    front = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h")
+    least = whole.join(members, "h").groupBy("root").agg(F.min("first_id").alias("least_id"), F.min(front).alias("front"))
+    known = members.join(linked, "h", "left").join(whole.join(least, "root").select("h", "least_id", "front"), "h", "left")
+    in_front = F.col("front").isNull() | (F.col("h") == F.col("front.h"))
+    known = known.select("h", F.coalesce("least_id", "first_id").alias("_component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("_links"), in_front.alias("_front"))
+    out = sets.select("doc_id", "n", "h").join(known, "h", "left")
     empty = F.col("n") == 0
     lead = empty | (F.col("_front") & F.col("doc_id").eqNullSafe(F.col("_component")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.when(empty, 0).otherwise(F.col("_links")).cast("long").alias("n_links"), "h1", "h2", lead.alias("lead"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), F.when(empty, 0).otherwise(F.col("_links")).cast("long").alias("n_links"), "h", lead.alias("lead"))
 
 
 def _with_digests(docs: DataFrame, width: int) -> DataFrame:
-    """docs with its columns named c0, c1, ... and n, h1, h2 of each row's set."""
+    """docs with its columns named c0, c1, ... and n, h of each row's set."""
     text, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, flat, offsets in byte_slices(batch.column(text)):
                 sets = shingles(flat, offsets, width)
-                digests = [_digest(own) for own in sets]
                 columns = [column.slice(first, last - first) for column in batch.columns]
-                columns += [pa.array([len(own) for own in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n", "h1", "h2"])
+                columns += [pa.array([len(own) for own in sets], pa.int64()), pa.array([_digest(own) for own in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "n", "h"])
 
     plain = docs.toDF(*names)
-    schema = StructType([*plain.schema.fields, *[StructField(name, LongType()) for name in ("n", "h1", "h2")]])
-    return plain.mapInArrow(work, schema)
+    schema = StructType([*plain.schema.fields, StructField("n", LongType()), StructField("h", BinaryType())])
+    return plain.mapInArrow(frugal(work), schema)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -343,7 +388,7 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     Rows without words all stay. Rows are told apart by id and set, so those that share an id, or have none, are decided each
     for itself. Only rows of such ids are digested again; the rest is dropped by id.
     """
-    found = settled(_similar(docs, percent, width).select("doc_id", "h1", "h2", (F.col("n_links") > 0).alias("linked"), "lead"))
+    found = settled(_similar(docs, percent, width).select("doc_id", "h", (F.col("n_links") > 0).alias("linked"), "lead"))
     stays = ~F.col("linked") | F.col("lead")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("count"), F.bool_or("linked").alias("linked"), F.bool_or(stays).alias("stays"))
     # Ids of which no row stays, and ids of several rows that need a look at each.
@@ -355,8 +400,8 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     doc_id = f"c{docs.columns.index('doc_id')}"
     rows = _with_digests(by_ids(docs, mixed, "left_semi"), width)
     # Rows of one id and set link with each other. Leaving one of them before the join also leaves no hot key.
-    once = rows.where("n > 0").dropDuplicates([doc_id, "h1", "h2"])
-    gone = found.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
-    once = once.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_anti")
-    back = once.unionByName(rows.where("n = 0")).drop("n", "h1", "h2").toDF(*docs.columns)
+    once = rows.where("n > 0").dropDuplicates([doc_id, "h"])
+    gone = found.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    once = once.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_anti")
+    back = once.unionByName(rows.where("n = 0")).drop("n", "h").toDF(*docs.columns)
     return kept.unionByName(back)
