@@ -32,6 +32,43 @@ def test_evolution_keeps_every_item_and_never_loses_to_best_fit():
             assert all(sum(lengths[i] for i in b) + r == 1024 for b, r in zip(bins.items, bins.room))
 
 
+def test_search_reaches_optima_that_best_fit_misses():
+    # Eight bins that three pieces each fill to the brim: no packing has fewer, best fit needs more.
+    won = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        lengths = []
+        for _ in range(8):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers((1000 - a) // 2 - 60, (1000 - a) // 2))
+            lengths += [a, b, 1000 - a - b]
+        order = rng.permutation(24)
+        lengths = [lengths[i] for i in order]
+        start = packing.Bins(lengths, 1000)
+        start.best_fit(list(range(24)))
+        found = packing.evolve(lengths, 1000, seed)
+        assert packing.lower_bound(lengths, 1000) == 8 <= len(found.items) <= len(start.items)
+        assert packing.evolve(lengths, 1000, seed).items == found.items
+        won += len(found.items) == 8 < len(start.items)
+    assert won >= 8
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_lower_bound_is_never_over_the_optimum(lengths):
+    def least(rest, rooms):
+        if not rest:
+            return len(rooms)
+        best = len(lengths)
+        for at in {r: i for i, r in enumerate(rooms)}.values():
+            if rooms[at] >= rest[0]:
+                best = min(best, least(rest[1:], [r - rest[0] * (i == at) for i, r in enumerate(rooms)]))
+        return min(best, least(rest[1:], [*rooms, 20 - rest[0]]))
+
+    optimum = least(lengths, [])
+    assert packing.lower_bound(lengths, 20) <= optimum == len(packing.evolve(lengths, 20, 0).items)
+
+
 def test_frames(spark):
     text = "word and word, " * 700
     rows = [(1, "hello there"), (1, "hello there"), (2, None), (3, ""), (None, text), (5, text), (6, "x" * 50)]
@@ -39,7 +76,9 @@ def test_frames(spark):
     out = packing.pack(docs, PATH, problem=4).collect()
     ids = PLAIN.encode(text, add_special_tokens=False).ids + [2]
     own = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 5)
-    assert own == [(a, len(ids[a : a + 1024]), zlib.crc32(np.array(ids[a : a + 1024], "<u4").tobytes())) for a in range(0, len(ids), 1024)]
+    first = len(ids) % 1024
+    starts = [0, *range(first, len(ids), 1024)]
+    assert own == [(a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in zip(starts, [*starts[1:], len(ids)])]
     assert sum(r.length for r in out if r.doc_id in (2, 3)) == 2 and sum(r.doc_id == 1 for r in out) == 2
     bins: dict = {}
     for r in out:
