@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import byte_slices, frugal, text_slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context", "shape", "checksum", "border")
 YES, NO, NONE = 1, 0, 2
@@ -145,11 +147,20 @@ def candidates(text: str) -> tuple[list[Span], list[Span]]:
     if not HINT.search(text):
         return [], []
     base = base_spans(text)
-    free, taken = [], sorted((s.start, s.end) for s in base)
+    # One sweep: loose spans come by start, base spans as disjoint stretches, and of the loose ones taken only the last matters.
+    stretches: list[list[int]] = []
+    for span in base:
+        if stretches and span.start < stretches[-1][1]:
+            stretches[-1][1] = max(stretches[-1][1], span.end)
+        else:
+            stretches.append([span.start, span.end])
+    free, end, at = [], 0, 0
     for span in sorted(loose_spans(text), key=lambda s: (s.start, -s.end, s.kind)):
-        if all(span.end <= a or span.start >= b for a, b in taken):
+        while at < len(stretches) and stretches[at][1] <= span.start:
+            at += 1
+        if span.start >= end and (at == len(stretches) or span.end <= stretches[at][0]):
             free.append(span)
-            taken.append((span.start, span.end))
+            end = span.end
     return base, free
 
 
@@ -225,14 +236,14 @@ def count_cells(docs: DataFrame, column: str = "text") -> Counter:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
+            for _, _, texts in text_slices(batch.column(0)):
+                for text in texts:
                     base, free = candidates(text)
                     seen.update(cell_of(text, s, True) for s in base)
                     seen.update(cell_of(text, s, False) for s in free)
         yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, k)) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["cell", "n"])
 
-    counted = docs.select(F.col(column).alias("_text")).mapInArrow(work, "cell string, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(column).alias("_text")).mapInArrow(frugal(work), "cell string, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     return Counter({tuple(map(int, r["cell"])): r["n"] for r in counted.collect()})
 
 
@@ -276,8 +287,8 @@ def find_pii(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("do
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for first, last, _, _ in byte_slices(batch.column(len(keep))):
+                part = batch.slice(first, last - first)
                 texts = part.column(len(keep)).to_pylist()
                 found = [all_spans(t, model, known) if t else ([], []) for t in texts]
                 columns = [part.column(i) for i in range(len(keep))]
@@ -289,4 +300,4 @@ def find_pii(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("do
     source = docs.select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return source.mapInArrow(work, f"{schema}, base {spans}, spans {spans}" + ", masked string" * mask)
+    return source.mapInArrow(frugal(work), f"{schema}, base {spans}, spans {spans}" + ", masked string" * mask)
