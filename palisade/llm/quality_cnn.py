@@ -3,7 +3,8 @@
 Bytes pass through learned filters of 8 bytes at every second byte; the responses of a chunk of 256
 positions (chunks overlap by half, together they cover the document) are max-pooled, and the chunks are
 combined by their maximum and their mean into one logistic unit. Embedding and convolution are one
-lookup table per filter tap, so a document of any length costs a few table reads per byte.
+lookup table per filter tap, so a document of any length costs a few table reads per byte. Responses are made and
+pooled a segment at a time; half chunks do not straddle segments, so that the result is that of the whole text.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import byte_slices
+from palisade.llm.common import byte_slices, frugal
 
 TAPS, STRIDE = 8, 2
 CHUNK, HOP = 256, 128
-#: Labelled rows that the network is fitted on, at most, and bytes of each class of sizes in one step.
-FIT_ROWS = 3_000
+#: Positions whose responses are held at a time.
+SEGMENT = 128 * HOP
+#: Labelled rows that the network is fitted on, at most, their bytes, and bytes of the longest; rows of a training step.
+FIT_ROWS, FIT_BYTES, FIT_TEXT = 3_000, 64 << 20, 1 << 20
 BATCH = 32
 
 
@@ -34,40 +37,50 @@ class ByteCnn(NamedTuple):
     offset: float
 
 
-def responses(text: np.ndarray, taps: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Rectified filter responses, one row per position. Short texts are padded with byte 0."""
+def places(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The text, filled to TAPS bytes, and the number of its positions.
+
+    The last position is taken even if the stride would skip it, so that every byte is seen.
+    """
     if len(text) < TAPS:
         text = np.pad(text, (0, TAPS - len(text)))
-    # The last position is taken even if the stride would skip it, so that every byte is seen.
-    starts = np.arange(0, len(text) - TAPS + 1, STRIDE)
-    if starts[-1] != len(text) - TAPS:
-        starts = np.append(starts, len(text) - TAPS)
+    return text, -(-(len(text) - TAPS) // STRIDE) + 1
+
+
+def responses(text: np.ndarray, first: int, last: int, taps: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Rectified filter responses of the positions first .. last - 1, one row each."""
+    starts = np.minimum(np.arange(first, last) * STRIDE, len(text) - TAPS)
     out = np.repeat(bias[None], len(starts), 0)
     for tap in range(TAPS):
         out += taps[tap].take(text[starts + tap], 0)
     return np.maximum(out, 0, out=out)
 
 
-def pooled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks, filters): each overlapping chunk's maxima, and the index of the row of each maximum's half chunk."""
-    halves = np.maximum.reduceat(rows, np.arange(0, len(rows), HOP), 0)
-    return (np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves), halves
+def half_chunks(text: np.ndarray, taps: np.ndarray, bias: np.ndarray, rows: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Maxima of every half chunk, and the positions of the maxima where rows asks for them."""
+    text, n = places(text)
+    tops, where = [], []
+    for first in range(0, n, SEGMENT):
+        own = responses(text, first, min(n, first + SEGMENT), taps, bias)
+        tops.append(np.maximum.reduceat(own, np.arange(0, len(own), HOP), 0))
+        if rows:
+            where += [first + at + own[at : at + HOP].argmax(0) for at in range(0, len(own), HOP)]
+    return np.concatenate(tops), np.array(where) if rows else None
+
+
+def pooled(halves: np.ndarray) -> np.ndarray:
+    """(chunks, filters): the maxima of overlapping chunks, each two half chunks long (one where there is only one)."""
+    return np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
 
 
 def features(text: np.ndarray, net: ByteCnn) -> np.ndarray:
-    chunks, _ = pooled(responses(text, net.taps, net.bias))
+    chunks = pooled(half_chunks(text, net.taps, net.bias)[0])
     return np.concatenate([chunks.max(0), chunks.mean(0)])
 
 
 def score(text: np.ndarray, net: ByteCnn) -> float:
-    """Probability of label 1; segments keep the memory of very long texts bounded."""
-    if len(text) <= 1 << 20:
-        z = features(text, net) @ net.dense + net.offset
-    else:
-        step = (1 << 20) - TAPS
-        parts = [pooled(responses(text[at : at + (1 << 20)], net.taps, net.bias))[0] for at in range(0, len(text), step)]
-        chunks = np.concatenate(parts)
-        z = np.concatenate([chunks.max(0), chunks.mean(0)]) @ net.dense + net.offset
+    """Probability of label 1."""
+    z = features(text, net) @ net.dense + net.offset
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -103,10 +116,9 @@ def train(texts: list[bytes], labels: np.ndarray, filters: int = 12, epochs: int
 def _backward(text: np.ndarray, label: float, params: list[np.ndarray], grads: list[np.ndarray]) -> None:
     taps, bias, dense, offset = params
     filters = len(bias)
-    if len(text) < TAPS:
-        text = np.pad(text, (0, TAPS - len(text)))
-    rows = responses(text, taps, bias)
-    chunks, halves = pooled(rows)
+    halves, best_rows = half_chunks(text, taps, bias, rows=True)
+    text, _ = places(text)
+    chunks = pooled(halves)
     where = np.arange(filters)
     top = chunks.argmax(0)
     x = np.concatenate([chunks.max(0), chunks.mean(0)])
@@ -128,11 +140,7 @@ def _backward(text: np.ndarray, label: float, params: list[np.ndarray], grads: l
     half, kind = np.nonzero(used)
     if not len(half):
         return
-    best = np.empty(len(half), np.int64)
-    for h in np.unique(half):
-        at = h * HOP
-        sel = half == h
-        best[sel] = at + rows[at : at + HOP, kind[sel]].argmax(0)
+    best = best_rows[half, kind]
     value = onto[half, kind]
     np.add.at(grads[1], kind, value)
     starts = np.minimum(best * STRIDE, len(text) - TAPS)
@@ -146,14 +154,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "text") -> ByteCnn:
-    """A network fitted on at most `rows` labelled documents (those of the smallest hashed ids) that are not held out."""
+    """A network fitted on at most `rows` labelled documents (those of the smallest hashed ids) that are not held out.
+
+    Together they hold FIT_BYTES at most; labelled texts over FIT_TEXT bytes are not learned from.
+    """
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # Twice the rows, as some labels may be of documents that are not here.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-    joined = docs.select("doc_id", F.col(column).alias("_text")).join(F.broadcast(chosen), "doc_id")
-    joined = joined.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text")).limit(rows)
-    found = joined.select("_text", "quality").collect()
+    joined = docs.select("doc_id", F.col(column).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= FIT_TEXT).join(F.broadcast(chosen), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("_text"))
+    sample = joined.orderBy(*order).limit(rows)
+    # A running sum over at most `rows` rows.
+    held = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = sample.withColumn("_held", held).where(F.col("_held") <= FIT_BYTES).select("_text", "quality").collect()
     return train([(r["_text"] or "").encode() for r in found], np.array([r["quality"] for r in found], float))
 
 
@@ -174,4 +188,4 @@ def score_quality(docs: DataFrame, net: ByteCnn, column: str = "text", keep: tup
 
     source = docs.select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(work, f"{schema}, score double")
+    return source.mapInArrow(frugal(work), f"{schema}, score double")
