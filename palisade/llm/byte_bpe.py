@@ -18,8 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Remembered pieces per worker; beyond it the memory is cleared (results do not depend on it).
-PIECE_CACHE = 700_000
+from palisade.llm.common import frugal, text_slices
+
+#: Remembered pieces per worker, and letters of the longest; beyond it the memory is cleared (results do not depend on it).
+PIECE_CACHE, PIECE_LETTERS = 400_000, 40
 PAIR_CACHE = 1_000_000
 
 
@@ -169,9 +171,11 @@ def coded(coder: ByteBpe, texts: Iterator[str], memory: dict[str, list[int]]) ->
         for piece in find(text):
             known = memory.get(piece)
             if known is None:
-                if len(memory) >= PIECE_CACHE:
-                    memory.clear()
-                known = memory[piece] = encode_piece(piece.encode())
+                known = encode_piece(piece.encode())
+                if len(piece) <= PIECE_LETTERS:
+                    if len(memory) >= PIECE_CACHE:
+                        memory.clear()
+                    memory[piece] = known
             ids += known
         yield ids
 
@@ -186,9 +190,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, column: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+            for first, last, texts in text_slices(batch.column(len(keep))):
+                part = batch.slice(first, last - first)
                 found = list(coded(coder, texts, coder.memory))
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [pa.array(found, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in found], pa.binary())]
@@ -196,4 +199,4 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, column: str = "text",
 
     source = docs.select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(work, f"{schema}, ids array<int>, decoded binary")
+    return source.mapInArrow(frugal(work), f"{schema}, ids array<int>, decoded binary")
