@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import literal_rows, settled
+from palisade.llm.common import frugal, literal_rows, settled
 
 #: Vectors that the tree is fitted on, at most; children of a node; sample vectors below which a node is a leaf.
 FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 48
@@ -26,6 +26,10 @@ FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 48
 TRIALS, RECALL, MARGIN = 256, 0.95, 1.1
 #: Index rows of a block: neighbouring leaves share one, a leaf with more rows is split over several.
 BLOCK_ROWS = 4_096
+#: Queries that meet a block in one task, about.
+QUERY_ROWS = 2_048
+#: Lists of up to so many (block, part) pairs are broadcast; longer ones are joined by shuffle.
+BROADCAST_PAIRS = 500_000
 
 
 class Tree(NamedTuple):
@@ -47,6 +51,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
+def tamed(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component is about 1: cosines stay exactly the same, and squares
+    neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))[1])
+
+
 def k_means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Assignment of unit rows to at most k clusters by cosine (k-means++ start)."""
     chosen = [int(rng.integers(len(rows)))]
@@ -180,27 +190,34 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.array(column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column.tolist(), float)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = np.array((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten(), float)
+    return flat.reshape(len(column), -1)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of each query row among all other rows.
 
-    Rows with a null id, an unusable vector, or a length other than the commonest of the sample take no part.
-    Ties go to the smaller id. A row is not its own candidate: rows of the query's id are left out, also when an
-    id is repeated; repeated queries are answered once. Fewer than k candidates give fewer rows; an empty
-    table gives none.
+    Rows with a null id or an unusable vector take no part. Vectors of different lengths have no cosine: each length is
+    searched for itself. Ties go to the smaller id. A row is not its own candidate: rows of the query's id are left out,
+    also when an id is repeated; repeated queries are answered once for each length. Fewer than k candidates give fewer
+    rows; an empty table gives none.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    schema = "query_id long, rank int, id long, score double"
-    sample = rows.orderBy(F.xxhash64("id"), "id").select("v").limit(fit_rows).collect()
-    if not sample:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", "))])
-    widths = np.bincount([len(r["v"]) for r in sample])
-    width = int(widths.argmax())
-    base = np.array([r["v"] for r in sample if len(r["v"]) == width])
+    widths = [r["width"] for r in rows.select(F.size("v").alias("width")).distinct().collect()]
+    found = [_search(rows.where(F.size("v") == width), k, fit_rows) for width in sorted(widths)]
+    if not found:
+        schema = "query_id long, rank int, id long, score double"
+        return vectors.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", "))])
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(rows: DataFrame, k: int, fit_rows: int) -> DataFrame:
+    """search for vectors v of one length."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("id"), "id").select("v").limit(fit_rows).toArrow()
+    base = _matrix(sample.column("v"))
     tree = grow(base)
     share = calibrate(base, tree, k)
 
@@ -211,7 +228,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
                 leaf = leaf_of(unit(_matrix(part.column(1))), tree)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf.astype(np.int32))], ["id", "v", "q", "leaf"])
 
-    placed = settled(rows.where(F.size("v") == width).mapInArrow(assign, "id long, v array<double>, q boolean, leaf int"))
+    placed = settled(rows.mapInArrow(frugal(assign), "id long, v array<double>, q boolean, leaf int"))
     # One count per leaf: bounded by the sample, not by the table.
     counted = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     sizes = np.zeros(len(tree.count), np.int64)
@@ -236,18 +253,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows_of), part.column(1).take(rows_of), pa.array(block, pa.int32()), pa.array(wanted, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
 
     asked = placed.where("q").select("id", "v").dropDuplicates(["id"])
-    asked = asked.mapInArrow(walk, "id long, v array<double>, block int, leaves array<int>")
+    # A block's queries are dealt over parts; a block goes to those parts only that ask for it.
+    parts = max(1, -(-placed.where("q").count() // QUERY_ROWS))
+    asked = asked.mapInArrow(frugal(walk), "id long, v array<double>, block int, leaves array<int>")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(parts)).cast("int"))
+    asked = settled(asked)
     places = literal_rows(spark, [{"leaf": int(n), "start": int(start[n]), "parts": int(blocks[n])} for n in tree.leaves], "leaf int, start int, parts int")
     stored = placed.select("id", "v", "leaf").join(F.broadcast(places), "leaf")
     stored = stored.select("id", "v", "leaf", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
+    met = settled(asked.select(F.col("block").alias("_block"), F.col("part").alias("_part")).distinct())
+    stored = stored.join(F.broadcast(met) if met.count() <= BROADCAST_PAIRS else met, F.col("block") == F.col("_block"))
 
     def compare(queries: pa.Table, index: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and index.num_rows:
             order = np.argsort(np.array(index.column("id")), kind="stable")
-            ids, own = np.array(index.column("id"))[order], _matrix(index.column("v"))[order]
+            ids, own = np.array(index.column("id"))[order], tamed(_matrix(index.column("v")))[order]
             norms, leaf = np.linalg.norm(own, axis=1), np.array(index.column("leaf"))[order]
-            asked_ids, asked_rows, wanted = np.array(queries.column("id")), _matrix(queries.column("v")), queries.column("leaves").to_pylist()
+            asked_ids, asked_rows, wanted = np.array(queries.column("id")), tamed(_matrix(queries.column("v"))), queries.column("leaves").to_pylist()
             for i, query in enumerate(asked_rows):
                 cosines = (own @ query) / (norms * np.linalg.norm(query))
                 cosines[(ids == asked_ids[i]) | ~np.isin(leaf, wanted[i])] = -np.inf
@@ -257,7 +280,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "v
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=names)
 
-    found = asked.groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(compare, "query_id long, id long, score double")
+    found = asked.groupBy("block", "part").cogroup(stored.select("id", "v", "leaf", "_block", "_part").groupBy("_block", "_part")).applyInArrow(compare, "query_id long, id long, score double")
     best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))

@@ -46,3 +46,33 @@ def test_hot_vector_and_leaf_split(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): r.id for r in neighbours.search(frame, F.col("vec_id") == 50).collect()}
     assert [got[50, r] for r in range(1, 6)] == [0, 1, 2, 3, 4]
+
+
+def test_isotropic_noise_reaches_the_recall(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(3000, 64)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.search(frame, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    hits = sum(len(got[q] & {i for i, _ in brute(np.arange(3000), rows, q, 5)}) for q in range(0, 3000, 50))
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_extreme_sizes_and_lengths_of_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3e-320, 3e-320]), (3, [0.0, 5.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.5]), (6, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in neighbours.search(frame, F.col("vec_id").isin(0, 4, 6)).collect()}
+    assert [got[0, r][0] for r in (1, 2, 3)] == [2, 1, 3] and (0, 4) not in got
+    assert abs(got[0, 1][1] - 1) < 1e-12 and abs(got[0, 2][1] - 0.5**0.5) < 1e-12
+    assert got[4, 1][0] == 5 and len(got) == 4
+
+
+def test_queries_of_a_block_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(400, 8))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in neighbours.search(frame, F.col("vec_id") % 5 == 0).collect()}
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 7)
+    monkeypatch.setattr(neighbours, "BROADCAST_PAIRS", 0)
+    assert {tuple(r) for r in neighbours.search(frame, F.col("vec_id") % 5 == 0).collect()} == whole and len(whole) == 400
