@@ -25,6 +25,8 @@ CELL_ROWS = 20_000
 MAX_CELLS_PER_ARC = 512
 #: Parts into which the rows of an overfull cell (one key repeated many times) are dealt.
 HOT_PARTS = 256
+#: Lists of up to so many groups (about 40 bytes each) are broadcast; longer ones are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 
 
 def position(key: Column, salt: str) -> Column:
@@ -86,7 +88,8 @@ def ring_shards(docs: DataFrame, key: str = "doc_id", keep: list[Column] | None
 
     Returns the columns of `keep` (default: the key) and `shard` int, `slot` long: the row's place in
     its shard, gapless from 0. Null keys, repeated keys and repeated rows are all placed, each once;
-    ties of a key are ordered by the kept columns and then arbitrarily. An empty table gives an
+    ties of a key are ordered by the kept columns and then arbitrarily. Rows of an overfull cell are numbered by the
+    input partition they come from, so their slots (not the shards' sizes) may differ between runs. An empty table gives an
     empty result. Names in docs do not matter, as only `keep` and the key are read.
     """
     spark = docs.sparkSession
@@ -104,7 +107,7 @@ def ring_shards(docs: DataFrame, key: str = "doc_id", keep: list[Column] | None
     counted = placed.groupBy("_arc", "_cell").count()
     hot = counted.where(F.col("count") > 8 * CELL_ROWS).select("_arc", "_cell", F.lit(True).alias("_hot"))
     placed = placed.join(F.broadcast(hot), ["_arc", "_cell"], "left").withColumn("_sub", F.when(F.col("_hot"), F.col("_part")).otherwise(0)).drop("_hot", "_part")
-    # At most arcs * cells * parts of hot cells: bounded by the parameters above, whatever the input.
+    # One row per arc and cell, and per part of hot cells: broadcast where they are few; else no group is larger than a cell.
     groups = placed.groupBy("_arc", "_cell", "_sub").count()
     before = Window.partitionBy("_arc").orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     groups = settled(groups.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))))
@@ -113,7 +116,8 @@ def ring_shards(docs: DataFrame, key: str = "doc_id", keep: list[Column] | None
     table = literal_rows(spark, shares, "arc int, shard int, lo long, hi long, base long").groupBy("arc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard", "base"))).alias("_shares"))
     # A group's rows are ranked alone; the arc's earlier groups shift the rank.
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_cell", "_sub").orderBy("_at", "kept")).cast("long") - 1)
-    ranked = ranked.join(F.broadcast(groups.drop("count")), ["_arc", "_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    sums = groups.drop("count")
+    ranked = ranked.join(F.broadcast(sums) if sums.count() <= BROADCAST_GROUPS else sums, ["_arc", "_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     ranked = ranked.join(F.broadcast(table.withColumnRenamed("arc", "_arc")), "_arc")
     share = F.filter("_shares", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0]
     return ranked.withColumn("_share", share).select("kept.*", F.col("_share.shard").alias("shard"), (F.col("_share.base") + F.col("_rank") - F.col("_share.lo")).alias("slot"))
