@@ -8,6 +8,7 @@ distrust outweighs its trust by a threshold; pages without a rule take their hos
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from palisade.llm.common import settled
 BROADCAST_HOSTS = 100_000
 #: Parts into which pages of one host are dealt where the host list is joined by shuffle.
 SALTS = 32
+#: Edges of a host above which they are dealt over parts of about so many; rounds between checkpoints.
+HUB_EDGES, TURNS = 100_000, 5
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -65,8 +68,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): links between hosts, one row per pair, pages counted before any shuffle of links.
 
-    Edges are absolute and protocol-relative links of the page, hosts that its text names
-    (`word.word...` after white space or a tag), and from a host to its parent domain and back.
+    Edges are absolute and protocol-relative links of the page, hosts that its text names (three labels or more,
+    `www.example.com` after white space or a tag: two could be the end of a sentence), and from a host to its parent
+    domain and back. Links of a page to one host count once; an own link counts nothing.
     """
     linked = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)"""), 1)
     named = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?<=[\s>;@])((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){2,}[A-Za-z]{2,24})(?=[\s<,;/?#]|$)"), 1)
@@ -80,32 +84,47 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank of both kinds at once: (kind, host, score).
 
     kind 't' runs along edges from trusted seeds, 'd' against them from blocked seeds; the seeds of a kind
-    add up to 1. Each round is one join and one pre-aggregated sum over host edges; a hub's edges are
-    salted on the sending side by the destination.
+    add up to 1. After r rounds at most damping ^ (r + 1) of that is not spread yet: the rounds go on until this, or what
+    the last rounds have added, is under the tolerance. Each round is one join and one pre-aggregated sum over host edges;
+    the edges of a hub are dealt over parts by destination, and its score is sent to each.
     """
     both = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    total = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    both = settled(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    total = settled(both.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("parts")))
+    both = both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"))
+    both = settled(both)
+    hubs = settled(total.where("parts > 1").select("kind", F.col("src").alias("host"), "parts"))
+    few = hubs.count()
     base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    score = base
-    for turn in range(rounds):
-        sent = both.join(score.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
+    score, before, rounds = base, 0.0, max(1, ceil(log(tolerance) / log(damping)) - 1)
+    for turn in range(1, rounds + 1):
+        if few:
+            score = score.join(F.broadcast(hubs) if few <= BROADCAST_HOSTS else hubs, ["kind", "host"], "left")
+            score = score.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        else:
+            score = score.withColumn("part", F.lit(0))
+        sent = both.join(score.withColumnRenamed("host", "src"), ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
         score = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % 4 == 3:
+        if turn % TURNS == 0:
             score = settled(score)
+            # Mass that reaches hosts without a way on is at rest, so there may be little left before the last round.
+            mass = score.agg(F.sum("score")).first()[0] or 0.0
+            if mass - before < tolerance * (1 - damping):
+                break
+            before = mass
     return score
 
 
-def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 1.0) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, tolerance: float = 1e-2, threshold: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, method for every page.
 
     Null urls and urls without `://` have an empty host and path, fit no rule and are allowed. Null
     html has no links. Hosts without any score are allowed; ties (distrust equal to threshold * trust)
-    are allowed. There is no least distrust: the seeds of a kind add up to 1, so any fixed floor would depend on the
+    are allowed. Propagation ends when less than `tolerance` of the seeds' mass is left to spread,
+    which takes 28 rounds at most with these parameters. There is no least distrust: the seeds of a kind add up to 1, so any fixed floor would depend on the
     number of hosts. Repeated pages keep their rows. An empty table gives an empty result. Only page_id,
     url and html are read, so other columns may have any name.
     """
@@ -121,7 +140,7 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
     raw = votes.select(F.lit("t").alias("kind"), "host", (F.col("good") / F.col("n")).alias("seed")).unionByName(votes.select(F.lit("d").alias("kind"), "host", (F.col("bad") / F.col("n")).alias("seed"))).where("seed > 0")
     sums = raw.groupBy("kind").agg(F.sum("seed").alias("total"))
     seeds = raw.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed"))
-    scores = propagate(host_edges(parsed), seeds, damping, rounds)
+    scores = propagate(host_edges(parsed), seeds, damping, tolerance)
     trust = F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0))
     distrust = F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0))
     blocked = scores.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust")).where(F.col("distrust") > threshold * F.col("trust"))

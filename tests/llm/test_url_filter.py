@@ -1,4 +1,8 @@
+import re
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import url_filter as U
@@ -23,7 +27,9 @@ def test_hosts_paths_and_rules(spark):
     assert U.judge_pages(frame.limit(0)).count() == 0
 
 
-def test_propagation_equals_dense_power_iteration(spark):
+@pytest.mark.parametrize("hub", [100_000, 1])
+def test_propagation_equals_the_dense_solution(spark, monkeypatch, hub):
+    monkeypatch.setattr(U, "HUB_EDGES", hub)
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "d", 1.0), ("e", "d", 3.0), ("d", "a", 1.0)]
     names = sorted({x for e in edges for x in e[:2]})
     weight = np.zeros((5, 5))
@@ -32,17 +38,14 @@ def test_propagation_equals_dense_power_iteration(spark):
 
     def walk(m, seed):
         m = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
-        score = 0.15 * seed
-        for _ in range(8):
-            score = 0.15 * seed + 0.85 * m.T @ score
-        return score
+        return np.linalg.solve(np.eye(5) - 0.85 * m.T, 0.15 * seed)
 
     trust, distrust = walk(weight, np.array([1.0, 0, 0, 0, 0])), walk(weight.T, np.array([0, 0, 0, 1.0, 0]))
     frame = spark.createDataFrame(edges, "src string, dst string, weight double")
     seeds = spark.createDataFrame([("t", "a", 1.0), ("d", "d", 1.0)], "kind string, host string, seed double")
-    got = {(r.kind, r.host): r.score for r in U.propagate(frame, seeds, 0.85, 8).collect()}
+    got = {(r.kind, r.host): r.score for r in U.propagate(frame, seeds, 0.85, 1e-4).collect()}
     for i, name in enumerate(names):
-        assert abs(got.get(("t", name), 0) - trust[i]) < 1e-12 and abs(got.get(("d", name), 0) - distrust[i]) < 1e-12
+        assert abs(got.get(("t", name), 0) - trust[i]) < 1e-3 and abs(got.get(("d", name), 0) - distrust[i]) < 1e-3
 
 
 def test_links_of_pages_and_verdicts(spark, monkeypatch):
@@ -50,16 +53,47 @@ def test_links_of_pages_and_verdicts(spark, monkeypatch):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     for limit in (100_000, 0):
         monkeypatch.setattr(U, "BROADCAST_HOSTS", limit)
-        got = {r.page_id: r.verdict for r in U.judge_pages(frame).collect()}
+        got = {r.page_id: r.verdict for r in U.judge_pages(frame, tolerance=0.3).collect()}
         assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
 
 
 def test_copies_of_a_host_graph_leave_every_verdict(spark):
     pages = [("http://bad{}.com/en/1", ""), ("http://bad{}.com/plain", ""), ("http://near{}.io/x", '<a href="http://bad{}.com/z">q</a>'), ("http://far{}.io/x", '<a href="//near{}.io/">n</a><a href="//good{}.net/">g</a>'), ("http://good{}.net/de/1", '<a href="//fine{}.io/">f</a>'), ("http://fine{}.io/x", "")]
-    for copies in (1, 160_000):
+    for copies in (1, 60_000):
         numbers, parts = spark.range(copies).withColumn("at", F.col("id").cast("string")), []
         for place, (url, html) in enumerate(pages):
             parts.append(F.struct(F.lit(place).cast("long").alias("page_id"), F.replace(F.lit(url), F.lit("{}"), F.col("at")).alias("url"), F.replace(F.lit(html), F.lit("{}"), F.col("at")).alias("html")))
         frame = numbers.select(F.inline(F.array(*parts)))
-        got = {(r.page_id, r.verdict): r["count"] for r in U.judge_pages(frame).groupBy("page_id", "verdict").count().collect()}
+        got = {(r.page_id, r.verdict): r["count"] for r in U.judge_pages(frame, tolerance=0.3).groupBy("page_id", "verdict").count().collect()}
         assert got == {(0, "block"): copies, (1, "block"): copies, (2, "block"): copies, (3, "block"): copies, (4, "allow"): copies, (5, "allow"): copies}
+
+
+def test_trust_reaches_hosts_far_from_every_seed(spark):
+    pages = [("http://bad.com/en/1", '<a href="http://h0.io/">x</a>')] + [(f"http://h{i}.io/", f'<a href="http://h{i + 1}.io/">x</a>') for i in range(20)] + [("http://h20.io/", '<a href="http://bad.com/">x</a>')]
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in U.judge_pages(frame).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 22
+
+
+def test_host_edges_against_plain_python(spark):
+    pages = [
+        ("a.com", '<a href="http://B.com/x">b</a> <a href=\'//c.b.com?q\'>c</a> see www.d.org, and e.org; <img src=https://b.com/2>'),
+        ("a.com", '<a href="http://b.com/">again</a> <a href="/own">own</a> <a href="http://a.com/1">self</a>'),
+        ("x.y.example.org", None), ("x.y.example.org", "no links"), ("", '<a href="http://b.com/">lost</a>'), ("solo", "mail me@www.f.net now"),
+    ]
+    frame = spark.createDataFrame(pages, "host string, html string")
+    got = {(r.src, r.dst): r.weight for r in U.host_edges(frame).collect()}
+    want: Counter = Counter()
+    label = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    for host, html in pages:
+        found = {m.lower() for m in re.findall(r"""(?:href|src)=["']?(?:https?:)?//([^/?#"'\s>]+)""", html or "")}
+        found |= {w.lower() for w in re.findall(rf"(?<=[\s>;@])((?:{label}\.){{2,}}[A-Za-z]+)(?=[\s<,;/?#]|$)", html or "")}
+        for dst in found - {host}:
+            if host:
+                want[host, dst] += 1
+    for host in {h for h, _ in pages}:
+        if host.count(".") >= 2:
+            up = host.split(".", 1)[1]
+            want[host, up] += 1
+            want[up, host] += 1
+    assert got == dict(want) and want["a.com", "b.com"] == 2 and ("a.com", "www.d.org") in want and ("a.com", "e.org") not in want
