@@ -105,14 +105,15 @@ def branches(x: Column, most: int = fixed.MAX_VARIANTS) -> Column:
     second = {chr(code): r for code, r in fixed.TWO_READINGS}
     readings = F.create_map(*[F.lit(part) for pair in second.items() for part in pair])
 
-    def grow(found: Column, letter: Column) -> Column:
-        pair = readings[letter]
+    def grow(found: Column, part: Column) -> Column:
+        pair = readings[part]
         both = F.flatten(F.transform(found, lambda b: F.array(F.concat(b, F.substring(pair, 1, 1)), F.concat(b, F.substring(pair, 2, 1)))))
         one = F.transform(found, lambda b: F.concat(b, F.substring(pair, 1, 1)))
-        plain = F.transform(found, lambda b: F.concat(b, letter))
+        plain = F.transform(found, lambda b: F.concat(b, part))
         return F.when(pair.isNull(), plain).when(F.size(found) * 2 > most, one).otherwise(both)
 
-    split = F.aggregate(F.split(x, ""), F.array(F.lit("")), grow)
+    # Letters with two readings, and what stands between them as a whole.
+    split = F.aggregate(F.split(x, f"(?<=[{chars}])|(?=[{chars}])"), F.array(F.lit("")), grow)
     return F.when(x.rlike(f"[{chars}]"), split).otherwise(F.array(first))
 
 

@@ -85,7 +85,7 @@ def reason(gambling: Column) -> Column:
     shown = (
         ("hard", "msg_hard", previewed), ("donorHard", "donor_hard", previewed), ("promo", "msg_promo", previewed), ("msgBrands", "msg_high", listed),
         ("msgNearBrands", "msg_near", listed), ("donorBrands", "donor_high", listed), ("donorNearBrands", "donor_near", listed),
-        ("donorSuspicious", "donor_suspicious", previewed), ("antiJudol", "msg_anti", listed), ("gamingSafe", "msg_gaming", listed),
+        ("donorSuspicious", "donor_suspicious", previewed), ("denounced", "msg_anti", listed), ("gamingSafe", "msg_gaming", listed),
         ("generalSafe", "msg_general", listed), ("strongGaming", "msg_strong", listed),
     )
     parts += [F.when(some(column), F.concat(F.lit(f"{name}="), show(F.col(column)))) for name, column, show in shown]

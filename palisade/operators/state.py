@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palisade.functions import fixed_values as fixed
 
@@ -16,27 +21,42 @@ def rate_limit(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int
     """hits (key, ts_ms, order) plus count, limited, retry_after (seconds, null unless limited).
 
     A key's window begins at its first hit after the last one ended, and refused hits count too. A pause of a
-    whole window always ends it, so each key is first cut at such pauses and only stretches without
-    them are folded in order.
+    whole window always ends it, so each key is first cut at such pauses; the stretches between are dealt over
+    tasks, and each is read once in order with nothing but its open window held.
     """
-    own = Window.partitionBy(key).orderBy(ts_ms, order)
-    pause = F.coalesce(F.col(ts_ms) - F.lag(ts_ms).over(own) >= window_ms, F.lit(True))
-    cut = hits.select(key, ts_ms, order).withColumn("_stretch", F.sum(pause.cast("int")).over(own))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts_ms).alias("t"), F.col(order).alias("o"))))
-
-    def step(state: Column, hit: Column) -> Column:
-        fresh = state["until"] <= hit["t"]
-        until = F.when(fresh, hit["t"] + window_ms).otherwise(state["until"])
-        count = F.when(fresh, F.lit(1)).otherwise(state["count"] + 1).cast("int")
-        return F.struct(until.alias("until"), count.alias("count"), F.concat(state["out"], F.array(F.struct(hit["t"].alias("t"), hit["o"].alias("o"), count.alias("n"), until.alias("until")))).alias("out"))
-
-    kinds = dict(hits.dtypes)
-    empty = F.array().cast(f"array<struct<t:{kinds[ts_ms]},o:{kinds[order]},n:int,until:bigint>>")
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("until"), F.lit(0).alias("count"), empty.alias("out"))
-    folded = cut.groupBy(key, "_stretch").agg(rows.alias("_hits")).select(key, F.explode(F.aggregate("_hits", start, step)["out"]).alias("h"))
-    limited = F.col("h.n") > most
-    wait = F.greatest(F.lit(1), F.ceil((F.col("h.until") - F.col("h.t")) / 1000)).cast("int")
-    return folded.select(key, F.col("h.o").alias(order), F.col("h.t").alias(ts_ms), F.col("h.n").alias("count"), limited.alias("limited"), F.when(limited, wait).alias("retry_after"))
+    cut = hits.select(F.col(key).alias("_key"), F.col(ts_ms).cast("long").alias("_t"), F.col(order).alias("_order"))
+    own = Window.partitionBy("_key").orderBy("_t", "_order")
+    pause = F.coalesce(F.col("_t") - F.lag("_t").over(own) >= window_ms, F.lit(True))
+    cut = cut.withColumn("_stretch", F.sum(pause.cast("int")).over(own))
+    ordered = cut.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_t", "_order")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until, held = None, -(1 << 62), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times, stretch = np.array(batch.column(1), np.int64), np.array(batch.column(3), np.int64)
+            keys = np.array(batch.column(0).dictionary_encode().indices.fill_null(-1), np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (stretch[1:] != stretch[:-1])]))
+            counts, ends = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
+            for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(times)], strict=True):
+                name = (batch.column(0)[at].as_py(), stretch[at])
+                if name != last:
+                    last, until, held = name, -(1 << 62), 0
+                while at < end:
+                    if times[at] >= until:
+                        until, held = int(times[at]) + window_ms, 0
+                    stop = at + int(np.searchsorted(times[at:end], until))
+                    counts[at:stop] = held + 1 + np.arange(stop - at)
+                    ends[at:stop] = until
+                    held, at = held + stop - at, stop
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 1, 2)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
+
+    schema = StructType([cut.schema["_key"], cut.schema["_t"], cut.schema["_order"], StructField("_n", LongType()), StructField("_until", LongType())])
+    folded = ordered.mapInArrow(work, schema)
+    limited = F.col("_n") > most
+    wait = F.greatest(F.lit(1), F.ceil((F.col("_until") - F.col("_t")) / 1000)).cast("int")
+    return folded.select(F.col("_key").alias(key), F.col("_order").alias(order), F.col("_t").alias(ts_ms), F.col("_n").cast("int").alias("count"), limited.alias("limited"), F.when(limited, wait).alias("retry_after"))
 
 
 def arm_fire(events: DataFrame, session: str, order: list[str], signal: Column, fetch: Column) -> DataFrame:
@@ -48,8 +68,24 @@ def arm_fire(events: DataFrame, session: str, order: list[str], signal: Column,
     return fetches.withColumn("inspected", F.col("_signals") > before).drop("_signals")
 
 
-def flag_as_of(events: DataFrame, order: list[str], on: Column, off: Column, part: list[str] | None = None) -> DataFrame:
-    """events plus `active`: the control flag's last state at each row. Parts (such as days) are ordered alone."""
-    own = Window.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
+def flag_as_of(events: DataFrame, order: list[str], on: Column, off: Column, part: list[str] | None = None, chunks: int = 256) -> DataFrame:
+    """events plus `active`: the control flag's last state at each row. Parts (such as days) are ordered alone.
+
+    Without parts one flag holds for all rows. They are then cut into chunks at quantiles of the first order column (a
+    number, date or time); each chunk is ordered alone, and begins with the last state of the chunks before it.
+    """
     state = F.when(on, True).when(off, False)
-    return events.withColumn("active", F.coalesce(F.last(state, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    if part:
+        own = Window.partitionBy(*part).orderBy(*order)
+        return events.withColumn("active", F.coalesce(F.last(state, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    # At most `chunks` boundaries; a row's chunk is the number of boundaries before it, null values first.
+    borders = events.select(F.array_distinct(F.coalesce(F.percentile_approx(order[0], shares, 10_000), F.array().cast(f"array<{events.schema[order[0]].dataType.simpleString()}>"))).alias("_borders"))
+    marked = events.crossJoin(F.broadcast(borders)).withColumn("_chunk", F.size(F.filter("_borders", lambda b: b < F.col(order[0])))).drop("_borders")
+    marked = marked.withColumn("_state", state)
+    own = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = marked.where(F.col("_state").isNotNull()).groupBy("_chunk").agg(F.max_by("_state", F.struct(*order)).alias("_end"))
+    every = events.sparkSession.range(chunks + 1).select(F.col("id").cast("int").alias("_chunk")).join(ends, "_chunk", "left")
+    carried = every.withColumn("_carried", F.last("_end", ignorenulls=True).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    joined = marked.withColumn("_own", F.last("_state", ignorenulls=True).over(own)).join(F.broadcast(carried), "_chunk")
+    return joined.select(*events.columns, F.coalesce("_own", "_carried", F.lit(False)).alias("active"))

@@ -65,7 +65,6 @@ _over_documents("strip_ornaments", lambda text: {"plain": F.md5(T.strip_ornament
 _over_documents("strip_invisible", lambda text: {"plain": F.md5(T.strip_invisible(F.concat(text, F.lit("​x﻿"))))}, r"md5(regexp_replace(concat(text, '​x﻿'), '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}]', '', 'g')) AS plain")
 _over_documents("squeeze_space", lambda text: {"squeezed": F.md5(T.squeeze_space(text))}, r"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS squeezed")
 _over_documents("truncate_field", lambda text: {"field": F.md5(T.as_string(text))}, "md5(left(text, 4096)) AS field")
-_over_documents("normalize_variants", lambda text: {"first": F.md5(F.get(T.normalize_text(text), F.lit(0))), "n": F.size(T.normalize_text(text))}, None)
 _over_documents("tighten", lambda text: {"tight": F.md5(T.tighten(F.lower(text)))}, None)
 
 
@@ -108,9 +107,11 @@ for _kind, _rules in O.KINDS.items():
 
 @query(f"{O.MESSAGE_TEXTS}, {O.HITS_SQL} SELECT id, count(*) AS hits, sum(weight)::BIGINT AS weight FROM donations JOIN hits ON lower(message) = t GROUP BY id")
 def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct message is matched once and counts as often as it was sent."""
     every = tuple(r for rules in O.KINDS.values() for r in rules)
-    hits = donations(spark, sf_dir).select(F.explode(matching.rule_hits(plain(F.col("message")), every)).alias("h"))
-    return hits.groupBy("h.id").agg(F.count("*").alias("hits"), F.sum("h.weight").alias("weight"))
+    sent = donations(spark, sf_dir).groupBy("message").agg(F.count("*").alias("sent"))
+    hits = sent.select("sent", F.explode(matching.rule_hits(plain(F.col("message")), every)).alias("h"))
+    return hits.groupBy("h.id").agg(F.sum("sent").alias("hits"), F.sum(F.col("sent") * F.col("h.weight")).alias("weight"))
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.PHRASES_SQL} SELECT donation_id, kind, phrase FROM donations JOIN said ON lower(message) = t")
@@ -499,6 +500,13 @@ def kill_switch_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.flag_as_of(events, ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup", ["user_id"]).select("event_id", "active")
 
 
+@query("""SELECT event_id, coalesce(last_value(CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM events""")
+def kill_switch_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One switch for all rows, in order of time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.flag_as_of(events, ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup").select("event_id", "active")
+
+
 @query(f"SELECT code::INTEGER AS code, letters FROM (VALUES {O.values(sorted((code, letters) for code, letters in fixed.TWO_READINGS))}) AS v(code, letters)")
 def homoglyph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(letter, glyph) pairs gathered by code point; those with several letters, in order."""

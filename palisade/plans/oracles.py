@@ -72,7 +72,7 @@ def decided_sql(gambling: str = "NULL::DOUBLE") -> str:
   WHEN score >= 9 AND (m_high > 0)::INT + (m_promo > 0)::INT + (m_weak >= 2)::INT + (m_suspicious > 0)::INT >= 2 THEN 'block/score-threshold'
   WHEN score >= 5 AND (o_high > 0 OR o_suspicious > 0 OR m_weak > 0) THEN 'review/review-threshold' ELSE 'allow/default' END AS v FROM s)"""
     lifted = f"e AS (SELECT *, CASE WHEN blank THEN 'allow/empty' WHEN g >= {fixed.CLASSIFIER_BLOCK} AND v NOT LIKE 'block/%' AND m_denounce = 0 THEN 'block/classifier-confident' ELSE v END AS w FROM c)"
-    shown = (("hard", "m_hard"), ("donorHard", "o_hard"), ("promo", "m_promo"), ("msgBrands", "m_high"), ("msgNearBrands", "m_near"), ("donorBrands", "o_high"), ("donorNearBrands", "o_near"), ("donorSuspicious", "o_suspicious"), ("antiJudol", "m_denounce"), ("gamingSafe", "m_gaming"), ("generalSafe", "m_general"), ("strongGaming", "m_strong"))
+    shown = (("hard", "m_hard"), ("donorHard", "o_hard"), ("promo", "m_promo"), ("msgBrands", "m_high"), ("msgNearBrands", "m_near"), ("donorBrands", "o_high"), ("donorNearBrands", "o_near"), ("donorSuspicious", "o_suspicious"), ("denounced", "m_denounce"), ("gamingSafe", "m_gaming"), ("generalSafe", "m_general"), ("strongGaming", "m_strong"))
     parts = ", ".join(f"CASE WHEN {c} > 0 THEN '{n}=' || {c}_p END" for n, c in shown)
     reason = f"""CASE WHEN blank THEN 'empty input' ELSE concat_ws('; ', 'score=' || score, 'classifier=' || printf('%.4f', g), CASE WHEN g IS NOT NULL AND {boost} <> 0 THEN 'classifierBoost=' || CASE WHEN {boost} > 0 THEN '+' ELSE '' END || {boost} END, {parts}) END"""
     return f"{EVIDENCE_SQL}, {joined}, {score}, {stage}, {lifted}, decided AS (SELECT donation_id, ts, platform, donator, message, amount, score, split_part(w, '/', 1) AS action, split_part(w, '/', 2) AS stage, {reason} AS reason FROM e)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palisade.functions import fixed_values as fixed
 from palisade.plans.moderate import moderate
 
+#: Rows of one frame that a keyed step hands out.
+OUT_ROWS = 10_000
+
 
 def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX, evict: bool = True) -> DataFrame:
     """hits (key string, ts_ms long) plus count, limited, retry_after.
@@ -24,9 +28,11 @@ def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, mo
             state.remove()
             return
         until, count = state.get if state.exists else (-1, 0)
-        for batch in batches:
+        # A key's hits of one trigger may come in several batches: they are put in order over all of them.
+        times = np.sort(np.concatenate([batch["ts_ms"].to_numpy() for batch in batches]))
+        for first in range(0, len(times), OUT_ROWS):
             rows = []
-            for now in batch["ts_ms"].sort_values().tolist():
+            for now in times[first : first + OUT_ROWS].tolist():
                 if until <= now:
                     until, count = now + window_ms, 0
                 count += 1
@@ -41,21 +47,29 @@ def rate_limit_stream(hits: DataFrame, window_ms: int = fixed.RATE_WINDOW_MS, mo
     return hits.groupBy("key").applyInPandasWithState(step, out, "until long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
-def arm_fire_stream(events: DataFrame) -> DataFrame:
-    """Fetches of events (session string, ts_ms long, kind 'signal' or 'fetch') plus inspected."""
+def arm_fire_stream(events: DataFrame, idle_ms: int = 24 * 3_600_000, evict: bool = True) -> DataFrame:
+    """Fetches of events (session string, ts_ms long, kind 'signal' or 'fetch') plus inspected.
+
+    With evict, a timer drops the state of sessions that are silent for idle_ms; see rate_limit_stream for when to leave it out.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         armed = state.get[0] if state.exists else False
-        for batch in batches:
-            rows = []
-            for row in batch.sort_values("ts_ms", kind="stable").itertuples():
-                if row.kind == "fetch":
-                    rows.append((key[0], row.ts_ms, armed))
-                armed = row.kind == "signal" or (armed and row.kind != "fetch")
-            yield pd.DataFrame(rows, columns=["session", "ts_ms", "inspected"])
+        rows = []
+        for row in pd.concat(list(batches)).sort_values("ts_ms", kind="stable").itertuples():
+            if row.kind == "fetch":
+                rows.append((key[0], row.ts_ms, armed))
+            armed = row.kind == "signal" or (armed and row.kind != "fetch")
+        for first in range(0, len(rows), OUT_ROWS):
+            yield pd.DataFrame(rows[first : first + OUT_ROWS], columns=["session", "ts_ms", "inspected"])
         state.update((armed,))
+        if evict:
+            state.setTimeoutDuration(idle_ms)
 
-    return events.groupBy("session").applyInPandasWithState(step, "session string, ts_ms long, inspected boolean", "armed boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, "session string, ts_ms long, inspected boolean", "armed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
 def moderate_stream(events: DataFrame, **options: object) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def test_arm_fire_batch_equals_stream(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "events"))
     want = sorted((r.session, r.ts_ms, r.inspected) for r in state.arm_fire(frame, "session", ["ts_ms"], F.col("kind") == "signal", F.col("kind") == "fetch").collect())
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "events"))
-    assert sorted((r.session, r.ts_ms, r.inspected) for r in drained(arm_fire_stream(stream), "fired", spark)) == want
+    assert sorted((r.session, r.ts_ms, r.inspected) for r in drained(arm_fire_stream(stream, evict=False), "fired", spark)) == want
     assert want == [("s", 1, False), ("s", 4, True), ("s", 5, False), ("t", 9, True)]
 
 
@@ -66,3 +67,35 @@ def test_audit_sink_and_batch_prediction(spark, tmp_path):
     frame = spark.createDataFrame([("x",), ("",), ("boom",)], "t string").coalesce(1)
     got = {r.t: (r.label, r.gambling) for r in predict(frame, "t", load, rows=1).collect()}
     assert got == {"x": (1, 0.9), "": (0, 0.5), "boom": (None, None)}
+
+
+def test_limiter_equals_a_plain_walk_over_batches(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.randrange(40_000), i) for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "key string, ts_ms long, o long")
+    want, state_of = {}, {}
+    for key, t, o in sorted(rows, key=lambda r: (r[1], r[2])):
+        until, n = state_of.get(key, (-1, 0))
+        until, n = (t + 100, 1) if until <= t else (until, n + 1)
+        state_of[key] = until, n
+        want[o] = (key, t, n, n > 3, max(1, -(-(until - t) // 1000)) if n > 3 else None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.o: (r.key, r.ts_ms, r["count"], r.limited, r.retry_after) for r in state.rate_limit(frame, "key", "ts_ms", "o", 100, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_one_flag_for_all_rows_is_carried_over_chunks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(50)]), i, rng.choice(["on", "off", "x", "x", "x", None])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "t int, i long, kind string")
+    active, want = False, {}
+    for t, i, kind in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        active = True if kind == "on" else False if kind == "off" else active
+        want[i] = active
+    for chunks in (2, 7, 256):
+        made = state.flag_as_of(frame, ["t", "i"], F.col("kind") == "on", F.col("kind") == "off", chunks=chunks)
+        assert {r.i: r.active for r in made.collect()} == want and made.columns == [*frame.columns, "active"]
+    assert state.flag_as_of(frame.limit(0), ["t", "i"], F.col("kind") == "on", F.col("kind") == "off").count() == 0
