@@ -11,7 +11,9 @@ from palisade.functions import fixed_values as fixed
 from palisade.functions import text as T
 from palisade.operators import audit, matching, payloads, scoring, state, typo, web
 from palisade.operators.decision import decide
+from palisade.plans import full_oracles as full
 from palisade.plans import oracles as O
+from palisade.operators.preparing import variants as prepared
 from palisade.plans.moderate import check, check_frames, moderate
 from palisade.plans.salted import DONATIONS_SQL, MESSAGES, dealt, dealt_sql, donations
 from palisade.sources.events import request_fields
@@ -61,11 +63,35 @@ for _name, _fold in (("i", fixed.LEET_I), ("l", fixed.LEET_L), ("conservative",
     _over_documents(f"leet_fold_{_name}", lambda text, fold=_fold: {"folded": F.md5(T.fold_leet(text, fold))}, f"md5(translate(text, '{_fold[0]}', '{_fold[1]}')) AS folded")
 _over_documents("strip_diacritics", lambda text: {"plain": F.md5(T.strip_marks(text))}, "md5(strip_accents(text)) AS plain")
 _over_documents("collapse_repeats", lambda text: {"collapsed": F.md5(T.collapse_punctuation(T.collapse_repeats(text)))}, None)
+ORACLES["collapse_repeats"] = f"WITH {full.collapsed('r', 'documents', 'doc_id', 'text')} SELECT d.doc_id, md5({full.PUNCTUATION.format('x')}) AS collapsed FROM documents d LEFT JOIN r USING (doc_id)"
 _over_documents("strip_ornaments", lambda text: {"plain": F.md5(T.strip_ornaments(text))}, r"md5(regexp_replace(text, '[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]', '', 'g')) AS plain")
 _over_documents("strip_invisible", lambda text: {"plain": F.md5(T.strip_invisible(F.concat(text, F.lit("​x﻿"))))}, r"md5(regexp_replace(concat(text, '​x﻿'), '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}]', '', 'g')) AS plain")
 _over_documents("squeeze_space", lambda text: {"squeezed": F.md5(T.squeeze_space(text))}, r"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS squeezed")
 _over_documents("truncate_field", lambda text: {"field": F.md5(T.as_string(text))}, "md5(left(text, 4096)) AS field")
 _over_documents("tighten", lambda text: {"tight": F.md5(T.tighten(F.lower(text)))}, None)
+ORACLES["tighten"] = f"WITH {full.tight('w', '(SELECT doc_id, lower(text) AS x FROM documents)', 'x')} SELECT doc_id, md5(tight) AS tight FROM w"
+
+
+@query(f"WITH {DONATIONS_SQL}, texts AS (SELECT DISTINCT message AS t FROM donations WHERE message <> ''), {full.normal('r', 'texts', 't', 't')} SELECT donation_id, coalesce(n, '') AS reading FROM donations LEFT JOIN r ON message = t")
+def normalize_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return donations(spark, sf_dir).select("donation_id", F.get(T.normalize_text(F.col("message")), F.lit(0)).alias("reading"))
+
+
+@query(f"{full.FULL_TEXTS} SELECT donation_id, count(v) AS n, md5(coalesce(string_agg(v, '|' ORDER BY o), '')) AS variants FROM donations LEFT JOIN seen ON message = t GROUP BY donation_id")
+def message_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All variants in order: readings, leet folds, canonical texts, tight and plain forms, closed gaps."""
+    read = donations(spark, sf_dir).select("donation_id", T.normalize_text(F.col("message")).alias("bases"))
+    made = read.select("donation_id", prepared(F.col("bases"), typo.EVERYDAY, True).alias("v"))
+    return made.select("donation_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("variants"))
+
+
+def normalize_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of whole documents; made once, in a projection of their own."""
+    made = documents(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("v"))
+    return made.select("doc_id", F.md5(F.get("v", F.lit(0))).alias("first"), F.size("v").alias("n"))
+
+
+QUERIES["normalize_variants"] = normalize_variants
 
 
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, coalesce(array_to_string(list_transform(range(1, length(message) + 1), lambda i: CASE WHEN message[i] IN ('@','$','!','|') THEN translate(message[i], '@$!|', 'asii') WHEN message[i] IN ('0','1','3','4','5','6','7','8') AND i > 1 AND i < length(message) AND regexp_matches(message[i-1], '[a-zA-Z]') AND regexp_matches(message[i+1], '[a-zA-Z]') THEN translate(message[i], '01345678', 'oieasgtb') ELSE message[i] END), ''), '') AS smart FROM donations")
@@ -120,7 +146,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donations(spark, sf_dir).select("donation_id", F.explode(lists).alias("l")).select("donation_id", "l.kind", F.explode("l.found").alias("phrase"))
 
 
-@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN forms ON lower(message) = t JOIN brands ON list_contains(tokens, brand)")
+@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN toks ON lower(message) = t JOIN brands ON token = brand")
 def brand_token_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As an equi join of exploded tokens with the brand table."""
     terms = spark.range(1).select(F.explode(F.array(*map(F.lit, fixed.BRANDS))).alias("term"))
@@ -184,12 +210,16 @@ def typo_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typo.match_tokens(_message_tokens(spark, sf_dir), "token").select("token", "kind")
 
 
-@query()
+_raw = "tokens AS (SELECT donation_id, unnest(list_filter(regexp_split_to_array(coalesce(message, ''), '\\s+'), lambda x: x <> '')) AS raw FROM donations)"
+_kinds_sql = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k.replace('-', '_')}" for k in typo.KINDS)
+
+
+@query(f"WITH {DONATIONS_SQL}, {_raw}, {full.ladder('tokens')} SELECT d.donation_id, count(t.raw) AS tokens, {_kinds_sql} FROM donations d LEFT JOIN tokens t USING (donation_id) LEFT JOIN laddered l ON l.raw = t.raw GROUP BY d.donation_id")
 def typo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typo.score_texts(donations(spark, sf_dir), "donation_id", "message")
 
 
-@query()
+@query(f"WITH {DONATIONS_SQL}, texts AS (SELECT DISTINCT lower(coalesce(message, '')) AS t FROM donations), {full.canonical('c', 'texts', 't', 't')} SELECT donation_id, coalesce(canonical, '') AS canonical FROM donations LEFT JOIN c ON lower(coalesce(message, '')) = c.t")
 def canonicalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donations(spark, sf_dir).select("donation_id", F.get(typo.canonical_texts(F.array(F.lower(F.coalesce("message", F.lit(""))))), F.lit(0)).alias("canonical"))
 
@@ -249,22 +279,25 @@ def classifier_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donations(spark, sf_dir).select("donation_id", scoring.classifier_text(F.col("donator"), F.col("message"), readings).alias("text"))
 
 
-@query()
+@query(f"{full.FULL_SQL} SELECT donation_id, score, action, stage, reason FROM decided")
 def decide_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan with normalisation, folds and typo matching."""
     return moderate(donations(spark, sf_dir)).select("donation_id", "score", "action", "stage", "reason")
 
 
-@query()
-def decide_full_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check(donations(spark, sf_dir), method="both").select("donation_id", "score", "action", "stage", "reason", "response", "marker")
-
-
 # ---- responses, audit, feedback ----
 
 _marker_sql = "CASE WHEN action = 'block' THEN '[block:' || stage || ' score=' || score || ']' WHEN score >= 3 THEN '[allow:near score=' || score || ']' ELSE '[allow]' END"
 
 
+_response_sql = """CASE WHEN action = 'block' THEN '{"action":"block","replaceDonator":"***","replaceMessage":"***"}' ELSE '{"action":"allow"}' END"""
+
+
+@query(f"{full.FULL_BOTH_SQL} SELECT donation_id, score, action, stage, reason, {_response_sql} AS response, CASE WHEN reason = 'empty input' THEN '[allow]' ELSE {_marker_sql} END AS marker FROM decided")
+def decide_full_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check(donations(spark, sf_dir), method="both").select("donation_id", "score", "action", "stage", "reason", "response", "marker")
+
+
 @query(f"""{O.decided_sql()} SELECT donation_id, CASE WHEN action = 'block' THEN '{{"action":"block","replaceDonator":"***","replaceMessage":"***"}}' ELSE '{{"action":"allow"}}' END AS response FROM decided""")
 def verdict_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("donation_id", audit.verdict_response(F.col("action"), "***", "***").alias("response"))
