@@ -21,6 +21,8 @@ BROADCAST_HOSTS = 100_000
 SALTS = 32
 #: Edges of a host above which they are dealt over parts of about so many; rounds between checkpoints.
 HUB_EDGES, TURNS = 100_000, 5
+#: Edges of a task, about: host graphs are far smaller than pages, and tasks of a few rows each leave files of a few bytes.
+TASK_EDGES = 250_000
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -96,6 +98,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
     total = settled(both.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("parts")))
     both = both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"))
     both = settled(both)
+    tasks = max(1, -(-both.count() // TASK_EDGES))
+    both = both.coalesce(tasks)
     hubs = settled(total.where("parts > 1").select("kind", F.col("src").alias("host"), "parts"))
     few = hubs.count()
     base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
@@ -107,7 +111,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
         else:
             score = score.withColumn("part", F.lit(0))
         sent = both.join(score.withColumnRenamed("host", "src"), ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        score = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(tasks)
         if turn % TURNS == 0:
             score = settled(score)
             # Mass that reaches hosts without a way on is at rest, so there may be little left before the last round.
