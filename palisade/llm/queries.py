@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm import oracles
 from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
 from palisade.llm.media import media_columns
@@ -103,4 +104,5 @@ QUERIES = {
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_prefix_tree": op10_prefix_tree,
 }
-ORACLES: dict[str, str] = {}
+#: The others search approximately, learn, or hash in ways that SQL has not; tests hold them against plain versions.
+ORACLES: dict[str, str] = {"op6_sparse_suffix": oracles.REPEATS, "op10_prefix_tree": oracles.NGRAM_JOIN}
