@@ -28,8 +28,8 @@ from palisade.llm.common import frugal, settled, text_slices
 PROBLEM, ISLANDS, EPOCHS, POPULATION = 4_096, 2, 2, 6
 #: Pieces that an epoch of one island handles, about: small problems get more generations than large ones.
 EFFORT, MOST_GENERATIONS = 100_000, 2_000
-#: Remembered words per worker, and letters of the longest; beyond it the memory is cleared (results do not depend on it).
-WORD_CACHE, WORD_LETTERS = 150_000, 40
+#: Letters between white space from which on a text is left to the library, whose time per word grows slower.
+LONG_WORD = 2_000
 
 
 def _merge_encoding(spec: dict):
@@ -56,13 +56,12 @@ def _merge_encoding(spec: dict):
     return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordTokenizer:
+class TextTokenizer:
     """Ids of texts as packed little-endian unsigned 32-bit numbers.
 
-    A blank before a non-blank always begins a new pre-token, so a text's ids are those of its blank-separated words
-    one after the other; words are tokenised once and remembered. Where the file is a plain byte-level BPE whose ids are
-    in the order of its merges, the merges run in tiktoken over that file's vocabulary, which gives the same ids
-    in a quarter of the time; any other file, and texts with added tokens, go through the tokenizers library.
+    Where the file is a plain byte-level BPE whose ids are in the order of its merges, the merges run in tiktoken over
+    that file's vocabulary, which gives the same ids in a fraction of the time; any other file, texts with added
+    tokens and texts with very long words go through the tokenizers library, which is loaded when first needed.
     """
 
     def __init__(self, path: str):
@@ -70,72 +69,31 @@ class WordTokenizer:
             spec = json.load(file)
         self.path, self.library = path, None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memory: dict[str, bytes] = {}
         self.merges = _merge_encoding(spec)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        if self.merges is None:
-            return self._packed(words)
-        encode = self.merges.encode_ordinary
-        return [array("I", encode(w)).tobytes() for w in words]
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
+    def _by_library(self, text: str) -> bytes:
         if self.library is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memory = self.memory
-        if len(memory) > WORD_CACHE:
-            memory.clear()
-        split, new = [], {}
-        for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-                continue
-            head, *words = text.split(" ")
-            # A blank before white space or the end belongs to the word before it.
-            if "" in words or not head or any(w[0].isspace() for w in words):
-                head, words = _joined(head, words)
-            split.append((head, words))
-            new.update(dict.fromkeys(w for w in words if w not in memory))
-        fresh, long = list(new), {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, ids in zip(part, self._words([" " + w for w in part]), strict=True):
-                (memory if len(word) <= WORD_LETTERS else long)[word] = ids
-        get = memory.__getitem__ if not long else lambda w: long[w] if w in long else memory[w]
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out += self._packed([text])
-            else:
-                out.append((self._words([parts[0]])[0] if parts[0] else b"") + b"".join(map(get, parts[1])))
-        return out
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-
-def _joined(head: str, words: list[str]) -> tuple[str, list[str]]:
-    """Words that begin with white space, or are empty, appended to what stands before them."""
-    out = [[head]]
-    for word in words:
-        if not word or word[0].isspace():
-            out[-1].append(word)
-        else:
-            out.append([word])
-    head, *rest = (" ".join(parts) for parts in out)
-    return head, rest
+    def encode(self, text: str) -> bytes:
+        if self.merges is None or any(s in text for s in self.special):
+            return self._by_library(text)
+        if len(text) > LONG_WORD and max(map(len, text.split()), default=0) > LONG_WORD:
+            return self._by_library(text)
+        return array("I", self.merges.encode_ordinary(text)).tobytes()
 
 
-_coders: dict[str, WordTokenizer] = {}
+_coders: dict[str, TextTokenizer] = {}
 
 
-def coder_of(path: str) -> WordTokenizer:
+def coder_of(path: str) -> TextTokenizer:
     """One tokenizer per worker and file."""
     if path not in _coders:
-        _coders[path] = WordTokenizer(path)
+        _coders[path] = TextTokenizer(path)
     return _coders[path]
 
 
@@ -157,8 +115,8 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, keep: tuple[st
         for batch in batches:
             for first, _, texts in text_slices(batch.column(len(keep))):
                 take, found = [], []
-                for i, packed in enumerate(coder.encode(texts)):
-                    packed += end
+                for i, text in enumerate(texts):
+                    packed = coder.encode(text) + end
                     for n, (start, length) in enumerate(pieces_of(packed, size)):
                         take.append(first + i)
                         found.append((row, n, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)])))

@@ -9,13 +9,24 @@ from tokenizers import Tokenizer
 from palisade.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-CODER, PLAIN = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+CODER, PLAIN = packing.TextTokenizer(PATH), Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=40))
+def test_ids_of_any_text_are_the_tokenizers(text):
+    assert np.frombuffer(CODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_go_to_the_library():
+    text = "ab" * 150_000 + " end"
+    assert np.frombuffer(CODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "the", "'s", "é", "1", "!", "<|endoftext|>", " ", " ", "日本"]), max_size=14).map("".join))
-def test_words_give_the_tokenizers_ids(text):
-    assert np.frombuffer(CODER.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+def test_ids_are_the_tokenizers(text):
+    assert np.frombuffer(CODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
 def test_evolution_keeps_every_item_and_never_loses_to_best_fit():
