@@ -146,6 +146,7 @@ CLASSIFIER_RANGE, CLASSIFIER_BLOCK = 5, 0.85
 NEAR_MISS, TRUNCATE = 3, 80
 RATE_WINDOW_MS, RATE_MAX = 60_000, 30
 BATCH_ROWS, MAX_TOKENS = 32, 512
+FLAG_TTL_MS, SCORER_LIMIT_MS = 2_000, 5_000
 
 # ---- fixed values: characters with two readings (code point, letters in order) ----
 TWO_READINGS = (

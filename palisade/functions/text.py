@@ -94,25 +94,27 @@ def look_alikes() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
-def fold_look_alikes(x: Column) -> Column:
-    return F.translate(x, *look_alikes())
+def fold_look_alikes(x: Column, table: tuple[str, str] | None = None) -> Column:
+    return F.translate(x, *(table or look_alikes()))
 
 
-def branches(x: Column, most: int = fixed.MAX_VARIANTS) -> Column:
-    """All readings of characters with two readings, in order, unless there would be more than `most`: then the first reading."""
-    chars = "".join(chr(code) for code, _ in fixed.TWO_READINGS)
-    first = F.translate(x, chars, "".join(r[0] for _, r in fixed.TWO_READINGS))
-    second = {chr(code): r for code, r in fixed.TWO_READINGS}
-    readings = F.create_map(*[F.lit(part) for pair in second.items() for part in pair])
+def branches(x: Column, most: int = fixed.MAX_VARIANTS, readings: tuple[tuple[int, str], ...] = fixed.TWO_READINGS) -> Column:
+    """All readings of characters with several readings, in order, unless there would be more than `most`: then the first reading."""
+    if not readings:
+        return F.array(x)
+    escaped = "".join(f"\\x{{{code:x}}}" for code, _ in readings)
+    first = F.translate(x, "".join(chr(code) for code, _ in readings), "".join(r[0] for _, r in readings))
+    known = F.create_map(*[F.lit(part) for code, r in readings for part in (chr(code), r)])
 
     def grow(found: Column, part: Column) -> Column:
-        pair = readings[part]
-        both = F.flatten(F.transform(found, lambda b: F.array(F.concat(b, F.substring(pair, 1, 1)), F.concat(b, F.substring(pair, 2, 1)))))
-        one = F.transform(found, lambda b: F.concat(b, F.substring(pair, 1, 1)))
+        letters = known[part]
+        every = F.flatten(F.transform(found, lambda b: F.transform(F.split(letters, ""), lambda one: F.concat(b, one))))
+        one = F.transform(found, lambda b: F.concat(b, F.left(letters, F.lit(1))))
         plain = F.transform(found, lambda b: F.concat(b, part))
-        return F.when(pair.isNull(), plain).when(F.size(found) * 2 > most, one).otherwise(both)
+        return F.when(letters.isNull(), plain).when(F.size(found) * F.length(letters) > most, one).otherwise(every)
 
-    # Letters with two readings, and what stands between them as a whole.
+    chars = escaped
+    # Letters with several readings, and what stands between them as a whole.
     split = F.aggregate(F.split(x, f"(?<=[{chars}])|(?=[{chars}])"), F.array(F.lit("")), grow)
     return F.when(x.rlike(f"[{chars}]"), split).otherwise(F.array(first))
 
@@ -124,17 +126,18 @@ def cleaned(x: Column, most: int = fixed.MAX_REPEAT) -> Column:
     return squeeze_space(collapse_long_runs(collapse_punctuation(x)))
 
 
-def normalize_text(x: Column, most_repeat: int = fixed.MAX_REPEAT, most_variants: int = fixed.MAX_VARIANTS, ligatures: tuple[tuple[str, str], ...] = ()) -> Column:
+def normalize_text(x: Column, most_repeat: int = fixed.MAX_REPEAT, most_variants: int = fixed.MAX_VARIANTS, ligatures: tuple[tuple[str, str], ...] = (), look_alikes: tuple[str, str] | None = None, readings: tuple[tuple[int, str], ...] = fixed.TWO_READINGS) -> Column:
     """Distinct plain readings of a text, in order. Null and empty give one empty reading.
 
-    `ligatures` are (sequence, letters) replaced first, in order; plain ASCII without marks skips the folds.
+    `look_alikes` (characters, letters) and `readings` (code point, letters) are tables of one's own, such as
+    palisade.sources.look_alikes makes; without them the rules of this module hold. `ligatures` are (sequence, letters) replaced first, in order; plain ASCII without marks skips the folds.
     """
     x = F.coalesce(x, F.lit(""))
     if ligatures:
         pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ligatures])
         x = F.when(x.rlike(r"[^\x00-\x7f]"), F.aggregate(pairs, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
     ascii_only = squeeze_space(collapse_long_runs(collapse_punctuation(F.regexp_replace(collapse_repeats(F.translate(x, "$", "S"), most_repeat), r"[\[\]{}]", ""))))
-    full = F.array_distinct(F.transform(branches(fold_look_alikes(x), most_variants), lambda b: cleaned(b, most_repeat)))
+    full = F.array_distinct(F.transform(branches(fold_look_alikes(x, look_alikes), most_variants, readings), lambda b: cleaned(b, most_repeat)))
     return F.when(x.rlike(r"[^\x00-\x7f]"), full).otherwise(F.array(ascii_only))
 
 

@@ -53,6 +53,18 @@ def verdict_response(action: Column, donor: str, message: str) -> Column:
     return F.when(action == "block", blocked).otherwise(F.to_json(F.struct(F.lit("allow").alias("action"))))
 
 
+def envelope(status: Column, data: Column, message: Column, errors: Column, at: Column) -> Column:
+    """What a service answers with: status, data, message, errors and the time. Without a message it says what the status means."""
+    said = F.coalesce(message, F.when(status, "Success").otherwise("An error occurred"))
+    return F.struct(status.alias("status"), data.alias("data"), said.alias("message"), errors.alias("errors"), at.alias("timestamp"))
+
+
+def per_listener(checks: DataFrame, listeners: Column) -> DataFrame:
+    """checks once for each listener (numbered from 1): every listener of a frame asks for itself; without listeners nobody does."""
+    turns = F.when(listeners > 0, F.sequence(F.lit(1), listeners.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return checks.withColumn("listener", F.explode(turns))
+
+
 def write_audit(lines: DataFrame, path: str, ts: str = "ts", line: str = "line", platform: str | None = "platform") -> None:
     """Appends lines as text, one folder per day; rows of the validation page are left out."""
     if platform:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,10 +46,11 @@ def label_verdict(label: Column, gambling: Column) -> Column:
     return F.when(label.isin(0, 1), made)
 
 
-def predict(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]], rows: int = fixed.BATCH_ROWS) -> DataFrame:
+def predict(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]], rows: int = fixed.BATCH_ROWS, limit_ms: int | None = fixed.SCORER_LIMIT_MS) -> DataFrame:
     """df plus label, normal, gambling by a model that `load` gives once per worker.
 
-    Texts go in chunks of `rows`, in order; empty ones as a blank; a chunk that fails gives nulls, never a failed job.
+    Texts go in chunks of `rows`, in order; empty ones as a blank. A chunk that fails, takes longer than limit_ms or has
+    another number of scores gives nulls, never a failed job.
     """
 
     @F.pandas_udf("label int, normal double, gambling double")
@@ -56,16 +59,31 @@ def predict(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], l
         for batch in batches:
             texts, out = [t or " " for t in batch], []
             for at in range(0, len(texts), rows):
-                try:
-                    out += model(texts[at : at + rows])
-                except Exception:  # noqa: BLE001 - whatever a model raises, its rows have no score
-                    out += [None] * len(texts[at : at + rows])
+                chunk = texts[at : at + rows]
+                out += _within(model, chunk, limit_ms) or [None] * len(chunk)
             scores = pd.Series(out, dtype="float64")
             yield pd.DataFrame({"label": (scores > 1 - scores).astype("Int32").where(scores.notna()), "normal": 1 - scores, "gambling": scores})
 
     return df.withColumn("_p", run(F.col(text))).select("*", "_p.*").drop("_p")
 
 
+def _within(model: Callable[[list[str]], list[float]], chunk: list[str], limit_ms: int | None) -> list[float] | None:
+    """The chunk's scores, or None. A call that is late goes on in a thread of its own, and nobody waits for it."""
+    found: list[list[float]] = []
+
+    def call() -> None:
+        with suppress(Exception):  # whatever a model raises, its rows have no score
+            found.append(list(model(chunk)))
+
+    if limit_ms is None:
+        call()
+    else:
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(limit_ms / 1000)
+    return found[0] if found and len(found[0]) == len(chunk) else None
+
+
 def invalid_texts(text: Column) -> Column:
     """Why a prediction request is refused, or null."""
     return F.when(F.coalesce(text, F.lit("")) == "", "text must have at least 1 character")

@@ -17,10 +17,10 @@ def limiter_key(ip: Column, address: Column) -> Column:
     return F.coalesce(F.nullif(ip, F.lit("")), F.nullif(address, F.lit("")), F.lit("unknown"))
 
 
-def rate_limit(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX) -> DataFrame:
-    """hits (key, ts_ms, order) plus count, limited, retry_after (seconds, null unless limited).
+def windows(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int) -> DataFrame:
+    """_key, _t, _order of hits with _n, their number in their window, and _until, its end.
 
-    A key's window begins at its first hit after the last one ended, and refused hits count too. A pause of a
+    A key's window begins at its first hit after the last one ended. A pause of a
     whole window always ends it, so each key is first cut at such pauses; the stretches between are dealt over
     tasks, and each is read once in order with nothing but its open window held.
     """
@@ -53,7 +53,12 @@ def rate_limit(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 1, 2)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
 
     schema = StructType([cut.schema["_key"], cut.schema["_t"], cut.schema["_order"], StructField("_n", LongType()), StructField("_until", LongType())])
-    folded = ordered.mapInArrow(work, schema)
+    return ordered.mapInArrow(work, schema)
+
+
+def rate_limit(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX) -> DataFrame:
+    """hits (key, ts_ms, order) plus count, limited, retry_after (seconds, null unless limited). Refused hits count too."""
+    folded = windows(hits, key, ts_ms, order, window_ms)
     limited = F.col("_n") > most
     wait = F.greatest(F.lit(1), F.ceil((F.col("_until") - F.col("_t")) / 1000)).cast("int")
     return folded.select(F.col("_key").alias(key), F.col("_order").alias(order), F.col("_t").alias(ts_ms), F.col("_n").cast("int").alias("count"), limited.alias("limited"), F.when(limited, wait).alias("retry_after"))
@@ -89,3 +94,15 @@ def flag_as_of(events: DataFrame, order: list[str], on: Column, off: Column, par
     carried = every.withColumn("_carried", F.last("_end", ignorenulls=True).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
     joined = marked.withColumn("_own", F.last("_state", ignorenulls=True).over(own)).join(F.broadcast(carried), "_chunk")
     return joined.select(*events.columns, F.coalesce("_own", "_carried", F.lit(False)).alias("active"))
+
+
+def cached_flag(events: DataFrame, key: str, ts_ms: str, order: str, on: Column, off: Column, check: Column, ttl_ms: int = fixed.FLAG_TTL_MS) -> DataFrame:
+    """The checks of events plus `active`: the flag as a process sees it that looks at it at most every ttl_ms.
+
+    A check looks if the last look is ttl_ms ago or more, else it takes what was seen then. Keys are processes (or other parts).
+    """
+    known = flag_as_of(events, [ts_ms, order], on, off, [key]).where(check)
+    opened = windows(known, key, ts_ms, order, ttl_ms).select(F.col("_key"), F.col("_order"), F.col("_until"))
+    both = known.join(opened, known[key].eqNullSafe(F.col("_key")) & (known[order] == F.col("_order")))
+    own = Window.partitionBy(key, "_until").orderBy(ts_ms, order)
+    return both.withColumn("active", F.first("active").over(own)).drop("_key", "_order", "_until")

@@ -17,6 +17,7 @@ from palisade.operators.preparing import variants as prepared
 from palisade.plans.moderate import check, check_frames, moderate
 from palisade.plans.salted import DONATIONS_SQL, MESSAGES, dealt, dealt_sql, donations
 from palisade.sources.events import request_fields
+from palisade.sources.look_alikes import build_look_alikes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -384,9 +385,56 @@ def frame_any_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.bool_or(bad).alias("blocked"), F.count("*").alias("donations"), F.coalesce(F.min(F.when(bad, F.col("turn"))), F.max("turn")).alias("last_checked"))
 
 
-@query()
+_empty_tako = "(platform = 'tako' AND coalesce(message, '') = '')"
+
+
+@query(f"""{full.FULL_SQL} SELECT donation_id, platform, CASE WHEN action = 'block' AND NOT {_empty_tako} THEN 0 END::INTEGER AS first_block, CASE WHEN {_empty_tako} THEN 0 ELSE 1 END::INTEGER AS checked,
+  CASE WHEN {_empty_tako} THEN NULL WHEN action = 'block' THEN '***' ELSE coalesce(donator, '') END AS donator, CASE WHEN {_empty_tako} THEN NULL WHEN action = 'block' THEN '***' ELSE coalesce(message, '') END AS message FROM decided""")
 def check_frames_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_frames(_frames(spark, sf_dir), "donation_id").select("donation_id", "platform", "first_block", "delivered", "checked")
+    """Frames decided, and what is delivered parsed again."""
+    made = check_frames(_frames(spark, sf_dir).select("donation_id", "platform", "raw"), "donation_id")
+    again = made.withColumn("d", F.get(payloads.parse_frame(F.col("platform"), F.col("delivered")), F.lit(0)))
+    return again.select("donation_id", "platform", "first_block", "checked", "d.donator", "d.message")
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, NULL::INTEGER AS first_block, 0 AS checked, true AS same FROM donations")
+def check_frames_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames cut short, or of platforms nobody knows, go on as they are."""
+    broken = _frames(spark, sf_dir).withColumn("raw", F.when(F.col("donation_id") % 2 == 0, F.expr("left(raw, length(raw) - 4)")).otherwise(F.col("raw")))
+    broken = broken.withColumn("platform", F.when(F.col("donation_id") % 2 == 0, F.col("platform")).otherwise("nimo"))
+    made = check_frames(broken.select("donation_id", "platform", "raw"), "donation_id")
+    return made.select("donation_id", "first_block", "checked", (F.col("delivered") == F.col("raw")).alias("same"))
+
+
+_turn_key = "(conv_id * 7 + turn)"
+_turns_sql = f"""donations AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, conv_id * 1000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS donation_id, NULL::TIMESTAMP AS ts, 'saweria' AS platform, role AS donator, {dealt_sql(MESSAGES, _turn_key)} AS message, 0.0 AS amount, 'IDR' AS currency, 0 AS user_id, '' AS event_type FROM conversations)"""
+
+
+@query(f"""{O.decided_sql(texts=full.full_texts(_turns_sql), key="d.{}")}, f AS (SELECT d.conv_id, min(pos) FILTER (action = 'block') AS first_block, count(*) AS donations FROM decided JOIN donations d USING (donation_id) GROUP BY d.conv_id)
+  SELECT conv_id, donations, first_block::INTEGER AS first_block, coalesce(first_block + 1, donations)::INTEGER AS checked, CASE WHEN first_block IS NULL THEN 0 ELSE donations END AS replaced FROM f""")
+def check_frames_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of many donations, one per conversation: the first blocked one ends the checks, and all are replaced."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("message", F.coalesce(dealt(MESSAGES, F.expr(_turn_key)), F.lit("")))
+    item = F.struct(F.col("role").alias("donator"), "message", F.lit(1).alias("amount"), F.lit("IDR").alias("currency"))
+    sorted_items = F.array_sort(F.collect_list(F.struct("turn", "role", "text", item.alias("item"))))
+    frames = turns.groupBy("conv_id").agg(F.transform(sorted_items, lambda x: x["item"]).alias("data"))
+    frames = frames.select("conv_id", F.lit("saweria").alias("platform"), F.to_json(F.struct(F.lit("donation").alias("type"), "data")).alias("raw"))
+    made = check_frames(frames, "conv_id").withColumn("again", payloads.parse_frame(F.col("platform"), F.col("delivered")))
+    replaced = F.size(F.filter("again", lambda d: (d["donator"] == "***") & (d["message"] == "***")))
+    return made.select("conv_id", F.size("donations").cast("long").alias("donations"), "first_block", "checked", replaced.cast("long").alias("replaced"))
+
+
+@query(f"WITH {DONATIONS_SQL}, s AS (SELECT donation_id, ts, {_stub} > 0.5 AS bad, nullif(message, '') AS text FROM donations) SELECT donation_id, text IS NOT NULL AS status, CASE WHEN text IS NOT NULL THEN bad::INTEGER END AS data, CASE WHEN text IS NOT NULL THEN 'Success' ELSE 'text must have at least 1 character' END AS message, CASE WHEN text IS NULL THEN 'text' END AS errors, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM s")
+def response_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = scoring.invalid_texts(F.col("message"))
+    data = F.when(wrong.isNull(), (scoring.stub_score(F.col("message")) > 0.5).cast("int"))
+    made = audit.envelope(wrong.isNull(), data, wrong, F.when(wrong.isNotNull(), F.lit("text")), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return donations(spark, sf_dir).select("donation_id", made.alias("e")).select("donation_id", "e.status", "e.data", "e.message", "e.errors", F.col("e.timestamp").alias("at"))
+
+
+@query(f"WITH {DONATIONS_SQL} SELECT donation_id, unnest(range(1, (donation_id % 4)::INTEGER + 1))::INTEGER AS listener FROM donations WHERE donation_id % 4 > 0")
+def listener_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.per_listener(donations(spark, sf_dir).select("donation_id"), F.col("donation_id") % 4)
 
 
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, event_type = 'click' AS signal FROM donations")
@@ -540,13 +588,26 @@ def kill_switch_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.flag_as_of(events, ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup").select("event_id", "active")
 
 
-@query(f"SELECT code::INTEGER AS code, letters FROM (VALUES {O.values(sorted((code, letters) for code, letters in fixed.TWO_READINGS))}) AS v(code, letters)")
+@query(f"""WITH RECURSIVE known AS (SELECT user_id, event_id, event_type, epoch_ms(ts) AS t, coalesce(last_value(CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM events),
+  o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM known WHERE event_type = 'view'),
+  w(user_id, event_id, i, until, seen) AS (SELECT user_id, event_id, i, t + {_window}, active FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN w.until <= o.t THEN o.t + {_window} ELSE w.until END, CASE WHEN w.until <= o.t THEN o.active ELSE w.seen END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
+  SELECT event_id, user_id, seen AS active FROM w""")
+def kill_switch_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The switch as a process sees it that looks at most every so often."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
+    kind = F.col("event_type")
+    return state.cached_flag(events, "user_id", "t", "event_id", kind == "error", kind == "signup", kind == "view", _window).select("event_id", "user_id", "active")
+
+
+@query(r"""WITH found AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '[A-Za-z][^\x00-\x7f]{1,2}'), range(0, len(regexp_extract_all(text, '[A-Za-z][^\x00-\x7f]{1,2}'))))) AS z FROM documents),
+  pairs AS (SELECT upper(left(z[1], 1)) AS letter, substr(z[1], 2) AS g, doc_id, z[2] AS pos FROM found),
+  kept AS (SELECT g, letter, min((doc_id, pos)) AS o FROM pairs WHERE length(g) > 1 OR NOT (unicode(g) BETWEEN 9728 AND 10175 OR unicode(g) BETWEEN 127744 AND 129791 OR unicode(g) BETWEEN 127462 AND 127487 OR unicode(g) BETWEEN 65024 AND 65039) GROUP BY g, letter)
+  SELECT g AS sequence, string_agg(letter, '' ORDER BY o) AS letters, CASE WHEN length(g) > 1 THEN 'ligature' WHEN count(*) > 1 THEN 'several' ELSE 'single' END AS kind FROM kept GROUP BY g""")
 def homoglyph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(letter, glyph) pairs gathered by code point; those with several letters, in order."""
-    pairs = [(letters[i], code, i) for i in (0, 1) for code, letters in fixed.TWO_READINGS]
-    rows = F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(code).alias("code"), F.lit(i).alias("i")) for letter, code, i in pairs])
-    found = spark.range(1).select(F.inline(rows)).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("i", "letter"))), lambda x: x["letter"]), "").alias("letters"))
-    return found.where(F.length("letters") > 1).orderBy("code")
+    """Documents as character sets: a letter and what follows it that is no ASCII, one or two code points."""
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][^\x00-\x7f]{1,2}"), F.lit(0))).alias("pos", "pair"))
+    pairs = found.select("doc_id", "pos", F.left("pair", F.lit(1)).alias("key"), F.expr("substr(pair, 2)").alias("glyph"))
+    return build_look_alikes(pairs, ["doc_id", "pos"])
 
 
 @query(f"SELECT code::INTEGER AS code, reads FROM (VALUES {O.values([(i, ''.join(p)) for i, p in enumerate([('aFb', '|aTb'), ('xIy', '|xLy'), ('plain',)])])}) AS v(code, reads)")

@@ -93,14 +93,16 @@ def _forms(name: str, source: str, x: str, base: int) -> str:
     return f"{tight(f'{name}_t', source, x)}, {name} AS (SELECT t, {base} + 3 * s + k AS o, v FROM {name}_t, LATERAL (VALUES {turns}) AS f(k, v) WHERE v <> '')"
 
 
-#: CTEs up to seen(t, o, v): the variants of all distinct texts of donors and messages.
-FULL_TEXTS = f"""WITH {DONATIONS_SQL}, texts AS (SELECT DISTINCT x AS t FROM {O._both}), {normal('read_all', 'texts', 't', 't')}, read AS (SELECT * FROM read_all WHERE n <> ''),
+def full_texts(donations: str) -> str:
+    """CTEs up to seen(t, o, v): the variants of all distinct texts of the donors and messages of the CTE donations."""
+    return f"""WITH {donations}, texts AS (SELECT DISTINCT x AS t FROM {O._both}), {normal('read_all', 'texts', 't', 't')}, read AS (SELECT * FROM read_all WHERE n <> ''),
 {canonical('canon', 'read', 't', 'n')},
 seeds(t, s, x) AS (SELECT t, 0, n FROM read UNION ALL {_folds} UNION ALL SELECT t, 4, {_smart('n')} FROM read UNION ALL SELECT t, 5, canonical FROM canon),
 {_forms('first_forms', "(SELECT * FROM seeds WHERE x <> '')", 'x', 0)}, first_seen AS (SELECT t, min(o) AS s, v FROM first_forms GROUP BY t, v),
 closed AS (SELECT t, s, {_CLOSED} AS c FROM first_seen WHERE v <> {_CLOSED}), {_forms('closed_forms', 'closed', 'c', 100_000)},
 seen AS (SELECT t, min(o) AS o, v FROM (SELECT t, s AS o, v FROM first_seen UNION ALL SELECT * FROM closed_forms) GROUP BY t, v)"""
 
+FULL_TEXTS = full_texts(DONATIONS_SQL)
 _text = "trim(regexp_replace(regexp_replace(coalesce(nullif(n, ''), lower(trim(t))), '[|/\\\\\\[\\]{}<>*_~`]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 #: The same and scored(t, g): what the stub classifier says of both fields joined.
 _joint = "concat_ws(' ', nullif(donator, ''), nullif(message, ''))"
