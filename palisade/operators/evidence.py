@@ -32,10 +32,10 @@ _ASCII = re.ASCII | re.IGNORECASE
 
 
 @lru_cache(1)
-def _compiled() -> tuple[dict, dict, list[str]]:
+def _compiled() -> tuple[dict, dict]:
     rules = {k: [(name, re.compile(p.replace("$", r"\Z"), _ASCII), w, p.startswith("^")) for name, p, w in rows] for k, rows in RULES.items()}
     phrases = {k: [(p, re.compile(phrase(p), _ASCII)) for p in rows] for k, rows in PHRASES.items()}
-    return rules, phrases, [b for b in fixed.BRANDS if len(b) >= fixed.NEAR_BRAND_MIN]
+    return rules, phrases
 
 
 def _rule_hits(variants: tuple[str, ...], joint: str, rules: list) -> list[dict]:
@@ -48,22 +48,38 @@ def _rule_hits(variants: tuple[str, ...], joint: str, rules: list) -> list[dict]
     return hits
 
 
-def _near(forms: list[str], exact: list[str], long: list[str]) -> list[str]:
-    most = fixed.NEAR_BRAND_DISTANCE
-    forms = [f for f in forms if len(f) >= fixed.NEAR_BRAND_MIN]
-    return [b for b in long if forms and b not in exact and any(f != b and abs(len(f) - len(b)) <= most and bounded_distance(f, b, most) is not None for f in forms)]
+@lru_cache(1)
+def _parts() -> dict[int, list[tuple[int, str, tuple[str, ...]]]]:
+    """Long brands by length, each cut into one part more than edits are allowed: a near form holds one of them as it is."""
+    parts, found = fixed.NEAR_BRAND_DISTANCE + 1, {}
+    for place, brand in enumerate(fixed.BRANDS):
+        n = len(brand)
+        if n >= fixed.NEAR_BRAND_MIN:
+            found.setdefault(n, []).append((place, brand, tuple(brand[n * i // parts : n * (i + 1) // parts] for i in range(parts))))
+    return found
+
+
+def _near(forms: list[str], exact: list[str]) -> list[str]:
+    most, by_length, found = fixed.NEAR_BRAND_DISTANCE, _parts(), set()
+    for form in forms:
+        if len(form) >= fixed.NEAR_BRAND_MIN:
+            for n in range(len(form) - most, len(form) + most + 1):
+                for place, brand, parts in by_length.get(n, ()):
+                    if form != brand and any(part in form for part in parts) and bounded_distance(form, brand, most) is not None:
+                        found.add((place, brand))
+    return [brand for _, brand in sorted(found) if brand not in exact]
 
 
 @lru_cache(REMEMBERED)
 def evidence_of(variants: tuple[str, ...], message: bool) -> dict:
     """Hit lists of a text: brands, near brands and rules; for messages also promo and weak rules and phrases."""
-    rules, phrases, long = _compiled()
+    rules, phrases = _compiled()
     joint = JOINT.join(variants)
     tokens = list(dict.fromkeys(t for v in variants for t in re.findall("[a-z0-9]+", v)))
     squeezed = list(dict.fromkeys(s for v in variants if (s := re.sub("[^a-zA-Z0-9]+", "", v).lower())))
     known = set(tokens)
     high = [b for b in fixed.BRANDS if b in known or (len(b) >= fixed.BRAND_SUBSTRING_MIN and any(b in s for s in squeezed))]
-    out = {"high": high, "near": _near(list(dict.fromkeys([*tokens, *squeezed])), high, long)}
+    out = {"high": high, "near": _near(list(dict.fromkeys([*tokens, *squeezed])), high)}
     for name in RULES if message else ("hard", "suspicious"):
         out[name] = _rule_hits(variants, joint, rules[name])
     for name in phrases if message else ():

@@ -121,7 +121,7 @@ def coerce_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule_query(kind: str, rules: tuple) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = donations(spark, sf_dir).select("donation_id", F.explode(matching.rule_hits(plain(F.col("message")), rules)).alias("h"))
+        hits = _by_message(spark, sf_dir, lambda texts: texts.select("message", F.explode(matching.rule_hits(F.col("v"), rules)).alias("h")))
         return hits.select("donation_id", "h.id", "h.value", "h.weight")
 
     QUERIES[f"rule_hits_{kind}"] = run
@@ -155,20 +155,32 @@ def brand_token_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.join_tokens(texts, terms, "donation_id").withColumnRenamed("term", "brand")
 
 
-def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v"))
-    return own.select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
+def _by_message(spark: SparkSession, sf_dir: str, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """donation_id and what match finds in distinct messages (message, v): each is matched once and joined back."""
+    sent = donations(spark, sf_dir).select("donation_id", "message").where(F.coalesce("message", F.lit("")) != "")
+    return sent.join(match(sent.select("message", plain(F.col("message")).alias("v")).dropDuplicates(["message"])), "message").drop("message")
+
+
+def _formed(texts: DataFrame) -> DataFrame:
+    return texts.select("message", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN named ON lower(message) = t")
 def brand_substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forms(spark, sf_dir).select("donation_id", F.explode(matching.brand_hits(F.col("tokens"), F.col("squeezed"))).alias("brand"))
+    return _by_message(spark, sf_dir, lambda texts: matching.join_brands(_formed(texts), "message"))
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN near_named ON lower(message) = t")
 def near_brand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = _forms(spark, sf_dir).withColumn("exact", matching.brand_hits(F.col("tokens"), F.col("squeezed")))
-    return forms.select("donation_id", F.explode(matching.near_brand_hits(F.col("tokens"), F.col("squeezed"), F.col("exact"))).alias("brand"))
+    return _by_message(spark, sf_dir, lambda texts: matching.join_near_brands(_formed(texts), "message"))
+
+
+@query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, (SELECT count(*) FROM named n WHERE n.t = lower(message)) AS exact, (SELECT count(*) FROM near_named n WHERE n.t = lower(message)) AS near FROM donations")
+def brand_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow forms of the brand matchers, over columns of one row."""
+    rows = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v")).select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
+    rows = rows.withColumn("_exact", matching.brand_hits(F.col("tokens"), F.col("squeezed")))
+    return rows.select("donation_id", F.size("_exact").cast("long").alias("exact"), F.size(matching.near_brand_hits(F.col("tokens"), F.col("squeezed"), F.col("_exact"))).cast("long").alias("near"))
 
 
 # ---- typos ----
@@ -286,6 +298,17 @@ def decide_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderate(donations(spark, sf_dir)).select("donation_id", "score", "action", "stage", "reason")
 
 
+_distinct_sql = DONATIONS_SQL.replace(dealt_sql(MESSAGES, "event_id"), f"coalesce({dealt_sql(MESSAGES, 'event_id')}, '') || ' kata ' || translate(event_id::VARCHAR, '0123456789', 'abcdefghij')")
+
+
+@query(f"{O.decided_sql(texts=full.full_texts(_distinct_sql), key='d.{}')} SELECT action, stage, count(*) AS n, sum(score)::BIGINT AS score FROM decided GROUP BY action, stage")
+def decide_full_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan over texts of which no two are the same."""
+    number = F.translate(F.col("donation_id").cast("string"), "0123456789", "abcdefghij")
+    rows = donations(spark, sf_dir).withColumn("message", F.concat(F.coalesce("message", F.lit("")), F.lit(" kata "), number))
+    return moderate(rows).groupBy("action", "stage").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
 # ---- responses, audit, feedback ----
 
 _marker_sql = "CASE WHEN action = 'block' THEN '[block:' || stage || ' score=' || score || ']' WHEN score >= 3 THEN '[allow:near score=' || score || ']' ELSE '[allow]' END"
