@@ -163,3 +163,20 @@ PLATFORMS = (
 )
 DEFAULT_PLATFORM = "saweria"
 MIME_TYPES = {"json": "application/json", "js": "application/javascript", "css": "text/css", "html": "text/html", "svg": "image/svg+xml", "txt": "text/plain", "xml": "application/xml"}
+
+# ---- fixed values: characters that normalisation removes, and marks that set letters apart ----
+INVISIBLE = r"[​-‏‪-‮⁠﻿­]"
+ORNAMENTS = r"[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]"
+PICTURES = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{27BF}\x{24C2}-\x{24FF}\x{1F1E0}-\x{1F1FF}]"
+EMOJI = rf"{PICTURES}[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}]?(?:\x{{200D}}{PICTURES}[\x{{FE0E}}\x{{FE0F}}]?|[\x{{1F3FB}}-\x{{1F3FF}}])*"
+CHAIN_MARKS = r"._\-/\\,:;*+|~"
+
+# ---- fixed values: traces of delivery networks in pages ----
+ARTEFACTS = (
+    r' crossorigin="[^"]*"',
+    r' integrity="[^"]*"',
+    r'(?i)<script[^>]*src="[^"]*cdn-cgi[^"]*"[^>]*>[\s\S]*?</script>',
+    r"(?i)<script[^>]*rocket-loader[^>]*>[\s\S]*?</script>",
+    r"(?i)<script[^>]*cloudflareinsights[^>]*>[\s\S]*?</script>",
+    r"(?i)<link[^>]*builds/meta[^>]*>",
+)

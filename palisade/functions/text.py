@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 from palisade.functions import fixed_values as fixed
 from palisade.functions.patterns import BORDER, SPACE
 
-INVISIBLE = r"[​-‏‪-‮⁠﻿­]"
-ORNAMENTS = r"[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ゠-ヿ㐀-䶿一-鿿｜\[\]{}]"
-PICTURES = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{27BF}\x{24C2}-\x{24FF}\x{1F1E0}-\x{1F1FF}]"
-EMOJI = rf"{PICTURES}[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}]?(?:\x{{200D}}{PICTURES}[\x{{FE0E}}\x{{FE0F}}]?|[\x{{1F3FB}}-\x{{1F3FF}}])*"
-CHAIN_MARKS = r"._\-/\\,:;*+|~"
 
 
 def js_trim(x: Column) -> Column:
@@ -32,16 +27,16 @@ def squeeze_space(x: Column) -> Column:
 
 
 def strip_invisible(x: Column) -> Column:
-    return F.regexp_replace(x, INVISIBLE, "")
+    return F.regexp_replace(x, fixed.INVISIBLE, "")
 
 
 def strip_ornaments(x: Column) -> Column:
-    return F.regexp_replace(x, ORNAMENTS, "")
+    return F.regexp_replace(x, fixed.ORNAMENTS, "")
 
 
 def strip_emoji(x: Column) -> Column:
     """Emoji sequences vanish; what is left of their ranges becomes a blank."""
-    return F.regexp_replace(F.regexp_replace(x, EMOJI, ""), rf"(?:{PICTURES}|[\x{{FE00}}-\x{{FE0F}}])+", " ")
+    return F.regexp_replace(F.regexp_replace(x, fixed.EMOJI, ""), rf"(?:{fixed.PICTURES}|[\x{{FE00}}-\x{{FE0F}}])+", " ")
 
 
 def collapse_repeats(x: Column, most: int = fixed.MAX_REPEAT) -> Column:
@@ -164,10 +159,10 @@ def rewrite_matches(x: Column, pattern: str, clean) -> Column:
 def tighten(x: Column) -> Column:
     """Joins letters that were set apart: by marks, by blanks, and short groups by dots, lines and dashes."""
     blank = rf"{SPACE}*"
-    marked = rf"(?i){BORDER}[a-z0-9](?:{blank}[{CHAIN_MARKS}]{blank}[a-z0-9])+{BORDER}"
+    marked = rf"(?i){BORDER}[a-z0-9](?:{blank}[{fixed.CHAIN_MARKS}]{blank}[a-z0-9])+{BORDER}"
     spaced = rf"(?i){BORDER}[a-z0-9](?:{SPACE}+[a-z0-9])+{BORDER}"
     groups = rf"(?i){BORDER}[a-z0-9]{{1,3}}(?:{blank}[._\-]{blank}[a-z0-9]{{1,3}})+{BORDER}"
-    x = rewrite_matches(x, marked, lambda m: F.regexp_replace(m, rf"(?:{SPACE}|[{CHAIN_MARKS}])+", ""))
+    x = rewrite_matches(x, marked, lambda m: F.regexp_replace(m, rf"(?:{SPACE}|[{fixed.CHAIN_MARKS}])+", ""))
     x = rewrite_matches(x, spaced, lambda m: F.regexp_replace(m, f"{SPACE}+", ""))
     return rewrite_matches(x, groups, lambda m: F.regexp_replace(m, rf"(?:{SPACE}|[._\-])+", ""))
 

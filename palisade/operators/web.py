@@ -11,14 +11,6 @@ from palisade.functions import fixed_values as fixed
 
 COOKIE = "moderation_platform"
 REGISTRY = "platform string, name string, stream_key_param string, overlays array<string>, asset_origin string, backend_origin string, backend_path_prefix string, forward_headers array<string>, impersonate boolean"
-ARTEFACTS = (
-    r' crossorigin="[^"]*"',
-    r' integrity="[^"]*"',
-    r'(?i)<script[^>]*src="[^"]*cdn-cgi[^"]*"[^>]*>[\s\S]*?</script>',
-    r"(?i)<script[^>]*rocket-loader[^>]*>[\s\S]*?</script>",
-    r"(?i)<script[^>]*cloudflareinsights[^>]*>[\s\S]*?</script>",
-    r"(?i)<link[^>]*builds/meta[^>]*>",
-)
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -138,7 +130,7 @@ def client_rewrite(url: Column, platform: Column, backend_origin: Column, prefix
 def strip_artefacts(html: Column, asset_origin: Column) -> Column:
     """HTML without what a content network added to it, in fixed order."""
     out = F.replace(html, F.concat(asset_origin, F.lit("/")), F.lit("/"))
-    for pattern in ARTEFACTS:
+    for pattern in fixed.ARTEFACTS:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, r'(?i)type="[a-f0-9]+-module"', 'type="module"')
     return F.regexp_replace(out, r'(?i)type="[a-f0-9]+-text/javascript"', "")

@@ -32,3 +32,13 @@ def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> Da
 def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Parquet events; a stream takes the schema of what is there."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path) if streaming else spark.read.parquet(path)
+
+
+#: Bytes of a table up to which its rows are dealt over all cores: one row group is one task, however many cores there are.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, where reading it gives fewer tasks; a large one as it is."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else table
