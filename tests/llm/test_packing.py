@@ -101,3 +101,12 @@ def test_frames(spark):
             at += length
         assert at <= 1024
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts(spark):
+    text = "some words of a long text " * 100_000
+    out = packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), PATH).collect()
+    ids = PLAIN.encode(text, add_special_tokens=False).ids + [2]
+    own = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 1)
+    assert sum(n for _, n, _ in own) == len(ids) and all(n == 1024 for _, n, _ in own[1:])
+    assert all(c == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, c in own)

@@ -1,5 +1,7 @@
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,6 +56,58 @@ def test_candidates_leave_no_text_out(text):
         assert any(start < s.end and s.start < end for s in [*base, *free])
 
 
+NUMBERS = ["0391 555 5010", "(0391) 555-50-10", "4111 1111 1111 1111", "4111-1111-1111-1112", "10.1.2.3", "+1 389 555 5010", "a@b.co", "bob (at) x (dot) com", " ", ", ", "x", "1:2:3:4:5:6:7:8"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(NUMBERS), max_size=12).map(" ".join))
+def test_sweep_equals_looking_at_all_spans(text):
+    base, free = pii.candidates(text)
+    taken, want = [(s.start, s.end) for s in pii.base_spans(text)], []
+    for span in sorted(pii.loose_spans(text), key=lambda s: (s.start, -s.end, s.kind)):
+        if all(span.end <= a or span.start >= b for a, b in taken):
+            want.append(span)
+            taken.append((span.start, span.end))
+    assert free == want and base == pii.base_spans(text)
+
+
+def test_many_numbers_take_linear_time():
+    text = "tel (0391) 555-50-10, " * 20_000
+    began = time.perf_counter()
+    assert len(pii.candidates(text)[1]) == 20_000
+    assert time.perf_counter() - began < 5
+
+
+def test_expectation_maximisation_equals_a_plain_walk():
+    """The same model candidate by candidate, with every copy counted as often as it occurs."""
+    rng = np.random.default_rng(3)
+    cells = sorted({(1, *rng.integers(0, 3, 6).tolist(), 0) for _ in range(25)})
+    counts = rng.integers(1, 40, len(cells))
+    rows = [cell[1:7] for cell, n in zip(cells, counts.tolist()) for _ in range(n)]
+    p = [1 / (1 + np.exp(-1.5 * (sum(v == 1 for v in r) - sum(v == 0 for v in r) + (r[0] == 1) - 1.5))) for r in rows]
+    for _ in range(50):
+        prior = (sum(p) + 1) / (len(rows) + 2)
+        rates = []
+        for labeler in range(6):
+            yes, no = {0: 0.5, 1: 1.5}, {0: 1.5, 1: 0.5}
+            for r, q in zip(rows, p):
+                if r[labeler] != 2:
+                    yes[r[labeler]] += q
+                    no[r[labeler]] += 1 - q
+            rates.append(({v: yes[v] / sum(yes.values()) for v in yes}, {v: no[v] / sum(no.values()) for v in no}))
+        p = []
+        for r in rows:
+            good, bad = prior, 1 - prior
+            for labeler, v in enumerate(r):
+                if v != 2:
+                    good, bad = good * rates[labeler][0][v], bad * rates[labeler][1][v]
+            p.append(good / (good + bad))
+    found, reliability = pii.expectation_maximisation(np.array(cells), counts)
+    at = np.cumsum(counts) - counts
+    assert np.abs(found - np.array(p)[at]).max() < 1e-9
+    assert abs(reliability["ip"]["context"]["yes_if_personal"] - rates[2][0][1]) < 1e-9
+
+
 def test_candidates_without_digits():
     for text, kind in [("write john (AT) example (DOT) com now", 0), ("john [AT] example.com", 0), ("john (at] example.com", 0), ("host ab:cd:ef:aa:bb:cc:dd:FE up", 1)]:
         base, free = pii.candidates(text)
@@ -82,3 +136,27 @@ def test_frames(spark):
     assert out == {(1, "x <EMAIL> y"), (None, None), (2, ""), (3, "é <PHONE>")}
     assert pii.find_pii(docs).count() == 5
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_added_spans_are_what_the_fitted_model_accepts(spark):
+    texts = ["mail a@b.com tel +1 389 555 5010"] * 40 + ["phone (0391) 555 50 10 end", "email bob (at) example (dot) com now", "order 0391 555 50 10x", None, ""] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = pii.Counter()
+    for text in texts:
+        base, free = pii.candidates(text or "")
+        seen.update(pii.cell_of(text, s, True) for s in base)
+        seen.update(pii.cell_of(text, s, False) for s in free)
+    assert pii.count_cells(docs) == seen
+    model = pii.fit(seen)
+    for r in pii.find_pii(docs).collect():
+        text = texts[r.doc_id] or ""
+        base, free = pii.candidates(text)
+        want = sorted([*base, *(s for s in free if model.accepts(pii.cell_of(text, s, False)))], key=lambda s: (s.start, s.kind))
+        assert [(s.kind, s.start, s.end) for s in r.spans] == [(pii.KINDS[s.kind], s.start, s.end) for s in want]
+
+
+def test_very_long_texts(spark):
+    text = "plain words and more " * 120_000 + "mail a@b.co end"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: (len(r.base), r.masked[-15:]) for r in pii.find_pii(docs, mask=True).collect()}
+    assert got == {1: (1, "ail <EMAIL> end"), 2: (0, "short")}
