@@ -30,9 +30,22 @@ EVERYDAY = tuple(dict.fromkeys(
 KINDS = ("sensitive-exact", "exact", "normalized", "sensitive-fuzzy", "fuzzy", "unknown")
 
 
+def dictionary_words(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Distinct words of lines: trimmed, lower case, only those of the letters a to z."""
+    return lines.select(F.lower(T.js_trim(F.col(column))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct words (a-z only, lower-cased) of a text file, one a line."""
-    return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    """The words of a text file, one a line."""
+    return dictionary_words(spark.read.text(path))
+
+
+def known_words(words: DataFrame, most: int = 1_000_000) -> tuple[str, ...]:
+    """A dictionary (word) as the option `words` of the plan, in order; refused where it is larger than every worker should hold."""
+    found = words.select("word").orderBy("word").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a dictionary of more than {most} words is not held by every worker; use fuzzy_join")
+    return tuple(r["word"] for r in found)
 
 
 def most_distance(length: Column) -> Column:

@@ -237,6 +237,12 @@ def canonicalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donations(spark, sf_dir).select("donation_id", F.get(typo.canonical_texts(F.array(F.lower(F.coalesce("message", F.lit(""))))), F.lit(0)).alias("canonical"))
 
 
+@query(r"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE regexp_full_match(lower(w), '[a-z]+')")
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' words as the lines of a dictionary."""
+    return typo.dictionary_words(documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("line")), "line")
+
+
 # ---- decisions ----
 
 
@@ -279,11 +285,13 @@ def batch_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donations(spark, sf_dir).groupBy("platform").agg(F.count("*").alias("total"), F.count_if(label).alias("label_1"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 9) AS gambling, (b > a)::INTEGER AS label FROM e")
+@query("WITH e AS (SELECT vec_id, i // 2 AS pair, embedding[i]::DOUBLE AS a, embedding[i + 1]::DOUBLE AS b FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding), 2)) AS i FROM embeddings)) SELECT vec_id, pair, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 9) AS gambling, (b > a)::INTEGER AS label FROM e")
 def softmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return vectors.select("vec_id", F.round(scoring.softmax(a, b), 9).alias("gambling"), scoring.label_of(a, b).alias("label"))
+    """Neighbouring components of every vector as logits."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("_e", F.transform("embedding", lambda x: x.cast("double")))
+    starts = F.sequence(F.lit(0).cast("long"), F.floor(F.size("_e") / 2) - 1)
+    pairs = vectors.select("vec_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("pair"), F.get("_e", (2 * i).cast("int")).alias("a"), F.get("_e", (2 * i + 1).cast("int")).alias("b")))).alias("p"))
+    return pairs.select("vec_id", "p.pair", F.round(scoring.softmax(F.col("p.a"), F.col("p.b")), 9).alias("gambling"), scoring.label_of(F.col("p.a"), F.col("p.b")).alias("label"))
 
 
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, trim(regexp_replace(regexp_replace(lower(trim(concat_ws(' ', nullif(donator, ''), nullif(message, '')))), '[|/\\\\\\[\\]{{}}<>*_~`]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM donations")
@@ -333,6 +341,24 @@ def audit_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("donation_id", audit.marker(F.col("action"), F.col("stage"), F.col("reason")).alias("marker"), audit.summary(F.col("action"), F.col("stage")).alias("summary"))
 
 
+_reasons = ("score=7; brands=hoki88, eth77; strong=rtp", "score=2.50; allowContext=donasi masjid", "strong=link daftar; suspicious=x", "score=-1", "note brands=late", " score=4;brands= wide ; allowContext=a", None)
+_stages, _actions = ("brand", "hard", "allow-context"), ("block", "allow", "review", None)
+_field = "coalesce(trim(regexp_extract(coalesce(reason, ''), '(?:^|;\\s*){}=([^;]+)', 1)), '')"
+_fields_sql = f"""r AS (SELECT donation_id, {dealt_sql(_reasons, 'donation_id')} AS reason, {dealt_sql(_stages, 'donation_id')} AS stage, {dealt_sql(_actions, 'donation_id')} AS action FROM donations),
+p AS (SELECT *, {_field.format('brands')} AS brands, {_field.format('strong')} AS strong, {_field.format('suspicious')} AS suspicious, {_field.format('allowContext')} AS context, try_cast(nullif(regexp_extract(coalesce(reason, ''), 'score=(-?[0-9]+(?:[.][0-9]+)?)', 1), '') AS DOUBLE) AS score FROM r),
+q AS (SELECT *, CASE WHEN score IS NULL THEN '?' WHEN score = floor(score) THEN score::BIGINT::VARCHAR ELSE regexp_replace(printf('%.2f', score), '[.]?0+$', '') END AS shown, CASE WHEN brands <> '' THEN 'brands=' || brands WHEN strong <> '' THEN 'strong=' || strong WHEN suspicious <> '' THEN 'suspicious=' || suspicious ELSE '' END AS tail FROM p)"""
+
+
+@query(f"""WITH {DONATIONS_SQL}, {_fields_sql} SELECT donation_id, brands, strong, context, CASE WHEN action IS NULL THEN '[allow]' WHEN action = 'block' AND stage = 'brand' THEN '[block:brand ' || brands || ']' WHEN action = 'block' THEN '[block:' || stage || ' score=' || shown || CASE WHEN tail <> '' THEN ' ' || tail ELSE '' END || ']'
+  WHEN coalesce(score >= 3, false) THEN '[allow:near score=' || shown || CASE WHEN context <> '' THEN ' ctx=' || context ELSE '' END || ']' WHEN stage = 'allow-context' AND context <> '' THEN '[allow:ctx ' || context || ']' ELSE '[allow]' END AS marker FROM q""")
+def reason_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons taken apart, and the markers of every kind of decision."""
+    key = F.col("donation_id")
+    rows = donations(spark, sf_dir).select("donation_id", dealt(_reasons, key).alias("reason"), dealt(_stages, key).alias("stage"), dealt(_actions, key).alias("action"))
+    fields = [T.parse_field(F.col("reason"), n).alias(a) for n, a in (("brands", "brands"), ("strong", "strong"), ("allowContext", "context"))]
+    return rows.select("donation_id", *fields, audit.marker(F.col("action"), F.col("stage"), F.col("reason")).alias("marker"))
+
+
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, '[' || strftime(ts, '%H:%M:%S') || '] [killed] ' || trim(coalesce(donator, '')) || ': ' || trim(coalesce(message, '')) AS line FROM donations")
 def audit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = audit.marker(F.lit("allow"), F.lit("x"), F.lit(""), F.lit(True))
@@ -387,14 +413,16 @@ for _platform in payloads.PARSERS:
     _parse_query(_platform)
 
 
-@query(f"""WITH {DONATIONS_SQL} SELECT donation_id, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'D' END AS donator, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'M' END AS message, platform FROM donations
+@query(f"""WITH {DONATIONS_SQL} SELECT donation_id, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'D' END AS donator, CASE WHEN platform = 'tako' AND coalesce(message, '') = '' THEN NULL ELSE 'M' END AS message, platform, NULL AS voice, platform = 'bagibagi' AS ends, CASE platform WHEN 'saweria' THEN '7' END AS extra FROM donations
   WHERE NOT (platform = 'tako' AND coalesce(message, '') = '')""")
 def rewrite_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame rewritten and parsed again."""
     own = _frames(spark, sf_dir).where(~((F.col("platform") == "tako") & (F.coalesce("message", F.lit("")) == "")))
     changed = own.select("donation_id", "platform", payloads.rewrite_frames(F.col("platform"), F.col("raw"), F.lit("D"), F.lit("M")).alias("raw"))
-    again = changed.select("donation_id", "platform", F.explode(payloads.parse_frame(F.col("platform"), F.col("raw"))).alias("d"))
-    return again.select("donation_id", "d.donator", "d.message", "platform")
+    again = changed.select("donation_id", "platform", "raw", F.explode(payloads.parse_frame(F.col("platform"), F.col("raw"))).alias("d"))
+    inner = F.get_json_object("raw", "$.messages[0].data")
+    voice = F.coalesce(F.get_json_object("raw", "$.data[0].tts"), F.get_json_object("raw", "$.arguments[0].audioData"), F.get_json_object(inner, "$.tts"), F.get_json_object(inner, "$.voice_note"))
+    return again.select("donation_id", "d.donator", "d.message", "platform", voice.alias("voice"), F.col("raw").endswith(payloads.RECORD_END).alias("ends"), F.get_json_object("raw", "$.data[0].extra").alias("extra"))
 
 
 _turns = "SELECT conv_id, turn, text, lower(text) LIKE '%the%' AS bad FROM conversations"
