@@ -30,9 +30,11 @@ from palisade.llm.shingles import BASE, BYTE_CODES, mixed, powers, words
 MIN_WORDS, GRAM = 50, 8
 LAST = (1 << 63) - 1
 #: Places of a print from which on it is split by whole passages; rows that are compared at a time, about.
-HOT_PLACES, COMPARED = 4_000, 20_000
+HOT_PLACES, COMPARED = 100_000, 20_000
 #: Lists of up to so many numbers (8 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_NUMBERS = 1_000_000
+#: Texts with such prints up to which their 64-bit keys (at most 128 MB) are broadcast, so that only they are shuffled.
+BROADCAST_TEXTS = 4_000_000
 OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -332,8 +334,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     twice = settled(twice.select("core", (F.col("places") > HOT_PLACES).cast("int").alias("hot")))
     wanted = suffixes.join(twice, "core").groupBy("h").agg(F.collect_set(2 * F.col("at").cast("long") + F.col("hot")).alias("wanted"))
     wanted = settled(wanted.join(texts.select("h", "first_id", "rows"), "h").withColumnRenamed("h", "_h"))
-    small = (wanted.agg(F.sum(F.size("wanted") + 8)).first()[0] or 0) <= BROADCAST_NUMBERS
-    chosen = docs.join(F.broadcast(wanted) if small else wanted, (docs["h"] == F.col("_h")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("first_id")))
+    if wanted.count() <= BROADCAST_TEXTS:
+        keys = wanted.select(F.xxhash64("_h").alias("_key")).distinct()
+        docs = docs.join(F.broadcast(keys), F.xxhash64("h") == F.col("_key"), "left_semi")
+    chosen = docs.join(wanted, (docs["h"] == F.col("_h")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("first_id")))
     chosen = chosen.select("first_id", "h", "wanted", "text", "rows")
     if not wanted.where("rows > 1").isEmpty():
         # Rows equal in id and text are one document; one of them is left before anything is shuffled by text.
