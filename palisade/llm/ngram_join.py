@@ -91,6 +91,13 @@ def _short(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(32)).astype(np.uint32)
 
 
+def _listed(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values a sorted list holds."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
 def _prefix_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The shingles at the front of the hash order of every text, somewhat beyond the prefix, by their upper halves."""
 
@@ -111,7 +118,7 @@ def _frequent(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, h, sketch, prefix of every row."""
+    """doc_id, n, h, k (the first half of h as a number), sketch, prefix of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,14 +126,16 @@ def _sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> Da
                 sets = shingles(flat, offsets, width)
                 prefixes = []
                 for own in sets:
-                    common = np.isin(_short(own), frequent) if len(frequent) and len(own) else np.zeros(len(own), bool)
+                    common = _listed(_short(own), frequent)
                     want = prefix_length(len(own), percent) if len(own) else 0
                     rare = own[~common][:want]
                     prefixes.append(rare if len(rare) == want else np.concatenate([rare, own[common][: want - len(rare)]]))
-                columns = [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(own) for own in sets], pa.binary()), pa.array([sketch_of(s) for s in sets], pa.binary()), _lists(prefixes)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "sketch", "prefix"])
+                digests = [_digest(own) for own in sets]
+                halves = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
+                columns = [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), halves, pa.array([sketch_of(s) for s in sets], pa.binary()), _lists(prefixes)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "k", "sketch", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(work), "doc_id long, n long, h binary, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(work), "doc_id long, n long, h binary, k long, sketch binary, prefix array<long>")
 
 
 def _tiled(rows: DataFrame, size: Column, tile: int, key: str) -> DataFrame:
@@ -138,20 +147,23 @@ def _tiled(rows: DataFrame, size: Column, tile: int, key: str) -> DataFrame:
 
 
 def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): spanning edges of the classes that meet in a prefix shingle and pass the lossless bounds."""
-    tokens = classes.select(F.explode("prefix").alias("token"), "h")
+    """(a, b): spanning edges, by k, of the classes that meet in a prefix shingle and pass the lossless bounds.
+
+    Half a digest is enough here: two classes that share it only meet all the more, and are told apart where they are joined.
+    """
+    tokens = classes.select(F.explode("prefix").alias("token"), "k")
     # Counted by pre-aggregation: a shingle of many classes is no single task's, and its rows are split where they are joined.
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    met = _tiled(tokens.join(shared, "token"), F.col("c"), GROUP_TILE, "h").select("token", "i", "j", "h")
-    met = met.join(classes.select("h", "n", "sketch"), "h")
+    met = _tiled(tokens.join(shared, "token"), F.col("c"), GROUP_TILE, "k").select("token", "i", "j", "k")
+    met = met.join(classes.select("k", "n", "sketch"), "k")
     run = F.xxhash64("token", "i", "j")
-    met = met.select(run.alias("run"), "h", "n", "sketch").repartition("run").sortWithinPartitions("run", "h")
+    met = met.select(run.alias("run"), "k", F.col("n").cast("int").alias("n"), "sketch").repartition("run").sortWithinPartitions("run", "k")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[bytes] = set()
         for batch in batches:
-            edges: list[tuple[bytes, bytes]] = []
+            edges: list[tuple[int, int]] = []
             for row in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 if held and held[0][0] != row[0]:
                     edges += _survivors(held, percent, seen)
@@ -160,18 +172,18 @@ def _candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             yield _edge_batch(edges)
         yield _edge_batch(_survivors(held, percent, seen))
 
-    return met.mapInArrow(frugal(work), "a binary, b binary").distinct()
+    return met.mapInArrow(frugal(work), "a long, b long").distinct()
 
 
-def _edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[bytes, bytes]]:
+def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[int, int]]:
     """Edges that span the components of one run's may-link graph: each found member looks at the rest only."""
     if len(run) < 2:
         return []
-    mark = hashlib.blake2b(b"".join(r[1] for r in run), digest_size=16).digest()
+    mark = hashlib.blake2b(np.array([r[1] for r in run], np.int64).tobytes(), digest_size=16).digest()
     if mark in seen:
         return []
     if len(seen) > SEEN_RUNS:
@@ -196,7 +208,7 @@ def _survivors(run: list[tuple], percent: int, seen: set) -> list[tuple[bytes, b
     return edges
 
 
-def _many_survivors(run: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+def _many_survivors(run: list[tuple], percent: int) -> list[tuple[int, int]]:
     """What _survivors does, with one vectorised look at all that is left per member.
 
     Sizes that may link are less than a factor of two apart, and so are the sketches' widths: each is held as it is
@@ -325,10 +337,10 @@ def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settled(_sets(docs, width, percent, _frequent(docs, width, percent)))
-    members = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.first("n").alias("n"))
-    classes = sets.where("n > 0").select("h", "n", "sketch", "prefix").dropDuplicates(["h"])
+    members = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("k").alias("k"))
+    classes = sets.where("n > 0").select("h", "k", "n", "sketch", "prefix").dropDuplicates(["h"])
     edges = settled(_candidate_edges(classes, percent))
-    blocks = settled(components(edges).select(F.col("node").alias("h"), F.col("component").alias("block")).join(members, "h"))
+    blocks = settled(components(edges).select(F.col("node").alias("k"), F.col("component").alias("block")).join(members, "k"))
     sized = blocks.join(blocks.groupBy("block").agg(F.sum("n").alias("size")), "block")
     tiles = _tiled(sized, F.col("size"), BLOCK_TILE, "h").select("block", "i", "j", "part", "h", "members")
 
