@@ -54,13 +54,25 @@ def param(url: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
 
 
+def form_encoded(query: Column) -> Column:
+    """A query string taken apart and put together again as form data; what cannot be decoded is encoded as it is."""
+
+    def again(text: Column) -> Column:
+        return F.url_encode(F.coalesce(F.try_url_decode(text), text))
+
+    return F.array_join(F.transform(F.split(query, "&"), lambda p: F.concat(again(F.regexp_extract(p, "^[^=]*", 0)), F.lit("="), again(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)))), "&")
+
+
 def overlay_alias(url: Column) -> Column:
-    """A platform's own overlay path as struct<url, error>; null url and error where no alias fits."""
+    """A platform's own overlay path as struct<url, error>; null url and error where no alias fits.
+
+    The other parameters of a Sociabuzz path stay, encoded as form data.
+    """
     path = F.regexp_extract(url, r"^[^?#]*", 0)
     widget, tako = F.regexp_extract(path, r"^/widgets/([^/]+)$", 1), F.regexp_extract(path, r"^/overlay/([^/]+)$", 1)
     box, alert, share = F.regexp_extract(path, r"^/alertbox/([^/]+)$", 1), F.regexp_extract(path, r"^/pro/tribe/alert1/v3/([^/]+)$", 1), F.regexp_extract(path, r"^/pro/tribe/mediashare/v2/([^/]+)$", 1)
     extra = F.array_join(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike("^(?:platform|overlayType|streamKey)=")), "&")
-    more = F.when(extra != "", F.concat(extra, F.lit("&"))).otherwise("")
+    more = F.when(extra != "", F.concat(form_encoded(extra), F.lit("&"))).otherwise("")
 
     def sociabuzz(kind: str, key: Column) -> Column:
         return F.concat(F.lit("/overlay?"), more, F.lit(f"platform=sociabuzz&overlayType={kind}&streamKey="), key)

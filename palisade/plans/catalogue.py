@@ -531,11 +531,11 @@ def overlay_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", web.overlay_url(dealt(_names, F.col("page_id")), key, dealt(_kinds, F.col("page_id")), F.lit("v=1")).alias("url"))
 
 
-_paths = ("/widgets/alert?streamKey=@", "/widgets/mediashare", "/overlay/alert?overlay_key=@", "/alertbox/@", "/pro/tribe/alert1/v3/@?v=1", "/pro/tribe/mediashare/v2/@", "/other")
-_targets = ("/overlay?platform=saweria&overlayType=alert&streamKey=@", None, "/overlay?platform=tako&overlayType=alert&streamKey=@", "/overlay?platform=bagibagi&streamKey=@", "/overlay?v=1&platform=sociabuzz&overlayType=alert&streamKey=@", "/overlay?platform=sociabuzz&overlayType=mediashare&streamKey=@", None)
+_paths = ("/widgets/alert?streamKey=@", "/widgets/mediashare", "/overlay/alert?overlay_key=@", "/alertbox/@", "/pro/tribe/alert1/v3/@?v=1", "/pro/tribe/mediashare/v2/@", "/other", "/pro/tribe/alert1/v3/@?t=a%20b%21&platform=x&q=x+y&n&%zz=1")
+_targets = ("/overlay?platform=saweria&overlayType=alert&streamKey=@", None, "/overlay?platform=tako&overlayType=alert&streamKey=@", "/overlay?platform=bagibagi&streamKey=@", "/overlay?v=1&platform=sociabuzz&overlayType=alert&streamKey=@", "/overlay?platform=sociabuzz&overlayType=mediashare&streamKey=@", None, "/overlay?t=a+b%21&q=x+y&n=&%25zz=1&platform=sociabuzz&overlayType=alert&streamKey=@")
 
 
-@query(f"SELECT page_id, replace({dealt_sql(_targets, 'page_id')}, '@', 'k' || page_id) AS url, CASE WHEN page_id % 7 = 1 THEN 'Missing streamKey' END AS error FROM pages")
+@query(f"SELECT page_id, replace({dealt_sql(_targets, 'page_id')}, '@', 'k' || page_id) AS url, CASE WHEN page_id % {len(_paths)} = 1 THEN 'Missing streamKey' END AS error FROM pages")
 def overlay_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.replace(dealt(_paths, F.col("page_id")), F.lit("@"), F.concat(F.lit("k"), F.col("page_id").cast("string")))
     return pages(spark, sf_dir).select("page_id", web.overlay_alias(path).alias("a")).select("page_id", "a.*")
