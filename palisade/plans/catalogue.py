@@ -86,13 +86,13 @@ def message_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("donation_id", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("variants"))
 
 
+@query(full.documents_read())
 def normalize_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of whole documents; made once, in a projection of their own."""
     made = documents(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("v"))
     return made.select("doc_id", F.md5(F.get("v", F.lit(0))).alias("first"), F.size("v").alias("n"))
 
 
-QUERIES["normalize_variants"] = normalize_variants
 
 
 @query(f"WITH {DONATIONS_SQL} SELECT donation_id, coalesce(array_to_string(list_transform(range(1, length(message) + 1), lambda i: CASE WHEN message[i] IN ('@','$','!','|') THEN translate(message[i], '@$!|', 'asii') WHEN message[i] IN ('0','1','3','4','5','6','7','8') AND i > 1 AND i < length(message) AND regexp_matches(message[i-1], '[a-zA-Z]') AND regexp_matches(message[i+1], '[a-zA-Z]') THEN translate(message[i], '01345678', 'oieasgtb') ELSE message[i] END), ''), '') AS smart FROM donations")

@@ -109,3 +109,33 @@ _joint = "concat_ws(' ', nullif(donator, ''), nullif(message, ''))"
 SCORED_TEXTS = f"{FULL_TEXTS}, joints AS (SELECT DISTINCT {_joint} AS t FROM donations), {normal('joint_read', 'joints', 't', 't')}, scored AS (SELECT t, CASE WHEN contains({_text}, 'gacor') THEN 0.92 ELSE 0.05 END AS g FROM joint_read UNION ALL SELECT '', 0.05)"
 FULL_SQL = O.decided_sql(texts=FULL_TEXTS, key="d.{}")
 FULL_BOTH_SQL = O.decided_sql(f"(SELECT g FROM scored WHERE scored.t = {_joint} LIMIT 1)", SCORED_TEXTS, "d.{}")
+
+
+def _plain_letters() -> list[tuple[str, str]]:
+    """(character, what the folds and normal forms leave of it) for the letters and marks below the ideographs, and the full-width forms."""
+    from unicodedata import category, normalize
+
+    from palisade.functions.text import look_alikes
+
+    fold = str.maketrans(*look_alikes())
+    two = {chr(code) for code, _ in fixed.TWO_READINGS}
+    out = [("$", "S")]
+    for code in [*range(0x80, 0x3000), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0)]:
+        letter = chr(code)
+        apart = normalize("NFKD", normalize("NFKC", letter.translate(fold)).translate(fold))
+        plain = "".join(c for c in apart if not category(c).startswith("M"))
+        if plain != letter and letter not in two:
+            out.append((letter, plain))
+    return out
+
+
+def documents_read() -> str:
+    """Readings of documents whose texts hold no character with two readings."""
+    clean = "regexp_replace(regexp_replace(x, '{}', '', 'g'), '(?:{}|[\\x{{FE00}}-\\x{{FE0F}}])+', ' ', 'g')".format(fixed.EMOJI, fixed.PICTURES)
+    bare = PUNCTUATION.format(f"regexp_replace(regexp_replace({clean}, '{fixed.ORNAMENTS}', '', 'g'), '{fixed.INVISIBLE}', '', 'g')")
+    return f"""WITH plain(c, r) AS (VALUES {O.values(_plain_letters())}), kinds AS (SELECT doc_id, text, regexp_matches(text, '[^\\x00-\\x7f]') AS wide FROM documents),
+chars AS (SELECT doc_id, z[1] AS c, z[2] AS i FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '(?s:.)'), range(1, length(text) + 1))) AS z FROM kinds WHERE wide)),
+folded AS (SELECT doc_id, string_agg(coalesce(r, c), '' ORDER BY i) AS f FROM chars LEFT JOIN plain USING (c) GROUP BY doc_id), {collapsed('once', 'folded', 'doc_id', 'f')},
+{normal('narrow', '(SELECT doc_id, text FROM kinds WHERE NOT wide)', 'doc_id', 'text')},
+readings AS (SELECT doc_id, lower(trim(regexp_replace({bare}, '\\s+', ' ', 'g'))) AS n FROM once UNION ALL SELECT * FROM narrow)
+SELECT d.doc_id, md5(coalesce(n, '')) AS first, 1 AS n FROM documents d LEFT JOIN readings USING (doc_id)"""
