@@ -17,6 +17,11 @@ from palisade.llm.quality_cnn import fit, held_out, score_quality
 from palisade.llm.repeats import repeated_passages
 from palisade.llm.sharding import ring_shards
 from palisade.llm.url_filter import judge_pages
+from palisade.sources.events import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +30,7 @@ def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -50,31 +55,31 @@ def _count_of(spans: str, kind: str) -> Column:
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
+    found = find_pii(documents(spark, sf_dir))
     counts = [_count_of("base", kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def op6_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).drop("h")
+    return repeated_passages(documents(spark, sf_dir)).drop("h")
 
 
 def op7_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media_columns(table(spark, sf_dir, "documents"))
+    made = media_columns(documents(spark, sf_dir))
     clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string"))), ",")
     return made.select(
         "doc_id",
@@ -89,7 +94,7 @@ def op9_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(documents(spark, sf_dir))
 
 
 QUERIES = {
