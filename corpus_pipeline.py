@@ -13,6 +13,7 @@ from palisade.llm.ngram_join import keep_one
 from palisade.llm.packing import pack
 from palisade.llm.pii import find_pii
 from palisade.llm.quality_cnn import fit, score_quality
+from palisade.llm.queries import documents
 from palisade.llm.repeats import cut_repeats
 
 #: Documents scored below it are rejected.
@@ -75,7 +76,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; what a stage keeps is written once to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
