@@ -31,7 +31,7 @@ from palisade.llm.shingles import mixed, shingles
 FREQUENT, FREQUENT_FROM = 200_000, 24
 #: Classes of one tile of a prefix shingle; shingles of one tile of a block that is joined; cells of the table of probes
 #: that walk a trie together.
-GROUP_TILE, BLOCK_TILE, PROBE_CELLS = 4_096, 600_000, 1 << 25
+GROUP_TILE, BLOCK_TILE, PROBE_CELLS = 2_048, 600_000, 1 << 25
 #: Runs of classes that a worker remembers, so as not to look at the same one again.
 SEEN_RUNS = 100_000
 #: Lists of up to so many ids (8 bytes each) are broadcast; longer ones are joined by shuffle.

@@ -82,6 +82,28 @@ def test_equals_brute_force(spark, monkeypatch, tile):
     assert got == brute(rows)
 
 
+def test_large_runs_span_what_small_ones_do():
+    rng = random.Random(12)
+    sets = [ngram_join.shingles(*packed(t))[0] for _ in range(9) for t in family(rng, 12, 6)]
+    run = [(0, i, len(s), ngram_join.sketch_of(s)) for i, s in enumerate(sets)]
+
+    def groups(edges):
+        root = list(range(len(run)))
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    whole = groups(ngram_join._many_survivors(run, 80))
+    pairs = [(a, b) for a in range(len(run)) for b in range(a) if ngram_join.may_link(*[(run[i][2], 8 * len(run[i][3]), int.from_bytes(run[i][3], "little")) for i in (a, b)], 80)]
+    assert whole == groups(pairs) and len(set(whole)) > 1 and len(run) > 64
+
+
+def packed(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
 def test_keep_one_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "x y z"), (None, None), (7, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source")
@@ -113,3 +135,10 @@ def test_keep_one_decides_rows_of_null_and_repeated_ids(spark):
         least = min((doc for doc, _ in members if doc is not None), default=None)
         alike = [g for g in got if g in members]
         assert alike and all(doc == least for doc, _ in alike), members
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i}" for i in range(300_000)]
+    rows = [(3, " ".join(long)), (1, " ".join([*long[:150_000], "other", *long[150_001:]])), (2, " ".join(long[:100_000])), (4, "a b c d e")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: (299_996, 1, 1), 1: (299_996, 1, 1), 2: (99_996, 2, 0), 4: (1, 4, 0)}
