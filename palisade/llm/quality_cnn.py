@@ -3,8 +3,9 @@
 Bytes pass through learned filters of 8 bytes at every second byte; the responses of a chunk of 256
 positions (chunks overlap by half, together they cover the document) are max-pooled, and the chunks are
 combined by their maximum and their mean into one logistic unit. Embedding and convolution are one
-lookup table per filter tap, so a document of any length costs a few table reads per byte. Responses are made and
-pooled a segment at a time; half chunks do not straddle segments, so that the result is that of the whole text.
+lookup table per filter tap, so a document of any length costs a few table reads per byte. Max-pooled filters cannot tell
+a word from the same word again, so one more channel says how far the text echoes itself: the share of equal
+bytes at the best of a few lags, pooled like the others. Responses are made and pooled a segment at a time; half chunks do not straddle segments, so that the result is that of the whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from palisade.llm.common import byte_slices, frugal
 
 TAPS, STRIDE = 8, 2
 CHUNK, HOP = 256, 128
+#: Distances at which the text is compared with itself, and bytes of a block whose echoes are counted (three make a window).
+LAGS, ECHO = range(2, 18), 16
 #: Positions whose responses are held at a time.
 SEGMENT = 128 * HOP
 #: Labelled rows that the network is fitted on, at most, their bytes, and bytes of the longest; rows of a training step.
@@ -29,7 +32,7 @@ BATCH = 32
 
 
 class ByteCnn(NamedTuple):
-    """taps (TAPS, 256, filters), bias (filters,), dense (2 * filters,), offset, spread of features."""
+    """taps (TAPS, 256, filters), bias (filters,), dense (2 * (filters + 1),): maxima and means of filters and echo, offset."""
 
     taps: np.ndarray
     bias: np.ndarray
@@ -56,13 +59,40 @@ def responses(text: np.ndarray, first: int, last: int, taps: np.ndarray, bias: n
     return np.maximum(out, 0, out=out)
 
 
+def echoes(text: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Per half chunk first .. last - 1: the square of twice the greatest share of bytes of a window that equal those a lag before."""
+    size = HOP * STRIDE
+    begin, end = first * size, min(len(text), last * size)
+    # Two blocks before the first make its windows whole.
+    start = max(0, begin - 2 * ECHO)
+    blocks = -(-(end - start) // ECHO)
+    best = np.zeros(blocks, np.int32)
+    same = np.zeros(blocks * ECHO, np.uint8)
+    for lag in LAGS:
+        low = max(start, lag)
+        same[:] = 0
+        if low < end:
+            np.equal(text[low:end], text[low - lag : end - lag], out=same[low - start : end - start].view(bool))
+        counts = same.reshape(-1, ECHO).sum(1, dtype=np.int32)
+        window = counts.copy()
+        window[1:] += counts[:-1]
+        window[2:] += counts[:-2]
+        np.maximum(best, window, out=best)
+    shares = (2 * best[(begin - start) // ECHO :] / np.float32(3 * ECHO)) ** 2
+    whole = np.zeros((last - first) * size // ECHO, np.float32)
+    whole[: len(shares)] = shares
+    return whole.reshape(last - first, -1).max(1)
+
+
 def half_chunks(text: np.ndarray, taps: np.ndarray, bias: np.ndarray, rows: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Maxima of every half chunk, and the positions of the maxima where rows asks for them."""
+    """Maxima of every half chunk (filters, then echo), and the positions of the filters' maxima where rows asks for them."""
     text, n = places(text)
     tops, where = [], []
     for first in range(0, n, SEGMENT):
         own = responses(text, first, min(n, first + SEGMENT), taps, bias)
-        tops.append(np.maximum.reduceat(own, np.arange(0, len(own), HOP), 0))
+        top = np.maximum.reduceat(own, np.arange(0, len(own), HOP), 0)
+        half = first // HOP
+        tops.append(np.concatenate([top, echoes(text, half, half + len(top))[:, None]], 1))
         if rows:
             where += [first + at + own[at : at + HOP].argmax(0) for at in range(0, len(own), HOP)]
     return np.concatenate(tops), np.array(where) if rows else None
@@ -84,7 +114,7 @@ def score(text: np.ndarray, net: ByteCnn) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(texts: list[bytes], labels: np.ndarray, filters: int = 12, epochs: int = 4, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+def train(texts: list[bytes], labels: np.ndarray, filters: int = 16, epochs: int = 8, rate: float = 0.01, seed: int = 7) -> ByteCnn:
     """Adam on the logistic loss, gradients through the maxima only. Deterministic for given rows in order.
 
     Without both classes the network is constant: the smoothed share of label 1.
@@ -92,10 +122,10 @@ def train(texts: list[bytes], labels: np.ndarray, filters: int = 12, epochs: int
     rng = np.random.default_rng(seed)
     prior = (labels.sum() + 1.0) / (len(labels) + 2.0)
     taps = rng.normal(0, 0.15, (TAPS, 256, filters)).astype(np.float32)
-    net = ByteCnn(taps, np.zeros(filters, np.float32), np.zeros(2 * filters, np.float32), float(np.log(prior / (1 - prior))))
+    net = ByteCnn(taps, np.zeros(filters, np.float32), np.zeros(2 * filters + 2, np.float32), float(np.log(prior / (1 - prior))))
     if len(set(labels.tolist())) < 2:
         return net
-    params = [net.taps, net.bias, rng.normal(0, 0.1, 2 * filters).astype(np.float32), np.array([net.offset], np.float32)]
+    params = [net.taps, net.bias, rng.normal(0, 0.1, 2 * filters + 2).astype(np.float32), np.array([net.offset], np.float32)]
     first, second, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     data = [np.frombuffer(t, np.uint8) for t in texts]
     for _ in range(epochs):
@@ -120,14 +150,15 @@ def _backward(text: np.ndarray, label: float, params: list[np.ndarray], grads: l
     text, _ = places(text)
     chunks = pooled(halves)
     where = np.arange(filters)
-    top = chunks.argmax(0)
+    top = chunks[:, :filters].argmax(0)
     x = np.concatenate([chunks.max(0), chunks.mean(0)])
     p = 1 / (1 + np.exp(-np.clip(float(x @ dense + offset[0]), -30, 30)))
     delta = np.float32(p - label)
     grads[2] += delta * x
     grads[3] += delta
-    # Each chunk's maximum lies in one of its two halves; the gradient goes to that half's best row.
-    inner = np.repeat((delta * dense[filters:] / len(chunks))[None], len(chunks), 0)
+    # Each chunk's maximum lies in one of its two halves; the gradient goes to that half's best row. The echo has no weights of its own.
+    halves = halves[:, :filters]
+    inner = np.repeat((delta * dense[filters + 1 : 2 * filters + 1] / len(chunks))[None], len(chunks), 0)
     inner[top, where] += delta * dense[:filters]
     onto = np.zeros_like(halves)
     if len(halves) > 1:

@@ -212,6 +212,19 @@ def test_network_learns_and_scores_alike(spark):
     assert quality_cnn.score(np.zeros(0, np.uint8), alone) == 0.5
 
 
+def test_network_tells_words_from_one_word_repeated():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9))))
+    texts, labels = [], []
+    for i in range(400):
+        good = i % 5 != 0
+        texts.append(" ".join(word() for _ in range(80)) if good else (word() + " ") * 80)
+        labels.append(float(good))
+    net = quality_cnn.train([t.encode() for t in texts[:300]], np.array(labels[:300]))
+    got = [quality_cnn.score(np.frombuffer(t.encode(), np.uint8), net) >= 0.3 for t in texts[300:]]
+    assert np.mean(np.array(got) == (np.array(labels[300:]) > 0)) >= 0.97
+
+
 def test_network_sees_the_end_of_a_long_text():
     data = rows(300, 2)
     net = quality_cnn.train([r[1].encode() for r in data], np.array([r[2] for r in data], float), epochs=6)
@@ -227,7 +240,16 @@ def plain_score(text, net):
     if starts[-1] != len(text) - 8:
         starts.append(len(text) - 8)
     rows = [np.maximum(0, net.bias + sum(net.taps[tap][text[s + tap]] for tap in range(8))) for s in starts]
-    chunks = [np.max(rows[a : a + 256], 0) for a in range(0, max(1, len(rows) - 128), 128)]
+
+    def echo(block):
+        window = range(max(0, 16 * block - 32), min(len(text), 16 * block + 16))
+        return max(sum(i >= lag and text[i] == text[i - lag] for i in window) / 24 for lag in range(2, 18)) ** 2
+
+    halves = []
+    for a in range(0, len(rows), 128):
+        blocks = [b for b in range(a // 8, a // 8 + 16) if 16 * b < len(text)]
+        halves.append(np.append(np.max(rows[a : a + 128], 0), max([echo(b) for b in blocks], default=0)))
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
     x = np.concatenate([np.max(chunks, 0), np.mean(chunks, 0)])
     return 1 / (1 + np.exp(-(x @ net.dense + net.offset)))
 
@@ -237,7 +259,7 @@ def test_scores_equal_the_plain_network_and_do_not_depend_on_segments(monkeypatc
     net = quality_cnn.train([r[1].encode() for r in data], np.array([r[2] for r in data], float), epochs=2)
     rng = np.random.default_rng(0)
     long = rng.integers(32, 127, 9_001, dtype=np.uint8).tobytes()
-    for text in (b"", b"x", b"1234567", b"12345678", b"123456789", data[0][1].encode(), long[:513], long[:520], long[:777], long):
+    for text in (b"", b"Mentpa " * 60, b"x", b"1234567", b"12345678", b"123456789", data[0][1].encode(), long[:513], long[:520], long[:777], long):
         assert abs(quality_cnn.score(np.frombuffer(text, np.uint8), net) - plain_score(text, net)) < 1e-5
     huge = np.frombuffer((long * 240)[: (2 << 20) + 77], np.uint8)
     whole = quality_cnn.score(huge, net)
