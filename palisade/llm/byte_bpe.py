@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import frugal, text_slices
+from palisade.llm.common import frugal, lean, text_slices
 
 #: Remembered pieces per worker, and letters of the longest; beyond it the memory is cleared (results do not depend on it).
 PIECE_CACHE, PIECE_LETTERS = 400_000, 40
@@ -197,6 +197,6 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, column: str = "text",
                 columns += [pa.array(found, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
 
-    source = docs.select(*keep, F.col(column).alias("_text"))
+    source = lean(docs).select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(frugal(work), f"{schema}, ids array<int>, decoded binary")

@@ -36,6 +36,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of the batches that executors and Python workers exchange.
+BATCH_ROWS = 1_024
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """The same frame. Its session sends Python workers at most BATCH_ROWS rows at a time from now on.
+
+    A batch is held on both sides, by every task at once, and rows here are whole texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small frame of plain values, planned inside the JVM (no Python rows are shipped to executors)."""
     import json

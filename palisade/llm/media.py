@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import frugal, text_slices
+from palisade.llm.common import frugal, lean, text_slices
 
 SIDE, BLOCK = 24, 64
 FRAME_BYTES = SIDE * SIDE
@@ -425,7 +425,7 @@ def file_clips(files: DataFrame, column: str = "media", keep: tuple[str, ...] =
                     errors.append(str(wrong))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(clips, pa.list_(CLIP)), pa.array(errors, pa.string())], [*keep, "clips", "error"])
 
-    source = files.select(*keep, F.col(column).cast("binary").alias("_file"))
+    source = lean(files).select(*keep, F.col(column).cast("binary").alias("_file"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(frugal(work), f"{schema}, clips array<struct<start_frame:int,end_frame:int,start_ms:bigint,end_ms:bigint>>, error string")
 
@@ -453,7 +453,7 @@ def media_columns(docs: DataFrame, column: str = "text", keep: tuple[str, ...] =
                 columns += [pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(payloads, pa.binary()), pa.array(clips, pa.list_(CLIP))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_bytes", "media", "payload", "clips"])
 
-    source = docs.select(*keep, F.col(column).alias("_text"))
+    source = lean(docs).select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(frugal(work), f"{schema}, n_bytes long, {MEDIA_SCHEMA}")
 

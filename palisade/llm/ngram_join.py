@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from palisade.llm.common import byte_slices, frugal, settled
+from palisade.llm.common import byte_slices, frugal, lean, settled
 from palisade.llm.components import components
 from palisade.llm.shingles import mixed, shingles
 
@@ -335,7 +335,7 @@ def _similar(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     lead is true for the rows of one id and one set per component: the smallest id (null comes last), then the smallest digest.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settled(_sets(docs, width, percent, _frequent(docs, width, percent)))
     members = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("k").alias("k"))
     classes = sets.where("n > 0").select("h", "k", "n", "sketch", "prefix").dropDuplicates(["h"])

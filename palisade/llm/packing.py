@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import frugal, settled, text_slices
+from palisade.llm.common import frugal, lean, settled, text_slices
 
 #: Pieces of one packing problem, about; islands; epochs between migrations; packings of a population.
 PROBLEM, ISLANDS, EPOCHS, POPULATION = 4_096, 2, 2, 6
@@ -344,7 +344,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, keep: tu
     table gives an empty result; names of other columns do not matter. No task holds more than one
     problem's pieces, and a problem's size does not grow with the input.
     """
-    pieces = settled(tokenised(docs, path, size, end_id, keep, column))
+    pieces = settled(tokenised(lean(docs), path, size, end_id, keep, column))
     names = [*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "piece", "start", "length", "ids_crc32"]
     short = pieces.where(F.col("length") < size)
     problems = max(1, -(-short.count() // problem))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import byte_slices, frugal, text_slices
+from palisade.llm.common import byte_slices, frugal, lean, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context", "shape", "checksum", "border")
@@ -279,6 +279,7 @@ def find_pii(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("do
     The model is fitted on all of docs unless one is given. Null and empty texts have no spans; a masked null
     stays null. Repeated rows stay, each with its spans. Other columns may have any name.
     """
+    docs = lean(docs)
     model = model or fit(count_cells(docs, column))
 
     def listed(spans: list[Span]) -> list[dict]:

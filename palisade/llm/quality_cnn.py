@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import byte_slices, frugal
+from palisade.llm.common import byte_slices, frugal, lean
 
 TAPS, STRIDE = 8, 2
 CHUNK, HOP = 256, 128
@@ -217,6 +217,6 @@ def score_quality(docs: DataFrame, net: ByteCnn, column: str = "text", keep: tup
                     out[first + i] = score(flat[offsets[i] : offsets[i + 1]], net)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(out)], [*keep, "score"])
 
-    source = docs.select(*keep, F.col(column).alias("_text"))
+    source = lean(docs).select(*keep, F.col(column).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(frugal(work), f"{schema}, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import byte_slices, frugal, settled
+from palisade.llm.common import byte_slices, frugal, lean, settled
 from palisade.llm.shingles import BASE, BYTE_CODES, mixed, powers, words
 
 #: Words of the shortest repeat, and of the gram that selects a position.
@@ -320,7 +320,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document. Null ids come last in the order. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_id(text).alias("h"))
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_id(text).alias("h"))
     found = settled(_suffixes(docs, min_words))
     pairs = found.where(F.col("n") >= min_words).groupBy("h", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).agg(F.count("*").alias("rows"), F.first("n").alias("n"))
     pairs = settled(pairs)
