@@ -66,12 +66,17 @@ def strip_marks(x: Column) -> Column:
 
 
 #: Words of Unicode names between which a single ASCII letter stands: such characters read as that letter.
-READS_AS = ("LATIN CAPITAL LETTER", "LATIN SMALL LETTER", "LATIN LETTER SMALL CAPITAL", "FULLWIDTH LATIN", "CIRCLED LATIN", "SQUARED LATIN", "PARENTHESIZED LATIN", "MATHEMATICAL", "REGIONAL INDICATOR SYMBOL LETTER", "TAG LATIN", "MODIFIER LETTER", "COMBINING LATIN SMALL LETTER")
-#: Letters of other scripts that look like Latin ones (public knowledge of confusable shapes), pairwise.
+READS_AS = ("LATIN CAPITAL LETTER", "LATIN SMALL LETTER", "LATIN LETTER SMALL CAPITAL", "FULLWIDTH LATIN", "CIRCLED LATIN", "SQUARED LATIN", "NEGATIVE CIRCLED LATIN", "NEGATIVE SQUARED LATIN", "PARENTHESIZED LATIN", "OLD ITALIC LETTER", "MATHEMATICAL", "REGIONAL INDICATOR SYMBOL LETTER", "TAG LATIN", "MODIFIER LETTER", "COMBINING LATIN SMALL LETTER")
+#: Letters of other scripts and signs of money that look like Latin letters (public knowledge of confusable shapes), pairwise.
 SHAPES = (
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχωβη"
-    "АВЕКМНОРСТХавекмнорстухѕіјһԛԝԁ",
-    "ABEZHIKMNOPTYXaeiKvoptuxwbn" "ABEKMHOPCTXaBeKMHopcTyxsijhqwd",
+    "АВЕКМНОРСТХавекмнорстухѕіјһԛԝԁ"
+    "ՏՕսոհզցօ"
+    "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏚᏙᏞᏟᏢᏦᏴ"
+    "ᗅᗩᗷᑕᗞᗪᕼᒍᒪᗰᑎᑭᖇᔕᑌᐯᗯ᙭ᘔᖴ"
+    "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+    "₳฿₵₫€₣₲₭₤£₦₱₹₮₩¥¢",
+    "ABEZHIKMNOPTYXaeiKvoptuxwbn" "ABEKMHOPCTXaBeKMHopcTyxsijhqwd" "SOunhqgo" "DRTiAJEWMHYGhZbRWSVLCPKB" "AABCDDHJLMNPRSUVWXZF" "BPdDTGKJCZFMNLSRVHWXYAEIOU" "ABCdEFGKLLNPRTWYc",
 )
 
 
@@ -80,7 +85,7 @@ def look_alikes() -> tuple[str, str]:
     """(characters, ASCII letters) of all code points whose Unicode name says that they are one, and of SHAPES."""
     two = {chr(code) for code, _ in fixed.TWO_READINGS}
     table = {"$": "S"}
-    for code in [*range(0x80, 0x3000), *range(0xA720, 0xAB70), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+    for code in [*range(0x80, 0x3000), *range(0xA720, 0xAB70), *range(0xFF00, 0xFFF0), *range(0x10300, 0x10330), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
         letter = chr(code)
         words = unicode_name(letter, "").split(" WITH ")[0].split()
         if len(words) > 1 and len(words[-1]) == 1 and "A" <= words[-1] <= "Z" and " ".join(words).startswith(READS_AS) and letter not in two:

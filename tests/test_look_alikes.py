@@ -20,6 +20,12 @@ def test_built_table_filters_gathers_and_orders(spark):
     assert build_look_alikes(spark.createDataFrame([], "i int, key string, glyph string"), ["i"]).count() == 0
 
 
+def test_letters_of_many_scripts_read_as_latin_ones(spark):
+    words = ["ᗷᗩᑎᗪᗩᖇ", "🅶🅰🅲🅾🆁", "🅣🅞🅣🅞", "ꓢꓡꓳꓔ", "₳₲₵", "ｇａｃｏｒ", "𝕘𝕒𝕔𝕠𝕣", "ᎷᎪX", "ѕӏот", "gäcör"]
+    got = [r.v[0] for r in spark.createDataFrame([(w,) for w in words], "t string").select(T.normalize_text(F.col("t")).alias("v")).collect()]
+    assert got[:8] == ["bandar", "gacor", "toto", "slot", "agc", "gacor", "gacor", "max"] and got[9] == "gacor"
+
+
 def test_readings_of_three_letters_stop_at_the_limit(spark):
     frame = spark.createDataFrame([("x¤y¤",), ("¤" * 40,)], "t string")
     got = [r.v for r in frame.select(T.branches(F.col("t"), 9, ((0xA4, "PQR"),)).alias("v")).collect()]
