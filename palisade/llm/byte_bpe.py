@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import frugal, lean, text_slices
 
 #: Remembered pieces per worker, and letters of the longest; beyond it the memory is cleared (results do not depend on it).
-PIECE_CACHE, PIECE_LETTERS = 400_000, 40
+PIECE_CACHE, PIECE_LETTERS = 700_000, 40
 PAIR_CACHE = 1_000_000
 
 
