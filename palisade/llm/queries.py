@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.llm import oracles
 from palisade.llm.byte_bpe import encode_texts
 from palisade.llm.common import table
+from palisade.llm.conversations import damaged, repair
 from palisade.llm.media import media_columns
 from palisade.llm.neighbours import search
 from palisade.llm.ngram_join import similar_documents
@@ -15,6 +16,7 @@ from palisade.llm.packing import pack
 from palisade.llm.pii import KINDS, find_pii
 from palisade.llm.quality_cnn import fit, held_out, score_quality
 from palisade.llm.repeats import repeated_passages
+from palisade.llm.resampling import resample
 from palisade.llm.sharding import ring_shards
 from palisade.llm.url_filter import judge_pages
 from palisade.sources.events import spread
@@ -97,6 +99,14 @@ def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir))
 
 
+def op12_chunked_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_kmeans_tree": op1_kmeans_tree,
     "op2_byte_cnn": op2_byte_cnn,
@@ -108,6 +118,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_prefix_tree": op10_prefix_tree,
+    "op12_chunked_resampling": op12_chunked_resampling,
+    "op13_turn_repair": op13_turn_repair,
 }
 #: The others search approximately, learn, or hash in ways that SQL has not; tests hold them against plain versions.
-ORACLES: dict[str, str] = {"op6_sparse_suffix": oracles.REPEATS, "op10_prefix_tree": oracles.NGRAM_JOIN}
+ORACLES: dict[str, str] = {"op6_sparse_suffix": oracles.REPEATS, "op10_prefix_tree": oracles.NGRAM_JOIN, "op12_chunked_resampling": oracles.RESAMPLING, "op13_turn_repair": oracles.REPAIR}
