@@ -18,6 +18,8 @@ from palisade.llm.quality_cnn import fit, held_out, score_quality
 from palisade.llm.repeats import repeated_passages
 from palisade.llm.resampling import resample
 from palisade.llm.sharding import ring_shards
+from palisade.llm.toxicity import fit as fit_toxicity
+from palisade.llm.toxicity import score_toxicity
 from palisade.llm.url_filter import judge_pages
 from palisade.sources.events import spread
 
@@ -99,6 +101,12 @@ def op10_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir))
 
 
+def op11_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op12_chunked_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -118,6 +126,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_motion_jpeg": op9_motion_jpeg,
     "op10_prefix_tree": op10_prefix_tree,
+    "op11_block_max_neighbours": op11_block_max_neighbours,
     "op12_chunked_resampling": op12_chunked_resampling,
     "op13_turn_repair": op13_turn_repair,
 }
