@@ -8,7 +8,6 @@ distrust outweighs its trust by a threshold; pages without a rule take their hos
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +19,10 @@ BROADCAST_HOSTS = 100_000
 #: Parts into which pages of one host are dealt where the host list is joined by shuffle.
 SALTS = 32
 #: Edges of a host above which they are dealt over parts of about so many; rounds between checkpoints.
-HUB_EDGES, TURNS = 100_000, 5
-#: Edges of a task, about: host graphs are far smaller than pages, and tasks of a few rows each leave files of a few bytes.
+HUB_EDGES, TURNS = 10_000, 6
+#: Rounds after which propagation raises an error: no way between hosts is nearly that long.
+MOST_ROUNDS = 5_000
+#: Graphs of up to so many edges (both kinds) are one task.
 TASK_EDGES = 250_000
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -89,37 +90,46 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank of both kinds at once: (kind, host, score).
 
-    kind 't' runs along edges from trusted seeds, 'd' against them from blocked seeds; the seeds of a kind
-    add up to 1. After r rounds at most damping ^ (r + 1) of that is not spread yet: the rounds go on until this, or what
-    the last rounds have added, is under the tolerance. Each round is one join and one pre-aggregated sum over host edges;
-    the edges of a hub are dealt over parts by destination, and its score is sent to each.
+    kind 't' runs along edges from trusted seeds, 'd' against them from blocked seeds. A host holds a score and a residual that
+    it has not passed on yet. In each round, hosts whose residual is over `tolerance` of their own score pass it
+    on; it ends when there is no such host. So far-off hosts are reached however long the way is, what is left out at a
+    host is a small share of its own score, and neither depends on hosts that no path leads to. Edges, gathered by source, stay
+    where their source hashes to, and so do scores: a round shuffles only pre-aggregated sums. The edges of a hub are
+    gathered in parts of about HUB_EDGES, by destination.
     """
+    spark = edges.sparkSession
     both = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = settled(both.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("parts")))
-    both = both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"))
-    both = settled(both)
-    tasks = max(1, -(-both.count() // TASK_EDGES))
-    both = both.coalesce(tasks)
-    hubs = settled(total.where("parts > 1").select("kind", F.col("src").alias("host"), "parts"))
-    few = hubs.count()
-    base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    score, before, rounds = base, 0.0, max(1, ceil(log(tolerance) / log(damping)) - 1)
-    for turn in range(1, rounds + 1):
-        if few:
-            score = score.join(F.broadcast(hubs) if few <= BROADCAST_HOSTS else hubs, ["kind", "host"], "left")
-            score = score.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        else:
-            score = score.withColumn("part", F.lit(0))
-        sent = both.join(score.withColumnRenamed("host", "src"), ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        score = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(tasks)
-        if turn % TURNS == 0:
-            score = settled(score)
-            # Mass that reaches hosts without a way on is at rest, so there may be little left before the last round.
-            mass = score.agg(F.sum("score")).first()[0] or 0.0
-            if mass - before < tolerance * (1 - damping):
-                break
-            before = mass
-    return score
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
+    both = settled(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share"), part))
+    # One task for a small graph, whose rounds then need no shuffle at all.
+    alone = both.count() <= TASK_EDGES
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df: DataFrame, *keys: str) -> DataFrame:
+        return df.coalesce(1) if alone else df.repartition(tasks, *keys)
+
+    ways = both.groupBy("kind", "src", "part").agg(F.collect_list(F.struct("dst", "share")).alias("ways")).withColumnRenamed("src", "host")
+    ways = kept(ways, "kind", "host").persist()
+    seed = (1 - damping) * F.col("seed")
+    state = kept(seeds.select("kind", "host", seed.alias("score"), seed.alias("residual")), "kind", "host")
+    due = F.col("residual") > tolerance * F.col("score")
+    try:
+        for turn in range(1, MOST_ROUNDS + 1):
+            # A host sends itself what it keeps, once, and its neighbours their shares: one join and one sum.
+            kind = "array<struct<host: string, score: double, residual: double>>"
+            own = F.when(F.coalesce("part", F.lit(0)) == 0, F.array(F.struct("host", "score", F.when(due, 0.0).otherwise(F.col("residual")).alias("residual"))))
+            given = F.when(due, F.transform("ways", lambda w: F.struct(w["dst"].alias("host"), (damping * w["share"] * F.col("residual")).alias("score"), (damping * w["share"] * F.col("residual")).alias("residual"))))
+            sent = state.join(ways, ["kind", "host"], "left").select("kind", F.inline(F.concat(*[F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (own, given)])))
+            state = sent.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"))
+            if turn % TURNS == 0:
+                state = settled(state)
+                if state.where(due).isEmpty():
+                    return state.select("kind", "host", "score")
+                state = kept(state, "kind", "host")
+    finally:
+        ways.unpersist()
+    raise RuntimeError(f"scores have not settled after {MOST_ROUNDS} rounds")
 
 
 def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, tolerance: float = 1e-2, threshold: float = 1.0) -> DataFrame:
@@ -127,9 +137,9 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
 
     Null urls and urls without `://` have an empty host and path, fit no rule and are allowed. Null
     html has no links. Hosts without any score are allowed; ties (distrust equal to threshold * trust)
-    are allowed. Propagation ends when less than `tolerance` of the seeds' mass is left to spread,
-    which takes 28 rounds at most with these parameters. There is no least distrust: the seeds of a kind add up to 1, so any fixed floor would depend on the
-    number of hosts. Repeated pages keep their rows. An empty table gives an empty result. Only page_id,
+    are allowed. Propagation ends when no host has more than `tolerance` of its own score left to pass on. Seeds are shares of a
+    host's pages and are not scaled to add up to 1, and there is no least distrust: a host's verdict depends on hosts that paths
+    join it to, not on others. Repeated pages keep their rows. An empty table gives an empty result. Only page_id,
     url and html are read, so other columns may have any name.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -141,9 +151,7 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
         F.count_if(F.col("_rule.verdict") == "block").alias("bad"),
     )
     votes = settled(votes)
-    raw = votes.select(F.lit("t").alias("kind"), "host", (F.col("good") / F.col("n")).alias("seed")).unionByName(votes.select(F.lit("d").alias("kind"), "host", (F.col("bad") / F.col("n")).alias("seed"))).where("seed > 0")
-    sums = raw.groupBy("kind").agg(F.sum("seed").alias("total"))
-    seeds = raw.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed"))
+    seeds = votes.select(F.lit("t").alias("kind"), "host", (F.col("good") / F.col("n")).alias("seed")).unionByName(votes.select(F.lit("d").alias("kind"), "host", (F.col("bad") / F.col("n")).alias("seed"))).where("seed > 0")
     scores = propagate(host_edges(parsed), seeds, damping, tolerance)
     trust = F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0))
     distrust = F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0))
