@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from palisade.llm.common import SLICE_BYTES, byte_slices, frugal, lean, settled
 from palisade.llm.quality_cnn import held_out
 from palisade.llm.resampling import chunks_of
-from palisade.llm.word_runs import joined_words, word_runs
+from palisade.llm.word_runs import LOWER, WORD
 
 #: Bytes of a term.
 LEAST_BYTES, MOST_BYTES = 3, 8
+SPACE = np.uint8(32)
+#: Bytes of words, lower-cased; all others are spaces.
+TIDY = np.where(WORD, LOWER, SPACE)
 #: Labelled rows that the index is made of, at most; terms of the vocabulary, at most, and what a term must reach.
 FIT_ROWS, TERMS, LEAST_CHI, LEAST_DOCS = 20_000, 2_048, 50.0, 4
 #: Examples of a block; examples that vote.
@@ -38,32 +41,54 @@ SOFT = 0.05
 HELD_TERMS = 1 << 20
 
 
-def term_codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, their text) of all texts; a term is its bytes as one number."""
-    first, last, by_text = word_runs(flat, offsets)
-    data, begin, end = joined_words(flat, first, last)
-    of, length = np.repeat(np.arange(len(offsets) - 1), np.diff(by_text)), end - begin
-    code, codes, texts = np.zeros(len(begin), np.uint64), [], []
+def term_codes(flat: np.ndarray, offsets: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, their text) of all texts; a term is its bytes as one number. begins: marks of the first LEAST_BYTES bytes of words that matter."""
+    tidy = TIDY[flat]
+    solid = tidy != SPACE
+    edge = np.diff(solid.view(np.int8), prepend=0)
+    # A word also begins where a text does, and ends where a text ends.
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(flat))]
+    cut = inner[solid[inner] & solid[inner - 1]]
+    begin = np.sort(np.concatenate([np.flatnonzero(edge == 1), cut]))
+    end = np.sort(np.concatenate([np.flatnonzero(edge == -1), cut, np.full(int(len(flat) > 0 and solid[-1]), len(flat))]))
+    tidy = np.append(tidy, SPACE)
+    length = end - begin
+    code, codes, at = np.zeros(len(begin), np.uint64), [], []
     for width in range(1, MOST_BYTES + 1):
         # The space behind a word makes a term of the whole word.
         far = length >= width - 1
-        code, begin, of, length = code[far], begin[far], of[far], length[far]
-        code = code << np.uint64(8) | data[begin + width - 1]
+        if width == LEAST_BYTES and begins is not None:
+            last = np.where(length == width - 1, SPACE, tidy[np.minimum(begin + width - 1, len(flat))])
+            far &= begins[(code << np.uint64(8) | last).astype(np.int64)]
+        code, begin, length = code[far], begin[far], length[far]
+        code = code << np.uint64(8) | np.where(length == width - 1, SPACE, tidy[begin + width - 1])
         if width >= LEAST_BYTES:
             codes.append(code)
-            texts.append(of)
-    return np.concatenate(codes).view(np.int64), np.concatenate(texts)
+            at.append(begin)
+    return np.concatenate(codes).view(np.int64), np.searchsorted(offsets, np.concatenate(at), "right") - 1
 
 
-def term_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows, (first, last + 1, terms, their row from first). Long texts come in pieces cut between words, one after the other."""
-    for first, last, flat, offsets in byte_slices(column):
-        if len(flat) > 2 * SLICE_BYTES:
-            for _, piece in chunks_of(flat.tobytes(), 0, SLICE_BYTES):
-                codes, of = term_codes(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
-                yield first, last, codes, of
-        else:
-            yield first, last, *term_codes(flat, offsets)
+def term_counts(column: pa.Array, known: Vocabulary | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, their row, how often the row has them) for runs of rows, in order of row and code; no row is in two runs.
+
+    With a vocabulary only its codes are counted, by their places in it. A long text is counted in pieces cut between words.
+    """
+    begins = None if known is None else known.begins()
+    for first, _, flat, offsets in byte_slices(column):
+        pieces = [(flat, offsets)] if len(flat) <= 2 * SLICE_BYTES else ((np.frombuffer(piece, np.uint8), np.array([0, len(piece)])) for _, piece in chunks_of(flat.tobytes(), 0, SLICE_BYTES))
+        held = [np.zeros(0, np.int64)] * 3
+        for body, ends in pieces:
+            codes, row = term_codes(body, ends, begins)
+            if known is not None:
+                codes = known.find(codes)
+                row, codes = row[codes >= 0], codes[codes >= 0]
+            codes, row, n = np.append(held[0], codes), np.append(held[1], row + first), np.append(held[2], np.ones(len(codes), np.int64))
+            order = np.lexsort((codes, row))
+            codes, row, n = codes[order], row[order], n[order]
+            new = np.flatnonzero(np.append(True, (np.diff(codes) != 0) | (np.diff(row) != 0))[: len(codes)])
+            held = [codes[new], row[new], np.add.reduceat(n, new) if len(new) else n]
+        yield held[0], held[1], held[2]
 
 
 class Vocabulary(NamedTuple):
@@ -74,23 +99,25 @@ class Vocabulary(NamedTuple):
     again: np.ndarray
     idf: np.ndarray
 
+    def begins(self) -> np.ndarray:
+        """Marks of the first LEAST_BYTES bytes that some code has."""
+        marks = np.zeros(1 << 8 * LEAST_BYTES, bool)
+        for code in self.codes.tolist():
+            marks[int.from_bytes((code % (1 << 64)).to_bytes(8, "big").lstrip(b"\0")[:LEAST_BYTES], "big")] = True
+        return marks
+
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The place of each code, -1 for codes that are not here."""
-        out = np.full(len(codes), -1)
         if not len(self.codes):
-            return out
-        # Most codes are not here: a table of 2^16 marks passes a few of them on.
-        marked = np.zeros(1 << 16, bool)
-        marked[_slot(self.codes)] = True
-        maybe = np.flatnonzero(marked[_slot(codes)])
-        at = np.minimum(np.searchsorted(self.codes, codes[maybe]), len(self.codes) - 1)
-        out[maybe] = np.where(self.codes[at] == codes[maybe], at, -1)
-        return out
-
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights at length one) of a text with so many of each code; none, if none of its codes is a term."""
-        first, second = np.flatnonzero((counts > 0) & (self.once >= 0)), np.flatnonzero((counts > 1) & (self.again >= 0))
-        terms = np.concatenate([self.once[first], self.again[second]])
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+    def vector(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights at length one) of a text with so many of the codes at these places; none, if none of them is a term."""
+        once, again = self.once[places], self.again[places]
+        first, second = once >= 0, (again >= 0) & (counts > 1)
+        terms = np.concatenate([once[first], again[second]])
         weights = (1 + np.log(np.concatenate([counts[first], counts[second] - 1]))) * self.idf[terms]
         order = np.argsort(terms)
         return terms[order], weights[order] / np.sqrt((weights * weights).sum())
@@ -105,29 +132,14 @@ def vocabulary(found: list[tuple[int, bool, int]], total: int) -> Vocabulary:
     return Vocabulary(codes, *places, np.log(1 + total / np.array([n for _, _, n in found], float)))
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-
-
 def vectors(column: pa.Array, known: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, terms, weights at length one) of every row that has any known term."""
-    rows: dict[int, np.ndarray] = {}
-
-    def done(before: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for row in sorted(r for r in rows if r < before):
-            terms, weights = known.vector(rows.pop(row))
+    for places, row, n in term_counts(column, known):
+        cuts = np.flatnonzero(np.diff(row)) + 1
+        for own, at, counts in zip(np.split(row, cuts), np.split(places, cuts), np.split(n, cuts), strict=True):
+            terms, weights = known.vector(at, counts)
             if len(terms):
-                yield row, terms, weights
-
-    for first, _, codes, of in term_slices(column):
-        at = known.find(codes)
-        here = at >= 0
-        keys, n = np.unique(of[here] * len(known.codes) + at[here], return_counts=True)
-        own, code = np.divmod(keys, max(1, len(known.codes)))
-        for row, place, count in zip((own + first).tolist(), code.tolist(), n.tolist(), strict=True):
-            rows.setdefault(row, np.zeros(len(known.codes), np.int64))[place] += count
-        yield from done(first)
-    yield from done(len(column))
+                yield int(own[0]), terms, weights
 
 
 class Examples:
@@ -158,27 +170,30 @@ class Examples:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines to 12 places) of the k largest cosines above 0, ties to the smaller id; `but` is left out."""
-        bound, entries = np.zeros(self.blocks), {}
-        for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
-            lo, hi = self.of_term[term], self.of_term[term + 1]
-            bound[self.block[lo:hi]] += weight * self.top[lo:hi]
-            for entry, block in zip(range(lo, hi), self.block[lo:hi].tolist(), strict=True):
-                entries.setdefault(block, []).append((entry, weight))
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            # Sums in another order may differ in their last digits: the bound is met with a little room.
-            if bound[block] <= 0 or len(cosines) == k and bound[block] < cosines[-1] - 1e-9:
+        entries, weight_of = _spans(self.of_term[terms], self.of_term[terms + 1], weights)
+        bound = np.bincount(self.block[entries], weight_of * self.top[entries], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, cosines, at, some = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order):
+            # A few blocks at a time, more each time. Sums in another order may differ in their last digits: the bound is met with a little room.
+            now = order[at : at + some]
+            now = now[bound[now] >= cosines[-1] - 1e-9] if len(cosines) == k else now
+            if not len(now):
                 break
-            sums = np.zeros(BLOCK)
-            for entry, weight in entries[block]:
-                own = slice(self.begin[entry], self.begin[entry + 1])
-                sums[self.example[own] - block * BLOCK] += weight * self.weight[own]
-            if block == but // BLOCK and but >= 0:
-                sums[but % BLOCK] = 0
+            at, some = at + some, some * 4
+            place = np.full(self.blocks, -1)
+            place[now] = np.arange(len(now))
+            own = place[self.block[entries]] >= 0
+            postings, query = _spans(self.begin[entries[own]], self.begin[entries[own] + 1], weight_of[own])
+            example = self.example[postings]
+            sums = np.bincount(place[example // BLOCK] * BLOCK + example % BLOCK, query * self.weight[postings], len(now) * BLOCK)
             # Equal cosines of different sums differ in their last digits.
             sums = np.round(sums, 12)
             new = np.flatnonzero(sums)
-            found, cosines = np.append(found, new + block * BLOCK), np.append(cosines, sums[new])
+            examples = now[new // BLOCK] * BLOCK + new % BLOCK
+            kept = examples != but
+            found, cosines = np.append(found, examples[kept]), np.append(cosines, sums[new[kept]])
             best = np.lexsort((self.turn[found], -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
@@ -189,6 +204,12 @@ class Examples:
         return float((weight * self.labels[found]).sum() / weight.sum())
 
 
+def _spans(begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers begin .. end - 1 of each span, and the span's value with each."""
+    n = end - begin
+    return np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n), np.repeat(values, n)
+
+
 class Curve(NamedTuple):
     """Votes -> probabilities: a monotone polyline."""
 
@@ -240,7 +261,7 @@ def _counted(sample: DataFrame) -> DataFrame:
 
         for batch in batches:
             labels = np.asarray(batch.column(0))
-            for codes, row, n in _by_text(batch.column(1)):
+            for codes, row, n in term_counts(batch.column(1)):
                 for twice in (False, True):
                     own = n > twice
                     unique, at = np.unique(codes[own], return_inverse=True)
@@ -256,29 +277,6 @@ def _counted(sample: DataFrame) -> DataFrame:
     return counts.groupBy("code", "twice").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def _by_text(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, their row, how often the row has them) for runs of rows; no row is in two runs."""
-    now, parts = -1, []
-
-    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, row, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((codes, row))
-        codes, row, n = codes[order], row[order], n[order]
-        begins = np.flatnonzero(np.append(True, (np.diff(codes) != 0) | (np.diff(row) != 0))[: len(codes)])
-        return codes[begins], row[begins], np.add.reduceat(n, begins) if len(begins) else n
-
-    for first, _, codes, of in term_slices(column):
-        if first != now and parts:
-            yield counted()
-            parts = []
-        now = first
-        parts.append((codes, of + first, np.ones(len(codes), np.int64)))
-        if len(parts) > 1:
-            parts = [counted()]
-    if parts:
-        yield counted()
-
-
 def fit(docs: DataFrame, labels: DataFrame, column: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Judge:
     """A judge made of at most `rows` labelled documents that are not held out, those of the smallest hashed ids.
 
