@@ -9,6 +9,7 @@ the wanted recall is reached, then spread by a margin. Candidates are compared b
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -274,8 +275,9 @@ def _search(rows: DataFrame, k: int, fit_rows: int) -> DataFrame:
             for i, query in enumerate(asked_rows):
                 cosines = (own @ query) / (norms * np.linalg.norm(query))
                 cosines[(ids == asked_ids[i]) | ~np.isin(leaf, wanted[i])] = -np.inf
-                near = _closest(cosines, ids, k) if len(cosines) > k else range(len(cosines))
-                out += [(int(asked_ids[i]), int(ids[j]), float(cosines[j])) for j in near if cosines[j] > -np.inf]
+                near = _near(cosines, k)
+                near, exact = _closest(near, _scores(own[near], query), ids, k)
+                out += [(int(asked_ids[i]), int(ids[j]), float(score)) for j, score in zip(near, exact, strict=True)]
         names = ("query_id", "id", "score")
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=names)
@@ -286,8 +288,21 @@ def _search(rows: DataFrame, k: int, fit_rows: int) -> DataFrame:
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.minus")).alias("score"))
 
 
-def _closest(cosines: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k largest cosines, ties to smaller ids (ids ascend)."""
-    least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-    above = np.flatnonzero(cosines >= least)
-    return above[np.lexsort((ids[above], -cosines[above]))[:k]]
+def _near(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of all that may be among the k largest, given that sums made in another order differ in their last digits."""
+    least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else -np.inf
+    return np.flatnonzero((cosines > -np.inf) & (cosines >= least - 1e-9))
+
+
+def _scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines that depend on the numbers alone, not on where a row lies: sums are exact and rounded once. Equal rows are taken once."""
+    distinct, of = np.unique(rows, axis=0, return_inverse=True)
+    size = math.sqrt(math.fsum(query * query))
+    made = [math.fsum(row * query) / (math.sqrt(math.fsum(row * row)) * size) for row in distinct]
+    return np.array(made)[of.reshape(-1)] if len(rows) else np.zeros(0)
+
+
+def _closest(near: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k of largest score, ties to smaller ids, and their scores."""
+    best = np.lexsort((ids[near], -scores))[:k]
+    return near[best], scores[best]

@@ -40,6 +40,20 @@ def test_ties_unusable_rows_and_few_candidates(spark):
     assert neighbours.search(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_copies_tie_wherever_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    for rows_of_block in (20_000, 16):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", rows_of_block)
+        for n in (7, 10, 150):
+            base = rng.normal(size=(n, 64))
+            base[rng.permutation(n)[: n // 2]] = base[1]
+            base[0] = base[1] + 0.1 * rng.normal(size=64)
+            frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(base)], "vec_id long, embedding array<double>").repartition(3)
+            got = sorted((r["rank"], r.id, r.score) for r in neighbours.search(frame, F.col("vec_id") == 0).collect())
+            copies = [i for i in range(1, n) if (base[i] == base[1]).all()]
+            assert [g[1] for g in got][: len(copies)] == copies[:5] and len({g[2] for g in got[: len(copies)]}) == 1
+
+
 def test_hot_vector_and_leaf_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
     rows = [(i, [1.0, 0.5]) for i in range(120)] + [(i, [float(i % 7), 1.0]) for i in range(120, 160)]
