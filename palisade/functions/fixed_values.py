@@ -154,6 +154,29 @@ TWO_READINGS = (
     (0x424, "OQ"), (0x433, "RL"), (0x547, "TC"), (0x5E2, "YV"), (0x10EA, "BG"), (0x13B4, "SD"), (0x13D6, "JT"),
 )
 
+# ---- fixed values: letters that read as the Latin letter after them; styled ones of mathematics by the plain letter ----
+READ_ACCENTED = "ÄA åA ĂA ąA ǟA ÇC çC ĆC ČC ĎD ÈE êE ēE ĔE ĞG ģG ĤH ÌI ìI ïI ĨI ĬI įI ĴJ ĶK ķK ĹL ĻL ñN ŃN ŇN ÖO õO ŐO ƠO ơO ǪQ ợQ ŔR ŕR ŘR ŚS ŞS şS šS ţT ŤT ÚU ùU ųU ỮU ŴW ŶY ŹZ ŽZ žZ ẔZ"
+READ_LATIN = "ƛA ßB ɮB ɔC ÐD ƸE ȝE ɟF ʄF ƃG ǶH ɧH łI ɿI ʆJ ʅL ŋN ðO þP ƿP ƢQ ǪQ ợQ ƦR ƧS ƚT ɬT ɄU ʊU ƔV ƜW"
+READ_GREEK = "ΔA ΛA άA αA λA βB ΞE ΣE έE εE ϜF ϝF ΉH ίI ιI ἶI κK ϰK ΜM ήN ηN ῆN σO όO ρP ΩQ ϙQ ϚS ͲT υU νV ὗV ωW ώW ῳW χX ψY"
+READ_CYRILLIC = "АA аA БB бB вB ҍB дD ԃD ЄE ёE єE ҽE ғF ӺF нH ђH ҺH ӇH ԋH ЇI їI јJ КK кK ҚK қK ҜK ҟK ҠK ҡK ӄK ГL ӀL МM мM ѪM ѫM ИN ЙN ЛN ПN пN ѲO ѳO ӨO РP фQ ҨQ ҩQ ЯR яR ѕS тT ЦU цU ѴV ѵV ШW ЩW щW ЖX жX ҲX ҳX ӼX ӾX УY ЧY уY чY ӋY ЗZ зZ"
+READ_ARMENIAN = "ԹA ՅB ԺD ժD ԲF ԳG ցG հH յJ ԸL ԼL ՆL ՈN ՌN ղN ռN ԾO օO քP զQ ՐR ՏS ֆS ԵT էT ԱU ՄU մU աW ՃX ՎY վY ՀZ չZ"
+READ_MONEY = "₳A ฿B ¢C ₵C €E £F ₣F ₲G ₭K ₥M ₦N ₱P ₴S ₮T ₩W ¥Y"
+READ_STYLED_GREEK = "ΔA αA ΒB βB ςC δD ΣE εE ΗH λH ΙI ΚK κK ιL ΩM ΠN ηN ΘO θO ΡP ρP ΦQ φQ ΓR γR ΤT τT μU ∇V νV πW ΧX χX ΨY ψY ΖZ"
+
+# ---- fixed values: sequences that read as one letter (code points, letter), replaced in this order ----
+LIGATURES = (
+    ("5C2 5B4 3B1 5C2 5C5 5C5", "A"), ("3D0 ECB 5A2 5C2 5B4 8EA", "B"), ("255 5B4 5C4 2D6", "C"), ("19C9 597 1A60", "E"), ("192 597 5B4", "F"),
+    ("5C2 5C5 19C1", "G"), ("5C5 5C4 10E9 5B4 5C2", "H"), ("742 8ED 742 AAB1 8EA 5C5", "I"), ("742 29D 597 5C5", "J"), ("8EA 5B4 199 5B8 5C2", "K"),
+    ("8ED 8EA AA91", "M"), ("8EA 5B4 1992 1A60 5C2 5C5", "O"), ("8EA 2118 82D 5BA 5B9 5B9 5B9 5B4", "P"), ("ECB 8EA 5B4 ABF1 5B8 5C2", "S"),
+    ("597 5B4 ECB 236 5C2 5C5", "T"), ("5C2 5C5 1A30 1A60 82D 5C5 5C2", "W"), ("5C2 1A2E 5C5 742 5C2", "Y"), ("1F170 FE0F", "A"), ("1F171 FE0F", "B"),
+    ("21A9 FE0F", "D"), ("1F3F3 FE0F", "F"), ("2139 FE0F", "I"), ("24C2 FE0F", "M"), ("26A1 FE0F", "N"), ("1F17F FE0F", "P"), ("AE FE0F", "R"),
+    ("270C FE0F", "V"), ("15BD 1438", "K"), ("259E 259A 20", "A"), ("2AF7 20", "C"), ("2588 2630 20", "E"), ("2588 2580 20", "F"), ("1F136 20", "G"),
+    ("2588 25AC 2588 20", "H"), ("2588 20", "I"), ("2588 25C0 20", "K"), ("2599 20", "L"), ("2590 25AE 258C 20", "M"), ("2588 2580 2588 20", "N"),
+    ("2B24 20", "O"), ("259B 20", "P"), ("259C 20", "Q"), ("2588 2598 20", "R"), ("2584 2588 2580 20", "S"), ("2580 2588 2580 20", "T"),
+    ("2588 2584 2588 20", "U"), ("259A 259E 20", "V"), ("259A 259E 259A 259E 20", "W"), ("2AF8 2AF7 20", "X"), ("2580 2584 2580 20", "Y"),
+    ("2580 2588 2584 20", "Z"),
+)
+
 # ---- fixed values: platforms ----
 PLATFORMS = (
     {"platform": "saweria", "name": "Saweria", "stream_key_param": "streamKey", "overlays": ["alert", "mediashare"], "asset_origin": "https://saweria.co", "backend_origin": "https://backend.saweria.co", "backend_path_prefix": None, "forward_headers": [], "impersonate": False},

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 from unicodedata import name as unicode_name
+from unicodedata import normalize
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,33 +66,61 @@ def strip_marks(x: Column) -> Column:
     return F.regexp_replace(apart, r"\p{M}", "")
 
 
-#: Words of Unicode names between which a single ASCII letter stands: such characters read as that letter.
-READS_AS = ("LATIN CAPITAL LETTER", "LATIN SMALL LETTER", "LATIN LETTER SMALL CAPITAL", "FULLWIDTH LATIN", "CIRCLED LATIN", "SQUARED LATIN", "NEGATIVE CIRCLED LATIN", "NEGATIVE SQUARED LATIN", "PARENTHESIZED LATIN", "OLD ITALIC LETTER", "MATHEMATICAL", "REGIONAL INDICATOR SYMBOL LETTER", "TAG LATIN", "MODIFIER LETTER", "COMBINING LATIN SMALL LETTER")
-#: Letters of other scripts and signs of money that look like Latin letters (public knowledge of confusable shapes), pairwise.
+#: Beginnings of Unicode names that end in a single ASCII letter: such characters read as that letter.
+READS_AS = ("LATIN CAPITAL LETTER", "LATIN SMALL LETTER", "LATIN LETTER SMALL CAPITAL", "FULLWIDTH LATIN", "CIRCLED LATIN", "SQUARED LATIN", "NEGATIVE CIRCLED LATIN", "NEGATIVE SQUARED LATIN", "OLD ITALIC LETTER", "MATHEMATICAL", "MODIFIER LETTER")
+#: Letters of further scripts that look like Latin letters (public knowledge of confusable shapes), pairwise.
 SHAPES = (
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχωβη"
-    "АВЕКМНОРСТХавекмнорстухѕіјһԛԝԁ"
-    "ՏՕսոհզցօ"
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+    "СсХхһԛԝԁ"
+    "ոհ"
     "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏚᏙᏞᏟᏢᏦᏴ"
     "ᗅᗩᗷᑕᗞᗪᕼᒍᒪᗰᑎᑭᖇᔕᑌᐯᗯ᙭ᘔᖴ"
     "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
-    "₳฿₵₫€₣₲₭₤£₦₱₹₮₩¥¢",
-    "ABEZHIKMNOPTYXaeiKvoptuxwbn" "ABEKMHOPCTXaBeKMHopcTyxsijhqwd" "SOunhqgo" "DRTiAJEWMHYGhZbRWSVLCPKB" "AABCDDHJLMNPRSUVWXZF" "BPdDTGKJCZFMNLSRVHWXYAEIOU" "ABCdEFGKLLNPRTWYc",
+    "₵₫₣₲₤",
+    "ABEZHIKMNOPTYX" "CcXxhqwd" "nh" "DRTiAJEWMHYGhZbRWSVLCPKB" "AABCDDHJLMNPRSUVWXZF" "BPdDTGKJCZFMNLSRVHWXYAEIOU" "CdFGL",
 )
 
 
 @cache
 def look_alikes() -> tuple[str, str]:
-    """(characters, ASCII letters) of all code points whose Unicode name says that they are one, and of SHAPES."""
+    """(characters, ASCII letters) of all code points that read as one letter.
+
+    By rank: the stated letters, styled Greek letters by their plain letter, Unicode names that end in one letter, then SHAPES. Letters
+    that decompose into one and its marks are left to the normal forms unless stated, and characters with several readings to `branches`.
+    """
     two = {chr(code) for code, _ in fixed.TWO_READINGS}
-    table = {"$": "S"}
+    table = dict(zip(*SHAPES, strict=True)) | {"$": "S"}
     for code in [*range(0x80, 0x3000), *range(0xA720, 0xAB70), *range(0xFF00, 0xFFF0), *range(0x10300, 0x10330), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
         letter = chr(code)
         words = unicode_name(letter, "").split(" WITH ")[0].split()
-        if len(words) > 1 and len(words[-1]) == 1 and "A" <= words[-1] <= "Z" and " ".join(words).startswith(READS_AS) and letter not in two:
+        if len(words) > 1 and len(words[-1]) == 1 and "A" <= words[-1] <= "Z" and " ".join(words).startswith(READS_AS) and len(normalize("NFD", letter)) == 1:
             table[letter] = words[-1]
-    table.update({a: b for a, b in zip(*SHAPES, strict=True) if a not in two})
-    return "".join(table), "".join(table.values())
+    styled = {pair[0]: pair[1] for pair in fixed.READ_STYLED_GREEK.split()}
+    table |= {chr(code): styled[plain] for code in range(0x1D6A8, 0x1D7CC) if (plain := normalize("NFKD", chr(code))) in styled}
+    for stated in (fixed.READ_ACCENTED, fixed.READ_LATIN, fixed.READ_GREEK, fixed.READ_CYRILLIC, fixed.READ_ARMENIAN, fixed.READ_MONEY):
+        table |= {pair[0]: pair[1] for pair in stated.split()}
+    kept = {a: b for a, b in table.items() if a not in two}
+    return "".join(kept), "".join(kept.values())
+
+
+@cache
+def ligatures() -> tuple[tuple[str, str], ...]:
+    """(sequence, letter), replaced in order: the stated sequences, and a flag letter with a blank behind it.
+
+    A letter under a combining mark needs no entry: normal forms drop the mark.
+    """
+    stated = [("".join(chr(int(code, 16)) for code in codes.split()), letter) for codes, letter in fixed.LIGATURES]
+    return (*stated, *((chr(0x1F1E6 + i) + " ", chr(ord("A") + i)) for i in range(26)))
+
+
+def fold_ligatures(x: Column, pairs: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """Sequences of several characters that stand for a letter; texts without any first character of one are left as they are."""
+    pairs = ligatures() if pairs is None else pairs
+    if not pairs:
+        return x
+    heads = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({a[0] for a, _ in pairs}))
+    known = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return F.when(x.rlike(f"[{heads}]"), F.aggregate(known, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
 
 
 def fold_look_alikes(x: Column, table: tuple[str, str] | None = None) -> Column:
@@ -126,19 +155,19 @@ def cleaned(x: Column, most: int = fixed.MAX_REPEAT) -> Column:
     return squeeze_space(collapse_long_runs(collapse_punctuation(x)))
 
 
-def normalize_text(x: Column, most_repeat: int = fixed.MAX_REPEAT, most_variants: int = fixed.MAX_VARIANTS, ligatures: tuple[tuple[str, str], ...] = (), look_alikes: tuple[str, str] | None = None, readings: tuple[tuple[int, str], ...] = fixed.TWO_READINGS) -> Column:
+def normalize_text(x: Column, most_repeat: int = fixed.MAX_REPEAT, most_variants: int = fixed.MAX_VARIANTS, ligatures: tuple[tuple[str, str], ...] | None = None, look_alikes: tuple[str, str] | None = None, readings: tuple[tuple[int, str], ...] = fixed.TWO_READINGS) -> Column:
     """Distinct plain readings of a text, in order. Null and empty give one empty reading.
 
-    `look_alikes` (characters, letters) and `readings` (code point, letters) are tables of one's own, such as
-    palisade.sources.look_alikes makes; without them the rules of this module hold. `ligatures` are (sequence, letters) replaced first, in order; plain ASCII without marks skips the folds.
+    `look_alikes` (characters, letters), `readings` (code point, letters) and `ligatures` (sequence, letters; replaced first, in order) are
+    tables of one's own, such as palisade.sources.look_alikes makes; without them the rules of this module hold. Plain
+    ASCII without marks skips the folds.
     """
     x = F.coalesce(x, F.lit(""))
-    if ligatures:
-        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ligatures])
-        x = F.when(x.rlike(r"[^\x00-\x7f]"), F.aggregate(pairs, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
+    wide = x.rlike(r"[^\x00-\x7f]")
     ascii_only = squeeze_space(collapse_long_runs(collapse_punctuation(F.regexp_replace(collapse_repeats(F.translate(x, "$", "S"), most_repeat), r"[\[\]{}]", ""))))
-    full = F.array_distinct(F.transform(branches(fold_look_alikes(x, look_alikes), most_variants, readings), lambda b: cleaned(b, most_repeat)))
-    return F.when(x.rlike(r"[^\x00-\x7f]"), full).otherwise(F.array(ascii_only))
+    folded_once = fold_look_alikes(fold_ligatures(x, ligatures), look_alikes)
+    full = F.array_distinct(F.transform(branches(folded_once, most_variants, readings), lambda b: cleaned(b, most_repeat)))
+    return F.when(wide, full).otherwise(F.array(ascii_only))
 
 
 def fold_leet(x: Column, fold: tuple[str, str] = fixed.LEET_I) -> Column:

@@ -661,7 +661,35 @@ def homoglyph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_look_alikes(pairs, ["doc_id", "pos"])
 
 
-@query(f"SELECT code::INTEGER AS code, reads FROM (VALUES {O.values([(i, ''.join(p)) for i, p in enumerate([('aFb', '|aTb'), ('xIy', '|xLy'), ('plain',)])])}) AS v(code, reads)")
+#: Letters of words that are swapped for a character with two readings, and those readings.
+_TWO = {"f": ("\u0166", "FT"), "t": ("\u0166", "FT"), "l": ("\u0196", "IL"), "v": ("\u01b2", "VU"), "m": ("\u026f", "WM"), "a": ("\u0414", "AD")}
+_LONGER = f"CASE WHEN len(done) * len(one) > {fixed.MAX_VARIANTS} THEN list_transform(done, lambda d: d || one[1]) ELSE flatten(list_transform(done, lambda d: list_transform(one, lambda o: d || o))) END"
+
+
+@query(f"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+  two(c, r) AS (VALUES {O.values([(c, r) for c, (_, r) in _TWO.items()])}), letters AS (SELECT word, list(coalesce(list_transform(range(1, length(r) + 1), lambda i: r[i]), [z[1]]) ORDER BY z[2]::INTEGER) AS l FROM (SELECT word, unnest(list_zip(string_split(word, ''), range(1, length(word) + 1))) AS z FROM words) LEFT JOIN two ON z[1] = c GROUP BY word)
+  SELECT word, len(reads)::INTEGER AS n, array_to_string(reads, '|') AS reads FROM (SELECT word, list_reduce(list_prepend([''], l), lambda done, one: {_LONGER}) AS reads FROM letters)""")
 def homoglyph_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("code"), F.lit(t).alias("t")) for i, t in enumerate(["aŦb", "xƖy", "plain"])])
-    return spark.range(1).select(F.inline(rows)).select("code", F.array_join(T.branches(F.col("t")), "|").alias("reads"))
+    """All readings of every word of documents, with letters swapped for characters that have two."""
+    words = documents(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
+    read = words.withColumn("r", T.branches(F.translate("word", "".join(_TWO), "".join(c for c, _ in _TWO.values()))))
+    return read.select("word", F.size("r").alias("n"), F.array_join("r", "|").alias("reads"))
+
+
+#: Alphabets of look-alikes, A to Z: stated letters of other scripts, then styles by their first code point.
+_FIRST = {pair[1]: pair[0] for table in (fixed.READ_LATIN, fixed.READ_ARMENIAN, fixed.READ_GREEK, fixed.READ_CYRILLIC) for pair in reversed(table.split())}
+_ALPHABETS = ("".join(_FIRST[chr(65 + i)] for i in range(26)), *("".join(chr(code + i) for i in range(26)) for code in (0x1D586, 0x24D0, 0xFF41, 0x1F170, 0x1D670)))
+_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHOUTED = "upper(replace(text, 'ß', 's'))"
+
+
+@query(full.documents_read(f"(SELECT doc_id, {_SHOUTED} AS text FROM documents)", folds=False))
+def normalize_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written in look-alikes, circled letters with marks or flags, by id: they must read as the plain text does."""
+    text, way = F.expr(_SHOUTED), F.pmod("doc_id", F.lit(len(_ALPHABETS) + 2))
+    salted = F.when(way == len(_ALPHABETS), F.regexp_replace(text, "([A-Z])", "$1\u20dd"))
+    for i, alphabet in enumerate(_ALPHABETS):
+        salted = salted.when(way == i, F.translate(text, _ABC, alphabet))
+    flags = F.regexp_replace(F.translate(text, _ABC, "".join(chr(0x1F1E6 + i) for i in range(26))), r"([\x{1F1E6}-\x{1F1FF}])", "$1 ")
+    made = documents(spark, sf_dir).select("doc_id", T.normalize_text(salted.otherwise(flags)).alias("v"))
+    return made.select("doc_id", F.md5(F.get("v", F.lit(0))).alias("first"), F.size("v").alias("n"))

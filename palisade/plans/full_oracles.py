@@ -112,30 +112,28 @@ FULL_BOTH_SQL = O.decided_sql(f"(SELECT g FROM scored WHERE scored.t = {_joint}
 
 
 def _plain_letters() -> list[tuple[str, str]]:
-    """(character, what the folds and normal forms leave of it) for the letters and marks below the ideographs, and the full-width forms."""
+    """(character, what folds and normal forms leave of it): stated letters, then those that Unicode takes apart; nothing of the engine's table."""
     from unicodedata import category, normalize
 
-    from palisade.functions.text import look_alikes
-
-    fold = str.maketrans(*look_alikes())
+    stated = {pair[0]: pair[1] for table in (fixed.READ_ACCENTED, fixed.READ_LATIN, fixed.READ_GREEK, fixed.READ_CYRILLIC, fixed.READ_ARMENIAN, fixed.READ_MONEY) for pair in table.split()}
     two = {chr(code) for code, _ in fixed.TWO_READINGS}
-    out = [("$", "S")]
-    for code in [*range(0x80, 0x3000), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0)]:
+    out = {"$": "S"} | {a: b for a, b in stated.items() if a not in two}
+    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00)]:
         letter = chr(code)
-        apart = normalize("NFKD", normalize("NFKC", letter.translate(fold)).translate(fold))
-        plain = "".join(c for c in apart if not category(c).startswith("M"))
-        if plain != letter and letter not in two:
-            out.append((letter, plain))
-    return out
+        plain = "".join(c for c in normalize("NFKD", letter) if not category(c).startswith("M"))
+        if letter not in out and letter not in two and plain != letter:
+            out[letter] = plain
+    return list(out.items())
 
 
-def documents_read() -> str:
-    """Readings of documents whose texts hold no character with two readings."""
+def documents_read(source: str = "documents", folds: bool = True) -> str:
+    """First readings of a relation (doc_id, text) whose texts hold no character with two readings; without folds only marks are stripped."""
     clean = "regexp_replace(regexp_replace(x, '{}', '', 'g'), '(?:{}|[\\x{{FE00}}-\\x{{FE0F}}])+', ' ', 'g')".format(fixed.EMOJI, fixed.PICTURES)
     bare = PUNCTUATION.format(f"regexp_replace(regexp_replace({clean}, '{fixed.ORNAMENTS}', '', 'g'), '{fixed.INVISIBLE}', '', 'g')")
-    return f"""WITH plain(c, r) AS (VALUES {O.values(_plain_letters())}), kinds AS (SELECT doc_id, text, regexp_matches(text, '[^\\x00-\\x7f]') AS wide FROM documents),
-chars AS (SELECT doc_id, z[1] AS c, z[2] AS i FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '(?s:.)'), range(1, length(text) + 1))) AS z FROM kinds WHERE wide)),
-folded AS (SELECT doc_id, string_agg(coalesce(r, c), '' ORDER BY i) AS f FROM chars LEFT JOIN plain USING (c) GROUP BY doc_id), {collapsed('once', 'folded', 'doc_id', 'f')},
+    by_letter = f"""plain(c, r) AS (VALUES {O.values(_plain_letters())}), chars AS (SELECT doc_id, z[1] AS c, z[2] AS i FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '(?s:.)'), range(1, length(text) + 1))) AS z FROM kinds WHERE wide)),
+folded AS (SELECT doc_id, string_agg(coalesce(r, c), '' ORDER BY i) AS f FROM chars LEFT JOIN plain USING (c) GROUP BY doc_id)"""
+    by_marks = "folded AS (SELECT doc_id, translate(strip_accents(text), '$', 'S') AS f FROM kinds WHERE wide)"
+    return f"""WITH kinds AS (SELECT doc_id, text, regexp_matches(text, '[^\\x00-\\x7f]') AS wide FROM {source}), {by_letter if folds else by_marks}, {collapsed('once', 'folded', 'doc_id', 'f')},
 {normal('narrow', '(SELECT doc_id, text FROM kinds WHERE NOT wide)', 'doc_id', 'text')},
 readings AS (SELECT doc_id, lower(trim(regexp_replace({bare}, '\\s+', ' ', 'g'))) AS n FROM once UNION ALL SELECT * FROM narrow)
-SELECT d.doc_id, md5(coalesce(n, '')) AS first, 1 AS n FROM documents d LEFT JOIN readings USING (doc_id)"""
+SELECT doc_id, md5(coalesce(n, '')) AS first, 1 AS n FROM (SELECT doc_id FROM {source}) LEFT JOIN readings USING (doc_id)"""

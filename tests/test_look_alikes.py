@@ -1,11 +1,13 @@
 """Look-alike tables: built from character sets, and used by normalisation."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.operators import scoring, typo
+from palisade.plans.moderate import moderate
 from palisade.sources.look_alikes import build_look_alikes, tables
 
 
@@ -59,3 +61,28 @@ def test_dictionary_of_a_file(spark, tmp_path):
     words = typo.known_words(typo.read_dictionary(spark, str(tmp_path / "words.txt")))
     assert words == ("kata", "kedua")
     assert typo.Matcher(words).match("kdeua")[0] in ("fuzzy", "unknown") and typo.Matcher(words).match("k4ta")[:2] == ("normalized", "kata")
+
+
+def test_sequences_are_replaced_in_order(spark):
+    rng = random.Random(6)
+    pairs = T.ligatures()
+    pieces = [a for a, _ in pairs] + [c for a, _ in pairs for c in a] + list("aZ9 .⃝")
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(400)] + ["plain", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold_ligatures(F.col("t"))).collect()]
+    for text, own in zip(texts, got):
+        for a, b in pairs if text else ():
+            text = text.replace(a, b)
+        assert own == text
+
+
+def test_sequences_and_readings_reach_the_decision(spark):
+    rows = [("flags", "\U0001f1ed \U0001f1f4 \U0001f1f0 \U0001f1ee 88"), ("marks", "h⃝o⃝k⃝i⃝88"), ("blocks", "s▙ ⬤ t g\U0001f170️⫷ or"), ("two readings", "sƖot gacor"), ("cyrillic", "рр дасор"), ("none", "\U0001f1ee\U0001f1e9 merdeka")]
+    frame = spark.createDataFrame([(n, "u", m) for n, m in rows], "name string, donator string, message string")
+    got = {r["name"]: r["action"] for r in moderate(frame).collect()}
+    assert got["none"] == got["cyrillic"] == "allow" and {got[n] for n in ("flags", "marks", "blocks", "two readings")} == {"block"}
+
+
+def test_stated_letters_outrank_names_and_shapes():
+    table = dict(zip(*T.look_alikes()))
+    assert [table[c] for c in "ßѵωЖ€𝚺𝛅øå"] == list("BVWXEEDOA")
+    assert not {"é", "Ŧ", "\U0001f1e6", "⒜"} & set(table)
