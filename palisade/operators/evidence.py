@@ -1,8 +1,9 @@
 """All evidence of one text's variants in one pass over Arrow batches.
 
 The column functions of palisade.operators.matching give the same hits one list at a time. A decision needs ten lists,
-whose expressions together outgrow what the JVM compiles; here each distinct text is matched once per worker
-and remembered, with one search over all variants to rule a rule out.
+whose expressions together outgrow what the JVM compiles; here each distinct text is matched once per worker and
+remembered. One pass of an automaton over all variants names the few rules and phrases that are worth trying, one over
+squeezed variants finds the brands inside them, and one over long forms the brands that an edit or two may lead to.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
 from palisade.functions.patterns import phrase
+from palisade.operators.literals import Gate, needed_literals
 from palisade.operators.matching import JOINT
 from palisade.operators.typo import bounded_distance
 
@@ -32,58 +34,64 @@ _ASCII = re.ASCII | re.IGNORECASE
 
 
 @lru_cache(1)
-def _compiled() -> tuple[dict, dict]:
-    rules = {k: [(name, re.compile(p.replace("$", r"\Z"), _ASCII), w, p.startswith("^")) for name, p, w in rows] for k, rows in RULES.items()}
-    phrases = {k: [(p, re.compile(phrase(p), _ASCII)) for p in rows] for k, rows in PHRASES.items()}
-    return rules, phrases
+def _compiled() -> tuple[list, list, Gate]:
+    """(list, id, pattern, weight) of all rules, (list, phrase, pattern) of all phrases, and the gate over both, rules first."""
+    rules = [(kind, name, re.compile(p.replace("$", r"\Z"), _ASCII), w) for kind, rows in RULES.items() for name, p, w in rows]
+    phrases = [(kind, p, re.compile(phrase(p), _ASCII)) for kind, rows in PHRASES.items() for p in rows]
+    return rules, phrases, Gate([*(needed_literals(r[2].pattern) for r in rules), *(frozenset({p[1]}) for p in phrases)])
 
 
-def _rule_hits(variants: tuple[str, ...], joint: str, rules: list) -> list[dict]:
-    hits = []
-    for name, pattern, weight, anchored in rules:
-        if anchored or pattern.search(joint):
-            found = next((m for m in map(pattern.search, variants) if m), None)
-            if found:
-                hits.append({"id": name, "value": found[0], "weight": weight})
-    return hits
+@lru_cache(1)
+def _brands() -> tuple[dict[str, int], Gate, Gate]:
+    """Place of each brand; the gate of brands that count inside squeezed text; the gate of near brands.
 
+    A near form of a brand that is cut into one part more than edits are allowed holds one of the parts as it is.
+    """
+    parts = fixed.NEAR_BRAND_DISTANCE + 1
+    cut = [frozenset(b[len(b) * i // parts : len(b) * (i + 1) // parts] for i in range(parts)) if len(b) >= fixed.NEAR_BRAND_MIN else frozenset() for b in fixed.BRANDS]
+    inside = [frozenset({b} if len(b) >= fixed.BRAND_SUBSTRING_MIN else ()) for b in fixed.BRANDS]
+    return {b: i for i, b in enumerate(fixed.BRANDS)}, Gate(inside), Gate(cut)
 
-@lru_cache(1)
-def _parts() -> dict[int, list[tuple[int, str, tuple[str, ...]]]]:
-    """Long brands by length, each cut into one part more than edits are allowed: a near form holds one of them as it is."""
-    parts, found = fixed.NEAR_BRAND_DISTANCE + 1, {}
-    for place, brand in enumerate(fixed.BRANDS):
-        n = len(brand)
-        if n >= fixed.NEAR_BRAND_MIN:
-            found.setdefault(n, []).append((place, brand, tuple(brand[n * i // parts : n * (i + 1) // parts] for i in range(parts))))
-    return found
+
+def brands_of(tokens: list[str], squeezed: list[str]) -> list[str]:
+    """Brands that are a token, or long enough and inside a squeezed text, in brand order."""
+    place, inside, _ = _brands()
+    found = {place[t] for t in tokens if t in place}
+    for text in squeezed:
+        found |= inside.found(text)
+    return [fixed.BRANDS[i] for i in sorted(found)]
 
 
 def _near(forms: list[str], exact: list[str]) -> list[str]:
-    most, by_length, found = fixed.NEAR_BRAND_DISTANCE, _parts(), set()
+    most, found, near = fixed.NEAR_BRAND_DISTANCE, set(), _brands()[2]
     for form in forms:
         if len(form) >= fixed.NEAR_BRAND_MIN:
-            for n in range(len(form) - most, len(form) + most + 1):
-                for place, brand, parts in by_length.get(n, ()):
-                    if form != brand and any(part in form for part in parts) and bounded_distance(form, brand, most) is not None:
-                        found.add((place, brand))
-    return [brand for _, brand in sorted(found) if brand not in exact]
+            for place in near.found(form) - found:
+                brand = fixed.BRANDS[place]
+                if form != brand and bounded_distance(form, brand, most) is not None:
+                    found.add(place)
+    return [brand for brand in map(fixed.BRANDS.__getitem__, sorted(found)) if brand not in exact]
 
 
 @lru_cache(REMEMBERED)
 def evidence_of(variants: tuple[str, ...], message: bool) -> dict:
     """Hit lists of a text: brands, near brands and rules; for messages also promo and weak rules and phrases."""
-    rules, phrases = _compiled()
+    rules, phrases, gate = _compiled()
     joint = JOINT.join(variants)
     tokens = list(dict.fromkeys(t for v in variants for t in re.findall("[a-z0-9]+", v)))
     squeezed = list(dict.fromkeys(s for v in variants if (s := re.sub("[^a-zA-Z0-9]+", "", v).lower())))
-    known = set(tokens)
-    high = [b for b in fixed.BRANDS if b in known or (len(b) >= fixed.BRAND_SUBSTRING_MIN and any(b in s for s in squeezed))]
-    out = {"high": high, "near": _near(list(dict.fromkeys([*tokens, *squeezed])), high)}
-    for name in RULES if message else ("hard", "suspicious"):
-        out[name] = _rule_hits(variants, joint, rules[name])
-    for name in phrases if message else ():
-        out[name] = [p for p, pattern in phrases[name] if pattern.search(joint)]
+    high = brands_of(tokens, squeezed)
+    out: dict = {"high": high, "near": _near(list(dict.fromkeys([*tokens, *squeezed])), high)}
+    wanted = (*RULES, *PHRASES) if message else ("hard", "suspicious")
+    out |= {name: [] for name in wanted}
+    for number in sorted(gate.worth(joint)):
+        kind, name, pattern, *weight = rules[number] if number < len(rules) else phrases[number - len(rules)]
+        if kind not in out:
+            continue
+        # A match of the joint text may lie over a border of variants, and an anchored one needs a variant's own ends.
+        found = next((m for m in map(pattern.search, variants) if m), None) if weight else pattern.search(joint)
+        if found:
+            out[kind].append({"id": name, "value": found[0], "weight": weight[0]} if weight else name)
     return out
 
 
@@ -98,3 +106,25 @@ def evidence(variants: Column, message: bool) -> Column:
             yield pd.DataFrame([evidence_of(tuple(v) if v is not None else (), message) for v in batch], columns=list(names))
 
     return run(variants)
+
+
+def brand_lists(tokens: Column, squeezed: Column) -> Column:
+    """array<string> twice -> struct<high, near>: brand_hits and near_brand_hits of palisade.operators.matching, in time linear in the text."""
+
+    @F.pandas_udf("struct<high:array<string>,near:array<string>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for some, joined in batches:
+            rows = []
+            for t, s in zip(some, joined, strict=True):
+                t, s = [] if t is None else list(t), [] if s is None else list(s)
+                high = brands_of(t, s)
+                rows.append((high, _near(list(dict.fromkeys([*t, *s])), high)))
+            yield pd.DataFrame(rows, columns=["high", "near"])
+
+    return run(tokens, squeezed)
+
+
+def brands_by_text(texts: DataFrame, key: str, near: bool = False, tokens: str = "tokens", squeezed: str = "squeezed") -> DataFrame:
+    """(key, brand), a row for each brand that a text has (near: that it nearly has). Nothing is joined; only hits become rows."""
+    found = texts.select(key, brand_lists(F.col(tokens), F.col(squeezed)).alias("_b"))
+    return found.select(key, F.explode("_b.near" if near else "_b.high").alias("brand"))

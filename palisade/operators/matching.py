@@ -83,27 +83,3 @@ def join_tokens(texts: DataFrame, terms: DataFrame, key: str, tokens: str = "tok
     """(key, term) of terms (one column `term`) among each row's tokens: an equi join, distinct per row."""
     exploded = texts.select(key, F.explode(tokens).alias("term")).distinct()
     return exploded.join(terms.select("term").distinct(), "term", "left_semi").select(key, "term")
-
-
-def _brand_table(df: DataFrame, least: int, brands: tuple[str, ...] = fixed.BRANDS) -> DataFrame:
-    """ord, brand, len of the brands of at least `least` letters: a few hundred rows by construction."""
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(b).alias("brand")) for i, b in enumerate(brands) if len(b) >= least])
-    return df.sparkSession.range(1).select(F.inline(rows)).withColumn("len", F.length("brand"))
-
-
-def join_brands(texts: DataFrame, key: str, tokens: str = "tokens", squeezed: str = "squeezed", least: int = fixed.BRAND_SUBSTRING_MIN) -> DataFrame:
-    """(key, brand): brand_hits as an equi join. Tokens, and the parts of squeezed texts that have a brand's length, meet the brand table."""
-    lengths = sorted({len(b) for b in fixed.BRANDS if len(b) >= least})
-    spans = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.length("s") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - n + 1, F.lit(1))), lambda at: F.substring(F.col("s"), at, n))).otherwise(F.array().cast("array<string>"))))
-    parts = texts.select(key, F.explode(squeezed).alias("s")).select(key, F.explode(F.array_distinct(spans)).alias("brand"))
-    whole = texts.select(key, F.explode(tokens).alias("brand"))
-    found = whole.join(F.broadcast(_brand_table(texts, 1).select("brand")), "brand", "left_semi").unionByName(parts.join(F.broadcast(_brand_table(texts, least).select("brand")), "brand", "left_semi"))
-    return found.select(key, "brand").distinct()
-
-
-def join_near_brands(texts: DataFrame, key: str, tokens: str = "tokens", squeezed: str = "squeezed", least: int = fixed.NEAR_BRAND_MIN, most: int = fixed.NEAR_BRAND_DISTANCE) -> DataFrame:
-    """(key, brand): near_brand_hits as an equi join of distinct forms with brands on length; only pairs of near length are compared."""
-    forms = texts.select(key, F.explode(F.array_union(tokens, squeezed)).alias("form")).where(F.length("form") >= least)
-    bands = forms.select("form").distinct().withColumn("len", F.explode(F.sequence(F.length("form") - most, F.length("form") + most)))
-    near = bands.join(F.broadcast(_brand_table(texts, least)), "len").where((F.col("form") != F.col("brand")) & (F.levenshtein("form", "brand", most) >= 0)).select("form", "brand")
-    return forms.join(near, "form").select(key, "brand").distinct().join(join_brands(texts, key, tokens, squeezed), [key, "brand"], "left_anti")

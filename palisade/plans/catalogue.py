@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
 from palisade.functions import text as T
-from palisade.operators import audit, matching, payloads, scoring, state, typo, web
+from palisade.operators import audit, evidence, matching, payloads, scoring, state, typo, web
 from palisade.operators.decision import decide
 from palisade.plans import full_oracles as full
 from palisade.plans import oracles as O
@@ -161,24 +161,25 @@ def _by_message(spark: SparkSession, sf_dir: str, match: Callable[[DataFrame], D
     return sent.join(match(sent.select("message", plain(F.col("message")).alias("v")).dropDuplicates(["message"])), "message").drop("message")
 
 
-def _formed(texts: DataFrame) -> DataFrame:
-    return texts.select("message", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
+def _formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v"))
+    return rows.select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN named ON lower(message) = t")
 def brand_substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_message(spark, sf_dir, lambda texts: matching.join_brands(_formed(texts), "message"))
+    return evidence.brands_by_text(_formed(spark, sf_dir), "donation_id")
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN near_named ON lower(message) = t")
 def near_brand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_message(spark, sf_dir, lambda texts: matching.join_near_brands(_formed(texts), "message"))
+    return evidence.brands_by_text(_formed(spark, sf_dir), "donation_id", near=True)
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, (SELECT count(*) FROM named n WHERE n.t = lower(message)) AS exact, (SELECT count(*) FROM near_named n WHERE n.t = lower(message)) AS near FROM donations")
 def brand_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrow forms of the brand matchers, over columns of one row."""
-    rows = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v")).select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
+    rows = _formed(spark, sf_dir)
     rows = rows.withColumn("_exact", matching.brand_hits(F.col("tokens"), F.col("squeezed")))
     return rows.select("donation_id", F.size("_exact").cast("long").alias("exact"), F.size(matching.near_brand_hits(F.col("tokens"), F.col("squeezed"), F.col("_exact"))).cast("long").alias("near"))
 
