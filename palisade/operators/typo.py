@@ -1,7 +1,7 @@
 """Dictionary and typo matching of tokens: a relational form, and a narrow form for whole texts.
 
-The relational form matches distinct tokens once and joins on (first letter, length), so that the edit-distance band
-is an equi join. The narrow form runs the same ladder in Arrow batches with a memory of tokens seen.
+The relational form matches distinct tokens once and joins on hashed deletions (what is left when a letter or two go), so that the
+edit distance is an equi join for dictionaries of any size. The narrow form runs the same ladder in Arrow batches with a memory of tokens seen.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
@@ -58,21 +58,87 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.size(same)
 
 
+#: Most edits between a token and its match.
+MOST_EDITS = 2
+
+
+def _one_less(x: Column) -> Column:
+    """The text without each of its characters in turn."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i <= F.length(x))
+    return F.array_distinct(F.transform(at, lambda i: F.concat(F.left(x, i - 1), F.substr(x, i + 1))))
+
+
+def deletion_keys(x: Column, most: Column, same_first: bool) -> Column:
+    """Hashes of what is left of a text when up to `most` (2 at most) characters are deleted.
+
+    Texts within so many edits of each other share a key. Where only texts of one first character are to meet, it is never deleted: a
+    common beginning takes part in no edit.
+    """
+    rest, head = (F.substr(x, F.lit(2)), F.left(x, F.lit(1))) if same_first else (x, F.lit(""))
+    none = F.array().cast("array<string>")
+    once = _one_less(rest)
+    twice = F.flatten(F.transform(once, _one_less))
+    kept = F.array_distinct(F.concat(F.array(rest), F.when(most >= 1, once).otherwise(none), F.when(most >= 2, twice).otherwise(none)))
+    return F.array_distinct(F.transform(kept, lambda k: F.xxhash64(F.concat(head, k))))
+
+
 def fuzzy_join(tokens: DataFrame, words: DataFrame, same_first: bool) -> DataFrame:
     """(token, match, distance): the best word within the token's distance, of tokens (token) and words (ord, word).
 
-    Best: least distance, then longest common prefix, then longer word, then order. same_first joins on first
-    letter and length; without it (small term lists) on length alone.
+    Best: least distance, then longest common prefix, then longer word, then order. same_first asks for the same first letter.
+    An equi join on deletion keys: a token meets the words that share what is left of it, never all words of its length, so the
+    dictionary may be large. Met pairs are measured, and the best is taken by a pre-aggregated minimum. Tokens longer than
+    any word can be match nothing and make no keys.
     """
+    longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"))
     t = tokens.select("token").distinct().withColumn("most", most_distance(F.length("token"))).where("most > 0")
-    t = t.withColumn("len", F.explode(F.sequence(F.length("token") - F.col("most"), F.length("token") + F.col("most"))))
-    w = words.select("ord", "word", F.length("word").alias("len"))
-    keys = ["len"]
+    t = t.crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + F.col("most"))
+    t = t.select("token", "most", F.explode(deletion_keys(F.col("token"), F.col("most"), same_first)).alias("key"))
+    w = words.where(F.length("word") > 0).select("ord", "word", F.explode(deletion_keys(F.col("word"), F.lit(MOST_EDITS), same_first)).alias("key"))
+    near = t.join(w, "key").withColumn("distance", F.levenshtein("token", "word", MOST_EDITS)).where("distance between 0 and most")
     if same_first:
-        t, w, keys = t.withColumn("c0", F.left("token", F.lit(1))), w.withColumn("c0", F.left("word", F.lit(1))), ["c0", "len"]
-    near = t.join(w, keys).withColumn("distance", F.levenshtein("token", "word")).where("distance <= most")
-    order = Window.partitionBy("token").orderBy("distance", F.desc(common_prefix(F.col("token"), F.col("word"))), F.desc("len"), "ord")
-    return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("token", F.col("word").alias("match"), F.col("distance").cast("int").alias("distance"))
+        near = near.where(F.left("token", F.lit(1)) == F.left("word", F.lit(1)))
+    best = F.min(F.struct("distance", -common_prefix(F.col("token"), F.col("word")), -F.length("word"), "ord", "word")).alias("b")
+    return near.groupBy("token").agg(best).select("token", F.col("b.word").alias("match"), F.col("b.distance").cast("int").alias("distance"))
+
+
+def ladder_join(tokens: DataFrame, words: DataFrame, sensitive: tuple[str, ...] = tuple(fixed.SENSITIVE), fuzzy: bool = True) -> DataFrame:
+    """(token, kind, match, via, distance) of distinct tokens (token) and a dictionary (ord, word) of any size.
+
+    The same ladder as match_tokens, by joins: nothing of the dictionary is held by a worker. A null token counts as empty.
+    """
+    bare = F.regexp_replace(F.lower(T.js_trim(F.coalesce("token", F.lit("")))), "^[^a-z0-9]+|[^a-z0-9]+$", "")
+    every = tokens.select("token").distinct().withColumn("bare", bare)
+    real = every.where((F.col("bare") != "") & ~F.col("bare").rlike("^[0-9]+$")).select("bare").distinct()
+    folds = [T.fold_leet(F.col("bare"), fold) for fold in (fixed.LEET_I, fixed.LEET_L)]
+    forms = F.array_distinct(F.filter(F.array(F.col("bare"), T.tighten(F.col("bare")), *folds, *map(T.tighten, folds)), lambda f: f != ""))
+    forms = real.select("bare", F.posexplode(forms).alias("k", "form"))
+
+    def first(found: DataFrame, name: str) -> DataFrame:
+        """Of the forms (bare, k, form, match, distance) of each token, the first."""
+        best = F.min(F.struct("k", "form", "match", F.col("distance").cast("int").alias("distance"))).alias(name)
+        return found.groupBy("bare").agg(best)
+
+    def same(found: DataFrame) -> DataFrame:
+        return found.withColumns({"match": F.col("form"), "distance": F.lit(None).cast("int")})
+
+    known = words.select(F.col("word").alias("form")).distinct()
+    terms = words.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, sensitive))).alias("ord", "word"))
+    steps = {
+        "sensitive-exact": same(forms.where(F.col("form").isin(*sensitive))),
+        "exact": same(forms.where("k = 0").join(known, "form", "left_semi")),
+        "normalized": same(forms.join(known, "form", "left_semi")),
+        "sensitive-fuzzy": forms.join(fuzzy_join(forms.select(F.col("form").alias("token")), terms, False).withColumnRenamed("token", "form"), "form"),
+    }
+    if fuzzy:
+        steps["fuzzy"] = forms.join(fuzzy_join(forms.where(~F.col("form").rlike("[0-9]")).select(F.col("form").alias("token")), words, True).withColumnRenamed("token", "form"), "form")
+    found = real
+    for i, step in enumerate(steps.values()):
+        found = found.join(first(step, f"s{i}"), "bare", "left")
+    kind = F.coalesce(*[F.when(F.col(f"s{i}").isNotNull(), F.lit(name)) for i, name in enumerate(steps)], F.lit("unknown"))
+    hit = F.coalesce(*[F.col(f"s{i}") for i in range(len(steps))])
+    found = found.select("bare", kind.alias("kind"), hit["match"].alias("match"), F.when(kind == "exact", None).otherwise(hit["form"]).alias("via"), hit["distance"].alias("distance"))
+    return every.join(found, "bare", "left").select("token", F.coalesce("kind", F.lit("unknown")).alias("kind"), "match", "via", "distance")
 
 
 # ---- the ladder over one token, for Arrow batches ----

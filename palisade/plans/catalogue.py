@@ -198,11 +198,17 @@ def _words(spark: SparkSession, words: tuple[str, ...]) -> DataFrame:
     return spark.range(1).select(F.posexplode(F.array(*map(F.lit, words))).alias("ord", "word"))
 
 
-def _best_sql(words: tuple[str, ...], first: bool) -> str:
+def _near_sql(first: bool) -> str:
+    """CTE near of the CTEs tokens(token) and words(ord, word)."""
     most = "CASE WHEN length(token) < 5 THEN 0 WHEN length(token) < 7 THEN 1 ELSE 2 END"
     lcp = "len(list_filter(range(1, least(length(token), length(word)) + 1), lambda i: left(token, i) = left(word, i)))"
-    return f"""words(ord, word) AS (VALUES {O.values(list(enumerate(words)))}), near AS (SELECT token, word AS match, levenshtein(token, word)::INTEGER AS distance, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, word), {lcp} DESC, length(word) DESC, ord) AS n
-  FROM tokens, words WHERE {most} > 0 AND abs(length(token) - length(word)) <= {most} AND levenshtein(token, word) <= {most}{" AND left(token, 1) = left(word, 1)" if first else ""})"""
+    pairs = "tokens JOIN words ON left(token, 1) = left(word, 1)" if first else "tokens, words"
+    return f"""near AS (SELECT token, word AS match, levenshtein(token, word)::INTEGER AS distance, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, word), {lcp} DESC, length(word) DESC, ord) AS n
+  FROM {pairs} WHERE {most} > 0 AND abs(length(token) - length(word)) <= {most} AND levenshtein(token, word) <= {most})"""
+
+
+def _best_sql(words: tuple[str, ...], first: bool) -> str:
+    return f"words(ord, word) AS (VALUES {O.values(list(enumerate(words)))}), {_near_sql(first)}"
 
 
 @query(f"{_tokens_sql}, {_best_sql(tuple(fixed.SENSITIVE), False)} SELECT token, match, distance FROM near WHERE n = 1")
@@ -244,6 +250,30 @@ def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typo.dictionary_words(documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("line")), "line")
 
 
+_counted_sql = r"counted AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1)"
+#: Words of documents that occur so often are a dictionary; rarer ones are looked up in it.
+_USUAL = 12
+
+
+@query(f"WITH {_counted_sql}, tokens AS (SELECT word AS token FROM counted WHERE n < {_USUAL}), words AS (SELECT word AS ord, word FROM counted WHERE n >= {_USUAL}), {_near_sql(True)} SELECT token, match, distance FROM near WHERE n = 1")
+def fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare words of documents and the nearest usual word: a dictionary that grows with the table."""
+    counted = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).count()
+    usual = counted.where(F.col("count") >= _USUAL).select("word", F.col("word").alias("ord"))
+    return typo.fuzzy_join(counted.where(F.col("count") < _USUAL).select(F.col("word").alias("token")), usual, True)
+
+
+_raw_tokens = "SELECT DISTINCT raw FROM (SELECT unnest(list_filter(regexp_split_to_array(coalesce(message, ''), '\\s+'), lambda x: x <> '')) AS raw FROM donations)"
+
+
+@query(f"WITH {DONATIONS_SQL}, {full.ladder(f'({_raw_tokens})')} SELECT raw AS token, kind, match FROM laddered")
+def ladder_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typo ladder with its dictionary as a table."""
+    found = F.filter(F.split(F.coalesce("message", F.lit("")), T.SPACE + "+"), lambda t: t != "")
+    tokens = donations(spark, sf_dir).select(F.explode(found).alias("token"))
+    return typo.ladder_join(tokens, _words(spark, typo.EVERYDAY)).select("token", "kind", "match")
+
+
 # ---- decisions ----
 
 
