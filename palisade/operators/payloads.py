@@ -9,9 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 RECORD_END = "\x1e"
 DONATION = "struct<donator:string,message:string,amount:double,currency:string>"
@@ -141,13 +144,47 @@ def rewrite_frames(platform: Column, raw: Column, donor: Column, message: Column
     return run(platform, raw, donor, message)
 
 
-def block_frames(frames: DataFrame, blocked: Column, donor: str, message: str) -> DataFrame:
-    """frames (platform, raw, donations) plus first_block (position from 0, or null), delivered, checked.
+def first_flagged(each: DataFrame) -> DataFrame:
+    """frame (struct, on the first of its rows), flag -> a row for each frame: frame, first (place of its first flag, from 0, or null).
+
+    The rows of a frame lie one after the other, as exploding leaves them, so they are folded where they are: nothing is shuffled, no
+    frame is gathered, and it works the same over streams. Only the last frame's head is held from batch to batch.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: pa.Array | None = None
+        place, found = 0, None  # rows of the open frame so far, and its first flag
+        for batch in batches:
+            starts = np.flatnonzero(np.asarray(batch.column(0).is_valid()))
+            flags = np.flatnonzero(np.asarray(batch.column(1).fill_null(False)))
+            ends = [*starts.tolist(), batch.num_rows]
+            if head is not None and found is None and len(flags) and flags[0] < ends[0]:
+                found = place + int(flags[0])
+            place += ends[0]
+            if not len(starts):
+                continue
+            # Every frame that ends here: the open one, and all that begin here but the last.
+            nearest = np.append(flags, batch.num_rows)[np.searchsorted(flags, starts)]
+            own = [int(f - b) if f < e else None for b, f, e in zip(starts.tolist(), nearest.tolist(), ends[1:], strict=True)]
+            heads = batch.column(0).take(pa.array(starts))
+            done = heads.slice(0, len(starts) - 1)
+            firsts = own[:-1]
+            if head is not None:
+                done, firsts = pa.concat_arrays([head, done]), [found, *firsts]
+            yield pa.RecordBatch.from_arrays([done, pa.array(firsts, pa.int32())], ["frame", "first"])
+            head, found, place = heads.slice(len(starts) - 1, 1), own[-1], batch.num_rows - int(starts[-1])
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([head, pa.array([found], pa.int32())], ["frame", "first"])
+
+    schema = StructType([StructField("frame", each.schema["frame"].dataType), StructField("first", IntegerType())])
+    return each.select("frame", "flag").mapInArrow(work, schema)
+
+
+def block_frames(frames: DataFrame, first: Column, donor: str, message: str) -> DataFrame:
+    """frames (platform, raw, donations) plus first_block (place of the first blocked donation from 0, or null), delivered, checked.
 
     The first blocked donation has the whole frame rewritten; later ones are not looked at.
-    `blocked` is an array of booleans, one per donation.
     """
-    first = F.nullif(F.array_position(blocked, True) - 1, F.lit(-1))
     out = frames.withColumn("first_block", first.cast("int"))
     changed = F.col("first_block").isNotNull()
     out = out.withColumn("delivered", F.when(changed, rewrite_frames(F.col("platform"), F.col("raw"), F.lit(donor), F.lit(message))).otherwise(F.col("raw")))

@@ -474,7 +474,7 @@ _empty_tako = "(platform = 'tako' AND coalesce(message, '') = '')"
   CASE WHEN {_empty_tako} THEN NULL WHEN action = 'block' THEN '***' ELSE coalesce(donator, '') END AS donator, CASE WHEN {_empty_tako} THEN NULL WHEN action = 'block' THEN '***' ELSE coalesce(message, '') END AS message FROM decided""")
 def check_frames_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames decided, and what is delivered parsed again."""
-    made = check_frames(_frames(spark, sf_dir).select("donation_id", "platform", "raw"), "donation_id")
+    made = check_frames(_frames(spark, sf_dir).select("donation_id", "platform", "raw"))
     again = made.withColumn("d", F.get(payloads.parse_frame(F.col("platform"), F.col("delivered")), F.lit(0)))
     return again.select("donation_id", "platform", "first_block", "checked", "d.donator", "d.message")
 
@@ -484,7 +484,7 @@ def check_frames_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames cut short, or of platforms nobody knows, go on as they are."""
     broken = _frames(spark, sf_dir).withColumn("raw", F.when(F.col("donation_id") % 2 == 0, F.expr("left(raw, length(raw) - 4)")).otherwise(F.col("raw")))
     broken = broken.withColumn("platform", F.when(F.col("donation_id") % 2 == 0, F.col("platform")).otherwise("nimo"))
-    made = check_frames(broken.select("donation_id", "platform", "raw"), "donation_id")
+    made = check_frames(broken.select("donation_id", "platform", "raw"))
     return made.select("donation_id", "first_block", "checked", (F.col("delivered") == F.col("raw")).alias("same"))
 
 
@@ -501,7 +501,7 @@ def check_frames_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     sorted_items = F.array_sort(F.collect_list(F.struct("turn", "role", "text", item.alias("item"))))
     frames = turns.groupBy("conv_id").agg(F.transform(sorted_items, lambda x: x["item"]).alias("data"))
     frames = frames.select("conv_id", F.lit("saweria").alias("platform"), F.to_json(F.struct(F.lit("donation").alias("type"), "data")).alias("raw"))
-    made = check_frames(frames, "conv_id").withColumn("again", payloads.parse_frame(F.col("platform"), F.col("delivered")))
+    made = check_frames(frames).withColumn("again", payloads.parse_frame(F.col("platform"), F.col("delivered")))
     replaced = F.size(F.filter("again", lambda d: (d["donator"] == "***") & (d["message"] == "***")))
     return made.select("conv_id", F.size("donations").cast("long").alias("donations"), "first_block", "checked", replaced.cast("long").alias("replaced"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import text as T
 from palisade.operators import audit, scoring
 from palisade.operators.decision import EVIDENCE, decide
-from palisade.operators.payloads import block_frames, parse_frame
+from palisade.operators.payloads import block_frames, first_flagged, parse_frame
 from palisade.operators.preparing import variants
 from palisade.operators.typo import EVERYDAY
 
@@ -55,16 +55,17 @@ def check(df: DataFrame, **options: object) -> DataFrame:
     return made.withColumn("response", audit.verdict_response(F.col("action"), DONOR_REPLACEMENT, MESSAGE_REPLACEMENT)).withColumn("marker", audit.marker(F.col("action"), F.col("stage"), F.col("reason"), killed))
 
 
-def check_frames(frames: DataFrame, key: str, **options: object) -> DataFrame:
-    """frames (key, platform, raw) plus first_block, delivered, checked.
+def check_frames(frames: DataFrame, **options: object) -> DataFrame:
+    """frames (platform, raw and any other columns) plus donations, first_block, delivered, checked.
 
-    Donations are exploded, decided, and brought back to their frame by one shuffle on the key.
+    Narrow, for batches and streams: donations are exploded, decided and folded back in place. Only the first row of a
+    frame carries its columns. Null frames, and those that hold no donation, go on as they are.
     """
     parsed = frames.withColumn("donations", parse_frame(F.col("platform"), F.col("raw")))
-    each = parsed.select(key, F.posexplode("donations").alias("pos", "d")).select(key, "pos", "d.donator", "d.message")
-    made = moderate(each, **options).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("action") == "block").alias("b")))).alias("_b"))
-    joined = parsed.join(made, key, "left").withColumn("_blocked", F.transform("_b", lambda b: b["b"]))
-    return block_frames(joined, F.col("_blocked"), DONOR_REPLACEMENT, MESSAGE_REPLACEMENT).drop("_b", "_blocked")
+    each = parsed.select(F.struct(*parsed.columns).alias("frame"), F.posexplode_outer("donations").alias("_pos", "_d"))
+    each = each.select(F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("frame")).alias("frame"), "_d.donator", "_d.message")
+    made = moderate(each, **options).select("frame", (F.col("action") == "block").alias("flag"))
+    return block_frames(first_flagged(made).select("frame.*", "first"), F.col("first"), DONOR_REPLACEMENT, MESSAGE_REPLACEMENT).drop("first")
 
 
 def feedback(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.functions import fixed_values as fixed
-from palisade.plans.moderate import moderate
+from palisade.plans.moderate import check_frames, moderate
 
 #: Rows of one frame that a keyed step hands out.
 OUT_ROWS = 10_000
@@ -75,3 +75,8 @@ def arm_fire_stream(events: DataFrame, idle_ms: int = 24 * 3_600_000, evict: boo
 def moderate_stream(events: DataFrame, **options: object) -> DataFrame:
     """The batch plan over a stream: it is narrow and keeps no state."""
     return moderate(events, **options)
+
+
+def check_frames_stream(frames: DataFrame, **options: object) -> DataFrame:
+    """Frames of a stream checked and rewritten as in batches: nothing is shuffled and no state is kept."""
+    return check_frames(frames, **options)

@@ -87,7 +87,7 @@ def test_check_and_frames(spark):
     assert {(r.action, r.marker) for r in killed} == {("allow", "[killed]")}
     raw = '{"type":"donation","data":[{"donator":"a","message":"halo","keep":1},{"donator":"b","message":"hoki88 gas","tts":"x"},{"donator":"c","message":"zeus88"}]}'
     frames = spark.createDataFrame([(1, "saweria", raw), (2, "saweria", '{"type":"other"}'), (3, "saweria", "junk")], "id int, platform string, raw string")
-    out = {r.id: r for r in check_frames(frames, "id").collect()}
+    out = {r.id: r for r in check_frames(frames).collect()}
     assert out[1].first_block == 1 and out[1].checked == 2 and '"keep":1' in out[1].delivered and '"tts":null' in out[1].delivered and "zeus" not in out[1].delivered
     assert out[2].delivered == '{"type":"other"}' and out[3].delivered == "junk" and out[3].first_block is None
 
@@ -100,4 +100,4 @@ def test_near_dictionary_words_decide_by_default(spark):
     assert {r.action for r in moderate(frame, fuzzy=False).collect()} == {"allow"}
     raw = '{"type":"donation","data":[{"donator":"a","message":"halo"},{"donator":"b","message":"servar thailand pazti menang"}]}'
     frames = spark.createDataFrame([(1, "saweria", raw)], "id int, platform string, raw string")
-    assert check_frames(frames, "id").first().first_block == 1
+    assert check_frames(frames).first().first_block == 1

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from palisade.operators import audit, state
 from palisade.operators.scoring import predict
+from palisade.plans.moderate import check_frames
 from palisade.sources.events import read_requests
-from palisade.streaming.stateful import arm_fire_stream, moderate_stream, rate_limit_stream
+from palisade.streaming.stateful import arm_fire_stream, check_frames_stream, moderate_stream, rate_limit_stream
 
 
 def drained(stream, name, spark):
@@ -51,6 +52,41 @@ def test_requests_stream_through_the_decision(spark, tmp_path):
     assert sorted((r.message, r.action) for r in got) == [("", "allow"), ("", "allow"), ("hoki88", "block")]
 
 
+def frames_of(rng, n):
+    rows = []
+    for i in range(n):
+        items = [{"donator": "a", "message": rng.choice(["halo", "halo", "gas hoki88", "kata"]), "amount": 1} for _ in range(rng.choice([0, 1, 2, 7, 40]))]
+        raw = rng.choice([json.dumps({"type": "donation", "data": items}), json.dumps({"type": "donation", "data": items}), json.dumps({"type": "other"}), "{broken", None])
+        rows.append((i, "saweria", raw, items if raw and raw.startswith('{"type": "donation"') else None))
+    return rows
+
+
+def test_frames_are_checked_in_place_in_batches_and_streams(spark, tmp_path):
+    rows = frames_of(random.Random(9), 300)
+    frame = spark.createDataFrame([r[:3] for r in rows], "flag long, platform string, raw string")
+    frame.repartition(3).write.parquet(str(tmp_path / "frames"))
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # frames run over the borders of batches
+    try:
+        made = check_frames(spark.read.parquet(str(tmp_path / "frames")))
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        batch = {r.flag: r for r in made.collect()}
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "frames"))
+        streamed = {r.flag: r for r in drained(check_frames_stream(stream), "frames", spark)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert batch == streamed and len(batch) == len(rows)
+    for i, _, raw, items in rows:
+        blocked = [k for k, item in enumerate(items or []) if "hoki88" in item["message"]]
+        own = batch[i]
+        assert own.first_block == (blocked[0] if blocked else None) and own.checked == (blocked[0] + 1 if blocked else len(items or []))
+        if blocked:
+            assert all(d["message"] == "***" for d in json.loads(own.delivered)["data"])
+        else:
+            assert own.delivered == raw
+    assert sum(r.first_block is not None for r in batch.values()) > 50
+
+
 def test_audit_sink_and_batch_prediction(spark, tmp_path):
     rows = spark.createDataFrame([("tako", "2024-01-02 03:04:05", "a"), ("validate", "2024-01-02 03:04:05", "b")], "platform string, ts string, line string").withColumn("ts", F.to_timestamp("ts"))
     audit.write_audit(rows, str(tmp_path / "audit"))
