@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from palisade.functions import fixed_values as fixed
 
@@ -17,43 +17,109 @@ def limiter_key(ip: Column, address: Column) -> Column:
     return F.coalesce(F.nullif(ip, F.lit("")), F.nullif(address, F.lit("")), F.lit("unknown"))
 
 
+#: Windows of a stretch of a key's time, which is one task's at a time.
+STRETCH = 16
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows that are equal in the first n columns, as slices of one or more batches."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [np.array(batch.column(c).dictionary_encode().indices.fill_null(-1), np.int64) for c in range(n)]
+        heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], 0)]))
+        for at, end in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+            name = tuple(batch.column(c)[at].as_py() for c in range(n))
+            if held and name != now:
+                yield now, held
+                held = []
+            now = name
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield now, held
+
+
+def _leaps(times: np.ndarray, start: int, window_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, end, hits): where a window of a stretch may be the first to begin, when the last one then ends and how many hits it holds.
+
+    Each hit links to the first one a window later; all possible first hits follow these links at once, and meet soon. Of
+    entries with the same outcome the last is kept.
+    """
+    n = len(times)
+    link = np.searchsorted(times, times + window_ms)
+    first = np.arange(min(n, int(np.searchsorted(times, start + window_ms)) + 1))
+    first = first[np.append(True, times[first][1:] != times[first][:-1])[: len(first)]]
+    place, of = first.copy(), np.arange(len(first))
+    while True:
+        on = link[place] < n
+        if not on.any():
+            break
+        place, back = np.unique(np.where(on, link[np.minimum(place, n - 1)], place), return_inverse=True)
+        of = back[of]
+    last = place[of]
+    kept = np.append(last[1:] != last[:-1], True)[: len(last)]
+    return times[first][kept], times[last][kept] + window_ms, n - last[kept]
+
+
 def windows(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int) -> DataFrame:
     """_key, _t, _order of hits with _n, their number in their window, and _until, its end.
 
-    A key's window begins at its first hit after the last one ended. A pause of a
-    whole window always ends it, so each key is first cut at such pauses; the stretches between are dealt over
-    tasks, and each is read once in order with nothing but its open window held.
+    Hits without a time are left out. A key's window begins at its first hit after the last one ended, so where it begins hangs on all hits before. Time is cut in
+    stretches of STRETCH windows, and those of one key are dealt over tasks like those of many. A stretch first tells, for each hit that
+    may be the first to open a window there, when the last window ends (links from hit to hit, followed by all at once). These
+    short lists are then gone through in order of time by key, and each stretch is numbered from what was open when it began.
     """
+    span = window_ms * STRETCH
     cut = hits.select(F.col(key).alias("_key"), F.col(ts_ms).cast("long").alias("_t"), F.col(order).alias("_order"))
-    own = Window.partitionBy("_key").orderBy("_t", "_order")
-    pause = F.coalesce(F.col("_t") - F.lag("_t").over(own) >= window_ms, F.lit(True))
-    cut = cut.withColumn("_stretch", F.sum(pause.cast("int")).over(own))
-    ordered = cut.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_t", "_order")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, until, held = None, -(1 << 62), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            times, stretch = np.array(batch.column(1), np.int64), np.array(batch.column(3), np.int64)
-            keys = np.array(batch.column(0).dictionary_encode().indices.fill_null(-1), np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (stretch[1:] != stretch[:-1])]))
-            counts, ends = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
-            for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(times)], strict=True):
-                name = (batch.column(0)[at].as_py(), stretch[at])
-                if name != last:
-                    last, until, held = name, -(1 << 62), 0
-                while at < end:
+    cut = cut.withColumn("_start", F.col("_t") - F.pmod("_t", F.lit(span)))
+    ordered = cut.select("_key", "_start", "_t", "_order").repartition("_key", "_start").sortWithinPartitions("_key", "_start", "_t", "_order")
+    kind = cut.schema["_key"].dataType
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, start), own in _groups(batches, 2):
+            times = np.concatenate([np.array(b.column(2), np.int64) for b in own])
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in _leaps(times, start, window_ms)]
+            yield pa.RecordBatch.from_arrays([own[0].column(0).slice(0, 1), own[0].column(1).slice(0, 1), *lists], ["_key", "_start", "_entry", "_end", "_hits"])
+
+    lists = [StructField(n, ArrayType(LongType())) for n in ("_entry", "_end", "_hits")]
+    leaps = ordered.mapInArrow(told, StructType([StructField("_key", kind), StructField("_start", LongType()), *lists]))
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _groups(batches, 1):
+            until, held = -(1 << 62), 0
+            for batch in own:
+                untils, helds = [], []
+                for row in range(batch.num_rows):
+                    untils.append(until)
+                    helds.append(held)
+                    entry, end, count = (np.array(batch.column(c)[row].values, np.int64) for c in (2, 3, 4))
+                    at = int(np.searchsorted(entry, until))
+                    # With no window begun here, the open one has ended before the next stretch.
+                    until, held = (int(end[at]), int(count[at])) if at < len(entry) else (until, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(untils, pa.int64()), pa.array(helds, pa.int64())], ["_k", "_s", "_open", "_held"])
+
+    opened = leaps.repartition("_key").sortWithinPartitions("_key", "_start").mapInArrow(carried, StructType([StructField("_k", kind), *[StructField(n, LongType()) for n in ("_s", "_open", "_held")]]))
+    joined = ordered.join(opened, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_start") == F.col("_s")))
+    joined = joined.select("_key", "_start", "_t", "_order", "_open", "_held").sortWithinPartitions("_key", "_start", "_t", "_order")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _groups(batches, 2):
+            until, held = own[0].column(4)[0].as_py(), own[0].column(5)[0].as_py()
+            for batch in own:
+                times, at = np.array(batch.column(2), np.int64), 0
+                counts, ends = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
+                while at < len(times):
                     if times[at] >= until:
                         until, held = int(times[at]) + window_ms, 0
-                    stop = at + int(np.searchsorted(times[at:end], until))
+                    stop = at + int(np.searchsorted(times[at:], until))
                     counts[at:stop] = held + 1 + np.arange(stop - at)
                     ends[at:stop] = until
                     held, at = held + stop - at, stop
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 1, 2)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 2, 3)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
 
     schema = StructType([cut.schema["_key"], cut.schema["_t"], cut.schema["_order"], StructField("_n", LongType()), StructField("_until", LongType())])
-    return ordered.mapInArrow(work, schema)
+    return joined.mapInArrow(numbered, schema)
 
 
 def rate_limit(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int = fixed.RATE_WINDOW_MS, most: int = fixed.RATE_MAX) -> DataFrame:
