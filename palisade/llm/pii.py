@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Base spans are what exact patterns and checks give. Looser patterns propose more candidates; regex, gazetteer,
-context, shape, checksum and border labelers vote yes, no or nothing on every candidate of the corpus.
+Base spans are what exact patterns and checks give. Looser patterns propose more candidates, and so do matches of the exact
+patterns that fail their checks: without them nearly every candidate would be personal, and no labeler could be told from another. Regex,
+gazetteer, context, shape, checksum and border labelers vote yes, no or nothing on every candidate of the corpus.
 Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability per kind, and its
 posteriors train a logistic span classifier. Candidates that it accepts are added to the base spans.
 
@@ -39,6 +40,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+EXACT = (None, IP, CARD, PHONE)
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 _AT = r"[(\[](?:at|AT)[)\]]"
@@ -51,6 +53,10 @@ LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,
 LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}(?:([ ./-])[0-9]{4,6})(?:\1[0-9]{3,5}){1,3}(?![0-9A-Za-z])")
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z.+(-])\(?0[0-9]{1,4}\)?[ ./-]?[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![0-9A-Za-z-]|\.[0-9])")
 
+LOOSE_RUN = re.compile(r"(?<![0-9A-Za-z.+_-])[0-9]{9,12}(?![0-9A-Za-z_-]|\.[0-9])")
+#: Digits of matches that are offered although they fail: cards from a checksum or a digit off, phones that are too short or too long.
+FAILED_CARD, FAILED_PHONE = range(13, 20), range(7, 18)
+
 #: Words before a span that speak for its kind, against any kind, and gazetteers of prefixes and endings.
 FOR = tuple(re.compile(rf"\b(?:{words})\b[^\n]{{0,12}}\Z", re.I) for words in ("e-?mail|mail|contact|write to|courriel|correo", "ip|host|server|address|adresse", "card|visa|mastercard|amex|credit|karte|carte|tarjeta", "tel|telephone|phone|mobile|call|fax|cell|telefon|téléphone|teléfono"))
 AGAINST = re.compile(r"(?:\b(?:order|invoice|isbn|issn|version|page|item|ref|article|section|no|nr)\b|[$€£#§])[^\n]{0,4}\Z", re.I)
@@ -85,24 +91,35 @@ def _emails(text: str) -> Iterator[Span]:
 def base_spans(text: str) -> list[Span]:
     """Spans of the exact patterns and checks, by start, then kind as listed."""
     found = list(_emails(text)) if "@" in text else []
+    found += [span for span, good in _checked(text) if good]
+    return sorted(found, key=lambda s: (s.start, s.kind))
+
+
+def _checked(text: str) -> Iterator[tuple[Span, bool]]:
+    """Every match of the exact patterns but emails, and whether it passes its check."""
     for m in IP.finditer(text):
-        if all(int(part.lstrip("0")[:4] or 0) <= 255 for part in m[0].split(".")):
-            found.append(Span(m.start(), m.end(), 1))
+        yield Span(m.start(), m.end(), 1), all(int(part.lstrip("0")[:4] or 0) <= 255 for part in m[0].split("."))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            found.append(Span(m.start(), m.end(), 2))
-    if "+" in text:
-        for m in PHONE.finditer(text):
-            if 10 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
-                found.append(Span(m.start(), m.end(), 3))
-    return sorted(found, key=lambda s: (s.start, s.kind))
+        yield Span(m.start(), m.end(), 2), 14 <= len(digits) <= 19 and luhn(digits)
+    for m in PHONE.finditer(text) if "+" in text else ():
+        yield Span(m.start(), m.end(), 3), 10 <= len(NOT_DIGIT.sub("", m[0])) <= 15
 
 
-def loose_spans(text: str) -> list[Span]:
-    """Candidates of the looser patterns."""
+def failed_spans(text: str) -> list[Span]:
+    """Matches of the exact patterns that fail their checks by little."""
     found = []
-    for kind, pattern in ((0, LOOSE_EMAIL), (1, LOOSE_IP), (2, LOOSE_CARD), (3, LOOSE_PHONE)):
+    for span, good in _checked(text):
+        digits = 0 if good or span.kind == 1 else len(NOT_DIGIT.sub("", text[span.start : span.end]))
+        if not good and (span.kind == 1 or digits in (FAILED_CARD if span.kind == 2 else FAILED_PHONE)):
+            found.append(span)
+    return found
+
+
+def loose_spans(text: str) -> list[Span]:
+    """Candidates of the looser patterns, and matches of the exact ones that fail."""
+    found = failed_spans(text)
+    for kind, pattern in ((0, LOOSE_EMAIL), (1, LOOSE_IP), (2, LOOSE_CARD), (3, LOOSE_PHONE), (3, LOOSE_RUN)):
         if kind or AT.search(text):
             found += [Span(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found
@@ -113,7 +130,7 @@ def votes(text: str, span: Span, strict: bool) -> tuple[int, ...]:
     start, end, kind = span
     own, before = text[start:end], text[max(0, start - 40) : start]
     digits = NOT_DIGIT.sub("", own)
-    regex_says = YES if strict else NONE
+    regex_says = YES if strict else NO if kind and EXACT[kind].fullmatch(own) else NONE
     if kind == 0:
         gazetteer = YES if re.split(r"[.\])\s]+", own.rstrip(".-"))[-1].lower() in ENDINGS else NO
         shape = YES if not re.search(r"\.\.|^\.|--", own) else NO
@@ -121,7 +138,8 @@ def votes(text: str, span: Span, strict: bool) -> tuple[int, ...]:
     elif kind == 1:
         gazetteer = YES if own.startswith(PRIVATE_NETS) else NONE
         shape = YES if not re.search(r"(?:^|\.)0[0-9]", own) else NO
-        checksum = NO if own in ("0.0.0.0",) or len(set(digits)) == 1 else NONE
+        parts = own.split(".") if ":" not in own else []
+        checksum = NO if len(set(digits)) == 1 or any(len(p) > 9 or int(p) > 255 for p in parts) else YES if parts else NONE
     elif kind == 2:
         gazetteer = YES if digits.startswith(CARD_PREFIXES) else NO
         shape = YES if len({c for c in own if not c.isdigit()}) < 2 and len(digits) in (14, 15, 16, 19) else NO

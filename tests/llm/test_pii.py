@@ -39,8 +39,20 @@ def test_known_spans_and_masking():
     assert pii.masked(text, base) == "mail <EMAIL>, host <IP> card <CARD> tel <PHONE>."
 
 
+def plain_failed(text):
+    """Matches of the exact patterns that are no base spans, near enough to be offered."""
+    base, out = set(plain_spans(text)), []
+    for kind in (1, 2, 3):
+        for m in re.finditer(PLAIN[kind], text):
+            digits = len(re.sub("[^0-9]", "", m[0]))
+            if (m.start(), m.end(), kind) not in base and (kind == 1 or digits in ((), (), range(13, 20), range(7, 18))[kind]):
+                out.append((m.start(), m.end(), kind))
+    return out
+
+
 def plain_loose(text):
-    return [(m.start(), m.end(), kind) for kind, pattern in enumerate((pii.LOOSE_EMAIL, pii.LOOSE_IP, pii.LOOSE_CARD, pii.LOOSE_PHONE)) for m in pattern.finditer(text)]
+    patterns = ((0, pii.LOOSE_EMAIL), (1, pii.LOOSE_IP), (2, pii.LOOSE_CARD), (3, pii.LOOSE_PHONE), (3, pii.LOOSE_RUN))
+    return plain_failed(text) + [(m.start(), m.end(), kind) for kind, pattern in patterns for m in pattern.finditer(text)]
 
 
 PIECES = ["john", "ab", " ", ".", "(at)", "[at]", "(AT)", "[AT]", "(at]", "(dot)", "[DOT]", "com", ":", "fe:", "ab:CD:ef:aa:bb:cc:dd:ee", "12", "@", "é"]
@@ -56,7 +68,7 @@ def test_candidates_leave_no_text_out(text):
         assert any(start < s.end and s.start < end for s in [*base, *free])
 
 
-NUMBERS = ["0391 555 5010", "(0391) 555-50-10", "4111 1111 1111 1111", "4111-1111-1111-1112", "10.1.2.3", "+1 389 555 5010", "a@b.co", "bob (at) x (dot) com", " ", ", ", "x", "1:2:3:4:5:6:7:8"]
+NUMBERS = ["4111111111111112", "300.1.2.3", "+1 23 45 67", "0391555501", "123456789012345678901", "0391 555 5010", "(0391) 555-50-10", "4111 1111 1111 1111", "4111-1111-1111-1112", "10.1.2.3", "+1 389 555 5010", "a@b.co", "bob (at) x (dot) com", " ", ", ", "x", "1:2:3:4:5:6:7:8"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -129,6 +141,30 @@ def test_votes_train_a_classifier_that_adds_spans():
     assert pii.fit(pii.Counter()).accepts((0, 1, 1, 1, 1, 1, 1, 0)) is False
 
 
+def test_failing_matches_are_the_contrast_that_em_learns_from():
+    rng = np.random.default_rng(6)
+
+    def number(valid):
+        while True:
+            digits = "4" + "".join(map(str, rng.integers(0, 10, 15)))
+            if pii.luhn(digits) == valid:
+                return digits
+
+    seen = pii.Counter()
+    texts = [f"pay with {number(True)} now" for _ in range(150)] + [f"serial {number(False)} of it" for _ in range(60)] + ["host 10.2.3.4 up"] * 80 + ["release 300.2.3.4 is out"] * 30
+    for text in texts:
+        base, free = pii.candidates(text)
+        seen.update(pii.cell_of(text, s, True) for s in base)
+        seen.update(pii.cell_of(text, s, False) for s in free)
+    assert sum(n for cell, n in seen.items() if cell[1] == pii.NO) == 90
+    model = pii.fit(seen)
+    card = model.reliability["card"]
+    assert card["checksum"]["yes_if_personal"] > 0.95 and card["checksum"]["yes_if_not"] < 0.1
+    assert card["regex"]["yes_if_personal"] > 0.95 and card["regex"]["yes_if_not"] < 0.1
+    assert not any(len(pii.all_spans(t, model, {})[1]) for t in texts if t.startswith(("serial", "release")))
+    assert all(len(pii.all_spans(t, model, {})[1]) == 1 for t in texts if t.startswith(("pay", "host")))
+
+
 def test_frames(spark):
     rows = [(1, "x a@b.co y"), (1, "x a@b.co y"), (None, None), (2, ""), (3, "é +1 (389) 555-5010")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as base")
