@@ -3,12 +3,13 @@
 Suffixes are kept only where content selects them: at the minimisers of k-word grams, one of which lies in
 every passage of the wanted length. A passage around a position reaches far to its right or far to its left, so a suffix
 is listed under the print of its next words, of the words on its left, or both; only those that two places have
-are looked at again. Sorted by print and by the words that follow on both sides, neighbours are compared word hash by word
-hash: that extends a match left and right through all passages that belong to the position. What two or
-more places share is a repeat; the place with the smallest document id and position is the one that stays.
+are looked at again. The suffixes of a print are then extended: every passage of the wanted length that reaches from the print
+to the left and right is sorted by a hash of its further words, and neighbours are compared word hash by word hash. A chain of
+neighbours in suffix order alone would miss pairs that agree less to the right and more to the left. What two or more
+places share is a repeat, and adjoining repeated passages are one stretch; the place with the smallest document id and position stays.
 
-A print that very many places share is split by its next words down to whole passages, whose first places are
-pre-aggregated, so that no task holds all of them.
+A print of over HOT_PLACES places, the most that a task holds at a time, is split into whole passages, whose first
+places are pre-aggregated.
 
 Equal texts (by 128 bits) are handled once: the copies of a text are repeats of its first document as a whole.
 """
@@ -30,7 +31,7 @@ from palisade.llm.shingles import BASE, BYTE_CODES, mixed, powers, words
 MIN_WORDS, GRAM = 50, 8
 LAST = (1 << 63) - 1
 #: Places of a print from which on it is split by whole passages; rows that are compared at a time, about.
-HOT_PLACES, COMPARED = 100_000, 20_000
+HOT_PLACES, COMPARED = 20_000, 20_000
 #: Lists of up to so many numbers (8 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_NUMBERS = 1_000_000
 #: Texts with such prints up to which their 64-bit keys (at most 128 MB) are broadcast, so that only they are shuffled.
