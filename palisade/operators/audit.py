@@ -65,8 +65,8 @@ def per_listener(checks: DataFrame, listeners: Column) -> DataFrame:
     return checks.withColumn("listener", F.explode(turns))
 
 
-def write_audit(lines: DataFrame, path: str, ts: str = "ts", line: str = "line", platform: str | None = "platform") -> None:
-    """Appends lines as text, one folder per day; rows of the validation page are left out."""
+def write_audit(lines: DataFrame, path: str, ts: str = "ts", line: str = "line", platform: str | None = "platform", mode: str = "append") -> None:
+    """Writes lines as text (by default behind those that are there), one folder per day; rows of the validation page are left out."""
     if platform:
         lines = lines.where(F.coalesce(F.col(platform), F.lit("")) != VALIDATE)
-    lines.select(F.to_date(ts).alias("dt"), F.col(line).alias("value")).write.mode("append").partitionBy("dt").text(path)
+    lines.select(F.to_date(ts).alias("dt"), F.col(line).alias("value")).write.mode(mode).partitionBy("dt").text(path)

@@ -1,5 +1,7 @@
+import datetime
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from palisade.operators import audit, state
 from palisade.operators.scoring import predict
 from palisade.plans.moderate import check_frames
 from palisade.sources.events import read_requests
-from palisade.streaming.stateful import arm_fire_stream, check_frames_stream, moderate_stream, rate_limit_stream
+from palisade.streaming.stateful import arm_fire_stream, audit_batches, check_frames_stream, controlled, moderate_stream, once_only, rate_limit_stream
 
 
 def drained(stream, name, spark):
@@ -52,6 +54,84 @@ def test_requests_stream_through_the_decision(spark, tmp_path):
     assert sorted((r.message, r.action) for r in got) == [("", "allow"), ("", "allow"), ("hoki88", "block")]
 
 
+def fed(spark, rows, schema, path, make, pause=0, made=None):
+    """What a query makes of one file of rows after another, in a run of its own each, with one checkpoint.
+
+    made: how many rows there are after each run, for queries that do not end by themselves; pause: seconds between runs.
+    """
+    (path / "in").mkdir()
+    out = []
+    for turn, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path / "staged" / str(turn)))
+        for file in sorted((path / "staged" / str(turn)).glob("*.parquet")):
+            file.rename(path / "in" / f"{turn}-{file.name}")
+        time.sleep(pause if turn else 0)
+        stream = make(spark.readStream.schema(schema).parquet(str(path / "in")))
+        writer = stream.writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "state"))
+        query = (writer.trigger(processingTime="200 milliseconds") if made else writer.trigger(availableNow=True)).start()
+        try:
+            until = time.monotonic() + 60
+            while query.isActive and time.monotonic() < until and not (made and (path / "out" / "_spark_metadata").exists() and spark.read.schema(stream.schema).parquet(str(path / "out")).count() >= made[turn]):
+                time.sleep(0.3)
+        finally:
+            query.stop()
+        assert query.exception() is None and time.monotonic() < until
+        out.append(sorted(map(tuple, spark.read.schema(stream.schema).parquet(str(path / "out")).collect()), key=lambda r: [(v is not None, v) for v in r]))
+    return out
+
+
+def test_state_lasts_from_run_to_run_and_is_evicted(spark, tmp_path):
+    parts = [[("a", 0), ("a", 10), ("b", 5)], [("a", 20), ("b", 5_000)]]
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "gone").mkdir()
+    kept = fed(spark, parts, "key string, ts_ms long", tmp_path / "kept", lambda s: rate_limit_stream(s, 1_000, 2, evict=False))
+    assert kept[1] == [("a", 0, 1, False, None), ("a", 10, 2, False, None), ("a", 20, 3, True, 1), ("b", 5, 1, False, None), ("b", 5_000, 1, False, None)]
+    gone = fed(spark, parts, "key string, ts_ms long", tmp_path / "gone", lambda s: rate_limit_stream(s, 1_000, 2, evict=True), 2.5, (3, 5))
+    assert ("a", 20, 1, False, None) in gone[1]
+
+
+def test_armed_sessions_last_and_are_evicted(spark, tmp_path):
+    parts = [[("s", 1, "fetch"), ("s", 2, "signal")], [("s", 3, "fetch"), ("s", 4, "fetch")]]
+    schema = "session string, ts_ms long, kind string"
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "gone").mkdir()
+    assert fed(spark, parts, schema, tmp_path / "kept", lambda s: arm_fire_stream(s, evict=False))[1] == [("s", 1, False), ("s", 3, True), ("s", 4, False)]
+    assert fed(spark, parts, schema, tmp_path / "gone", lambda s: arm_fire_stream(s, 500), 1, (1, 3))[1] == [("s", 1, False), ("s", 3, False), ("s", 4, False)]
+
+
+def test_doubled_frames_of_two_listeners_count_once_over_triggers(spark, tmp_path):
+    now = datetime.datetime(2024, 1, 1, 12)
+    parts = [[(now, "f1", 1), (now, "f1", 2), (now, "f2", 1), (now, None, 1)], [(now, "f2", 2), (now, "f3", 1), (now, None, 2)]]
+    made = fed(spark, parts, "ts timestamp, frame string, listener int", tmp_path, lambda s: once_only(s, "ts", ["frame"]).select("frame"))
+    assert sorted(str(r[0]) for r in made[0]) == ["None", "f1", "f2"] and sorted(str(r[0]) for r in made[1]) == ["None", "f1", "f2", "f3"]
+
+
+def test_a_flag_flipped_mid_stream_changes_later_batches_only(spark, tmp_path):
+    now, seen, path = [0.0], [], str(tmp_path / "control")
+    step = controlled(lambda batch, active: seen.append(active), lambda: spark.read.schema("version long, active boolean").parquet(path), 2_000, lambda: now[0])
+    batch = spark.range(1)
+    step(batch, 0)  # there is no table yet
+    spark.createDataFrame([(1, True)], "version long, active boolean").write.mode("append").parquet(path)
+    step(batch, 1)  # looked less than two seconds ago
+    now[0] = 2.0
+    step(batch, 2)
+    spark.createDataFrame([(2, False)], "version long, active boolean").write.mode("append").parquet(path)
+    now[0] = 3.9
+    step(batch, 3)
+    now[0] = 4.0
+    step(batch, 4)
+    assert seen == [False, False, True, True, False]
+
+
+def test_a_replayed_batch_doubles_no_line(spark, tmp_path):
+    lines = spark.createDataFrame([("tako", "2024-01-02 03:04:05", "a"), ("validate", "2024-01-02 03:04:05", "b"), ("tako", "2024-01-03 03:04:05", "c")], "platform string, ts string, line string").withColumn("ts", F.to_timestamp("ts"))
+    step = audit_batches(str(tmp_path / "audit"))
+    for batch_id in (0, 1, 1, 0):
+        step(lines, batch_id)
+    got = spark.read.text(str(tmp_path / "audit"))
+    assert sorted((r.value, r.batch, str(r.dt)) for r in got.collect()) == [("a", 0, "2024-01-02"), ("a", 1, "2024-01-02"), ("c", 0, "2024-01-03"), ("c", 1, "2024-01-03")]
+
+
 def frames_of(rng, n):
     rows = []
     for i in range(n):
