@@ -193,6 +193,8 @@ ORNAMENTS = r"[•¤¦§¨¬¯°´¶˜∀-⋿─-◿⦀-⧿⬀-⯿、-〿぀-ゟ
 PICTURES = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{27BF}\x{24C2}-\x{24FF}\x{1F1E0}-\x{1F1FF}]"
 EMOJI = rf"{PICTURES}[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}]?(?:\x{{200D}}{PICTURES}[\x{{FE0E}}\x{{FE0F}}]?|[\x{{1F3FB}}-\x{{1F3FF}}])*"
 CHAIN_MARKS = r"._\-/\\,:;*+|~"
+#: Letters that were set apart: by marks, by blanks, and short groups by dots, lines and dashes.
+SET_APART = (rf"\b[a-z0-9](?:\s*[{CHAIN_MARKS}]\s*[a-z0-9])+\b", r"\b[a-z0-9](?:\s+[a-z0-9])+\b", r"\b[a-z0-9]{1,3}(?:\s*[._\-]\s*[a-z0-9]{1,3})+\b")
 
 # ---- fixed values: traces of delivery networks in pages ----
 ARTEFACTS = (

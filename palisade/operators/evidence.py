@@ -128,3 +128,32 @@ def brands_by_text(texts: DataFrame, key: str, near: bool = False, tokens: str =
     """(key, brand), a row for each brand that a text has (near: that it nearly has). Nothing is joined; only hits become rows."""
     found = texts.select(key, brand_lists(F.col(tokens), F.col(squeezed)).alias("_b"))
     return found.select(key, F.explode("_b.near" if near else "_b.high").alias("brand"))
+
+
+#: Rules of a table that every worker may hold.
+MOST_RULES = 10_000
+
+
+@lru_cache(4)
+def _rule_table(rows: tuple[tuple[str, str, int], ...]) -> tuple[list, Gate]:
+    return [re.compile(pattern, _ASCII) for _, pattern, _ in rows], Gate(needed_literals(pattern) for _, pattern, _ in rows)
+
+
+def rules_by_text(texts: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, id, weight) of the rules (id, pattern, weight) of a table that match texts, in no order.
+
+    Patterns are read as the engine's own, in any case. The table is read once and must have MOST_RULES rows at most; texts stay where
+    they are, and each is tried only against the rules that one pass of the gate names: there is no product of texts and rules.
+    """
+    rows = tuple((str(r["id"]), r["pattern"], int(r["weight"])) for r in rules.select("id", "pattern", "weight").orderBy("id").limit(MOST_RULES + 1).collect())
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table of more than {MOST_RULES} rows is not held by every worker")
+
+    @F.pandas_udf("array<struct<id:string,weight:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns, gate = _rule_table(rows)
+        for batch in batches:
+            found = [[n for n in sorted(gate.worth(t)) if patterns[n].search(t)] if t else [] for t in batch]
+            yield pd.Series([[{"id": rows[n][0], "weight": rows[n][2]} for n in own] for own in found], dtype="object")
+
+    return texts.select(key, F.explode(run(F.col(text))).alias("_h")).select(key, "_h.id", "_h.weight")

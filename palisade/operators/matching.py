@@ -68,17 +68,6 @@ def listed(values: Column, most: int = 3) -> Column:
     return F.array_join(F.slice(values, 1, most), ", ")
 
 
-def join_rules(texts: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, id, weight) of rules (id, pattern, weight) that match texts: a broadcast nested loop over the rule table.
-
-    The rule table is read once and checked to be small; texts never move.
-    """
-    count = rules.count()
-    if count > 10_000:
-        raise ValueError(f"{count} rules: a rule table of more than 10000 rows is not broadcast")
-    return texts.join(F.broadcast(rules), F.col(text).rlike(F.col("pattern"))).select(key, "id", "weight")
-
-
 def join_tokens(texts: DataFrame, terms: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """(key, term) of terms (one column `term`) among each row's tokens: an equi join, distinct per row."""
     exploded = texts.select(key, F.explode(tokens).alias("term")).distinct()

@@ -143,14 +143,12 @@ def ladder_join(tokens: DataFrame, words: DataFrame, sensitive: tuple[str, ...]
 
 # ---- the ladder over one token, for Arrow batches ----
 
-_SEPARATED = re.compile(r"\b[a-z0-9](?:\s*[._\-/\\,:;*+|~]\s*[a-z0-9])+\b", re.A)
-_SPACED = re.compile(r"\b[a-z0-9](?:\s+[a-z0-9])+\b", re.A)
-_GROUPS = re.compile(r"\b[a-z0-9]{1,3}(?:\s*[._\-]\s*[a-z0-9]{1,3})+\b", re.A)
+_SET_APART = tuple(re.compile(pattern, re.A) for pattern in fixed.SET_APART)
 _LEET = tuple(str.maketrans(*fold) for fold in (fixed.LEET_I, fixed.LEET_L))
 
 
 def tightened(text: str) -> str:
-    for pattern in (_SEPARATED, _SPACED, _GROUPS):
+    for pattern in _SET_APART:
         text = pattern.sub(lambda m: re.sub(r"[^a-z0-9]+", "", m[0]), text)
     return text
 

@@ -119,17 +119,17 @@ def coerce_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rules, phrases, brands ----
 
 
-def _rule_query(kind: str, rules: tuple) -> None:
+def _rule_query(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = _by_message(spark, sf_dir, lambda texts: texts.select("message", F.explode(matching.rule_hits(F.col("v"), rules)).alias("h")))
-        return hits.select("donation_id", "h.id", "h.value", "h.weight")
+        sent = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v"))
+        return sent.select("donation_id", F.explode(evidence.evidence(F.col("v"), True)[kind]).alias("h")).select("donation_id", "h.id", "h.value", "h.weight")
 
     QUERIES[f"rule_hits_{kind}"] = run
     ORACLES[f"rule_hits_{kind}"] = f"{O.MESSAGE_TEXTS}, {O.HITS_SQL} SELECT donation_id, id, value, weight::INTEGER AS weight FROM donations JOIN hits ON lower(message) = t WHERE kind = '{kind}'"
 
 
-for _kind, _rules in O.KINDS.items():
-    _rule_query(_kind, _rules)
+for _kind in O.KINDS:
+    _rule_query(_kind)
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.HITS_SQL} SELECT id, count(*) AS hits, sum(weight)::BIGINT AS weight FROM donations JOIN hits ON lower(message) = t GROUP BY id")
@@ -141,6 +141,18 @@ def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("h.id").agg(F.sum("sent").alias("hits"), F.sum(F.col("sent") * F.col("h.weight")).alias("weight"))
 
 
+_opening = r"'\b' || regexp_replace(regexp_extract(text, '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'), ' ', '\\s+', 'g') || '\b'"
+
+
+@query(f"WITH rules AS (SELECT item_id, {_opening} AS pattern FROM benchmark WHERE regexp_matches(text, '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')) SELECT doc_id, item_id::VARCHAR AS id, length(pattern)::INTEGER AS weight FROM documents, rules WHERE regexp_matches(text, '(?i)' || pattern)")
+def rules_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words of every benchmark text as rules over whole documents."""
+    words = F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0)
+    rules = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), words.alias("w")).where("w <> ''")
+    pattern = F.concat(F.lit(r"\b"), F.replace("w", F.lit(" "), F.lit(r"\s+")), F.lit(r"\b"))
+    return evidence.rules_by_text(documents(spark, sf_dir), rules.select("id", pattern.alias("pattern"), F.length(pattern).alias("weight")), "doc_id")
+
+
 @query(f"{O.MESSAGE_TEXTS}, {O.PHRASES_SQL} SELECT donation_id, kind, phrase FROM donations JOIN said ON lower(message) = t")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = F.array(*[F.struct(F.lit(k).alias("kind"), matching.phrase_hits(plain(F.col("message")), p).alias("found")) for k, p in O.PHRASES.items()])
@@ -155,12 +167,6 @@ def brand_token_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.join_tokens(texts, terms, "donation_id").withColumnRenamed("term", "brand")
 
 
-def _by_message(spark: SparkSession, sf_dir: str, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """donation_id and what match finds in distinct messages (message, v): each is matched once and joined back."""
-    sent = donations(spark, sf_dir).select("donation_id", "message").where(F.coalesce("message", F.lit("")) != "")
-    return sent.join(match(sent.select("message", plain(F.col("message")).alias("v")).dropDuplicates(["message"])), "message").drop("message")
-
-
 def _formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = donations(spark, sf_dir).select("donation_id", plain(F.col("message")).alias("v"))
     return rows.select("donation_id", T.all_tokens(F.col("v")).alias("tokens"), T.all_squeezed(F.col("v")).alias("squeezed"))
@@ -462,9 +468,13 @@ _turns = "SELECT conv_id, turn, text, lower(text) LIKE '%the%' AS bad FROM conve
 @query(f"WITH t AS ({_turns}) SELECT conv_id, bool_or(bad) AS blocked, count(*) AS donations, coalesce(min(turn) FILTER (bad), max(turn)) AS last_checked FROM t GROUP BY conv_id")
 def frame_any_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a frame: the first blocked turn ends the checks."""
-    bad = F.contains(F.lower("text"), F.lit("the"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.groupBy("conv_id").agg(F.bool_or(bad).alias("blocked"), F.count("*").alias("donations"), F.coalesce(F.min(F.when(bad, F.col("turn"))), F.max("turn")).alias("last_checked"))
+    frames = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("items"))
+    each = frames.select(F.struct("conv_id", "items").alias("frame"), F.posexplode("items").alias("pos", "item"))
+    each = each.select(F.when(F.col("pos") == 0, F.col("frame")).alias("frame"), F.contains(F.lower("item.text"), F.lit("the")).alias("flag"))
+    found = payloads.first_flagged(each).select("frame.*", "first")
+    last = F.coalesce("first", F.size("items") - 1)
+    return found.select("conv_id", F.col("first").isNotNull().alias("blocked"), F.size("items").cast("long").alias("donations"), F.get("items", last)["turn"].alias("last_checked"))
 
 
 _empty_tako = "(platform = 'tako' AND coalesce(message, '') = '')"

@@ -20,8 +20,7 @@ def rewritten(x: str, pattern: str, change: str) -> str:
     return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{pattern}'), list_concat(regexp_extract_all({x}, '{pattern}'), [''])), lambda z: z[1] || {change}), '')"
 
 
-_MARKS = r"._\-/\\,:;*+|~"
-_APART = (rf"\b[a-z0-9](?:\s*[{_MARKS}]\s*[a-z0-9])+\b", r"\b[a-z0-9](?:\s+[a-z0-9])+\b", r"\b[a-z0-9]{1,3}(?:\s*[._\-]\s*[a-z0-9]{1,3})+\b")
+_APART = fixed.SET_APART
 
 
 def tight(name: str, source: str, x: str, where: str = "true") -> str:

@@ -87,3 +87,14 @@ def test_brand_lists_equal_the_column_forms(spark):
     exact = matching.brand_hits(t, s)
     got = frame.select(E.brand_lists(F.col("tokens"), F.col("squeezed")).alias("b"), exact.alias("high"), matching.near_brand_hits(t, s, exact).alias("near")).collect()
     assert all((r.b.high, r.b.near) == (r.high, r.near) for r in got) and sum(len(r.near) for r in got) > 20
+
+
+def test_rules_of_a_table_equal_trying_each(spark):
+    rules = [(n, p.replace("$", r"\Z"), w) for rows in E.RULES.values() for n, p, w in rows] + [("any", "[0-9]x", 2)]
+    texts = ["situs gacor 88 hari ini", "RTP live 98%", "7X", "halo", "", None, "klik link di bio, wd cepat"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = sorted(tuple(r) for r in E.rules_by_text(frame, spark.createDataFrame(rules, "id string, pattern string, weight int"), "k").collect())
+    want = sorted((i, n, w) for i, t in enumerate(texts) for n, p, w in rules if t and re.search(p, t, re.ASCII | re.IGNORECASE))
+    assert got == want and len(got) > 5
+    with pytest.raises(ValueError, match="rule table"):
+        E.rules_by_text(frame, spark.range(E.MOST_RULES + 1).selectExpr("id", "'a' as pattern", "1 as weight"), "k")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palisade.functions.patterns import java, re2
-from palisade.operators import payloads, web
+from palisade.operators import payloads, state, web
 
 
 def one(spark, column, **values):
@@ -53,3 +53,9 @@ def test_urls(spark):
     assert one(spark, web.resolve_platform(F.col("c"), F.col("r")), c=None, r="http://h/?platform=bagibagi") == "bagibagi"
     assert one(spark, web.resolve_platform(F.col("c"), F.col("r")), c="moderation_platform=nobody", r=None) == "saweria"
     assert one(spark, web.mime_of(F.col("p")), p="/a/b.svg?x") == "image/svg+xml"
+
+
+def test_reserved_parameters_and_limiter_keys(spark):
+    frame = spark.createDataFrame([({"platform": "tako", "a": "1", "streamKey": "k", "overlayType": "x"}, "1.2.3.4", "9.9.9.9"), ({}, "", "9.9.9.9"), (None, None, "")], "p map<string,string>, ip string, address string")
+    got = frame.select(web.minus_reserved(F.col("p")).alias("p"), state.limiter_key(F.col("ip"), F.col("address")).alias("k")).collect()
+    assert [(r.p, r.k) for r in got] == [({"a": "1"}, "1.2.3.4"), ({}, "9.9.9.9"), (None, "unknown")]
