@@ -17,7 +17,7 @@ def _is_picture(code: Column) -> Column:
 
 
 def build_look_alikes(sets: DataFrame, order: list[str], key: str = "key", glyph: str = "glyph") -> DataFrame:
-    """sequence, letters, kind of rows (key: one ASCII letter, glyph: what stands for it), in the order of `order`.
+    """sequence, letters, kind of rows (key: one ASCII letter, glyph: what stands for it), by code point; letters in the order of `order`.
 
     kind is 'single' (one code point, one letter), 'several' (one code point, more letters) or 'ligature' (more code points).
     Letters are upper case, each once, in the order they first come in. Keys that are no ASCII letter, empty and null glyphs,
@@ -33,7 +33,8 @@ def build_look_alikes(sets: DataFrame, order: list[str], key: str = "key", glyph
     gathered = first.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("o", "letter"))).alias("l"))
     letters = F.array_join(F.transform("l", lambda x: x["letter"]), "")
     kind = F.when(F.length("g") > 1, "ligature").when(F.size("l") > 1, "several").otherwise("single")
-    return gathered.select(F.col("g").alias("sequence"), letters.alias("letters"), kind.alias("kind"))
+    # Bytes of UTF-8 sort as code points do; the table is bounded by Unicode.
+    return gathered.select(F.col("g").alias("sequence"), letters.alias("letters"), kind.alias("kind")).orderBy("sequence")
 
 
 def tables(built: DataFrame) -> dict[str, tuple]:
