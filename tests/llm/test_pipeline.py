@@ -25,7 +25,7 @@ def corpus(spark, tmp_path_factory):
         body = text(rng.randint(20, 150))
         rows.append((i, body if good else body.replace(" ", "%%% ")))
         labels.append((i, int(good), 0))
-    rows += [(300, rows[1][1]), (301, rows[2][1] + " extra"), (302, text(40) + " " + passage), (303, text(30) + " " + passage + " " + text(20)), (304, text(60) + " mail ann.lee@mail.example.com or +1 (389) 555-5010 now"), (305, None), (306, ""), (None, text(50))]
+    rows += [(300, rows[1][1]), (301, rows[2][1] + " extra"), (302, text(40) + " " + passage), (303, text(30) + " " + passage + " " + text(20)), (304, text(60) + " mail ann.lee@mail.example.com or +1 (389) 555-5010 now"), (305, None), (306, ""), (None, text(50)), (307, text(60_000))]
     folder = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1.0, "x", 5) for d, t in rows], COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -62,6 +62,10 @@ def test_stages_in_order(spark, corpus, tmp_path):
     assert set(seen[3]) == set(seen[2]) and seen[3][304].text.endswith("mail <EMAIL> or <PHONE> now")
     assert all(seen[3][d].text == seen[2][d].text for d in seen[3] if d != 304)
     packed = docs.collect()
+    # A very long text goes through whole.
+    assert seen[3][307].text == texts[307]
+    pieces = sorted((r.start, r.length) for r in packed if r.doc_id == 307)
+    assert len(pieces) > 50 and [start for start, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
     assert {r.doc_id for r in packed} == set(seen[3]) and all(r.offset + r.length <= 1024 for r in packed)
 
 
