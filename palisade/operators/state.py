@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,45 +23,63 @@ def limiter_key(ip: Column, address: Column) -> Column:
 STRETCH = 16
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of rows that are equal in the first n columns, as slices of one or more batches."""
-    now, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
+def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, first row of each run of rows that are equal in the first n columns): all rows in order, and no run is cut."""
+    held: list[pa.RecordBatch] = []
+
+    def last(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in range(n))
+
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None and held and last(batch) == last(held[-1]):
+            held.append(batch)  # all of it goes on with the open run
             continue
-        codes = [np.array(batch.column(c).dictionary_encode().indices.fill_null(-1), np.int64) for c in range(n)]
+        rows = pa.Table.from_batches([*held, *([] if batch is None else [batch])]).combine_chunks() if held or batch is not None else None
+        if rows is None:
+            return
+        codes = [np.array(rows.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1), np.int64) for c in range(n)]
         heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], 0)]))
-        for at, end in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
-            name = tuple(batch.column(c)[at].as_py() for c in range(n))
-            if held and name != now:
-                yield now, held
-                held = []
-            now = name
-            held.append(batch.slice(at, end - at))
-    if held:
-        yield now, held
-
-
-def _leaps(times: np.ndarray, start: int, window_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, end, hits): where a window of a stretch may be the first to begin, when the last one then ends and how many hits it holds.
-
-    Each hit links to the first one a window later; all possible first hits follow these links at once, and meet soon. Of
-    entries with the same outcome the last is kept.
+        if batch is None:
+            yield rows, heads
+        elif len(heads) > 1:
+            yield rows.slice(0, int(heads[-1])), heads[:-1]
+            held = rows.slice(int(heads[-1])).to_batches()
+        else:
+            held.append(batch)
+
+
+def _column(rows: pa.Table, c: int) -> np.ndarray:
+    return np.array(rows.column(c).combine_chunks(), np.int64)
+
+
+def _placed(times: np.ndarray, heads: np.ndarray, starts: np.ndarray, window_ms: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, group, end, link) of the hits of many stretches: a number that ascends over all, the stretch, where it ends, the first hit a window later."""
+    ends = np.append(heads[1:], len(times))
+    group = np.repeat(np.arange(len(heads)), ends - heads)
+    place = times - starts[group] + group * (3 * span)
+    return place, group, ends[group], np.minimum(np.searchsorted(place, place + window_ms), ends[group])
+
+
+def _leaps(times: np.ndarray, heads: np.ndarray, starts: np.ndarray, window_ms: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, end, hits, group): where a window of a stretch may be the first to begin, when the last one then ends and how many hits it holds.
+
+    Each hit links to the first one a window later; all possible first hits of all stretches follow these links at once, and meet
+    soon. Of entries of a stretch with the same outcome the last is kept.
     """
-    n = len(times)
-    link = np.searchsorted(times, times + window_ms)
-    first = np.arange(min(n, int(np.searchsorted(times, start + window_ms)) + 1))
-    first = first[np.append(True, times[first][1:] != times[first][:-1])[: len(first)]]
-    place, of = first.copy(), np.arange(len(first))
-    while True:
-        on = link[place] < n
-        if not on.any():
-            break
-        place, back = np.unique(np.where(on, link[np.minimum(place, n - 1)], place), return_inverse=True)
+    place, group, end, link = _placed(times, heads, starts, window_ms, span)
+    # Hits of a stretch's first window, and the first one after it.
+    early = (place - group * (3 * span) < window_ms) | (np.arange(len(times)) == np.searchsorted(place, group * (3 * span) + window_ms))
+    first = np.flatnonzero(early & np.append(True, place[1:] != place[:-1])[: len(times)])
+    at, of = first, np.arange(len(first))
+    while (on := link[at] < end[at]).any():
+        at, back = np.unique(np.where(on, link[np.minimum(at, len(times) - 1)], at), return_inverse=True)
         of = back[of]
-    last = place[of]
+    last = at[of]
     kept = np.append(last[1:] != last[:-1], True)[: len(last)]
-    return times[first][kept], times[last][kept] + window_ms, n - last[kept]
+    first, last = first[kept], last[kept]
+    return times[first], times[last] + window_ms, end[last] - last, group[first]
 
 
 def windows(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int) -> DataFrame:
@@ -77,46 +97,53 @@ def windows(hits: DataFrame, key: str, ts_ms: str, order: str, window_ms: int) -
     kind = cut.schema["_key"].dataType
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, start), own in _groups(batches, 2):
-            times = np.concatenate([np.array(b.column(2), np.int64) for b in own])
-            lists = [pa.array([x], pa.list_(pa.int64())) for x in _leaps(times, start, window_ms)]
-            yield pa.RecordBatch.from_arrays([own[0].column(0).slice(0, 1), own[0].column(1).slice(0, 1), *lists], ["_key", "_start", "_entry", "_end", "_hits"])
+        for rows, heads in _whole(batches, 2):
+            *lists, group = _leaps(_column(rows, 2), heads, _column(rows, 1)[heads], window_ms, span)
+            ends = pa.array(np.searchsorted(group, np.arange(len(heads) + 1)).astype(np.int32))
+            named = [rows.column(c).combine_chunks().take(pa.array(heads)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*named, *[pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in lists]], ["_key", "_start", "_entry", "_end", "_hits"])
 
     lists = [StructField(n, ArrayType(LongType())) for n in ("_entry", "_end", "_hits")]
     leaps = ordered.mapInArrow(told, StructType([StructField("_key", kind), StructField("_start", LongType()), *lists]))
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _groups(batches, 1):
-            until, held = -(1 << 62), 0
-            for batch in own:
-                untils, helds = [], []
-                for row in range(batch.num_rows):
-                    untils.append(until)
-                    helds.append(held)
-                    entry, end, count = (np.array(batch.column(c)[row].values, np.int64) for c in (2, 3, 4))
-                    at = int(np.searchsorted(entry, until))
-                    # With no window begun here, the open one has ended before the next stretch.
-                    until, held = (int(end[at]), int(count[at])) if at < len(entry) else (until, 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(untils, pa.int64()), pa.array(helds, pa.int64())], ["_k", "_s", "_open", "_held"])
+        now, until, held = None, -(1 << 62), 0
+        for batch in batches:
+            untils, helds = [], []
+            borders = np.cumsum(np.append(0, np.array(batch.column(2).value_lengths(), np.int64))).tolist()
+            entry, end, count = (batch.column(c).flatten().to_pylist() for c in (2, 3, 4))
+            for row, key in enumerate(batch.column(0).to_pylist()):
+                if (key,) != now:
+                    now, until, held = (key,), -(1 << 62), 0
+                untils.append(until)
+                helds.append(held)
+                at = bisect_left(entry, until, borders[row], borders[row + 1])
+                # With no window begun here, the open one has ended before the next stretch.
+                until, held = (end[at], count[at]) if at < borders[row + 1] else (until, 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(untils, pa.int64()), pa.array(helds, pa.int64())], ["_k", "_s", "_open", "_held"])
 
     opened = leaps.repartition("_key").sortWithinPartitions("_key", "_start").mapInArrow(carried, StructType([StructField("_k", kind), *[StructField(n, LongType()) for n in ("_s", "_open", "_held")]]))
     joined = ordered.join(opened, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_start") == F.col("_s")))
     joined = joined.select("_key", "_start", "_t", "_order", "_open", "_held").sortWithinPartitions("_key", "_start", "_t", "_order")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _groups(batches, 2):
-            until, held = own[0].column(4)[0].as_py(), own[0].column(5)[0].as_py()
-            for batch in own:
-                times, at = np.array(batch.column(2), np.int64), 0
-                counts, ends = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
-                while at < len(times):
-                    if times[at] >= until:
-                        until, held = int(times[at]) + window_ms, 0
-                    stop = at + int(np.searchsorted(times[at:], until))
-                    counts[at:stop] = held + 1 + np.arange(stop - at)
-                    ends[at:stop] = until
-                    held, at = held + stop - at, stop
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 2, 3)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
+        for rows, heads in _whole(batches, 2):
+            times, starts = _column(rows, 2), _column(rows, 1)[heads]
+            opened, held = _column(rows, 4), _column(rows, 5)
+            place, group, end, link = _placed(times, heads, starts, window_ms, span)
+            begun = np.zeros(len(times), bool)
+            at = np.searchsorted(place, np.arange(len(heads)) * (3 * span) + np.clip(opened[heads] - starts, 0, 2 * span))
+            at = at[at < np.append(heads[1:], len(times))]
+            while len(at):
+                begun[at] = True
+                at = link[at][link[at] < end[at]]
+            turn = np.arange(len(times))
+            # The hit that opened each one's window; none, where that was before the stretch.
+            own = np.maximum.accumulate(np.where(begun, turn, -1))
+            here = own >= heads[group]
+            counts = np.where(here, turn - own + 1, held + turn - heads[group] + 1)
+            ends = np.where(here, times[own] + window_ms, opened)
+            yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks() for c in (0, 2, 3)], pa.array(counts), pa.array(ends)], ["_key", "_t", "_order", "_n", "_until"])
 
     schema = StructType([cut.schema["_key"], cut.schema["_t"], cut.schema["_order"], StructField("_n", LongType()), StructField("_until", LongType())])
     return joined.mapInArrow(numbered, schema)

@@ -62,7 +62,7 @@ def test_leaps_equal_following_each_entry(window):
     rng = np.random.default_rng(window)
     for _ in range(200):
         times = np.sort(rng.integers(0, 16 * window, rng.integers(1, 60)))
-        entry, end, hits = state._leaps(times, 0, window)
+        entry, end, hits, _ = state._leaps(times, np.array([0]), np.array([0]), window, 16 * window)
         for until in range(-1, window):
             at = int(np.searchsorted(times, until))
             place = int(np.searchsorted(entry, until))
