@@ -19,6 +19,13 @@ def limiter_key(ip: Column, address: Column) -> Column:
     return F.coalesce(F.nullif(ip, F.lit("")), F.nullif(address, F.lit("")), F.lit("unknown"))
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Whole milliseconds since 1970 of a time, rounded to the nearest, halves away from zero."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    shifted = micros + F.when(micros < 0, -500).otherwise(500)
+    return ((shifted - shifted % 1000) / 1000).cast("long")
+
+
 #: Windows of a stretch of a key's time, which is one task's at a time.
 STRETCH = 16
 
@@ -189,12 +196,13 @@ def flag_as_of(events: DataFrame, order: list[str], on: Column, off: Column, par
     return joined.select(*events.columns, F.coalesce("_own", "_carried", F.lit(False)).alias("active"))
 
 
-def cached_flag(events: DataFrame, key: str, ts_ms: str, order: str, on: Column, off: Column, check: Column, ttl_ms: int = fixed.FLAG_TTL_MS) -> DataFrame:
+def cached_flag(events: DataFrame, key: str, ts_ms: str, order: str, on: Column, off: Column, check: Column, ttl_ms: int = fixed.FLAG_TTL_MS, at: list[str] | None = None) -> DataFrame:
     """The checks of events plus `active`: the flag as a process sees it that looks at it at most every ttl_ms.
 
-    A check looks if the last look is ttl_ms ago or more, else it takes what was seen then. Keys are processes (or other parts).
+    A check looks if the last look is ttl_ms ago or more, else it takes what was seen then. Keys are processes (or other parts). `at` orders the
+    flag's changes where that is finer than milliseconds.
     """
-    known = flag_as_of(events, [ts_ms, order], on, off, [key]).where(check)
+    known = flag_as_of(events, at or [ts_ms, order], on, off, [key]).where(check)
     opened = windows(known, key, ts_ms, order, ttl_ms).select(F.col("_key"), F.col("_order"), F.col("_until"))
     both = known.join(opened, known[key].eqNullSafe(F.col("_key")) & (known[order] == F.col("_order")))
     own = Window.partitionBy(key, "_until").orderBy(ts_ms, order)

@@ -656,7 +656,7 @@ _window, _most = 6 * 3_600_000, 2
   w(user_id, event_id, t, i, until, n) AS (SELECT user_id, event_id, t, i, t + {_window}, 1 FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.i, CASE WHEN w.until <= o.t THEN o.t + {_window} ELSE w.until END, CASE WHEN w.until <= o.t THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
   SELECT user_id, event_id, n::INTEGER AS count, n > {_most} AS limited, CASE WHEN n > {_most} THEN greatest(1, ceil((until - t) / 1000.0))::INTEGER END AS retry_after FROM w""")
 def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    hits = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", state.epoch_ms(F.col("ts")).alias("t"))
     return state.rate_limit(hits, "user_id", "t", "event_id", _window, _most).select("user_id", "event_id", "count", "limited", "retry_after")
 
 
@@ -686,9 +686,9 @@ def kill_switch_global(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT event_id, user_id, seen AS active FROM w""")
 def kill_switch_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The switch as a process sees it that looks at most every so often."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", state.epoch_ms(F.col("ts")))
     kind = F.col("event_type")
-    return state.cached_flag(events, "user_id", "t", "event_id", kind == "error", kind == "signup", kind == "view", _window).select("event_id", "user_id", "active")
+    return state.cached_flag(events, "user_id", "t", "event_id", kind == "error", kind == "signup", kind == "view", _window, ["ts", "event_id"]).select("event_id", "user_id", "active")
 
 
 @query(r"""WITH found AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '[A-Za-z][^\x00-\x7f]{1,2}'), range(0, len(regexp_extract_all(text, '[A-Za-z][^\x00-\x7f]{1,2}'))))) AS z FROM documents),

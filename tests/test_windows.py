@@ -72,3 +72,26 @@ def test_leaps_equal_following_each_entry(window):
             while (link := int(np.searchsorted(times, times[at] + window))) < len(times):
                 at = link
             assert (end[place], hits[place]) == (times[at] + window, len(times) - at)
+
+
+@pytest.mark.parametrize("name", ["rate_limit_fixed_window", "kill_switch_cached"])
+def test_times_between_milliseconds_equal_sql(spark, tmp_path, name):
+    """Milliseconds are rounded as SQL rounds them, and a flag changes in order of the whole time."""
+    import datetime
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from palisade.plans import catalogue
+
+    rng, day = random.Random(5), datetime.datetime(2024, 1, 1)
+    # Many in a millisecond or seconds apart, on both sides of half a millisecond; ids against the order of time; some before 1970.
+    moments = [(day if i % 9 else datetime.datetime(1969, 12, 20)) + datetime.timedelta(seconds=rng.randrange(0, 90_000, 300), microseconds=rng.choice([0, 1, 400, 499, 500, 501, 999, 1_000, 1_499, 1_500])) for i in range(3_000)]
+    kinds = [rng.choice(["view", "view", "error", "signup"]) for _ in moments]
+    table = pa.table({"event_id": rng.sample(range(9_000), 3_000), "ts": pa.array(moments, pa.timestamp("us")), "user_id": [i % 7 for i in range(3_000)], "event_type": kinds})
+    pq.write_table(table, tmp_path / "events.parquet")
+    made = catalogue.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as sql:
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        wanted = sql.execute(f"SELECT {', '.join(made.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(wanted, key=repr)
