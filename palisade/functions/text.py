@@ -6,6 +6,7 @@ ships with Spark. Functions take and return columns; null stays null unless a do
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 from unicodedata import name as unicode_name
 from unicodedata import normalize
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
-from palisade.functions.patterns import BORDER, SPACE
+from palisade.functions.patterns import BORDER, SPACE, WHITE
 
 
 
@@ -24,7 +25,8 @@ def js_trim(x: Column) -> Column:
 
 def squeeze_space(x: Column) -> Column:
     """Runs of white space as one blank, ends trimmed, lower case."""
-    return F.lower(js_trim(F.regexp_replace(x, f"{SPACE}+", " ")))
+    # Only what changes is matched: single blanks are most of a text's white space. No other white space is left to trim.
+    return F.lower(F.trim(F.regexp_replace(x, f"{SPACE}{{2,}}|[{WHITE}&&[^ ]]", " ")))
 
 
 def strip_invisible(x: Column) -> Column:
@@ -114,13 +116,14 @@ def ligatures() -> tuple[tuple[str, str], ...]:
 
 
 def fold_ligatures(x: Column, pairs: tuple[tuple[str, str], ...] | None = None) -> Column:
-    """Sequences of several characters that stand for a letter; texts without any first character of one are left as they are."""
+    """Sequences of several characters that stand for a letter; texts without any such sequence are left as they are."""
     pairs = ligatures() if pairs is None else pairs
     if not pairs:
         return x
     heads = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({a[0] for a, _ in pairs}))
+    whole = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in a) for a, _ in pairs)
     known = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return F.when(x.rlike(f"[{heads}]"), F.aggregate(known, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
+    return F.when(x.rlike(f"(?=[{heads}])(?:{whole})"), F.aggregate(known, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
 
 
 def fold_look_alikes(x: Column, table: tuple[str, str] | None = None) -> Column:
@@ -132,7 +135,6 @@ def branches(x: Column, most: int = fixed.MAX_VARIANTS, readings: tuple[tuple[in
     if not readings:
         return F.array(x)
     escaped = "".join(f"\\x{{{code:x}}}" for code, _ in readings)
-    first = F.translate(x, "".join(chr(code) for code, _ in readings), "".join(r[0] for _, r in readings))
     known = F.create_map(*[F.lit(part) for code, r in readings for part in (chr(code), r)])
 
     def grow(found: Column, part: Column) -> Column:
@@ -145,7 +147,7 @@ def branches(x: Column, most: int = fixed.MAX_VARIANTS, readings: tuple[tuple[in
     chars = escaped
     # Letters with several readings, and what stands between them as a whole.
     split = F.aggregate(F.split(x, f"(?<=[{chars}])|(?=[{chars}])"), F.array(F.lit("")), grow)
-    return F.when(x.rlike(f"[{chars}]"), split).otherwise(F.array(first))
+    return F.when(x.rlike(f"[{chars}]"), split).otherwise(F.array(x))
 
 
 def cleaned(x: Column, most: int = fixed.MAX_REPEAT) -> Column:
@@ -165,8 +167,8 @@ def normalize_text(x: Column, most_repeat: int = fixed.MAX_REPEAT, most_variants
     x = F.coalesce(x, F.lit(""))
     wide = x.rlike(r"[^\x00-\x7f]")
     ascii_only = squeeze_space(collapse_long_runs(collapse_punctuation(F.regexp_replace(collapse_repeats(F.translate(x, "$", "S"), most_repeat), r"[\[\]{}]", ""))))
-    folded_once = fold_look_alikes(fold_ligatures(x, ligatures), look_alikes)
-    full = F.array_distinct(F.transform(branches(folded_once, most_variants, readings), lambda b: cleaned(b, most_repeat)))
+    read = once(fold_look_alikes(fold_ligatures(x, ligatures), look_alikes), lambda folded: branches(folded, most_variants, readings))
+    full = F.array_distinct(F.transform(read, lambda b: cleaned(b, most_repeat)))
     return F.when(wide, full).otherwise(F.array(ascii_only))
 
 
@@ -184,18 +186,28 @@ def fold_leet_smart(x: Column) -> Column:
     return out
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x made once, however often it is used: what stands twice inside higher-order functions is else made twice."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def rewrite_matches(x: Column, pattern: str, clean) -> Column:
     """The text with clean(match) for every match of the pattern."""
-    gaps, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(gaps, F.transform(found, clean), lambda gap, match: F.concat(gap, F.coalesce(match, F.lit("")))), "")
+
+    def rewritten(text: Column) -> Column:
+        gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(gaps, F.transform(found, clean), lambda gap, match: F.concat(gap, F.coalesce(match, F.lit("")))), "")
+
+    return once(x, rewritten)
 
 
 def tighten(x: Column) -> Column:
     """Joins letters that were set apart: by marks, by blanks, and short groups by dots, lines and dashes."""
-    blank = rf"{SPACE}*"
-    marked = rf"(?i){BORDER}[a-z0-9](?:{blank}[{fixed.CHAIN_MARKS}]{blank}[a-z0-9])+{BORDER}"
-    spaced = rf"(?i){BORDER}[a-z0-9](?:{SPACE}+[a-z0-9])+{BORDER}"
-    groups = rf"(?i){BORDER}[a-z0-9]{{1,3}}(?:{blank}[._\-]{blank}[a-z0-9]{{1,3}})+{BORDER}"
+    # What begins and ends with word characters needs to look at one side of its borders only.
+    blank, begin, end = rf"{SPACE}*", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    marked = rf"(?i){begin}[a-z0-9](?:{blank}[{fixed.CHAIN_MARKS}]{blank}[a-z0-9])+{end}"
+    spaced = rf"(?i){begin}[a-z0-9](?:{SPACE}+[a-z0-9])+{end}"
+    groups = rf"(?i){begin}[a-z0-9]{{1,3}}(?:{blank}[._\-]{blank}[a-z0-9]{{1,3}})+{end}"
     x = rewrite_matches(x, marked, lambda m: F.regexp_replace(m, rf"(?:{SPACE}|[{fixed.CHAIN_MARKS}])+", ""))
     x = rewrite_matches(x, spaced, lambda m: F.regexp_replace(m, f"{SPACE}+", ""))
     return rewrite_matches(x, groups, lambda m: F.regexp_replace(m, rf"(?:{SPACE}|[._\-])+", ""))

@@ -16,7 +16,7 @@ from palisade.plans import oracles as O
 from palisade.operators.preparing import variants as prepared
 from palisade.plans.moderate import check, check_frames, moderate
 from palisade.plans.salted import DONATIONS_SQL, MESSAGES, dealt, dealt_sql, donations
-from palisade.sources.events import request_fields, spread
+from palisade.sources.events import into_tasks, request_fields
 from palisade.sources.look_alikes import build_look_alikes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return into_tasks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def plain(x: Column) -> Column:

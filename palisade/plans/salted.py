@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed_values as fixed
-from palisade.sources.events import spread
+from palisade.sources.events import into_tasks
 
 DONORS = ("user one", "admin_hoki88", "budi", "cs kantorbola", "promo4", "", "rajaslot official", "sitislot", "maxwin gacor", "nina", None, "kantirbola fan", "slot jp wd", "pandawa99")
 _SPOKEN = (
@@ -50,7 +50,7 @@ def dealt_sql(values: tuple, key: str) -> str:
 
 def donations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """donation_id, ts, platform, donator, message, amount, currency, user_id, event_type."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = into_tasks(spark.read.parquet(f"{sf_dir}/events.parquet"))
     key = F.col("event_id")
     return events.select(
         key.alias("donation_id"), "ts", F.expr(PLATFORM_SQL).alias("platform"), dealt(DONORS, F.floor(key / 7).cast("long")).alias("donator"),

@@ -42,3 +42,28 @@ def spread(table: DataFrame) -> DataFrame:
     """A small table dealt over all cores, where reading it gives fewer tasks; a large one as it is."""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else table
+
+
+#: Bytes of a table's files that one task of text work takes, about.
+TASK_BYTES = 1 << 20
+
+
+def into_tasks(table: DataFrame) -> DataFrame:
+    """A table's rows dealt over all cores and into tasks of about TASK_BYTES: tasks of larger tables are more, not longer.
+
+    One row group is one task to read, however long it is, so the layout of the files does not count. For work on rows that outweighs a shuffle.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+#: Rows of whole texts that a Python worker is sent at a time.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame. Its session sends Python workers at most BATCH_ROWS rows at a time from now on: each task holds a batch of whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
