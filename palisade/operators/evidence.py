@@ -9,7 +9,7 @@ squeezed variants finds the brands inside them, and one over long forms the bran
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +21,7 @@ from palisade.functions.patterns import phrase
 from palisade.operators.literals import Gate, needed_literals
 from palisade.operators.matching import JOINT
 from palisade.operators.typo import bounded_distance
+from palisade.sources.events import small_batches
 
 #: Texts whose evidence a worker remembers.
 REMEMBERED = 50_000
@@ -31,6 +32,7 @@ MESSAGE_LISTS = (*DONOR_LISTS, "promo", "weak", *PHRASES)
 HIT = "array<struct<id:string,value:string,weight:int>>"
 #: White space as senders' browsers see it is what Python's own class holds, but word borders are ASCII ones.
 _ASCII = re.ASCII | re.IGNORECASE
+_TOKEN, _APART = re.compile("[a-z0-9]+"), re.compile("[^a-zA-Z0-9]+")
 
 
 @lru_cache(1)
@@ -53,7 +55,7 @@ def _brands() -> tuple[dict[str, int], Gate, Gate]:
     return {b: i for i, b in enumerate(fixed.BRANDS)}, Gate(inside), Gate(cut)
 
 
-def brands_of(tokens: list[str], squeezed: list[str]) -> list[str]:
+def brands_of(tokens: Iterable[str], squeezed: Iterable[str]) -> list[str]:
     """Brands that are a token, or long enough and inside a squeezed text, in brand order."""
     place, inside, _ = _brands()
     found = {place[t] for t in tokens if t in place}
@@ -78,8 +80,8 @@ def evidence_of(variants: tuple[str, ...], message: bool) -> dict:
     """Hit lists of a text: brands, near brands and rules; for messages also promo and weak rules and phrases."""
     rules, phrases, gate = _compiled()
     joint = JOINT.join(variants)
-    tokens = list(dict.fromkeys(t for v in variants for t in re.findall("[a-z0-9]+", v)))
-    squeezed = list(dict.fromkeys(s for v in variants if (s := re.sub("[^a-zA-Z0-9]+", "", v).lower())))
+    tokens = list(dict.fromkeys(t for v in variants for t in _TOKEN.findall(v)))
+    squeezed = list(dict.fromkeys(s for v in variants if (s := _APART.sub("", v).lower())))
     high = brands_of(tokens, squeezed)
     out: dict = {"high": high, "near": _near(list(dict.fromkeys([*tokens, *squeezed])), high)}
     wanted = (*RULES, *PHRASES) if message else ("hard", "suspicious")
@@ -101,25 +103,53 @@ def evidence(variants: Column, message: bool) -> Column:
     schema = "struct<" + ",".join(f"{n}:{HIT if n in RULES else 'array<string>'}" for n in names) + ">"
 
     @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([evidence_of(tuple(v) if v is not None else (), message) for v in batch], columns=list(names))
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([evidence_of(tuple(v) if v is not None else (), message) for v in batch], columns=list(names))
+
+    return run(variants)
+
+
+@lru_cache(1)
+def _phrase_table() -> tuple[list, Gate]:
+    phrases = _compiled()[1]
+    return phrases, Gate(frozenset({p[1]}) for p in phrases)
+
+
+@lru_cache(REMEMBERED)
+def phrases_of(variants: tuple[str, ...]) -> dict:
+    """The phrases that stand in a text, by list."""
+    phrases, gate = _phrase_table()
+    joint, out = JOINT.join(variants), {name: [] for name in PHRASES}
+    for number in sorted(gate.worth(joint)):
+        kind, name, pattern = phrases[number]
+        if pattern.search(joint):
+            out[kind].append(name)
+    return out
+
+
+def phrase_lists(variants: Column) -> Column:
+    """array<string> -> struct of the phrases of each list: phrase_hits of palisade.operators.matching by one pass over the text."""
+
+    @F.pandas_udf("struct<" + ",".join(f"{name}:array<string>" for name in PHRASES) + ">")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([phrases_of(tuple(v) if v is not None else ()) for v in batch], columns=list(PHRASES))
 
     return run(variants)
 
 
+@lru_cache(REMEMBERED)
+def _both_brands(tokens: tuple[str, ...], squeezed: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    high = brands_of(tokens, squeezed)
+    return high, _near(list(dict.fromkeys([*tokens, *squeezed])), high)
+
+
 def brand_lists(tokens: Column, squeezed: Column) -> Column:
     """array<string> twice -> struct<high, near>: brand_hits and near_brand_hits of palisade.operators.matching, in time linear in the text."""
 
     @F.pandas_udf("struct<high:array<string>,near:array<string>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for some, joined in batches:
-            rows = []
-            for t, s in zip(some, joined, strict=True):
-                t, s = [] if t is None else list(t), [] if s is None else list(s)
-                high = brands_of(t, s)
-                rows.append((high, _near(list(dict.fromkeys([*t, *s])), high)))
-            yield pd.DataFrame(rows, columns=["high", "near"])
+    def run(some: pd.Series, joined: pd.Series) -> pd.DataFrame:
+        rows = [_both_brands(tuple(t) if t is not None else (), tuple(s) if s is not None else ()) for t, s in zip(some, joined, strict=True)]
+        return pd.DataFrame(rows, columns=["high", "near"])
 
     return run(tokens, squeezed)
 
@@ -156,4 +186,4 @@ def rules_by_text(texts: DataFrame, rules: DataFrame, key: str, text: str = "tex
             found = [[n for n in sorted(gate.worth(t)) if patterns[n].search(t)] if t else [] for t in batch]
             yield pd.Series([[{"id": rows[n][0], "weight": rows[n][2]} for n in own] for own in found], dtype="object")
 
-    return texts.select(key, F.explode(run(F.col(text))).alias("_h")).select(key, "_h.id", "_h.weight")
+    return small_batches(texts).select(key, F.explode(run(F.col(text))).alias("_h")).select(key, "_h.id", "_h.weight")

@@ -7,7 +7,6 @@ and form, and are evaluated row by row, so the decision plan uses this form.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -27,6 +26,12 @@ _GAP = re.compile(r"\b([a-z]{2,8})\s+(\d{2,4})\b", re.A | re.I)
 _ROUND = re.compile(r"[1-9]0+\Z")
 
 
+#: Without such a character a text is its own fold, and without a digit no gap closes.
+_FOLDED = re.compile("[" + re.escape("".join(fold[0] for fold in (fixed.LEET_I, fixed.LEET_L, fixed.LEET_KEEP_468)) + "@$!|01345678") + "]")
+_DIGIT = re.compile("[0-9]")
+_APART = re.compile("[^a-zA-Z0-9]+")
+
+
 def _smart(text: str) -> str:
     # Neighbours are those of the text as it was: look-around sees the input, not what was folded before.
     return _BETWEEN_LETTERS.sub(lambda m: m[0].translate(_DIGITS), text).translate(_MARKS)
@@ -42,9 +47,10 @@ def _closed(text: str) -> str:
 
 def _forms(texts: list[str]) -> dict[str, None]:
     out: dict[str, None] = {}
-    for text in texts:
-        if text:
-            out.update(dict.fromkeys(f for f in (text, tightened(text), re.sub("[^a-zA-Z0-9]+", " ", text).strip()) if f))
+    for text in dict.fromkeys(texts):
+        for form in (text, tightened(text), _APART.sub(" ", text).strip()):
+            if form:
+                out[form] = None
     return out
 
 
@@ -52,20 +58,22 @@ def _forms(texts: list[str]) -> dict[str, None]:
 def variants_of(bases: tuple[str, ...], words: tuple[str, ...] | None, fuzzy: bool) -> list[str]:
     """Ordered distinct variants of a text's readings."""
     bases = tuple(b for b in bases if b)
-    seeds = [x for b in bases for x in (b, *(b.translate(f) for f in _FOLDS), _smart(b))]
+    seeds = [x for b in bases for x in ((b, *(b.translate(f) for f in _FOLDS), _smart(b)) if _FOLDED.search(b) else (b,))]
     if words is not None:
         seeds += [_matcher(words, fuzzy).canonical(b) for b in bases]
     found = _forms(seeds)
-    found.update(_forms([c for v in list(found) if (c := _closed(v)) != v]))
+    found.update(_forms([c for v in list(found) if _DIGIT.search(v) and (c := _closed(v)) != v]))
     return list(found)
 
 
 def variants(bases: Column, words: tuple[str, ...] | None, fuzzy: bool) -> Column:
-    """array<string> of readings -> array<string> of variants; words is the dictionary, None for no typo step."""
+    """array<string> of readings -> array<string> of variants; words is the dictionary, None for no typo step.
+
+    A function of a batch and not of all batches: Spark then runs it and palisade.operators.evidence.evidence over it in one worker process.
+    """
 
     @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([variants_of(tuple(b) if b is not None else (), words, fuzzy) for b in batch], dtype="object")
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([variants_of(tuple(b) if b is not None else (), words, fuzzy) for b in batch], dtype="object")
 
     return run(bases)

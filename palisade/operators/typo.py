@@ -7,9 +7,10 @@ edit distance is an equi join for dictionaries of any size. The narrow form runs
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,10 +145,15 @@ def ladder_join(tokens: DataFrame, words: DataFrame, sensitive: tuple[str, ...]
 # ---- the ladder over one token, for Arrow batches ----
 
 _SET_APART = tuple(re.compile(pattern, re.A) for pattern in fixed.SET_APART)
+#: Without such a place a text has nothing set apart: a letter alone before a mark or blank, or a short group before a dot, line or dash.
+_MAYBE_APART = re.compile(rf"\b[a-z0-9](?:\s*[{fixed.CHAIN_MARKS}]|\s+[a-z0-9]\b)|\b[a-z0-9]{{1,3}}\s*[._\-]", re.A)
+_BLANKS = re.compile(r"(\s+)")
 _LEET = tuple(str.maketrans(*fold) for fold in (fixed.LEET_I, fixed.LEET_L))
 
 
 def tightened(text: str) -> str:
+    if text.isalnum() or not _MAYBE_APART.search(text):
+        return text
     for pattern in _SET_APART:
         text = pattern.sub(lambda m: re.sub(r"[^a-z0-9]+", "", m[0]), text)
     return text
@@ -160,20 +166,45 @@ def forms_of(token: str) -> list[str]:
 
 
 def bounded_distance(a: str, b: str, most: int) -> int | None:
-    """Edit distance if at most `most`, else None; only the diagonal band is computed."""
+    """Edit distance if at most `most` (a small number), else None. Common ends take part in no edit."""
     if abs(len(a) - len(b)) > most:
         return None
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i in range(1, len(a) + 1):
-        low, high = max(0, i - most), min(len(b), i + most)
-        new: dict[int, int] = {}
-        for j in range(low, high + 1):
-            new[j] = i if j == 0 else min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (a[i - 1] != b[j - 1]))
-        row = new
-        if min(row.values()) > most:
-            return None
-    found = row.get(len(b), most + 1)
-    return found if found <= most else None
+    if a == b:
+        return 0
+    if not most:
+        return None
+    first, short = 0, min(len(a), len(b))
+    while first < short and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < short - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
+    # Both begin with other characters: one of them goes, or both.
+    found = [d for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])) if (d := bounded_distance(x, y, most - 1)) is not None]
+    return min(found) + 1 if found else None
+
+
+def _letters(text: str) -> int:
+    """The characters of a text as bits; an edit changes two of them at most."""
+    bits = 0
+    for c in text:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+class _Words:
+    """Words in order, and which of them may be within some edits of a token by their characters."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = list(words)
+        self.bits = np.array([_letters(w) for w in self.words], np.uint64)
+
+    def near(self, token: str, most: int) -> list[tuple[int, str]]:
+        bits = self.bits ^ np.uint64(_letters(token))
+        return [(place, self.words[place]) for place in np.flatnonzero(np.bitwise_count(bits) <= 2 * most).tolist()]
 
 
 class Matcher:
@@ -181,15 +212,17 @@ class Matcher:
 
     def __init__(self, words: tuple[str, ...] = EVERYDAY, sensitive: tuple[str, ...] = tuple(fixed.SENSITIVE), fuzzy: bool = True):
         self.words, self.sensitive, self.fuzzy = dict.fromkeys(words), dict.fromkeys(sensitive), fuzzy
-        self.by_start: dict[tuple[str, int], list[str]] = {}
+        by_start: dict[str, list[str]] = {}
         for word in self.words:
-            self.by_start.setdefault((word[0], len(word)), []).append(word)
+            by_start.setdefault(word[0], []).append(word)
+        self.terms = _Words(self.sensitive)
+        self.by_start = {start: _Words(own) for start, own in by_start.items()}
         self.match = lru_cache(100_000)(self._match)
 
-    def _nearest(self, token: str, words) -> tuple[str, int] | None:
+    def _nearest(self, token: str, words: _Words | None) -> tuple[str, int] | None:
         most = 0 if len(token) < 5 else 1 if len(token) < 7 else 2
         best = None
-        for place, word in enumerate(words if most else ()):
+        for place, word in words.near(token, most) if most and words else ():
             distance = bounded_distance(token, word, most)
             if distance is not None:
                 shared = next((i for i, (x, y) in enumerate(zip(token, word)) if x != y), min(len(token), len(word)))
@@ -199,7 +232,9 @@ class Matcher:
 
     def _match(self, raw: str) -> tuple[str, str | None, str | None, int | None]:
         """(kind, match, via, distance), the first step of the ladder that holds."""
-        token = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", raw.lower().strip())
+        token = raw.lower().strip()
+        if not token.isascii() or not token.isalnum():
+            token = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", token)
         if not token or token.isdigit():
             return "unknown", None, None, None
         forms = forms_of(token)
@@ -212,19 +247,19 @@ class Matcher:
             if form in self.words:
                 return "normalized", form, form, None
         for form in forms:
-            if found := self._nearest(form, self.sensitive):
+            if found := self._nearest(form, self.terms):
                 return "sensitive-fuzzy", found[0], form, found[1]
         for form in forms if self.fuzzy else ():
             if not re.search("[0-9]", form):
-                most = 0 if len(form) < 5 else 1 if len(form) < 7 else 2
-                near = (w for n in range(max(1, len(form) - most), len(form) + most + 1) for w in self.by_start.get((form[0], n), ()))
-                if found := self._nearest(form, near):
+                if found := self._nearest(form, self.by_start.get(form[0])):
                     return "fuzzy", found[0], form, found[1]
         return "unknown", None, None, None
 
     def canonical(self, text: str) -> str:
         """The text with every token replaced by its match; white space stays as it is."""
-        return "".join(p if not p or p.isspace() else self.match(p)[1] or p.lower().strip() for p in re.split(r"(\s+)", text))
+        parts = _BLANKS.split(text)
+        parts[::2] = [p and (self.match(p)[1] or p.lower().strip()) for p in parts[::2]]
+        return "".join(parts)
 
 
 _matchers: dict[tuple, Matcher] = {}
