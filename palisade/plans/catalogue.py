@@ -155,8 +155,11 @@ def rules_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{O.MESSAGE_TEXTS}, {O.PHRASES_SQL} SELECT donation_id, kind, phrase FROM donations JOIN said ON lower(message) = t")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = F.array(*[F.struct(F.lit(k).alias("kind"), matching.phrase_hits(plain(F.col("message")), p).alias("found")) for k, p in O.PHRASES.items()])
-    return donations(spark, sf_dir).select("donation_id", F.explode(lists).alias("l")).select("donation_id", "l.kind", F.explode("l.found").alias("phrase"))
+    """All lists by one pass over each text."""
+    said = donations(spark, sf_dir).select("donation_id", evidence.phrase_lists(plain(F.col("message"))).alias("s"))
+    named = {kind: name for kind, p in O.PHRASES.items() for name, own in evidence.PHRASES.items() if own == p}
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"s.{name}").alias("found")) for kind, name in named.items()])
+    return said.select("donation_id", F.explode(lists).alias("l")).select("donation_id", "l.kind", F.explode("l.found").alias("phrase"))
 
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, brand FROM donations JOIN toks ON lower(message) = t JOIN brands ON token = brand")
