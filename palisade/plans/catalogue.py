@@ -187,10 +187,9 @@ def near_brand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{O.MESSAGE_TEXTS}, {O.BRANDS_SQL} SELECT donation_id, (SELECT count(*) FROM named n WHERE n.t = lower(message)) AS exact, (SELECT count(*) FROM near_named n WHERE n.t = lower(message)) AS near FROM donations")
 def brand_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The narrow forms of the brand matchers, over columns of one row."""
-    rows = _formed(spark, sf_dir)
-    rows = rows.withColumn("_exact", matching.brand_hits(F.col("tokens"), F.col("squeezed")))
-    return rows.select("donation_id", F.size("_exact").cast("long").alias("exact"), F.size(matching.near_brand_hits(F.col("tokens"), F.col("squeezed"), F.col("_exact"))).cast("long").alias("near"))
+    """How many brands a text names and nearly names, both at once."""
+    found = _formed(spark, sf_dir).select("donation_id", evidence.brand_lists(F.col("tokens"), F.col("squeezed")).alias("b"))
+    return found.select("donation_id", F.size("b.high").cast("long").alias("exact"), F.size("b.near").cast("long").alias("near"))
 
 
 # ---- typos ----
