@@ -137,9 +137,8 @@ def rewrite_frames(platform: Column, raw: Column, donor: Column, message: Column
     """Each frame rewritten, in Arrow batches; null stays null."""
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for names, frames, donors, messages in batches:
-            yield pd.Series([r if r is None else rewritten(p, r, d, m) for p, r, d, m in zip(names, frames, donors, messages, strict=True)], dtype="object")
+    def run(names: pd.Series, frames: pd.Series, donors: pd.Series, messages: pd.Series) -> pd.Series:
+        return pd.Series([r if r is None else rewritten(p, r, d, m) for p, r, d, m in zip(names, frames, donors, messages, strict=True)], dtype="object")
 
     return run(platform, raw, donor, message)
 

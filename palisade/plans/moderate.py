@@ -11,6 +11,7 @@ from palisade.operators.decision import EVIDENCE, decide
 from palisade.operators.payloads import block_frames, first_flagged, parse_frame
 from palisade.operators.preparing import variants
 from palisade.operators.typo import EVERYDAY
+from palisade.sources.events import small_batches
 
 METHODS = ("algorithm", "classifier", "both")
 DONOR_REPLACEMENT, MESSAGE_REPLACEMENT = "***", "***"
@@ -61,7 +62,7 @@ def check_frames(frames: DataFrame, **options: object) -> DataFrame:
     Narrow, for batches and streams: donations are exploded, decided and folded back in place. Only the first row of a
     frame carries its columns. Null frames, and those that hold no donation, go on as they are.
     """
-    parsed = frames.withColumn("donations", parse_frame(F.col("platform"), F.col("raw")))
+    parsed = small_batches(frames).withColumn("donations", parse_frame(F.col("platform"), F.col("raw")))
     each = parsed.select(F.struct(*parsed.columns).alias("frame"), F.posexplode_outer("donations").alias("_pos", "_d"))
     each = each.select(F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("frame")).alias("frame"), "_d.donator", "_d.message")
     made = moderate(each, **options).select("frame", (F.col("action") == "block").alias("flag"))
