@@ -19,6 +19,11 @@ from palisade.functions.patterns import BORDER, SPACE, WHITE
 
 
 
+def beyond(lowest: int) -> str:
+    """The beginning of a pattern of characters from `lowest` on: one comparison for all others, where a class of many ranges takes one for each."""
+    return f"(?=[^\\x00-\\x{{{lowest - 1:x}}}])"
+
+
 def js_trim(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -30,16 +35,17 @@ def squeeze_space(x: Column) -> Column:
 
 
 def strip_invisible(x: Column) -> Column:
-    return F.regexp_replace(x, fixed.INVISIBLE, "")
+    return F.regexp_replace(x, beyond(0xAD) + fixed.INVISIBLE, "")
 
 
 def strip_ornaments(x: Column) -> Column:
-    return F.regexp_replace(x, fixed.ORNAMENTS, "")
+    return F.regexp_replace(x, "(?![ -Z^-z])" + fixed.ORNAMENTS, "")
 
 
 def strip_emoji(x: Column) -> Column:
     """Emoji sequences vanish; what is left of their ranges becomes a blank."""
-    return F.regexp_replace(F.regexp_replace(x, fixed.EMOJI, ""), rf"(?:{fixed.PICTURES}|[\x{{FE00}}-\x{{FE0F}}])+", " ")
+    first = beyond(0x24C2)  # of PICTURES
+    return F.regexp_replace(F.regexp_replace(x, first + fixed.EMOJI, ""), rf"{first}(?:{fixed.PICTURES}|[\x{{FE00}}-\x{{FE0F}}])+", " ")
 
 
 def collapse_repeats(x: Column, most: int = fixed.MAX_REPEAT) -> Column:
@@ -120,10 +126,14 @@ def fold_ligatures(x: Column, pairs: tuple[tuple[str, str], ...] | None = None)
     pairs = ligatures() if pairs is None else pairs
     if not pairs:
         return x
-    heads = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({a[0] for a, _ in pairs}))
-    whole = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in a) for a, _ in pairs)
+    # Most characters of a text are ASCII and begin none: they take one comparison, or that with a small class.
+    tried = []
+    for own, first in (([a for a, _ in pairs if a[0] <= "\x7f"], ""), ([a for a, _ in pairs if a[0] > "\x7f"], beyond(0x80))):
+        if own:
+            heads = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({a[0] for a in own}))
+            tried.append(f"{first}(?=[{heads}])(?:{'|'.join(''.join(f'\\x{{{ord(c):x}}}' for c in a) for a in own)})")
     known = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return F.when(x.rlike(f"(?=[{heads}])(?:{whole})"), F.aggregate(known, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
+    return F.when(x.rlike("|".join(tried)), F.aggregate(known, x, lambda done, p: F.replace(done, p["a"], p["b"]))).otherwise(x)
 
 
 def fold_look_alikes(x: Column, table: tuple[str, str] | None = None) -> Column:
@@ -147,7 +157,7 @@ def branches(x: Column, most: int = fixed.MAX_VARIANTS, readings: tuple[tuple[in
     chars = escaped
     # Letters with several readings, and what stands between them as a whole.
     split = F.aggregate(F.split(x, f"(?<=[{chars}])|(?=[{chars}])"), F.array(F.lit("")), grow)
-    return F.when(x.rlike(f"[{chars}]"), split).otherwise(F.array(x))
+    return F.when(x.rlike(beyond(min(code for code, _ in readings)) + f"[{chars}]"), split).otherwise(F.array(x))
 
 
 def cleaned(x: Column, most: int = fixed.MAX_REPEAT) -> Column:

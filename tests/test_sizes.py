@@ -105,3 +105,22 @@ def test_nearest_words_equal_measuring_all():
             assert near == {i for i, w in enumerate(words) if distance(token, w) <= most}
     for a, b in zip(words, words[1:]):
         assert typo.bounded_distance(a, b, 2) == (d if (d := distance(a, b)) <= 2 else None)
+
+
+def test_gated_patterns_equal_plain_ones(spark):
+    """Classes behind one comparison take out what they take out alone, and most of them stand behind one."""
+    from palisade.functions import fixed_values as fixed
+
+    rng = random.Random(13)
+    some = [chr(c) for c in (9, 10, 0x20, 0x41, 0x5B, 0x5D, 0x7B, 0x7D, 0xA0, 0xAC, 0xAD, 0xAE, 0x2028, 0x200B, 0x2022, 0x24C1, 0x24C2, 0x2600, 0x3000, 0xFE00, 0xFE0F, 0x1F1E6, 0x1F300, 0x1F3FB, 0x1FAFF)]
+    texts = spark.createDataFrame([("".join(rng.choices(some, k=12)),) for _ in range(400)], "t string")
+    t = F.col("t")
+    pairs = [
+        (T.strip_invisible(t), F.regexp_replace(t, fixed.INVISIBLE, "")),
+        (T.strip_ornaments(t), F.regexp_replace(t, fixed.ORNAMENTS, "")),
+        (T.strip_emoji(t), F.regexp_replace(F.regexp_replace(t, fixed.EMOJI, ""), rf"(?:{fixed.PICTURES}|[\x{{FE00}}-\x{{FE0F}}])+", " ")),
+        (T.squeeze_space(t), F.lower(T.js_trim(F.regexp_replace(t, f"{T.SPACE}+", " ")))),
+    ]
+    for made, wanted in pairs:
+        assert texts.where(made != wanted).count() == 0
+    assert "(?=[^" in str(T.strip_emoji(t)) and "(?=[^" in str(T.fold_ligatures(t))
