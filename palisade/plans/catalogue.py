@@ -734,5 +734,6 @@ def normalize_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, alphabet in enumerate(_ALPHABETS):
         salted = salted.when(way == i, F.translate(text, _ABC, alphabet))
     flags = F.regexp_replace(F.translate(text, _ABC, "".join(chr(0x1F1E6 + i) for i in range(26))), r"([\x{1F1E6}-\x{1F1FF}])", "$1 ")
-    made = documents(spark, sf_dir).select("doc_id", T.normalize_text(salted.otherwise(flags)).alias("v"))
+    written = documents(spark, sf_dir).select("doc_id", salted.otherwise(flags).alias("text"))
+    made = written.select("doc_id", T.normalize_text(F.col("text")).alias("v"))
     return made.select("doc_id", F.md5(F.get("v", F.lit(0))).alias("first"), F.size("v").alias("n"))
