@@ -7,16 +7,20 @@ edit distance is an equi join for dictionaries of any size. The narrow form runs
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from palisade.functions import fixed_values as fixed
 from palisade.functions import text as T
+from palisade.sources.events import small_batches
 
 #: A small dictionary of everyday words; pass a larger one where there is one.
 EVERYDAY = tuple(dict.fromkeys(
@@ -36,6 +40,32 @@ def dictionary_words(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.lower(T.js_trim(F.col(column))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
 
 
+#: Different words that a task holds before it hands on their counts.
+WORDS_HELD = 200_000
+#: ASCII letters in lower case; a blank for any other byte.
+_LETTERS = bytes(c | 32 if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word, count) of the runs of ASCII letters in texts, in lower case. Each task counts its own texts' words before any is sent."""
+
+    def counts(held: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        for batch in batches:
+            for own in batch.column(0).cast(pa.binary()).drop_null().to_pylist():
+                held.update(own.translate(_LETTERS).split())
+                if len(held) >= WORDS_HELD:
+                    yield counts(held)
+                    held.clear()
+        yield counts(held)
+
+    found = small_batches(texts.select(text)).mapInArrow(run, "word string, n long").where("word is not null")
+    return found.groupBy("word").agg(F.sum("n").alias("count"))
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The words of a text file, one a line."""
     return dictionary_words(spark.read.text(path))
@@ -62,25 +92,80 @@ def common_prefix(a: Column, b: Column) -> Column:
 #: Most edits between a token and its match.
 MOST_EDITS = 2
 
+#: Hashes of texts go up by powers of an odd number, in 64 bits.
+_BASE = 0x9E3779B97F4A7C15
+#: What takes one and two powers back.
+_BACK, _BACK_TWO = (np.uint64(pow(_BASE, -by, 1 << 64)) for by in (1, 2))
 
-def _one_less(x: Column) -> Column:
-    """The text without each of its characters in turn."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i <= F.length(x))
-    return F.array_distinct(F.transform(at, lambda i: F.concat(F.left(x, i - 1), F.substr(x, i + 1))))
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """Characters as 64 bits each."""
+    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _keys(texts: list[str], most: int, kept: int) -> np.ndarray:
+    """Hashes of texts of one length without up to `most` (2 at most) of their characters after the first `kept`, a row each.
+
+    A text hashes to the sum of its characters' bits times powers of _BASE, so that a deletion moves what is right of it one power down.
+    """
+    n, length = len(texts), len(texts[0])
+    codes = np.array(texts, f"U{max(length, 1)}").view(np.uint32).reshape(n, -1)[:, :length]
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(length, _BASE, np.uint64)]))[:length]
+    left = np.zeros((n, length + 1), np.uint64)
+    np.cumsum(_mixed(codes) * powers, axis=1, out=left[:, 1:])
+    whole, at = left[:, -1:], np.arange(kept, length)
+    out = [whole]
+    if most >= 1:
+        out.append(left[:, at] + (whole - left[:, at + 1]) * _BACK)
+    if most >= 2:
+        i, j = (at[k] for k in np.triu_indices(len(at), 1))
+        out.append(left[:, i] + (left[:, j] - left[:, i + 1]) * _BACK + (whole - left[:, j + 1]) * _BACK_TWO)
+    return np.concatenate(out, axis=1)
+
+
+#: Hashes that one vectorised step makes, about.
+_KEYS_AT_ONCE = 1 << 20
+
+
+def _key_lists(texts: list[str | None], most: np.ndarray, kept: int) -> pa.Array:
+    """The distinct hashes of each text; null for null, and for fewer edits than none."""
+    lengths = np.array([-1 if t is None or edits < 0 else len(t) for t, edits in zip(texts, most, strict=True)], np.int64)
+    groups, place = np.unique(np.stack([lengths, np.clip(most, 0, MOST_EDITS)], 1), axis=0, return_inverse=True)
+    found, counts = [], np.zeros(len(texts), np.int64)
+    for number, (length, edits) in enumerate(groups.tolist()):
+        if length < 0:
+            continue
+        rows = np.flatnonzero(place.ravel() == number)
+        step = max(1, _KEYS_AT_ONCE // (1 + length * (1 + length * (edits == 2))))
+        for first in range(0, len(rows), step):
+            own = rows[first : first + step]
+            keys = np.sort(_keys([texts[r] for r in own], edits, min(kept, length)), axis=1)
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            counts[own] = new.sum(axis=1)
+            found.append((own, keys[new]))
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    values = np.empty(offsets[-1], np.uint64)
+    for own, keys in found:
+        starts = np.cumsum(counts[own]) - counts[own]
+        values[np.arange(len(keys)) + np.repeat(offsets[own] - starts, counts[own])] = keys
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)), mask=pa.array(lengths < 0))
 
 
 def deletion_keys(x: Column, most: Column, same_first: bool) -> Column:
-    """Hashes of what is left of a text when up to `most` (2 at most) characters are deleted.
+    """Hashes of what is left of a text when up to `most` (2 at most) characters are deleted; null where `most` is.
 
     Texts within so many edits of each other share a key. Where only texts of one first character are to meet, it is never deleted: a
-    common beginning takes part in no edit.
+    common beginning takes part in no edit. All texts of one length in an Arrow batch are hashed together.
     """
-    rest, head = (F.substr(x, F.lit(2)), F.left(x, F.lit(1))) if same_first else (x, F.lit(""))
-    none = F.array().cast("array<string>")
-    once = _one_less(rest)
-    twice = F.flatten(F.transform(once, _one_less))
-    kept = F.array_distinct(F.concat(F.array(rest), F.when(most >= 1, once).otherwise(none), F.when(most >= 2, twice).otherwise(none)))
-    return F.array_distinct(F.transform(kept, lambda k: F.xxhash64(F.concat(head, k))))
+
+    @arrow_udf("array<bigint>")
+    def run(texts: pa.Array, edits: pa.Array) -> pa.Array:
+        return _key_lists(texts.to_pylist(), edits.fill_null(-1).to_numpy(), int(same_first))
+
+    return run(x, most)
 
 
 def fuzzy_join(tokens: DataFrame, words: DataFrame, same_first: bool) -> DataFrame:
@@ -92,13 +177,15 @@ def fuzzy_join(tokens: DataFrame, words: DataFrame, same_first: bool) -> DataFra
     any word can be match nothing and make no keys.
     """
     longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"))
-    t = tokens.select("token").distinct().withColumn("most", most_distance(F.length("token"))).where("most > 0")
-    t = t.crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + F.col("most"))
-    t = t.select("token", "most", F.explode(deletion_keys(F.col("token"), F.col("most"), same_first)).alias("key"))
-    w = words.where(F.length("word") > 0).select("ord", "word", F.explode(deletion_keys(F.col("word"), F.lit(MOST_EDITS), same_first)).alias("key"))
-    near = t.join(w, "key").withColumn("distance", F.levenshtein("token", "word", MOST_EDITS)).where("distance between 0 and most")
-    if same_first:
-        near = near.where(F.left("token", F.lit(1)) == F.left("word", F.lit(1)))
+    most = most_distance(F.length("token"))
+    t = tokens.select("token").distinct().crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + most)
+    # Tokens that are too short make no keys, where a filter on them would move below the count of words and have it made twice.
+    t = t.select("token", F.explode(deletion_keys(F.col("token"), F.when(most > 0, most), same_first)).alias("key"))
+    w = words.select("ord", "word", F.explode(deletion_keys(F.col("word"), F.lit(MOST_EDITS), same_first)).alias("key"))
+    # Measured once a pair. A comparison of first letters by itself would become a second key of the join, and the one to sort by.
+    met = (F.left("token", F.lit(1)) == F.left("word", F.lit(1))) if same_first else F.lit(True)
+    one, two = (F.levenshtein("token", "word", edits) for edits in (1, MOST_EDITS))
+    near = t.join(w, "key").where(F.when(met & (most > 0), F.when(most == 1, one).otherwise(two)) >= 0).withColumn("distance", two)
     best = F.min(F.struct("distance", -common_prefix(F.col("token"), F.col("word")), -F.length("word"), "ord", "word")).alias("b")
     return near.groupBy("token").agg(best).select("token", F.col("b.word").alias("match"), F.col("b.distance").cast("int").alias("distance"))
 

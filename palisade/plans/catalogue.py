@@ -266,7 +266,7 @@ _USUAL = 12
 @query(f"WITH {_counted_sql}, tokens AS (SELECT word AS token FROM counted WHERE n < {_USUAL}), words AS (SELECT word AS ord, word FROM counted WHERE n >= {_USUAL}), {_near_sql(True)} SELECT token, match, distance FROM near WHERE n = 1")
 def fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare words of documents and the nearest usual word: a dictionary that grows with the table."""
-    counted = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).count()
+    counted = typo.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     usual = counted.where(F.col("count") >= _USUAL).select("word", F.col("word").alias("ord"))
     return typo.fuzzy_join(counted.where(F.col("count") < _USUAL).select(F.col("word").alias("token")), usual, True)
 

@@ -1,7 +1,10 @@
 """Deletion keys and the ladder by joins against plain comparison with every word."""
 
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +62,49 @@ def test_the_ladder_by_joins_equals_the_batch_form(spark):
         batch = {r.token: tuple(r)[1:] for r in typo.match_tokens(frame, "token", fuzzy=fuzzy).collect()}
         joined = {r.token: tuple(r)[1:] for r in typo.ladder_join(frame, words, fuzzy=fuzzy).collect()}
         assert joined == batch and len({v[0] for v in joined.values()}) >= 5 - (not fuzzy)
+
+
+def test_keys_are_those_of_plain_deletion():
+    def left(word, most, kept):
+        out = {word}
+        for _ in range(most):
+            out |= {w[:i] + w[i + 1 :] for w in out for i in range(kept, len(w))}
+        return out
+
+    def key(word):
+        return typo._key_lists([word], np.array([0]), 0).to_pylist()[0][0]
+
+    rng, every = random.Random(5), set()
+    words = ["".join(rng.choices("ab\0é\U0001F600", k=rng.randrange(9))) for _ in range(300)] + ["", None, "c" * 40]
+    for kept in (0, 1):
+        most = np.array([rng.randrange(-1, 3) for _ in words])
+        for word, edits, keys in zip(words, most, typo._key_lists(words, most, kept).to_pylist(), strict=True):
+            own = None if word is None or edits < 0 else left(word, edits, kept)
+            assert (own and sorted(map(key, own))) == (keys and sorted(keys))
+            every |= own or set()
+    assert len(set(map(key, every))) == len(every) > 500
+
+
+@pytest.mark.parametrize("held", [3, 200_000])
+def test_counts_of_words(spark, monkeypatch, held):
+    monkeypatch.setattr(typo, "WORDS_HELD", held)
+    texts = ["Kata kataékata, KATA-b", "Kata İni x1y", "", None, "a" * 5_000 + " Z\0z q", "[kata]^_`{a}@"]
+    got = {r["word"]: r["count"] for r in typo.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == Counter(w.lower() for t in texts for w in re.findall("[A-Za-z]+", t or ""))
+
+
+def test_documents_are_read_once_for_rare_and_usual_words(spark):
+    from palisade.plans import catalogue
+
+    made = catalogue.QUERIES["fuzzy_documents"](spark, "/root/testdata/sf0.001")
+    made._jdf.collect()
+    final = str(made._jdf.queryExecution().executedPlan()).split("Initial Plan")[0]
+    assert final.count("FileScan") == final.count("MapInArrow") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_pairs_are_joined_by_their_key_alone(spark):
+    """With the first letter as another key all rows of a letter would be sorted by it first."""
+    words = spark.createDataFrame([(0, "warung")], "ord int, word string")
+    plan = str(typo.fuzzy_join(words.select(F.col("word").alias("token")), words.hint("merge"), True)._jdf.queryExecution().executedPlan())
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert len(joins) == 1 and re.search(r"Join \[key#\d+L\], \[key#\d+L\]", joins[0]), joins
